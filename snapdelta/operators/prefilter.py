@@ -1,0 +1,50 @@
+"""Semi join of heavy rows with many keys, without shuffling the rows that cannot match."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A bitmap row covers 32,768 positions in 4 KB. With 2**27 positions the bitmap never exceeds
+# 4,096 rows and 16 MB, whatever the number of keys.
+POSITIONS = 2**27
+# From one key per four positions on, too few rows would be held back to pay for the look-up.
+WORTHWHILE = POSITIONS // 4
+# Up to here the keys themselves are small enough to leave the choice of join to Spark.
+FEW = 100_000
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, key: Sequence[str], n_keys: int) -> DataFrame:
+    """Rows whose key is among ``keys``.
+
+    ``n_keys`` is the number of keys. A few are joined as they are, usually by broadcast. For more, a
+    bitmap of key hashes of bounded size is broadcast first: it drops nearly all rows that do not
+    match, before the exact join shuffles the rest.
+    """
+    if FEW < n_keys < WORTHWHILE:
+        rows = _held_back(rows, keys, key)
+    return rows.join(keys, list(key), "left_semi")
+
+
+def _held_back(rows: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
+    position = _position(key)
+    bitmap = keys.groupBy(F.bitmap_bucket_number(position).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("_bits")
+    )
+    placed = rows.withColumn("_position", position).withColumn("_bucket", F.bitmap_bucket_number("_position"))
+    possible = placed.join(F.broadcast(bitmap), "_bucket").where(_bit(F.col("_bits"), F.col("_position")))
+    return possible.select(*rows.columns)
+
+
+def _position(key: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(POSITIONS))
+
+
+def _bit(bits: Column, position: Column) -> Column:
+    """Whether the bit of a position is set in the 4 KB bitmap of its bucket."""
+    offset = F.bitmap_bit_position(position)
+    byte = F.substring(bits, (F.floor(offset / 8) + 1).cast("int"), F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    return F.getbit(value, (offset % 8).cast("int")) == 1
