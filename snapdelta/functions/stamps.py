@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 VERSION_FORMAT = "yyyyMMddHHmmss"
 DISPLAY_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+
 
 def version_stamp(ts: Column) -> Column:
     """Version name of a point in time; fractions of a second are cut off."""
@@ -27,6 +29,11 @@ def stamp_of(moment: dt.datetime) -> str:
     return _utc(moment).strftime("%Y%m%d%H%M%S")
 
 
+def stamp_of_micros(moment: int) -> str:
+    """``version_stamp`` of microseconds since the epoch."""
+    return stamp_of(EPOCH + dt.timedelta(microseconds=moment))
+
+
 def timestamp_literal(moment: dt.datetime) -> Column:
     """A UTC moment as a TIMESTAMP literal, whatever the session or machine time zone."""
     return F.timestamp_micros(F.lit(micros(moment)))
@@ -34,7 +41,7 @@ def timestamp_literal(moment: dt.datetime) -> Column:
 
 def micros(moment: dt.datetime) -> int:
     """Microseconds since the epoch."""
-    return (_utc(moment) - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
+    return (_utc(moment) - EPOCH) // dt.timedelta(microseconds=1)
 
 
 def _utc(moment: dt.datetime) -> dt.datetime:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,14 +31,13 @@ from snapdelta.functions.status import (
 )
 from snapdelta.operators.components import has_component, set_component
 from snapdelta.operators.delta import with_prior
-from snapdelta.operators.versions import latest_version, version_lines
 from snapdelta.plans.stages import Pipeline, Stage, Transform
-from snapdelta.plans.steps import component_types, decide
+from snapdelta.plans.steps import component_types, decide, newest_version
 from snapdelta.sources.files import copy_files, file_sha256, list_files, remove_staging, spread
-from snapdelta.sources.log import append_log, load_log
+from snapdelta.sources.log import append_log
 from snapdelta.sources.state import load_state, save_state
 
-PATH = F.col("file_path.file_path")
+PATH = "file_path.file_path"
 STATE_KEY = [T.StructField("path", T.StringType())]
 
 
@@ -70,7 +69,7 @@ def backup_files(
     if only_written:
         chosen = chosen.where("error is null")
     if not chosen.isEmpty():
-        hashes = chosen.select(PATH.alias("path"), F.col("file_hash.current_hash").alias("content_hash"))
+        hashes = chosen.select(F.col(PATH).alias("path"), F.col("file_hash.current_hash").alias("content_hash"))
         save_state(spark, f"{store}/state", hashes, STATE_KEY)
         append_log(spark, f"{store}/log", chosen.select("backup_date.backup_date"))
     return report
@@ -85,19 +84,16 @@ def backup_stages(
     tasks: int | None = None,
 ) -> list[Stage]:
     """The four stages of a backup. Hashing and copying, the dear ones, keep what they did."""
+    version = F.lit(stamp_of(run_ts))
+    choose = decide(("file_hash", "file_path"), run_ts)
     return [
         Stage("File Discovery", generators=[discover(source, tasks)]),
         Stage("Hash Calculation", [hash_files(state, tasks)], components=component_types("file_path", "file_hash")),
-        Stage("Backup Decision", [decide(("file_hash", "file_path"), run_ts)], components=component_types("backup_date"), cut=True),
-        Stage("Backup Execution", [store_files(source, destination, staging, tasks)], cut=True),
+        Stage("Backup Decision", [choose], components=component_types("backup_date"), cut=True),
+        Stage("Backup Execution", [store_files(source, destination, staging, version, tasks)], cut=True),
     ]
 
 
-def query_versions(spark: SparkSession, store: str) -> DataFrame:
-    """The stored version dates, newest first, each with its display line."""
-    return version_lines(load_log(spark, f"{store}/log"))
-
-
 def restore_files(
     spark: SparkSession, destination: str, version: str | dt.datetime, target: str, tasks: int | None = None
 ) -> DataFrame:
@@ -126,8 +122,7 @@ def restore_latest_files(
     spark: SparkSession, store: str, destination: str, target: str, tasks: int | None = None
 ) -> DataFrame:
     """Restore the newest version in the log; the seed entity fails if there is none."""
-    newest = latest_version(load_log(spark, f"{store}/log"))
-    version = newest.select(version_stamp(F.col("backup_date"))).first()[0]
+    version = newest_version(spark, store)
     if version is None:
         failed = Stage("Restore", [lambda df: df.withColumn(RESULT, fail(NO_VERSIONS))])
         return Pipeline([failed]).run(_seed(spark, destination), distinct_input=True)
@@ -138,15 +133,10 @@ def discover(root: str, tasks: int | None = None) -> Transform:
     """Generator: a new entity with a path for each file below ``root``, per entity given."""
 
     def generate(entities: DataFrame) -> DataFrame:
+        per_entity = F.array_repeat(F.lit(0), F.lit(entities.count()))
         files = list_files(entities.sparkSession, root, tasks)
-        copies = entities.count()
-        if copies == 1:
-            natural_key = [F.col("path")]
-        else:
-            files = files.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))) if copies else files.limit(0)
-            natural_key = [F.col("path"), F.col("_copy")] if copies else [F.col("path")]
-        path = F.struct(F.col("path").alias("file_path"))
-        return files.select(entity_id(*natural_key).alias("entity_id"), path.alias("file_path"))
+        files = files.select("path", F.posexplode(per_entity).alias("entity", "_"))
+        return files.select(entity_id("entity", "path").alias("entity_id"), _path_component())
 
     return generate
 
@@ -155,7 +145,7 @@ def hash_files(state: DataFrame, tasks: int | None = None) -> Transform:
     """Hash each file and look up the hash stored for its path."""
 
     def transform(df: DataFrame) -> DataFrame:
-        hashed = spread(df, PATH, tasks).select("*", PATH.alias("path"), file_sha256(PATH).alias("current_hash"))
+        hashed = spread(df, PATH, tasks).select("*", F.col(PATH).alias("path"), file_sha256(PATH).alias("current_hash"))
         known = with_prior(hashed, state, ["path"])
         status = first_failure(
             require(has_component("file_path"), PATH_MISSING),
@@ -168,19 +158,22 @@ def hash_files(state: DataFrame, tasks: int | None = None) -> Transform:
     return transform
 
 
-def store_files(source: str, destination: str, staging: str, tasks: int | None = None) -> Transform:
+def store_files(
+    source: str, destination: str, staging: str, version: Column | None = None, tasks: int | None = None
+) -> Transform:
     """Copy stamped files into their version folder; rows without a stamp are left alone.
 
+    The version is that of the row's own stamp unless one is given for all.
+
     ``current_hash`` becomes the hash of the bytes copied, which is what the state must say if a file
     was changed after it had been hashed.
     """
 
     def transform(df: DataFrame) -> DataFrame:
         marked = has_component("backup_date")
-        target = target_path(
-            destination, version_stamp(F.col("backup_date.backup_date")), relative_path(PATH, source)
-        )
-        copy = copy_files(F.when(marked, PATH), F.when(marked, target), staging)
+        folder = version_stamp(F.col("backup_date.backup_date")) if version is None else version
+        target = target_path(destination, folder, relative_path(F.col(PATH), source))
+        copy = copy_files(F.when(marked, F.col(PATH)), F.when(marked, target), staging)
         rows = spread(df, PATH, tasks).withColumn("_copy", copy)
         stored = F.col("file_hash").withField("current_hash", F.col("_copy.sha256"))
         status = first_failure(
@@ -197,10 +190,10 @@ def put_back(folder: str, target: str, staging: str, tasks: int | None = None) -
     """Copy the files of a version folder to the same relative paths below ``target``."""
 
     def transform(df: DataFrame) -> DataFrame:
-        relative = relative_path(PATH, folder)
+        relative = relative_path(F.col(PATH), folder)
         is_file = relative != "."
         goal = F.concat_ws("/", F.lit(target), relative)
-        copy = copy_files(F.when(is_file, PATH), F.when(is_file, goal), staging)
+        copy = copy_files(F.when(is_file, F.col(PATH)), F.when(is_file, goal), staging)
         problem = F.col("_copy.error")
         status = require(problem.isNull(), F.concat(F.lit(RESTORE_FAILED), problem))
         return spread(df, PATH, tasks).withColumn("_copy", copy).withColumn(RESULT, status).drop("_copy")
@@ -210,5 +203,8 @@ def put_back(folder: str, target: str, staging: str, tasks: int | None = None) -
 
 def _seed(spark: SparkSession, path: str) -> DataFrame:
     seed = spark.createDataFrame([(path,)], "path string")
-    path_component = F.struct(F.col("path").alias("file_path"))
-    return seed.select(entity_id(F.lit("seed"), "path").alias("entity_id"), path_component.alias("file_path"))
+    return seed.select(entity_id(F.lit("seed"), "path").alias("entity_id"), _path_component())
+
+
+def _path_component() -> Column:
+    return F.struct(F.col("path").alias("file_path")).alias("file_path")

@@ -5,14 +5,16 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapdelta.functions.stamps import timestamp_literal
+from snapdelta.functions.stamps import stamp_of_micros, timestamp_literal
 from snapdelta.functions.status import REQUIRED_MISSING, RESULT, require
 from snapdelta.operators.components import COMPONENTS, has_component, set_component
 from snapdelta.operators.delta import changed, stamp
+from snapdelta.operators.versions import latest_version, version_lines
 from snapdelta.plans.stages import Transform
+from snapdelta.sources.log import load_log
 
 
 def decide(required: Sequence[str], run_ts: dt.datetime | None = None, stamp_col: str | None = None) -> Transform:
@@ -32,6 +34,18 @@ def decide(required: Sequence[str], run_ts: dt.datetime | None = None, stamp_col
     return transform
 
 
+def query_versions(spark: SparkSession, store: str) -> DataFrame:
+    """The version dates in a store's log, newest first, each with its place and display line."""
+    return version_lines(load_log(spark, f"{store}/log"))
+
+
+def newest_version(spark: SparkSession, store: str) -> str | None:
+    """Name of the newest version in a store's log; None if the log is empty."""
+    newest = latest_version(load_log(spark, f"{store}/log"))
+    moment = newest.select(F.unix_micros("backup_date")).first()[0]
+    return None if moment is None else stamp_of_micros(moment)
+
+
 def component_types(*names: str) -> dict[str, str]:
     """Declarations of the named built-in components."""
     return {name: COMPONENTS[name] for name in names}

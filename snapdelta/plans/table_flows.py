@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapdelta.functions.hashing import content_hash
-from snapdelta.functions.stamps import stamp_of, version_stamp
+from snapdelta.functions.stamps import stamp_of
 from snapdelta.functions.status import (
     HASH_FAILED,
     NO_VERSIONS,
@@ -28,11 +28,10 @@ from snapdelta.functions.status import (
 from snapdelta.operators.components import has_component, set_component
 from snapdelta.operators.delta import with_prior
 from snapdelta.operators.prefilter import semi_join
-from snapdelta.operators.versions import latest_version, version_lines
 from snapdelta.plans.stages import Pipeline, Stage, Transform
-from snapdelta.plans.steps import component_types, decide
+from snapdelta.plans.steps import component_types, decide, newest_version
 from snapdelta.session import scratch_dir
-from snapdelta.sources.log import append_log, load_log
+from snapdelta.sources.log import append_log
 from snapdelta.sources.snapshots import read_version, write_version
 from snapdelta.sources.state import load_state, save_state
 
@@ -97,11 +96,6 @@ def detect(
     return Pipeline(stages, key=key).run(hashed, distinct_input=True)
 
 
-def query_versions(spark: SparkSession, store: str) -> DataFrame:
-    """The stored version dates, newest first, each with its display line."""
-    return version_lines(load_log(spark, f"{store}/log"))
-
-
 def restore_table(spark: SparkSession, store: str, version: str | dt.datetime, key: Sequence[str]) -> Restored:
     """The rows that changed in one version; no other version is read."""
     version = version if isinstance(version, str) else stamp_of(version)
@@ -111,8 +105,7 @@ def restore_table(spark: SparkSession, store: str, version: str | dt.datetime, k
 
 def restore_latest_table(spark: SparkSession, store: str, key: Sequence[str]) -> Restored:
     """The rows of the newest version in the log."""
-    newest = latest_version(load_log(spark, f"{store}/log"))
-    version = newest.select(version_stamp(F.col("backup_date"))).first()[0]
+    version = newest_version(spark, store)
     return restore_table(spark, store, version, key) if version else Restored(None, NO_VERSIONS)
 
 

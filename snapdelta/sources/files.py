@@ -112,6 +112,20 @@ def copy_files(source: Column | str, target: Column | str, staging: str) -> Colu
     return copied.asNondeterministic()(source, target)
 
 
+def write_texts(rows: DataFrame, root: str, path: str, text: str, tasks: int | None = None) -> DataFrame:
+    """Write the text of each row to the file at its relative path below ``root``; lazy.
+
+    Adds an ``error`` column, NULL where the file was written. Folder names must be plain ones.
+    """
+    root = root.rstrip("/")
+
+    @F.pandas_udf(T.StringType())
+    def written(paths: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([_write(f"{root}/{p}", t) for p, t in zip(paths, texts)], dtype="object")
+
+    return spread(rows, path, tasks).withColumn("error", written.asNondeterministic()(path, text))
+
+
 def remove_staging(staging: str) -> None:
     """Remove an empty staging folder after a run."""
     with contextlib.suppress(OSError):
@@ -146,6 +160,16 @@ def _copy(source: str | None, target: str | None, staging: str) -> tuple[str | N
         return None, str(problem)
 
 
+def _write(target: str, text: str) -> str | None:
+    try:
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        with open(target, "w", encoding="utf-8", newline="") as stream:
+            stream.write(text)
+        return None
+    except (OSError, ValueError) as problem:
+        return str(problem)
+
+
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
     for batch in batches:
