@@ -51,17 +51,14 @@ def list_files(spark: SparkSession, root: str, tasks: int | None = None) -> Data
         raise NotADirectoryError(root)
     tasks = tasks or task_count(spark)
     listing = scratch_dir(spark, "listing")
-    folders = spark.createDataFrame([(root,)], "path string").coalesce(1)
-    depth = 0
-    while True:
-        level = f"{listing}/depth={depth}"
-        folders.select("path").mapInPandas(_list_folders, ENTRY_SCHEMA).write.parquet(level)
-        folders = spark.read.schema(ENTRY_SCHEMA).parquet(level).where("is_folder")
-        if folders.isEmpty():
-            break
+    folders, count, depth = spark.createDataFrame([(root,)], "path string"), 1, 0
+    while count:
         # An explicit number: AQE would merge these few bytes of paths into a single task.
-        folders = folders.repartition(tasks, "path")
-        depth += 1
+        level = folders.select("path").repartition(min(count, tasks), "path")
+        folder = f"{listing}/depth={depth}"
+        level.mapInPandas(_list_folders, ENTRY_SCHEMA).write.parquet(folder)
+        folders = spark.read.schema(ENTRY_SCHEMA).parquet(folder).where("is_folder")
+        count, depth = folders.count(), depth + 1
     found = spark.read.schema(ENTRY_SCHEMA).parquet(listing)
     return found.where(~F.col("is_folder")).select("path", "size", "modified")
 
