@@ -6,7 +6,7 @@ one object is exported as many objects, one per line, which read back in paralle
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,6 @@ from snapdelta.sources.folders import exists
 from snapdelta.sources.log import LOG_SCHEMA
 
 STATE_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("content_hash", T.StringType())])
-STRICT = {"mode": "FAILFAST"}
 ENTRIES_PER_OBJECT = 50_000
 
 
@@ -25,7 +24,7 @@ def import_state(spark: SparkSession, path: str, one_document: bool = True) -> D
     """
     if not exists(spark, path):
         return spark.createDataFrame([], STATE_SCHEMA)
-    parsed = F.from_json("value", T.MapType(T.StringType(), T.StringType()), STRICT)
+    parsed = _parsed(T.MapType(T.StringType(), T.StringType()))
     return spark.read.text(path, wholetext=one_document).select(F.explode(parsed).alias("key", "content_hash"))
 
 
@@ -49,7 +48,7 @@ def import_log(spark: SparkSession, path: str) -> DataFrame:
     """Version dates from a JSON array; absent and ``null`` are empty, malformed JSON fails."""
     if not exists(spark, path):
         return spark.createDataFrame([], LOG_SCHEMA)
-    parsed = F.from_json("value", T.ArrayType(T.StringType()), STRICT)
+    parsed = _parsed(T.ArrayType(T.StringType()))
     dates = spark.read.text(path, wholetext=True).select(F.explode(parsed).alias("text"))
     return dates.select(F.col("text").cast("timestamp").alias("backup_date")).distinct()
 
@@ -58,3 +57,9 @@ def export_log(log: DataFrame, path: str) -> None:
     """Write the version dates as one JSON array of UTC dates, oldest first."""
     iso = F.date_format("backup_date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     log.agg(F.to_json(F.sort_array(F.collect_set(iso))).alias("value")).write.text(path)
+
+
+def _parsed(schema: T.DataType) -> Column:
+    """The document in ``value``; fails on malformed JSON, which the default mode would pass over as NULL."""
+    strict = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return F.when(~F.rlike("value", F.lit(r"^\s*null\s*$")), strict)

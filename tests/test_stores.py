@@ -1,0 +1,187 @@
+from __future__ import annotations
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from snapdelta.session import scratch_dir
+from snapdelta.sources import interchange, log, snapshots, state
+
+KEY = [T.StructField("path", T.StringType())]
+
+
+def hashes(spark, **entries):
+    return spark.createDataFrame(list(entries.items()), "path string, content_hash string")
+
+
+def dates(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], log.LOG_SCHEMA)
+
+
+# State
+
+
+def test_state_that_was_never_saved_is_empty(spark, tmp_path):
+    loaded = state.load_state(spark, f"{tmp_path}/none", KEY)
+    assert loaded.isEmpty() and loaded.columns == ["path", "content_hash"]
+
+
+def test_state_round_trip(spark, tmp_path, rows):
+    state.save_state(spark, str(tmp_path), hashes(spark, a="1", b="2"), KEY)
+    assert rows(state.load_state(spark, str(tmp_path), KEY)) == [("a", "1"), ("b", "2")]
+
+
+def test_later_writes_win_and_other_keys_stay(spark, tmp_path, rows):
+    for update in ({"a": "1", "b": "2"}, {"b": "3"}, {"c": "4", "b": "5"}):
+        state.save_state(spark, str(tmp_path), hashes(spark, **update), KEY)
+    assert rows(state.load_state(spark, str(tmp_path), KEY)) == [("a", "1"), ("b", "5"), ("c", "4")]
+
+
+def test_many_runs_are_merged_into_a_full_folder(spark, tmp_path, rows):
+    expected = {}
+    for run in range(state.COMPACT_AFTER + 4):
+        update = {"same": str(run), f"run{run}": "x"}
+        expected.update(update)
+        state.save_state(spark, str(tmp_path), hashes(spark, **update), KEY)
+        assert dict(rows(state.load_state(spark, str(tmp_path), KEY))) == expected
+    names = sorted(p.name for p in tmp_path.iterdir())
+    assert [n for n in names if n.startswith("full=")] == [f"full={state.COMPACT_AFTER + 2:08d}"]
+    assert len(state._current(spark, str(tmp_path))) == 3
+
+
+def test_unfinished_write_is_not_read_and_not_in_the_way(spark, tmp_path, rows):
+    state.save_state(spark, str(tmp_path), hashes(spark, a="1"), KEY)
+    broken = tmp_path / "delta=00000002"
+    hashes(spark, a="half").write.parquet(str(broken))
+    (broken / "_SUCCESS").unlink()
+    assert rows(state.load_state(spark, str(tmp_path), KEY)) == [("a", "1")]
+    state.save_state(spark, str(tmp_path), hashes(spark, b="2"), KEY)
+    assert rows(state.load_state(spark, str(tmp_path), KEY)) == [("a", "1"), ("b", "2")]
+
+
+def test_state_with_a_composite_key(spark, tmp_path, rows):
+    key = [T.StructField("a", T.LongType()), T.StructField("b", T.StringType())]
+    frame = spark.createDataFrame([(1, "x", "h"), (1, "y", "i")], "a long, b string, content_hash string")
+    state.save_state(spark, str(tmp_path), frame, key)
+    state.save_state(spark, str(tmp_path), frame.where("b = 'y'").withColumn("content_hash", F.lit("j")), key)
+    assert rows(state.load_state(spark, str(tmp_path), key)) == [(1, "x", "h"), (1, "y", "j")]
+
+
+# Version log
+
+
+def test_log_that_does_not_exist_is_empty(spark, tmp_path):
+    assert log.load_log(spark, f"{tmp_path}/none").isEmpty()
+
+
+def test_log_collapses_repeated_dates(spark, tmp_path, rows):
+    first, second = dt.datetime(2022, 1, 1), dt.datetime(2022, 1, 2, 3, 4, 5, 678901)
+    log.append_log(spark, str(tmp_path), dates(spark, first, second))
+    log.append_log(spark, str(tmp_path), dates(spark, first))
+    assert rows(log.load_log(spark, str(tmp_path))) == [(first,), (second,)]
+
+
+# JSON
+
+
+def test_json_state_as_one_document(spark, tmp_path, rows):
+    path = tmp_path / "hashes.json"
+    entries = {r"C:\path\to\file1.txt": "hash1", "a\",\"b": "hash2", "é/ü": "hash3"}
+    path.write_text(json.dumps(entries, indent=2))
+    assert dict(rows(interchange.import_state(spark, str(path)))) == entries
+
+
+@pytest.mark.parametrize("load", [interchange.import_state, interchange.import_log])
+def test_absent_and_null_json_are_empty_and_malformed_json_fails(spark, tmp_path, load):
+    assert load(spark, f"{tmp_path}/none.json").isEmpty()
+    (tmp_path / "null.json").write_text("null")
+    assert load(spark, f"{tmp_path}/null.json").isEmpty()
+    (tmp_path / "bad.json").write_text('{"a": ')
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        load(spark, f"{tmp_path}/bad.json").collect()
+
+
+def test_json_state_export_reads_back(spark, tmp_path, rows):
+    frame = hashes(spark, **{f"k{n}": f"h{n}" for n in range(100)}).withColumnRenamed("path", "key")
+    interchange.export_state(frame, f"{tmp_path}/one")
+    parts = [p.read_text() for p in (tmp_path / "one").glob("*.txt")]
+    assert json.loads("".join(parts)) == {f"k{n}": f"h{n}" for n in range(100)}
+    assert rows(interchange.import_state(spark, f"{tmp_path}/one")) == rows(frame)
+
+
+def test_large_json_state_is_split(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(interchange, "ENTRIES_PER_OBJECT", 10)
+    frame = hashes(spark, **{f"k{n}": f"h{n}" for n in range(100)}).withColumnRenamed("path", "key")
+    interchange.export_state(frame, f"{tmp_path}/many")
+    objects = "".join(p.read_text() for p in (tmp_path / "many").glob("*.txt")).splitlines()
+    assert len(objects) > 5
+    assert rows(interchange.import_state(spark, f"{tmp_path}/many", one_document=False)) == rows(frame)
+
+
+def test_json_log(spark, tmp_path, rows):
+    path = tmp_path / "dates.json"
+    path.write_text('["2022-01-01T00:00:00","2022-01-02T03:04:05.1234567Z","2022-01-01T00:00:00Z"]')
+    expected = [(dt.datetime(2022, 1, 1),), (dt.datetime(2022, 1, 2, 3, 4, 5, 123456),)]
+    assert rows(interchange.import_log(spark, str(path))) == expected
+    interchange.export_log(dates(spark, *[d for (d,) in expected]), f"{tmp_path}/out")
+    assert rows(interchange.import_log(spark, f"{tmp_path}/out")) == expected
+
+
+def test_empty_log_and_state_export(spark, tmp_path):
+    interchange.export_log(dates(spark), f"{tmp_path}/log")
+    assert interchange.import_log(spark, f"{tmp_path}/log").isEmpty()
+    interchange.export_state(hashes(spark).withColumnRenamed("path", "key"), f"{tmp_path}/state")
+    assert interchange.import_state(spark, f"{tmp_path}/state").isEmpty()
+
+
+# Versioned tables
+
+
+def test_versions_are_strings_and_kept_apart(spark, tmp_path, rows):
+    frame = spark.createDataFrame([("a", 1)], "path string, n int")
+    snapshots.write_version(spark, str(tmp_path), "20220101000000", frame)
+    snapshots.write_version(spark, str(tmp_path), "20220102000000", frame.withColumn("n", F.lit(2)))
+    assert snapshots.stored_versions(spark, str(tmp_path)) == ["20220101000000", "20220102000000"]
+    assert rows(snapshots.read_version(spark, str(tmp_path), "20220101000000", ["path"])) == [("a", 1, "20220101000000")]
+
+
+def test_missing_version(spark, tmp_path):
+    assert snapshots.read_version(spark, str(tmp_path), "1", ["path"]) is None
+    assert snapshots.stored_versions(spark, f"{tmp_path}/none") == []
+
+
+def test_later_batches_win_within_a_version(spark, tmp_path, rows):
+    for data in ([("a", 1), ("b", 1)], [("b", 2), ("c", 2)], [("c", 3)]):
+        snapshots.write_version(spark, str(tmp_path), "1", spark.createDataFrame(data, "path string, n int"))
+    read = snapshots.read_version(spark, str(tmp_path), "1", ["path"]).drop("version")
+    assert rows(read) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+# Scratch folder
+
+
+def test_scratch_is_below_the_shared_folder_and_fresh(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    one, two = scratch_dir(spark, "x"), scratch_dir(spark, "x")
+    assert one.startswith(shared) and one != two
+
+
+class _Session:
+    """As much of a session as ``scratch_dir`` asks for."""
+
+    def __init__(self, master):
+        self.conf = {}
+        self.sparkContext = self
+        self.master = master
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_cluster_without_a_shared_folder_is_an_error():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(_Session("yarn"), "x")
+    assert "/x-" in scratch_dir(_Session("local[2]"), "x")
