@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A bitmap row covers 32,768 positions in 4 KB. With 2**27 positions the bitmap never exceeds
-# 4,096 rows and 16 MB, whatever the number of keys.
-POSITIONS = 2**27
-# From one key per four positions on, too few rows would be held back to pay for the look-up.
-WORTHWHILE = POSITIONS // 4
+# The bitmap has this many positions per key, so that about one foreign row in 16 passes it, but never
+# more than 2**29 positions: 64 MB, whatever the number of keys.
+POSITIONS_PER_KEY = 16
+MOST_POSITIONS = 2**29
+# With more keys than this, too few rows would be held back to pay for the look-up.
+WORTHWHILE = MOST_POSITIONS // 4
 # Up to here the keys themselves are small enough to leave the choice of join to Spark.
-FEW = 100_000
+FEW = 10_000
 
 
 def semi_join(rows: DataFrame, keys: DataFrame, key: Sequence[str], n_keys: int) -> DataFrame:
@@ -24,12 +25,19 @@ def semi_join(rows: DataFrame, keys: DataFrame, key: Sequence[str], n_keys: int)
     match, before the exact join shuffles the rest.
     """
     if FEW < n_keys < WORTHWHILE:
-        rows = _held_back(rows, keys, key)
+        rows = _held_back(rows, keys, key, _positions(n_keys))
     return rows.join(keys, list(key), "left_semi")
 
 
-def _held_back(rows: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
-    position = _position(key)
+def _positions(n_keys: int) -> int:
+    """A power of two with room for ``n_keys``."""
+    return min(1 << (n_keys * POSITIONS_PER_KEY - 1).bit_length(), MOST_POSITIONS)
+
+
+def _held_back(rows: DataFrame, keys: DataFrame, key: Sequence[str], positions: int) -> DataFrame:
+    """Rows whose position is taken by some key: all that match, and a few that do not."""
+    position = F.pmod(F.xxhash64(*key), F.lit(positions))
+    # One row of 4 KB for each 32,768 positions.
     bitmap = keys.groupBy(F.bitmap_bucket_number(position).alias("_bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("_bits")
     )
@@ -38,12 +46,8 @@ def _held_back(rows: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFram
     return possible.select(*rows.columns)
 
 
-def _position(key: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(POSITIONS))
-
-
 def _bit(bits: Column, position: Column) -> Column:
-    """Whether the bit of a position is set in the 4 KB bitmap of its bucket."""
+    """Whether the bit of a position is set in the bitmap of its bucket."""
     offset = F.bitmap_bit_position(position)
     byte = F.substring(bits, (F.floor(offset / 8) + 1).cast("int"), F.lit(1))
     value = F.conv(F.hex(byte), 16, 10).cast("int")

@@ -25,19 +25,24 @@ def list_versions(log: DataFrame) -> DataFrame:
 def version_lines(log: DataFrame) -> DataFrame:
     """One display line per stored date with its place in the list, newest first.
 
-    The place is the rank within the day plus the number of dates on later days. Ranking thus runs
-    per day, and the only window over everything has one row per day.
+    The place is the rank within the second, plus the dates in later seconds of the day, plus those on
+    later days. No window then holds more than a second's microseconds, a day's seconds or one row per
+    calendar day, even for a log in which every row of a table has a date of its own.
     """
-    dates = log.select("backup_date").distinct().withColumn("_day", F.to_date("backup_date"))
-    # One row per calendar day, so one task is enough at any size of the log.
-    newer_days = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
-    days = dates.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    days = days.select("_day", F.coalesce(F.sum("_n").over(newer_days), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_day").orderBy(F.desc("backup_date"))
+    dates = log.select("backup_date").distinct().withColumn("_second", F.date_trunc("second", "backup_date"))
+    seconds = dates.groupBy("_second").agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", F.to_date("_second"))
+    days = seconds.groupBy("_day").agg(F.sum("_n").alias("_n"))
+
+    later_days = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_day", F.coalesce(F.sum("_n").over(later_days), F.lit(0)).alias("_days_before"))
+    later_seconds = Window.partitionBy("_day").orderBy(F.desc("_second")).rowsBetween(Window.unboundedPreceding, -1)
+    seconds = seconds.withColumn("_seconds_before", F.coalesce(F.sum("_n").over(later_seconds), F.lit(0)))
+    before = seconds.join(days, "_day").select("_second", (F.col("_days_before") + F.col("_seconds_before")).alias("_before"))
+
+    rank = F.row_number().over(Window.partitionBy("_second").orderBy(F.desc("backup_date")))
     return (
-        dates.join(days, "_day")
-        .withColumn("position", F.col("_before") + F.row_number().over(within))
-        .select("position", "backup_date", display_date(F.col("backup_date")).alias("line"))
+        dates.join(before, "_second")
+        .select((F.col("_before") + rank).alias("position"), "backup_date", display_date(F.col("backup_date")).alias("line"))
         .orderBy("position")
     )
 

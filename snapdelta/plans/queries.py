@@ -705,8 +705,9 @@ def _as_files(rows: DataFrame) -> DataFrame:
 _FILE_SQL = "source || '/' || doc_id || '.txt'"
 
 
-def _write_tree(rows: DataFrame, root: str) -> str:
-    failed = files.write_texts(_as_files(rows), root, "file", "text").agg(F.count("error")).first()[0]
+def write_tree(rows: DataFrame, root: str) -> str:
+    written = files.write_texts(_as_files(rows), root, "file", "text", f"{root}.staging")
+    failed = written.agg(F.count("error")).first()[0]
     if failed:
         raise OSError(f"{failed} files not written below {root}")
     return root
@@ -717,16 +718,16 @@ def _two_file_runs(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     base = scratch_dir(spark, "files")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     older = older_documents(spark, sf_dir).join(docs.select("doc_id", "source"), DOC, "left")
-    tree = _write_tree(older, f"{base}/tree")
+    tree = write_tree(older, f"{base}/tree")
     file_flows.backup_files(spark, tree, f"{base}/versions", f"{base}/store", FIRST_RUN)
-    _write_tree(docs, tree)
+    write_tree(docs, tree)
     return base, file_flows.backup_files(spark, tree, f"{base}/versions", f"{base}/store", SECOND_RUN)
 
 
 @query(f"SELECT {_FILE_SQL} AS file, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM documents")
 def q_file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    tree = _write_tree(docs, scratch_dir(spark, "tree"))
+    tree = write_tree(docs, scratch_dir(spark, "tree"))
     found = files.inventory(spark, tree)
     return found.select(relative_path(F.col("path"), tree).alias("file"), "size", "sha256")
 

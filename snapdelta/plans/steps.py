@@ -34,6 +34,11 @@ def decide(required: Sequence[str], run_ts: dt.datetime | None = None, stamp_col
     return transform
 
 
+def gather(df: DataFrame) -> DataFrame:
+    """Put short rows from maybe very many tasks into few files, for a stage that cuts."""
+    return df.hint("rebalance")
+
+
 def query_versions(spark: SparkSession, store: str) -> DataFrame:
     """The version dates in a store's log, newest first, each with its place and display line."""
     return version_lines(load_log(spark, f"{store}/log"))

@@ -29,7 +29,7 @@ from snapdelta.operators.components import has_component, set_component
 from snapdelta.operators.delta import with_prior
 from snapdelta.operators.prefilter import semi_join
 from snapdelta.plans.stages import Pipeline, Stage, Transform
-from snapdelta.plans.steps import component_types, decide, newest_version
+from snapdelta.plans.steps import component_types, decide, gather, newest_version
 from snapdelta.session import scratch_dir
 from snapdelta.sources.log import append_log
 from snapdelta.sources.snapshots import read_version, write_version
@@ -91,7 +91,7 @@ def detect(
     hashed = current.select(*key, content_hash(*content).alias("current_hash"))
     stages = [
         Stage("Hash Calculation", [look_up(state, key)], components=component_types("file_hash")),
-        Stage("Backup Decision", [decide(("file_hash",), run_ts)], components=component_types("backup_date"), cut=True),
+        Stage("Backup Decision", [decide(("file_hash",), run_ts), gather], components=component_types("backup_date"), cut=True),
     ]
     return Pipeline(stages, key=key).run(hashed, distinct_input=True)
 
@@ -136,5 +136,5 @@ def _marked_keys(report: DataFrame, key: Sequence[str]) -> DataFrame:
     spark = report.sparkSession
     path = scratch_dir(spark, "marked")
     marked = report.where(has_component("backup_date")).select(*key)
-    marked.write.parquet(path)
+    gather(marked).write.parquet(path)
     return spark.read.schema(marked.schema).parquet(path)

@@ -14,7 +14,7 @@ import os
 import shutil
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -109,16 +109,19 @@ def copy_files(source: Column | str, target: Column | str, staging: str) -> Colu
     return copied.asNondeterministic()(source, target)
 
 
-def write_texts(rows: DataFrame, root: str, path: str, text: str, tasks: int | None = None) -> DataFrame:
+def write_texts(
+    rows: DataFrame, root: str, path: str, text: str, staging: str, tasks: int | None = None
+) -> DataFrame:
     """Write the text of each row to the file at its relative path below ``root``; lazy.
 
-    Adds an ``error`` column, NULL where the file was written. Folder names must be plain ones.
+    Adds an ``error`` column, NULL where the file was written.
     """
     root = root.rstrip("/")
 
     @F.pandas_udf(T.StringType())
     def written(paths: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([_write(f"{root}/{p}", t) for p, t in zip(paths, texts)], dtype="object")
+        os.makedirs(staging, exist_ok=True)
+        return pd.Series([_write(f"{root}/{p}", t, staging) for p, t in zip(paths, texts)], dtype="object")
 
     return spread(rows, path, tasks).withColumn("error", written.asNondeterministic()(path, text))
 
@@ -140,30 +143,38 @@ def _digest(path: str | None) -> str | None:
 def _copy(source: str | None, target: str | None, staging: str) -> tuple[str | None, str | None]:
     if source is None or target is None:
         return None, None
-    partial = os.path.join(staging, uuid.uuid4().hex)
-    try:
-        digest = hashlib.sha256()
+    digest = hashlib.sha256()
+
+    def fill(partial: str) -> None:
         with open(source, "rb") as reader, open(partial, "wb") as writer:
             while chunk := reader.read(CHUNK):
                 digest.update(chunk)
                 writer.write(chunk)
         shutil.copystat(source, partial)
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        os.replace(partial, target)
-        return digest.hexdigest(), None
-    except (OSError, ValueError) as problem:
-        with contextlib.suppress(OSError):
-            os.unlink(partial)
-        return None, str(problem)
 
+    problem = _put(target, staging, fill)
+    return (None, problem) if problem else (digest.hexdigest(), None)
 
-def _write(target: str, text: str) -> str | None:
+
+def _write(target: str, text: str, staging: str) -> str | None:
+    def fill(partial: str) -> None:
+        with open(partial, "w", encoding="utf-8", newline="") as writer:
+            writer.write(text)
+
+    return _put(target, staging, fill)
+
+
+def _put(target: str, staging: str, fill: Callable[[str], None]) -> str | None:
+    """Fill a file in the staging folder and move it to its place; the problem, if there is one."""
+    partial = os.path.join(staging, uuid.uuid4().hex)
     try:
+        fill(partial)
         os.makedirs(os.path.dirname(target), exist_ok=True)
-        with open(target, "w", encoding="utf-8", newline="") as stream:
-            stream.write(text)
+        os.replace(partial, target)
         return None
     except (OSError, ValueError) as problem:
+        with contextlib.suppress(OSError):
+            os.unlink(partial)
         return str(problem)
 
 

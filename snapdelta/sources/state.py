@@ -46,7 +46,8 @@ def save_state(spark: SparkSession, path: str, updates: DataFrame, key: Sequence
     if len(_current(spark, path)) > COMPACT_AFTER:
         rows, kind = merge_state(load_state(spark, path, key), rows, names), "full"
     folder = f"{path}/{kind}={serial:08d}"
-    rows.write.parquet(folder)
+    # Short rows from maybe very many tasks: put them into few files.
+    rows.hint("rebalance").write.parquet(folder)
     return folder
 
 

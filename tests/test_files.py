@@ -114,5 +114,5 @@ def test_copy_larger_than_one_chunk(spark, tmp_path):
 
 def test_write_texts(spark, tmp_path):
     frame = spark.createDataFrame([("a/b.txt", "zwei\r\nü"), ("c", "")], "p string, t string")
-    assert [r["error"] for r in write_texts(frame, f"{tmp_path}/", "p", "t").collect()] == [None, None]
-    assert contents(tmp_path) == {"a/b.txt": "zwei\r\nü".encode(), "c": b""}
+    assert [r["error"] for r in write_texts(frame, f"{tmp_path}/out/", "p", "t", f"{tmp_path}/staging").collect()] == [None, None]
+    assert contents(tmp_path / "out") == {"a/b.txt": "zwei\r\nü".encode(), "c": b""}

@@ -141,6 +141,13 @@ def test_held_back_rows_never_match(spark, n_keys):
 def test_bitmap_lets_few_others_through(spark):
     rows = spark.range(200_000).withColumnRenamed("id", "a")
     keys = rows.where("a % 400 = 0")
-    passed = prefilter._held_back(rows, keys, ["a"])
+    passed = prefilter._held_back(rows, keys, ["a"], prefilter._positions(500))
     assert keys.exceptAll(passed).isEmpty()
-    assert passed.count() < 520
+    assert passed.count() < 500 + 200_000 / prefilter.POSITIONS_PER_KEY * 1.1
+
+
+def test_bitmap_size_is_bounded():
+    assert prefilter._positions(1) == 16
+    assert prefilter._positions(1000) == 16_384
+    assert prefilter._positions(10**9) == prefilter.MOST_POSITIONS
+    assert prefilter.MOST_POSITIONS / 8 <= 64 * 2**20
