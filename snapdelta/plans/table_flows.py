@@ -10,12 +10,12 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapdelta.functions.hashing import content_hash
-from snapdelta.functions.stamps import stamp_of
+from snapdelta.functions.stamps import stamp_of, timestamp_literal
 from snapdelta.functions.status import (
     HASH_FAILED,
     NO_VERSIONS,
@@ -33,7 +33,7 @@ from snapdelta.plans.steps import component_types, decide, gather, newest_versio
 from snapdelta.session import scratch_dir
 from snapdelta.sources.log import append_log
 from snapdelta.sources.snapshots import read_version, write_version
-from snapdelta.sources.state import load_state, save_state
+from snapdelta.sources.state import has_state, load_state, save_state
 
 # Below this share of changed rows the changes lie thin in many tasks: gather them before writing.
 GATHER_BELOW = 0.25
@@ -59,39 +59,39 @@ def backup_table(
 
     ``key`` is unique in ``current`` (use ``last_wins`` first where it is not). Returns the entity table
     of the run: key, ``file_hash``, ``backup_date`` on the rows chosen and ``error`` on rows that failed.
+    It is lazy and compares with the state before the run; write it down if it is to outlive the source.
 
-    The content is read once to hash it, and once more, for writing, if anything changed. Only keys
-    and hashes are joined with the state.
+    The first run hashes and writes in a single pass. Later ones read the content once to hash it, and
+    once more, for writing, if anything changed. Only keys and hashes are joined with the state.
     """
     run_ts = run_ts or dt.datetime.now(dt.timezone.utc)
     fields = [current.schema[name] for name in key]
     state = load_state(spark, f"{store}/state", fields)
     report = detect(current, key, content, state, run_ts)
 
-    marked = _marked_keys(report, key)
-    counts = report.agg(F.count(F.lit(1)).alias("n"), F.count("backup_date").alias("marked")).first()
-    if not counts["marked"]:
-        return report
     rows = current.withColumn("content_hash", content_hash(*content))
-    if counts["marked"] < counts["n"]:
-        rows = semi_join(rows, marked, key, counts["marked"])
-        if counts["marked"] < GATHER_BELOW * counts["n"]:
-            rows = rows.hint("rebalance")
+    if has_state(spark, f"{store}/state"):
+        rows = _changed_rows(rows, report, key)
+    else:
+        rows = rows.where(has_component(*key, "content_hash"))
+        rows = None if rows.isEmpty() else rows
+    if rows is None:
+        return report
     batch = write_version(spark, f"{store}/versions", stamp_of(run_ts), rows)
     written = spark.read.schema(T.StructType([*fields, T.StructField("content_hash", T.StringType())])).parquet(batch)
     save_state(spark, f"{store}/state", written, fields)
-    append_log(spark, f"{store}/log", report.where(has_component("backup_date")).select("backup_date.backup_date"))
+    append_log(spark, f"{store}/log", spark.range(0, 1, 1, 1).select(timestamp_literal(run_ts).alias("backup_date")))
     return report
 
 
 def detect(
     current: DataFrame, key: Sequence[str], content: Sequence[str], state: DataFrame, run_ts: dt.datetime
 ) -> DataFrame:
-    """The entity table of a run, kept in the scratch folder: which rows are new or changed."""
+    """The entity table of a run: which rows are new or changed, and which failed."""
     hashed = current.select(*key, content_hash(*content).alias("current_hash"))
     stages = [
         Stage("Hash Calculation", [look_up(state, key)], components=component_types("file_hash")),
-        Stage("Backup Decision", [decide(("file_hash",), run_ts), gather], components=component_types("backup_date"), cut=True),
+        Stage("Backup Decision", [decide(("file_hash",), run_ts)], components=component_types("backup_date")),
     ]
     return Pipeline(stages, key=key).run(hashed, distinct_input=True)
 
@@ -131,10 +131,22 @@ def look_up(state: DataFrame, key: Sequence[str]) -> Transform:
     return transform
 
 
-def _marked_keys(report: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Keys of the rows to write, as a table of their own: its size is known to the planner."""
-    spark = report.sparkSession
+def _changed_rows(rows: DataFrame, report: DataFrame, key: Sequence[str]) -> DataFrame | None:
+    """The stamped ones of ``rows``; None if there are none.
+
+    The keys become a table of their own, so that their number and size are known before the content
+    is read for writing.
+    """
+    spark = rows.sparkSession
     path = scratch_dir(spark, "marked")
-    marked = report.where(has_component("backup_date")).select(*key)
+    seen = Observation()
+    marked = report.observe(seen, F.count(F.lit(1)).alias("n")).where(has_component("backup_date")).select(*key)
     gather(marked).write.parquet(path)
-    return spark.read.schema(marked.schema).parquet(path)
+    marked = spark.read.schema(marked.schema).parquet(path)
+    n_marked = marked.count()
+    if not n_marked:
+        return None
+    # A repeated task may count rows twice, but never too few: equal numbers do mean all rows.
+    if n_marked < seen.get["n"]:
+        rows = semi_join(rows, marked, key, n_marked)
+    return gather(rows) if n_marked < GATHER_BELOW * seen.get["n"] else rows

@@ -23,6 +23,11 @@ COMPACT_AFTER = 8
 HASH = T.StructField("content_hash", T.StringType())
 
 
+def has_state(spark: SparkSession, path: str) -> bool:
+    """Whether any state was ever saved."""
+    return bool(_current(spark, path))
+
+
 def load_state(spark: SparkSession, path: str, key: Sequence[T.StructField]) -> DataFrame:
     """The current state; an empty frame of the right type if none was ever saved."""
     schema = T.StructType([*key, HASH])
