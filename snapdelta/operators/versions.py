@@ -29,8 +29,11 @@ def version_lines(log: DataFrame) -> DataFrame:
     later days. No window then holds more than a second's microseconds, a day's seconds or one row per
     calendar day, even for a log in which every row of a table has a date of its own.
     """
-    dates = log.select("backup_date").distinct().withColumn("_second", F.date_trunc("second", "backup_date"))
-    seconds = dates.groupBy("_second").agg(F.count(F.lit(1)).alias("_n")).withColumn("_day", F.to_date("_second"))
+    date = F.col("backup_date")
+    dates = log.select(date, F.date_trunc("second", date).alias("_second"), F.to_date(date).alias("_day"))
+    # Stated here, not left to the joins below, so that their inputs are alike and shuffled once for all.
+    dates = dates.where("_second is not null and _day is not null").distinct()
+    seconds = dates.groupBy("_day", "_second").agg(F.count(F.lit(1)).alias("_n"))
     days = seconds.groupBy("_day").agg(F.sum("_n").alias("_n"))
 
     later_days = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)

@@ -27,12 +27,13 @@ from snapdelta.functions.status import (
     VERSION_NOT_FOUND,
     fail,
     first_failure,
+    ok,
     require,
 )
 from snapdelta.operators.components import has_component, set_component
 from snapdelta.operators.delta import with_prior
 from snapdelta.plans.stages import Pipeline, Stage, Transform
-from snapdelta.plans.steps import component_types, decide, newest_version
+from snapdelta.plans.steps import component_types, decide, gather, newest_version
 from snapdelta.sources.files import copy_files, file_sha256, list_files, remove_staging, spread
 from snapdelta.sources.log import append_log
 from snapdelta.sources.state import load_state, save_state
@@ -85,11 +86,11 @@ def backup_stages(
 ) -> list[Stage]:
     """The four stages of a backup. Hashing and copying, the dear ones, keep what they did."""
     version = F.lit(stamp_of(run_ts))
-    choose = decide(("file_hash", "file_path"), run_ts)
+    choose = [decide(("file_hash", "file_path"), run_ts), gather]
     return [
         Stage("File Discovery", generators=[discover(source, tasks)]),
         Stage("Hash Calculation", [hash_files(state, tasks)], components=component_types("file_path", "file_hash")),
-        Stage("Backup Decision", [choose], components=component_types("backup_date"), cut=True),
+        Stage("Backup Decision", choose, components=component_types("backup_date"), cut=True),
         Stage("Backup Execution", [store_files(source, destination, staging, version, tasks)], cut=True),
     ]
 
@@ -163,25 +164,24 @@ def store_files(
 ) -> Transform:
     """Copy stamped files into their version folder; rows without a stamp are left alone.
 
-    The version is that of the row's own stamp unless one is given for all.
-
-    ``current_hash`` becomes the hash of the bytes copied, which is what the state must say if a file
-    was changed after it had been hashed.
+    The version is that of the row's own stamp unless one is given for all. ``current_hash`` becomes the
+    hash of the bytes copied, which is what the state must say if a file was changed after it had been
+    hashed. Cut the stage before: the rows are read twice, and only stamped ones go to Python.
     """
 
     def transform(df: DataFrame) -> DataFrame:
         marked = has_component("backup_date")
         folder = version_stamp(F.col("backup_date.backup_date")) if version is None else version
         target = target_path(destination, folder, relative_path(F.col(PATH), source))
-        copy = copy_files(F.when(marked, F.col(PATH)), F.when(marked, target), staging)
-        rows = spread(df, PATH, tasks).withColumn("_copy", copy)
+        rows = spread(df.where(marked), PATH, tasks).withColumn("_copy", copy_files(PATH, target, staging))
         stored = F.col("file_hash").withField("current_hash", F.col("_copy.sha256"))
         status = first_failure(
-            require(~marked | has_component("file_path"), PATH_MISSING),
+            require(has_component("file_path"), PATH_MISSING),
             require(F.col("_copy.error").isNull(), F.concat(F.lit(STORE_FAILED), F.col("_copy.error"))),
         )
         rows = set_component(rows, "file_hash", stored, where=F.col("_copy.sha256").isNotNull())
-        return rows.withColumn(RESULT, status).drop("_copy")
+        rows = rows.withColumn(RESULT, status).drop("_copy")
+        return rows.unionByName(df.where(~marked).withColumn(RESULT, ok()))
 
     return transform
 

@@ -84,6 +84,13 @@ def test_position_of_versions_uses_no_window_over_all_dates(docs):
     assert set(windows) == {"_day", "_second"}
 
 
+def test_listing_versions_scans_the_log_once(docs):
+    lines = versions.version_lines(docs.select(F.timestamp_seconds("id").alias("backup_date")))
+    lines.collect()
+    final = plan(lines).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 2
+
+
 def test_no_cross_joins(spark, docs):
     state = docs.select("id", content_hash("text").alias("content_hash"))
     merged = delta.merge_state(state, state, ["id"])
