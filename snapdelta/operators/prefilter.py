@@ -1,4 +1,4 @@
-"""Semi join of heavy rows with many keys, without shuffling the rows that cannot match."""
+"""Semi and anti join of heavy rows with many keys, without shuffling the rows that cannot match."""
 
 from __future__ import annotations
 
@@ -25,25 +25,39 @@ def semi_join(rows: DataFrame, keys: DataFrame, key: Sequence[str], n_keys: int)
     match, before the exact join shuffles the rest.
     """
     if FEW < n_keys < WORTHWHILE:
-        rows = _held_back(rows, keys, key, _positions(n_keys))
+        rows = _flagged(rows, keys, key, n_keys).where("_possible").drop("_possible")
     return rows.join(keys, list(key), "left_semi")
 
 
+def anti_join(rows: DataFrame, keys: DataFrame, key: Sequence[str], n_keys: int) -> DataFrame:
+    """Rows whose key is not among ``keys``.
+
+    With many keys, the rows that the bitmap shows to be without a match are kept as they are, and only
+    the others are shuffled for the exact join. ``rows`` are read twice for it.
+    """
+    if not FEW < n_keys < WORTHWHILE:
+        return rows.join(keys, list(key), "left_anti")
+    flagged = _flagged(rows, keys, key, n_keys)
+    possible = flagged.where("_possible").join(keys, list(key), "left_anti")
+    return flagged.where("not _possible").unionByName(possible).select(*rows.columns)
+
+
 def _positions(n_keys: int) -> int:
     """A power of two with room for ``n_keys``."""
     return min(1 << (n_keys * POSITIONS_PER_KEY - 1).bit_length(), MOST_POSITIONS)
 
 
-def _held_back(rows: DataFrame, keys: DataFrame, key: Sequence[str], positions: int) -> DataFrame:
-    """Rows whose position is taken by some key: all that match, and a few that do not."""
-    position = F.pmod(F.xxhash64(*key), F.lit(positions))
+def _flagged(rows: DataFrame, keys: DataFrame, key: Sequence[str], n_keys: int) -> DataFrame:
+    """Rows with ``_possible``: true for all that match some key and for a few that do not."""
+    position = F.pmod(F.xxhash64(*key), F.lit(_positions(n_keys)))
     # One row of 4 KB for each 32,768 positions.
     bitmap = keys.groupBy(F.bitmap_bucket_number(position).alias("_bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("_bits")
     )
     placed = rows.withColumn("_position", position).withColumn("_bucket", F.bitmap_bucket_number("_position"))
-    possible = placed.join(F.broadcast(bitmap), "_bucket").where(_bit(F.col("_bits"), F.col("_position")))
-    return possible.select(*rows.columns)
+    looked_up = placed.join(F.broadcast(bitmap), "_bucket", "left")
+    possible = F.coalesce(_bit(F.col("_bits"), F.col("_position")), F.lit(False))
+    return looked_up.select(*rows.columns, possible.alias("_possible"))
 
 
 def _bit(bits: Column, position: Column) -> Column:

@@ -498,6 +498,18 @@ def q_versions_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.version_lines(dates).select("position", "line")
 
 
+@query(
+    """
+    SELECT string_agg(strftime(d, '%Y-%m-%d %H:%M:%S'), ', ' ORDER BY d DESC) AS dates
+    FROM (SELECT DISTINCT date_trunc('day', ts) AS d FROM events)
+    """
+)
+def q_versions_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = versions.versions_component(_days(spark, sf_dir))
+    lines = F.transform("backup_dates.dates", lambda date: display_date(date))
+    return listed.select(F.array_join(lines, ", ").alias("dates"))
+
+
 @query("SELECT strftime(max(ts), '%Y%m%d%H%M%S') AS version, CAST(NULL AS VARCHAR) AS error_message FROM events")
 def q_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = versions.latest_version(table(spark, sf_dir, "events").select(F.col("ts").alias("backup_date")))
@@ -610,7 +622,7 @@ def q_log_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "log-json")
     dates = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("backup_date"))
     interchange.export_log(dates, path)
-    return interchange.import_log(spark, path).select(display_date(F.col("backup_date")).alias("line"))
+    return interchange.import_log(spark, path, one_document=False).select(display_date(F.col("backup_date")).alias("line"))
 
 
 @query(

@@ -27,7 +27,7 @@ from snapdelta.functions.status import (
 )
 from snapdelta.operators.components import has_component, set_component
 from snapdelta.operators.delta import with_prior
-from snapdelta.operators.prefilter import semi_join
+from snapdelta.operators.prefilter import anti_join, semi_join
 from snapdelta.plans.stages import Pipeline, Stage, Transform
 from snapdelta.plans.steps import component_types, decide, gather, newest_version
 from snapdelta.session import scratch_dir
@@ -111,7 +111,7 @@ def restore_latest_table(spark: SparkSession, store: str, key: Sequence[str]) ->
 
 def put_over(target: DataFrame, restored: DataFrame, key: Sequence[str]) -> DataFrame:
     """``target`` with restored rows in place of its rows of the same key; other rows stay."""
-    kept = target.join(restored.select(*key), list(key), "left_anti")
+    kept = anti_join(target, restored.select(*key), key, restored.count())
     return kept.unionByName(restored.select(*target.columns))
 
 

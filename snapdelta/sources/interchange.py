@@ -1,7 +1,7 @@
 """JSON import and export of the hash state and the version log.
 
-The formats are one JSON object of key to hash and one JSON array of ISO dates. A state too large for
-one object is exported as many objects, one per line, which read back in parallel.
+The formats are one JSON object of key to hash and one JSON array of ISO dates. What is too large for
+one document is exported as many, one per line, which read back in parallel.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ from snapdelta.sources.folders import exists
 from snapdelta.sources.log import LOG_SCHEMA
 
 STATE_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("content_hash", T.StringType())])
-ENTRIES_PER_OBJECT = 50_000
+ENTRIES_PER_DOCUMENT = 50_000
 
 
 def import_state(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
     """Hash state from JSON. An absent file and a JSON ``null`` are empty; malformed JSON fails.
 
-    ``one_document=False`` takes every line as an object, as ``export_state`` writes them.
+    One document is read by one task and must fit a string, so below 2 GB. ``one_document=False`` takes
+    every line as an object, as ``export_state`` writes them, and has no such limit.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], STATE_SCHEMA)
@@ -31,32 +32,35 @@ def import_state(spark: SparkSession, path: str, one_document: bool = True) -> D
 def export_state(state: DataFrame, path: str) -> None:
     """Write ``key, content_hash`` rows as JSON objects, one per line.
 
-    Keys are spread by hash over as many objects as keep each near ``ENTRIES_PER_OBJECT``, so no
-    object grows with the state. A state that fits one object gives the one-document form.
+    A state that fits one object gives the one-document form.
     """
-    slices = -(-state.count() // ENTRIES_PER_OBJECT)
     entries = F.map_from_entries(F.collect_list(F.struct("key", "content_hash")))
-    (
-        state.groupBy(F.pmod(F.xxhash64("key"), F.lit(max(slices, 1))).alias("slice"))
-        .agg(F.to_json(entries).alias("value"))
-        .select("value")
-        .write.text(path)
-    )
+    _write_slices(state, "key", F.to_json(entries), path)
 
 
-def import_log(spark: SparkSession, path: str) -> DataFrame:
-    """Version dates from a JSON array; absent and ``null`` are empty, malformed JSON fails."""
+def import_log(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
+    """Version dates from a JSON array, or with ``one_document=False`` from an array per line.
+
+    Absent and ``null`` are empty, malformed JSON fails.
+    """
     if not exists(spark, path):
         return spark.createDataFrame([], LOG_SCHEMA)
     parsed = _parsed(T.ArrayType(T.StringType()))
-    dates = spark.read.text(path, wholetext=True).select(F.explode(parsed).alias("text"))
+    dates = spark.read.text(path, wholetext=one_document).select(F.explode(parsed).alias("text"))
     return dates.select(F.col("text").cast("timestamp").alias("backup_date")).distinct()
 
 
 def export_log(log: DataFrame, path: str) -> None:
-    """Write the version dates as one JSON array of UTC dates, oldest first."""
-    iso = F.date_format("backup_date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    log.agg(F.to_json(F.sort_array(F.collect_set(iso))).alias("value")).write.text(path)
+    """Write the version dates as JSON arrays of ISO dates in UTC, one array per line."""
+    iso = F.date_format("backup_date", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("iso")
+    _write_slices(log.select(iso).distinct(), "iso", F.to_json(F.sort_array(F.collect_list("iso"))), path)
+
+
+def _write_slices(rows: DataFrame, key: str, document: Column, path: str) -> None:
+    """Spread rows by the hash of their key over as many documents as keep each near the set size."""
+    slices = max(-(-rows.count() // ENTRIES_PER_DOCUMENT), 1)
+    sliced = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(slices)).alias("slice"))
+    sliced.agg(document.alias("value")).select("value").write.text(path)
 
 
 def _parsed(schema: T.DataType) -> Column:

@@ -1,10 +1,14 @@
-"""The version log: the dates at which versions were made."""
+"""The version log: the dates at which versions were made.
+
+Each addition writes the whole log, a date per run, as a new ``entry=N`` folder; the newest finished one counts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from snapdelta.operators.versions import log_add
 from snapdelta.sources.folders import child_folders, committed
 
 LOG_SCHEMA = T.StructType([T.StructField("backup_date", T.TimestampType())])
@@ -12,15 +16,15 @@ LOG_SCHEMA = T.StructType([T.StructField("backup_date", T.TimestampType())])
 
 def load_log(spark: SparkSession, path: str) -> DataFrame:
     """All dates, once each; an empty frame if the log does not exist."""
-    entries = [f"{path}/{n}" for n in child_folders(spark, path) if committed(spark, f"{path}/{n}")]
-    if not entries:
-        return spark.createDataFrame([], LOG_SCHEMA)
-    return spark.read.schema(LOG_SCHEMA).option("basePath", path).parquet(*entries).select("backup_date").distinct()
+    for name in reversed(child_folders(spark, path)):
+        if committed(spark, f"{path}/{name}"):
+            return spark.read.schema(LOG_SCHEMA).parquet(f"{path}/{name}")
+    return spark.createDataFrame([], LOG_SCHEMA)
 
 
 def append_log(spark: SparkSession, path: str, dates: DataFrame) -> str:
-    """Add dates. Repeated ones are harmless: reading collapses them."""
+    """Add dates; those already there collapse. Returns the folder written."""
     serial = max([int(n.rpartition("=")[2]) for n in child_folders(spark, path)], default=0) + 1
     folder = f"{path}/entry={serial:08d}"
-    dates.select("backup_date").distinct().write.parquet(folder)
+    log_add(load_log(spark, path), dates).write.parquet(folder)
     return folder

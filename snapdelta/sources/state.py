@@ -57,10 +57,14 @@ def save_state(spark: SparkSession, path: str, updates: DataFrame, key: Sequence
 
 
 def _current(spark: SparkSession, path: str) -> list[str]:
-    """Folders that make up the state: the last full one, if any, and the deltas since."""
-    done = [n for n in child_folders(spark, path) if committed(spark, f"{path}/{n}")]
-    base = max([_number(n) for n in done if n.startswith("full=")], default=0)
-    return sorted((n for n in done if _number(n) >= base), key=_number)
+    """Folders that make up the state: the last full one, if any, and the deltas since, oldest first."""
+    current: list[str] = []
+    for name in sorted(child_folders(spark, path), key=_number, reverse=True):
+        if committed(spark, f"{path}/{name}"):
+            current.insert(0, name)
+            if name.startswith("full="):
+                break
+    return current
 
 
 def _number(folder: str) -> int:

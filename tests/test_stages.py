@@ -171,3 +171,16 @@ def test_row_local_stages_need_no_shuffle(spark):
 
 def test_no_stages_gives_back_the_input(spark):
     assert Pipeline([]).run(entities(spark, x=True)).count() == 1
+
+
+def test_transform_in_python_over_batches(spark):
+    def shout(batches):
+        for batch in batches:
+            yield batch.assign(text=batch["text"].str.upper())
+
+    def transform(df):
+        return df.mapInPandas(shout, df.schema)
+
+    given = spark.createDataFrame([("x", "a", (True,))], f"entity_id string, text string, example {EXAMPLE}")
+    df = Pipeline([Stage("python", [transform]), Stage("check", [needs_example])]).run(given)
+    assert [tuple(r) for r in df.select("text", "error").collect()] == [("A", None)]

@@ -77,6 +77,14 @@ def test_log_that_does_not_exist_is_empty(spark, tmp_path):
     assert log.load_log(spark, f"{tmp_path}/none").isEmpty()
 
 
+def test_unfinished_log_entry_is_not_read(spark, tmp_path, rows):
+    first = dt.datetime(2022, 1, 1)
+    log.append_log(spark, str(tmp_path), dates(spark, first))
+    broken = log.append_log(spark, str(tmp_path), dates(spark, dt.datetime(2022, 1, 2)))
+    (tmp_path / broken / "_SUCCESS").unlink()
+    assert rows(log.load_log(spark, str(tmp_path))) == [(first,)]
+
+
 def test_log_collapses_repeated_dates(spark, tmp_path, rows):
     first, second = dt.datetime(2022, 1, 1), dt.datetime(2022, 1, 2, 3, 4, 5, 678901)
     log.append_log(spark, str(tmp_path), dates(spark, first, second))
@@ -113,12 +121,15 @@ def test_json_state_export_reads_back(spark, tmp_path, rows):
 
 
 def test_large_json_state_is_split(spark, tmp_path, rows, monkeypatch):
-    monkeypatch.setattr(interchange, "ENTRIES_PER_OBJECT", 10)
+    monkeypatch.setattr(interchange, "ENTRIES_PER_DOCUMENT", 10)
     frame = hashes(spark, **{f"k{n}": f"h{n}" for n in range(100)}).withColumnRenamed("path", "key")
     interchange.export_state(frame, f"{tmp_path}/many")
     objects = "".join(p.read_text() for p in (tmp_path / "many").glob("*.txt")).splitlines()
     assert len(objects) > 5
     assert rows(interchange.import_state(spark, f"{tmp_path}/many", one_document=False)) == rows(frame)
+    moments = spark.range(100).select(F.timestamp_seconds("id").alias("backup_date"))
+    interchange.export_log(moments, f"{tmp_path}/dates")
+    assert rows(interchange.import_log(spark, f"{tmp_path}/dates", one_document=False)) == rows(moments)
 
 
 def test_json_log(spark, tmp_path, rows):

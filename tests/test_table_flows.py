@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,19 +130,22 @@ def test_composite_key(spark, tmp_path):
 
 
 @pytest.mark.parametrize("n_keys", [prefilter.FEW + 1, 5])
-def test_held_back_rows_never_match(spark, n_keys):
+def test_joins_behind_the_bitmap_are_exact(spark, n_keys):
     rows = spark.range(200_000).select(F.col("id").alias("a"), (F.col("id") % 7).cast("string").alias("b"), F.lit("x").alias("c"))
+    rows = rows.unionByName(spark.createDataFrame([(None, "0", "x"), (5, None, "x")], "a long, b string, c string"))
     keys = rows.where("a % 400 = 0").select("a", "b")
-    filtered = prefilter.semi_join(rows, keys, ["a", "b"], n_keys)
-    plain = rows.join(keys, ["a", "b"], "left_semi")
-    assert filtered.columns == rows.columns
-    assert filtered.count() == 500 and filtered.exceptAll(plain).isEmpty()
+    kept = prefilter.semi_join(rows, keys, ["a", "b"], n_keys)
+    others = prefilter.anti_join(rows, keys, ["a", "b"], n_keys)
+    assert kept.columns == others.columns == rows.columns
+    assert kept.count() == 500 and kept.exceptAll(rows.where("a % 400 = 0")).isEmpty()
+    assert others.count() == 200_002 - 500
+    assert others.where("a % 400 = 0").isEmpty() and others.where("a is null or b is null").count() == 2
 
 
 def test_bitmap_lets_few_others_through(spark):
     rows = spark.range(200_000).withColumnRenamed("id", "a")
     keys = rows.where("a % 400 = 0")
-    passed = prefilter._held_back(rows, keys, ["a"], prefilter._positions(500))
+    passed = prefilter._flagged(rows, keys, ["a"], 500).where("_possible").select("a")
     assert keys.exceptAll(passed).isEmpty()
     assert passed.count() < 500 + 200_000 / prefilter.POSITIONS_PER_KEY * 1.1
 
@@ -151,3 +155,19 @@ def test_bitmap_size_is_bounded():
     assert prefilter._positions(1000) == 16_384
     assert prefilter._positions(10**9) == prefilter.MOST_POSITIONS
     assert prefilter.MOST_POSITIONS / 8 <= 64 * 2**20
+
+
+def test_many_runs_agree_with_a_dictionary(spark, tmp_path):
+    random = Random(7)
+    source, known = {}, {}
+    key = [docs(spark, a="1").schema["id"]]
+    for run in range(5):
+        for name in random.sample(range(40), 12):
+            source[f"k{name}"] = str(random.randrange(4))
+        for name in random.sample(sorted(source), 3):
+            del source[name]
+        expected = {k: t for k, t in source.items() if known.get(k) != sha(t)}
+        known.update({k: sha(t) for k, t in expected.items()})
+        backup_table(spark, docs(spark, **source), KEY, ["text"], str(tmp_path), RUNS[run])
+        assert stored(spark, tmp_path, RUNS[run]) == expected
+        assert dict(map(tuple, state.load_state(spark, f"{tmp_path}/state", key).collect())) == known
