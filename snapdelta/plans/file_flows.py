@@ -38,6 +38,13 @@ from snapdelta.sources.files import copy_files, file_sha256, list_files, remove_
 from snapdelta.sources.log import append_log
 from snapdelta.sources.state import load_state, save_state
 
+# The names of the stages.
+DISCOVERY = "File Discovery"
+HASHING = "Hash Calculation"
+DECISION = "Backup Decision"
+EXECUTION = "Backup Execution"
+RESTORE = "Restore"
+
 PATH = "file_path.file_path"
 STATE_KEY = [T.StructField("path", T.StringType())]
 
@@ -88,10 +95,10 @@ def backup_stages(
     version = F.lit(stamp_of(run_ts))
     choose = [decide(("file_hash", "file_path"), run_ts), gather]
     return [
-        Stage("File Discovery", generators=[discover(source, tasks)]),
-        Stage("Hash Calculation", [hash_files(state, tasks)], components=component_types("file_path", "file_hash")),
-        Stage("Backup Decision", choose, components=component_types("backup_date"), cut=True),
-        Stage("Backup Execution", [store_files(source, destination, staging, version, tasks)], cut=True),
+        Stage(DISCOVERY, generators=[discover(source, tasks)]),
+        Stage(HASHING, [hash_files(state, tasks)], components=component_types("file_path", "file_hash")),
+        Stage(DECISION, choose, components=component_types("backup_date"), cut=True),
+        Stage(EXECUTION, [store_files(source, destination, staging, version, tasks)], cut=True),
     ]
 
 
@@ -112,7 +119,7 @@ def restore_files(
         [lambda df: df.withColumn(RESULT, require(F.lit(found), VERSION_NOT_FOUND))],
         generators=[discover(folder, tasks)] if found else [],
     )
-    copied = Stage("Restore", [put_back(folder, target, staging, tasks)], cut=True)
+    copied = Stage(RESTORE, [put_back(folder, target, staging, tasks)], cut=True)
     stages = [checked, copied] if found else [checked]
     restored = Pipeline(stages).run(_seed(spark, folder), distinct_input=True)
     remove_staging(staging)
@@ -125,7 +132,7 @@ def restore_latest_files(
     """Restore the newest version in the log; the seed entity fails if there is none."""
     version = newest_version(spark, store)
     if version is None:
-        failed = Stage("Restore", [lambda df: df.withColumn(RESULT, fail(NO_VERSIONS))])
+        failed = Stage(RESTORE, [lambda df: df.withColumn(RESULT, fail(NO_VERSIONS))])
         return Pipeline([failed]).run(_seed(spark, destination), distinct_input=True)
     return restore_files(spark, destination, version, target, tasks)
 

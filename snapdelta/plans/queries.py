@@ -84,10 +84,11 @@ def with_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.with_prior(current, prior_state(spark, sf_dir), DOC)
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Documents as entities, with a ``label`` component where there is one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id") if docs is None else docs
     label = table(spark, sf_dir, "labels").select("doc_id", F.struct("quality", "toxic").alias("label"))
-    return components.get_component(table(spark, sf_dir, "documents").select("doc_id"), label, DOC)
+    return components.get_component(docs, label, DOC)
 
 
 # --- Component tables -----------------------------------------------------------------------------
@@ -295,7 +296,7 @@ def q_stored_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def q_stage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_hash = table(spark, sf_dir, "documents").select("doc_id", content_hash("text").alias("current_hash"))
+    hashed = table(spark, sf_dir, "documents").select("doc_id", content_hash("text").alias("current_hash"))
     stages = [
         _label_stage(),
         Stage(
@@ -309,8 +310,7 @@ def q_stage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
             components=steps.component_types("backup_date"),
         ),
     ]
-    entities = components.get_component(labelled(spark, sf_dir), text_hash, DOC)
-    rows = Pipeline(stages, key=DOC).run(entities, distinct_input=True)
+    rows = Pipeline(stages, key=DOC).run(labelled(spark, sf_dir, hashed), distinct_input=True)
     return rows.select(
         "doc_id", "file_hash.*", version_stamp(F.col("backup_date.backup_date")).alias("version"), "error.error_message"
     )

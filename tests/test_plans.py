@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from snapdelta.functions import content_hash
 from snapdelta.operators import components, delta, prefilter, versions
-from snapdelta.sources import snapshots
+from snapdelta.plans import table_flows
+from snapdelta.sources import snapshots, state
 
 
 def plan(df) -> str:
@@ -46,6 +47,26 @@ def test_lookup_shuffles_keys_and_hashes_but_no_content(spark, docs, no_broadcas
     assert shuffles.count("Exchange hashpartitioning") == 2
 
 
+def test_stored_state_is_shuffled_and_sorted_once_for_merge_and_join(spark, docs, tmp_path, no_broadcast):
+    key = [docs.schema["id"]]
+    hashes = docs.select("id", content_hash("text").alias("content_hash"))
+    for _ in range(3):
+        state.save_state(spark, str(tmp_path), hashes, key)
+    current = hashes.withColumnRenamed("content_hash", "current_hash")
+    text = plan(delta.with_prior(current, state.load_state(spark, str(tmp_path), key), ["id"]))
+    state_side = text[text.index("SortMergeJoin") :].split("max_by", 1)[1]
+    assert state_side.count("Exchange") == 1 and state_side.count("Sort [") == 1
+
+
+def test_first_run_hashes_each_row_once(spark, docs, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(table_flows, "write_version", lambda s, r, v, rows: seen.append(rows) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table_flows.backup_table(spark, docs, ["id"], ["text"], str(tmp_path))
+    text = plan(seen[0])
+    assert text.count("sha2(") == 1 and "Exchange" not in text and "PushedFilters: [IsNotNull(id), IsNotNull(text)]" in text
+
+
 def test_latest_combines_before_the_shuffle(docs):
     text = plan(components.latest(docs, ["other"], ["id"], ["text"]))
     assert text.count("partial_max_by") == 1 and text.count("Exchange hashpartitioning") == 1

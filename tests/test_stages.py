@@ -53,7 +53,7 @@ def test_failing_row_gets_the_message_and_stays(spark):
 
 def test_stage_message_replaces_one_set_by_the_transform(spark):
     def sets_own_error(df):
-        own = F.struct(F.lit("ExampleComponent not found.").alias("error_message"))
+        own = F.struct(F.lit("set by the transform").alias("error_message"))
         return needs_example(set_component(df, "error", own, ~has_component("example")))
 
     assert messages(Stage("s", [sets_own_error]).apply(entities(spark, y=False))) == {"y": "Component missing."}
