@@ -35,7 +35,8 @@ from snapdelta.operators.delta import with_prior
 from snapdelta.plans.stages import Pipeline, Stage, Transform
 from snapdelta.plans.steps import component_types, decide, gather, newest_version
 from snapdelta.sources.files import copy_files, file_sha256, list_files, remove_staging, spread
-from snapdelta.sources.log import append_log
+from snapdelta.sources.interchange import export_log, export_state, import_log, import_state
+from snapdelta.sources.log import append_log, load_log
 from snapdelta.sources.state import load_state, save_state
 
 # The names of the stages.
@@ -137,6 +138,23 @@ def restore_latest_files(
     return restore_files(spark, destination, version, target, tasks)
 
 
+def import_store(spark: SparkSession, hashes: str, dates: str, store: str) -> None:
+    """Take over hash state and version log from JSON files; either may be absent."""
+    known = import_state(spark, hashes).withColumnRenamed("key", "path")
+    if not known.isEmpty():
+        save_state(spark, f"{store}/state", known, STATE_KEY)
+    log = import_log(spark, dates)
+    if not log.isEmpty():
+        append_log(spark, f"{store}/log", log)
+
+
+def export_store(spark: SparkSession, store: str, hashes: str, dates: str) -> None:
+    """Write hash state and version log as JSON folders."""
+    known = load_state(spark, f"{store}/state", STATE_KEY)
+    export_state(known.withColumnRenamed("path", "key"), hashes)
+    export_log(load_log(spark, f"{store}/log"), dates)
+
+
 def discover(root: str, tasks: int | None = None) -> Transform:
     """Generator: a new entity with a path for each file below ``root``, per entity given."""
 

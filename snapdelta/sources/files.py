@@ -75,8 +75,12 @@ def spread(df: DataFrame, path: Column | str, tasks: int | None = None) -> DataF
 
 
 def task_count(spark: SparkSession) -> int:
-    """Tasks for file work: some per core, so that one slow file does not hold up a whole share."""
-    return 4 * spark.sparkContext.defaultParallelism
+    """Tasks for file work: some per core, so that one slow file does not hold up a whole share.
+
+    At least as many as the session has shuffle partitions, since with dynamic allocation few cores may
+    be there yet.
+    """
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def file_sha256(path: Column | str) -> Column:

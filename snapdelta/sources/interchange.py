@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapdelta.operators.components import latest
 from snapdelta.sources.folders import exists
 from snapdelta.sources.log import LOG_SCHEMA
 
@@ -18,7 +19,9 @@ ENTRIES_PER_DOCUMENT = 50_000
 
 
 def import_state(spark: SparkSession, path: str, one_document: bool = True) -> DataFrame:
-    """Hash state from JSON. An absent file and a JSON ``null`` are empty; malformed JSON fails.
+    """Hash state from JSON; of a key given twice, the last value.
+
+    An absent file and a JSON ``null`` are empty, malformed JSON fails.
 
     One document is read by one task and must fit a string, so below 2 GB. ``one_document=False`` takes
     every line as an object, as ``export_state`` writes them, and has no such limit.
@@ -26,7 +29,8 @@ def import_state(spark: SparkSession, path: str, one_document: bool = True) -> D
     if not exists(spark, path):
         return spark.createDataFrame([], STATE_SCHEMA)
     parsed = _parsed(T.MapType(T.StringType(), T.StringType()))
-    return spark.read.text(path, wholetext=one_document).select(F.explode(parsed).alias("key", "content_hash"))
+    entries = spark.read.text(path, wholetext=one_document).select(F.posexplode(parsed).alias("_at", "key", "content_hash"))
+    return latest(entries, ["key"], ["_at"], ["content_hash"])
 
 
 def export_state(state: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 import os
 
 import pytest
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 from snapdelta import Pipeline
 from snapdelta.plans.file_flows import (
+    STATE_KEY,
     backup_files,
     backup_stages,
     discover,
+    export_store,
     hash_files,
+    import_store,
     restore_files,
     restore_latest_files,
     store_files,
@@ -50,8 +54,6 @@ def place(spark, tmp_path):
             }
 
         def state(self):
-            from snapdelta.plans.file_flows import STATE_KEY
-
             rows = load_state(spark, f"{self.store}/state", STATE_KEY).collect()
             return {os.path.relpath(r["path"], self.source): r["content_hash"] for r in rows}
 
@@ -194,8 +196,6 @@ def test_four_stages():
 
 
 def test_seed_without_components_vanishes_and_files_are_copied(spark, place):
-    from snapdelta.plans.file_flows import STATE_KEY
-
     grow(place.source, {"a": b"1"})
     seed = spark.createDataFrame([("seed", None)], "entity_id string, file_path struct<file_path:string>")
     state = load_state(spark, f"{place.store}/state", STATE_KEY)
@@ -245,3 +245,26 @@ def test_execution_stage(spark, place):
     assert contents(place.destination) == {f"{STAMPS[0]}/a": b"1"}
     gone = store(entity(spark, ("e", (f"{path}/none",), ("h", None), (RUNS[0],)))).first()["_result"]
     assert not gone[0] and gone[1].startswith("Failed to store file version: ")
+
+
+def test_json_state_and_versions_are_taken_over(spark, place, tmp_path):
+    grow(place.source, {"same": b"1", "changed": b"22"})
+    grow(place.destination / STAMPS[0], {"same": b"1", "changed": b"2"})
+    known = {str(place.source / "same"): sha(b"1"), str(place.source / "changed"): sha(b"2")}
+    (tmp_path / "hashes.json").write_text(json.dumps(known))
+    (tmp_path / "dates.json").write_text('["2024-01-01T10:20:30.0004Z"]')
+    import_store(spark, f"{tmp_path}/hashes.json", f"{tmp_path}/dates.json", str(place.store))
+    restore_latest_files(spark, str(place.store), str(place.destination), str(place.target))
+    assert contents(place.target) == {"same": b"1", "changed": b"2"}
+    report = place.backup(1)
+    assert report["same"][1] is None and report["changed"] == ((sha(b"22"), sha(b"2")), RUNS[1], None)
+
+    export_store(spark, str(place.store), f"{tmp_path}/hashes", f"{tmp_path}/dates")
+    texts = {n: "".join(p.read_text() for p in (tmp_path / n).glob("*.txt")) for n in ("hashes", "dates")}
+    assert json.loads(texts["hashes"]) == known | {str(place.source / "changed"): sha(b"22")}
+    assert json.loads(texts["dates"]) == ["2024-01-01T10:20:30.000400Z", "2024-01-02T10:20:30.000400Z"]
+
+
+def test_taking_over_nothing_leaves_an_empty_store(spark, place, tmp_path):
+    import_store(spark, f"{tmp_path}/none.json", f"{tmp_path}/none.json", str(place.store))
+    assert place.state() == {} and place.lines() == []

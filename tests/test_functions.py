@@ -82,6 +82,18 @@ def test_relative_path_agrees_with_the_standard_library(spark):
         assert value(spark, relative_path(F.lit(path), root)) == os.path.relpath(path, root)
 
 
+SEGMENTS = st.lists(st.sampled_from(["a", "b", "ab", "a b", ".x", "(y)"]), min_size=1, max_size=4)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(SEGMENTS, SEGMENTS), min_size=1, max_size=10))
+def test_relative_path_of_any_two_paths(spark, pairs):
+    paths = [("/" + "/".join(p), "/" + "/".join(r)) for p, r in pairs]
+    frame = spark.createDataFrame(paths, "path string, root string")
+    for row in frame.withColumn("r", relative_path(F.col("path"), F.col("root"))).collect():
+        assert row["r"] == os.path.relpath(row["path"], row["root"])
+
+
 def test_target_and_parent_path(spark):
     target = target_path("/dest/", F.lit("20220101000000"), F.lit("a/b.txt"))
     assert value(spark, target) == "/dest/20220101000000/a/b.txt"

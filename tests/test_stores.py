@@ -112,6 +112,11 @@ def test_absent_and_null_json_are_empty_and_malformed_json_fails(spark, tmp_path
         load(spark, f"{tmp_path}/bad.json").collect()
 
 
+def test_last_value_of_a_repeated_key_counts(spark, tmp_path, rows):
+    (tmp_path / "twice.json").write_text('{"a": "1", "b": "2", "a": "3"}')
+    assert rows(interchange.import_state(spark, f"{tmp_path}/twice.json")) == [("a", "3"), ("b", "2")]
+
+
 def test_json_state_export_reads_back(spark, tmp_path, rows):
     frame = hashes(spark, **{f"k{n}": f"h{n}" for n in range(100)}).withColumnRenamed("path", "key")
     interchange.export_state(frame, f"{tmp_path}/one")
