@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def content_hash(*cols: Column | str) -> Column:
@@ -20,13 +23,20 @@ def content_hash(*cols: Column | str) -> Column:
     return F.sha2(encode(*cols), 256)
 
 
+def hash_of_columns(df: DataFrame, names: Sequence[str]) -> Column:
+    """``content_hash`` of columns of any type: texts and bytes as they are, others as printed."""
+    if len(names) == 1 and not isinstance(df.schema[names[0]].dataType, (T.StringType, T.BinaryType)):
+        return content_hash(F.col(names[0]).cast("string"))
+    return content_hash(*names)
+
+
 def encode(*cols: Column | str) -> Column:
-    """Columns as one string without ambiguity: ``<length>:<value>;`` each, ``-;`` for NULL."""
+    """Columns as one string without ambiguity: ``<bytes>:<value>;`` each, ``-;`` for NULL."""
     parts = []
     for col in cols:
         text = _column(col).cast("string")
         parts.append(
-            F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text, F.lit(";")), F.lit("-;"))
+            F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text, F.lit(";")), F.lit("-;"))
         )
     return F.concat(*parts)
 

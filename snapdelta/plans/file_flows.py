@@ -32,6 +32,7 @@ from snapdelta.functions.status import (
 )
 from snapdelta.operators.components import has_component, set_component
 from snapdelta.operators.delta import with_prior
+from snapdelta.plans import steps
 from snapdelta.plans.stages import Pipeline, Stage, Transform
 from snapdelta.plans.steps import component_types, decide, gather, newest_version
 from snapdelta.sources.files import copy_files, file_sha256, list_files, remove_staging, spread
@@ -39,13 +40,6 @@ from snapdelta.sources.interchange import export_log, export_state, import_log,
 from snapdelta.sources.log import append_log, load_log
 from snapdelta.sources.state import load_state, save_state
 
-# The names of the stages.
-DISCOVERY = "File Discovery"
-HASHING = "Hash Calculation"
-DECISION = "Backup Decision"
-EXECUTION = "Backup Execution"
-RESTORE = "Restore"
-
 PATH = "file_path.file_path"
 STATE_KEY = [T.StructField("path", T.StringType())]
 
@@ -96,10 +90,10 @@ def backup_stages(
     version = F.lit(stamp_of(run_ts))
     choose = [decide(("file_hash", "file_path"), run_ts), gather]
     return [
-        Stage(DISCOVERY, generators=[discover(source, tasks)]),
-        Stage(HASHING, [hash_files(state, tasks)], components=component_types("file_path", "file_hash")),
-        Stage(DECISION, choose, components=component_types("backup_date"), cut=True),
-        Stage(EXECUTION, [store_files(source, destination, staging, version, tasks)], cut=True),
+        Stage(steps.DISCOVERY, generators=[discover(source, tasks)]),
+        Stage(steps.HASHING, [hash_files(state, tasks)], components=component_types("file_path", "file_hash")),
+        Stage(steps.DECISION, choose, components=component_types("backup_date"), cut=True),
+        Stage(steps.EXECUTION, [store_files(source, destination, staging, version, tasks)], cut=True),
     ]
 
 
@@ -120,7 +114,7 @@ def restore_files(
         [lambda df: df.withColumn(RESULT, require(F.lit(found), VERSION_NOT_FOUND))],
         generators=[discover(folder, tasks)] if found else [],
     )
-    copied = Stage(RESTORE, [put_back(folder, target, staging, tasks)], cut=True)
+    copied = Stage(steps.RESTORE, [put_back(folder, target, staging, tasks)], cut=True)
     stages = [checked, copied] if found else [checked]
     restored = Pipeline(stages).run(_seed(spark, folder), distinct_input=True)
     remove_staging(staging)
@@ -133,7 +127,7 @@ def restore_latest_files(
     """Restore the newest version in the log; the seed entity fails if there is none."""
     version = newest_version(spark, store)
     if version is None:
-        failed = Stage(RESTORE, [lambda df: df.withColumn(RESULT, fail(NO_VERSIONS))])
+        failed = Stage(steps.RESTORE, [lambda df: df.withColumn(RESULT, fail(NO_VERSIONS))])
         return Pipeline([failed]).run(_seed(spark, destination), distinct_input=True)
     return restore_files(spark, destination, version, target, tasks)
 

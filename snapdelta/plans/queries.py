@@ -300,12 +300,12 @@ def q_stage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = [
         _label_stage(),
         Stage(
-            "Hash Calculation",
+            steps.HASHING,
             [table_flows.look_up(prior_state(spark, sf_dir), DOC)],
             components=steps.component_types("file_hash"),
         ),
         Stage(
-            "Backup Decision",
+            steps.DECISION,
             [steps.decide(("file_hash",), SECOND_RUN)],
             components=steps.component_types("backup_date"),
         ),

@@ -16,6 +16,13 @@ from snapdelta.operators.versions import latest_version, version_lines
 from snapdelta.plans.stages import Transform
 from snapdelta.sources.log import load_log
 
+# The names of the stages.
+DISCOVERY = "File Discovery"
+HASHING = "Hash Calculation"
+DECISION = "Backup Decision"
+EXECUTION = "Backup Execution"
+RESTORE = "Restore"
+
 
 def decide(required: Sequence[str], run_ts: dt.datetime | None = None, stamp_col: str | None = None) -> Transform:
     """Stamp the rows whose hash differs from the stored one.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapdelta.functions.hashing import content_hash
+from snapdelta.functions.hashing import hash_of_columns
 from snapdelta.functions.stamps import stamp_of, timestamp_literal
 from snapdelta.functions.status import (
     HASH_FAILED,
@@ -28,6 +28,7 @@ from snapdelta.functions.status import (
 from snapdelta.operators.components import has_component, set_component
 from snapdelta.operators.delta import with_prior
 from snapdelta.operators.prefilter import anti_join, semi_join
+from snapdelta.plans import steps
 from snapdelta.plans.stages import Pipeline, Stage, Transform
 from snapdelta.plans.steps import component_types, decide, gather, newest_version
 from snapdelta.session import scratch_dir
@@ -70,7 +71,7 @@ def backup_table(
     state = load_state(spark, f"{store}/state", fields)
     report = detect(current, key, content, state, run_ts)
 
-    rows = current.withColumn("content_hash", content_hash(*content))
+    rows = current.withColumn("content_hash", hash_of_columns(current, content))
     if has_state(spark, f"{store}/state"):
         rows = _changed_rows(rows, report, key)
     else:
@@ -90,10 +91,10 @@ def detect(
     current: DataFrame, key: Sequence[str], content: Sequence[str], state: DataFrame, run_ts: dt.datetime
 ) -> DataFrame:
     """The entity table of a run: which rows are new or changed, and which failed."""
-    hashed = current.select(*key, content_hash(*content).alias("current_hash"))
+    hashed = current.select(*key, hash_of_columns(current, content).alias("current_hash"))
     stages = [
-        Stage("Hash Calculation", [look_up(state, key)], components=component_types("file_hash")),
-        Stage("Backup Decision", [decide(("file_hash",), run_ts)], components=component_types("backup_date")),
+        Stage(steps.HASHING, [look_up(state, key)], components=component_types("file_hash")),
+        Stage(steps.DECISION, [decide(("file_hash",), run_ts)], components=component_types("backup_date")),
     ]
     return Pipeline(stages, key=key).run(hashed, distinct_input=True)
 

@@ -36,6 +36,7 @@ ENTRY_SCHEMA = T.StructType(
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH = 10_000
+FILES_PER_TASK = 64
 CHUNK = 4 * 1024 * 1024
 
 
@@ -70,17 +71,22 @@ def inventory(spark: SparkSession, root: str, tasks: int | None = None) -> DataF
 
 
 def spread(df: DataFrame, path: Column | str, tasks: int | None = None) -> DataFrame:
-    """Spread rows that each stand for file work evenly over a fixed number of tasks."""
-    return df.repartition(tasks or task_count(df.sparkSession), path)
+    """Spread rows that each stand for file work evenly over a fixed number of tasks.
+
+    Unless ``tasks`` is given, the rows are counted to choose it.
+    """
+    return df.repartition(tasks or task_count(df.sparkSession, df.count()), path)
 
 
-def task_count(spark: SparkSession) -> int:
+def task_count(spark: SparkSession, n_files: int | None = None) -> int:
     """Tasks for file work: some per core, so that one slow file does not hold up a whole share.
 
     At least as many as the session has shuffle partitions, since with dynamic allocation few cores may
-    be there yet.
+    be there yet; but no more than give each task ``FILES_PER_TASK``, as long as all cores have work.
     """
-    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cores = spark.sparkContext.defaultParallelism
+    most = max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return most if n_files is None else min(most, max(cores, n_files // FILES_PER_TASK))
 
 
 def file_sha256(path: Column | str) -> Column:

@@ -80,6 +80,19 @@ def test_rows_come_back_whole(spark, tmp_path):
     assert tuple(row) == ("a", "1", 5, [1, 2], STAMPS[0])
 
 
+@pytest.mark.parametrize("kind", ["int", "double", "binary", "array<string>", "struct<a:int,b:string>"])
+def test_content_of_any_type(spark, tmp_path, kind):
+    frame = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "id string, text string")
+    values = {"array<string>": F.split("text", ","), "struct<a:int,b:string>": F.when(F.col("text").isNotNull(), F.struct(F.col("text").cast("int").alias("a"), F.col("text").alias("b")))}
+    frame = frame.withColumn("v", values.get(kind, F.col("text").cast(kind if kind not in values else "string")))
+    backup_table(spark, frame, KEY, ["v"], str(tmp_path), RUNS[0])
+    again = frame.withColumn("v", F.when(F.col("id") == "a", F.col("v")))
+    report = {r["id"]: r for r in backup_table(spark, again, KEY, ["v"], str(tmp_path), RUNS[1]).collect()}
+    assert report["a"]["backup_date"] is None and report["a"]["error"] is None
+    assert report["b"]["error"] is not None and report["c"]["error"] is not None
+    assert restore_latest_table(spark, str(tmp_path), KEY).rows.count() == 2
+
+
 def test_two_runs_within_one_second(spark, tmp_path, backup):
     backup(0, a="1", b="1")
     backup(0, a="2", c="2")
