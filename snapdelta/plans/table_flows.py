@@ -10,6 +10,7 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,9 @@ from snapdelta.sources.state import has_state, load_state, save_state
 
 # Below this share of changed rows the changes lie thin in many tasks: gather them before writing.
 GATHER_BELOW = 0.25
+# Up to here the files with changes are named one by one when the content is read again.
+MOST_FILES = 10_000
+FILE = "_snapdelta_file"
 
 
 @dataclass(frozen=True)
@@ -63,8 +67,9 @@ def backup_table(
     on the rows chosen and ``error`` on rows that failed. It is lazy and compares with the state before the
     run; write it down if it is to outlive the source.
 
-    The first run hashes and writes in a single pass. Later ones read the content once to hash it, and
-    once more, for writing, if anything changed. Only keys and hashes are joined with the state.
+    The first run hashes and writes in a single pass. Later ones read the content once to hash it and, if
+    anything changed, read what is needed to write it: where ``current`` comes straight from files, only
+    the files with changes. Only keys and hashes are joined with the state.
     """
     run_ts = run_ts or dt.datetime.now(dt.timezone.utc)
     fields = [current.schema[name] for name in key]
@@ -73,7 +78,8 @@ def backup_table(
 
     rows = current.withColumn("content_hash", hash_of_columns(current, content))
     if has_state(spark, f"{store}/state"):
-        rows = _changed_rows(rows, report, key)
+        located = detect(_located(current), key, content, state, run_ts)
+        rows = _changed_rows(rows, located, key)
     else:
         # Not a test of the hash itself, which would be computed for the test and for the row.
         rows = rows.where(has_component(*key, *(content if len(content) == 1 else ())))
@@ -91,7 +97,8 @@ def detect(
     current: DataFrame, key: Sequence[str], content: Sequence[str], state: DataFrame, run_ts: dt.datetime
 ) -> DataFrame:
     """The entity table of a run: which rows are new or changed, and which failed."""
-    hashed = current.select(*key, hash_of_columns(current, content).alias("current_hash"))
+    located = [name for name in current.columns if name == FILE]
+    hashed = current.select(*key, *located, hash_of_columns(current, content).alias("current_hash"))
     stages = [
         Stage(steps.HASHING, [look_up(state, key)], components=component_types("file_hash")),
         Stage(steps.DECISION, [decide(("file_hash",), run_ts)], components=component_types("backup_date")),
@@ -134,7 +141,7 @@ def look_up(state: DataFrame, key: Sequence[str]) -> Transform:
     return transform
 
 
-def _changed_rows(rows: DataFrame, report: DataFrame, key: Sequence[str]) -> DataFrame | None:
+def _changed_rows(rows: DataFrame, located: DataFrame, key: Sequence[str]) -> DataFrame | None:
     """The stamped ones of ``rows``; None if there are none.
 
     The keys become a table of their own, so that their number and size are known before the content
@@ -143,7 +150,8 @@ def _changed_rows(rows: DataFrame, report: DataFrame, key: Sequence[str]) -> Dat
     spark = rows.sparkSession
     path = scratch_dir(spark, "marked")
     seen = Observation()
-    marked = report.observe(seen, F.count(F.lit(1)).alias("n")).where(has_component("backup_date")).select(*key)
+    stamped = located.observe(seen, F.count(F.lit(1)).alias("n")).where(has_component("backup_date"))
+    marked = stamped.select(*key, *[name for name in located.columns if name == FILE])
     gather(marked).write.parquet(path)
     marked = spark.read.schema(marked.schema).parquet(path)
     n_marked = marked.count()
@@ -151,5 +159,29 @@ def _changed_rows(rows: DataFrame, report: DataFrame, key: Sequence[str]) -> Dat
         return None
     # A repeated task may count rows twice, but never too few: equal numbers do mean all rows.
     if n_marked < seen.get["n"]:
-        rows = semi_join(rows, marked, key, n_marked)
+        rows = semi_join(_in_touched_files(rows, marked), marked.select(*key), key, n_marked)
     return gather(rows) if n_marked < GATHER_BELOW * seen.get["n"] else rows
+
+
+def _located(df: DataFrame) -> DataFrame:
+    """``df`` with a short mark of the file each row was read from, if it comes straight from files."""
+    try:
+        return df if "_metadata" in df.columns else df.withColumn(FILE, F.xxhash64("_metadata.file_path"))
+    except AnalysisException:
+        return df
+
+
+def _in_touched_files(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """``rows`` without the files that hold no marked row; Spark does not open those.
+
+    A list of file names goes to the driver, so this is for few files. With more, all are read.
+    """
+    if FILE not in marked.columns:
+        return rows
+    touched = marked.select(FILE).distinct()
+    if touched.count() > MOST_FILES:
+        return rows
+    # At most MOST_FILES marks of 8 bytes.
+    names = rows.select("_metadata.file_path").distinct().withColumn(FILE, F.xxhash64("file_path"))
+    names = names.join(F.broadcast(touched), FILE, "left_semi").select("file_path").collect()
+    return rows.where(F.col("_metadata.file_path").isin([name for (name,) in names]))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import re
 from random import Random
 
 import pytest
@@ -127,6 +128,45 @@ def test_few_changes_are_gathered(spark, tmp_path):
     assert len(rows.inputFiles()) == 1
 
 
+@pytest.fixture
+def in_files(spark, tmp_path):
+    """Ten thousand rows in ten files, half of one file changed afterwards, and a store with a run before that."""
+    frame = spark.range(0, 10_000, 1, 10).select("id", F.col("id").cast("string").alias("text"))
+    frame.write.parquet(f"{tmp_path}/source")
+    source = spark.read.parquet(f"{tmp_path}/source")
+    backup_table(spark, source, KEY, ["text"], f"{tmp_path}/store", RUNS[0])
+    changed = F.col("id").between(3000, 3499)
+    return source.withColumn("text", F.when(changed, "changed").otherwise(F.col("text"))), f"{tmp_path}/store"
+
+
+def test_only_files_with_changes_are_read_again(spark, in_files, monkeypatch):
+    source, store = in_files
+    written = []
+    write = table_flows.write_version
+    monkeypatch.setattr(table_flows, "write_version", lambda *args: written.append(args[3]) or write(*args))
+    report = backup_table(spark, source, KEY, ["text"], store, RUNS[1])
+    assert report.columns == ["id", "file_hash", "error", "backup_date"]
+    conditions = re.findall(r"file_path.* IN \(([^)]*)\)", written[0]._jdf.queryExecution().optimizedPlan().toString())
+    filters = re.findall(r"file_path.*? = (\S+part-\S+)\)", written[0]._jdf.queryExecution().optimizedPlan().toString())
+    assert len(set(re.findall(r"part-\d+", " ".join(conditions + filters)))) == 1
+    rows = restore_latest_table(spark, store, KEY).rows
+    assert rows.count() == 500 and rows.where("text != 'changed'").isEmpty()
+
+
+@pytest.mark.parametrize("reshape", [lambda df: df.unionByName(df.limit(0)), lambda df: df.distinct(), lambda df: df.withColumn("_metadata", F.lit(1))])
+def test_sources_without_file_names_are_read_whole(spark, in_files, reshape):
+    source, store = in_files
+    backup_table(spark, reshape(source), KEY, ["text"], store, RUNS[1])
+    assert restore_latest_table(spark, store, KEY).rows.count() == 500
+
+
+def test_many_touched_files_are_not_named(spark, in_files, monkeypatch):
+    source, store = in_files
+    monkeypatch.setattr(table_flows, "MOST_FILES", 0)
+    backup_table(spark, source, KEY, ["text"], store, RUNS[1])
+    assert restore_latest_table(spark, store, KEY).rows.count() == 500
+
+
 def test_put_over_replaces_same_keys_only(spark, rows):
     target = docs(spark, a="old", b="kept")
     restored = docs(spark, a="new", c="added").withColumn("version", F.lit("1"))
