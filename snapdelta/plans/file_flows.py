@@ -73,8 +73,9 @@ def backup_files(
         chosen = chosen.where("error is null")
     if not chosen.isEmpty():
         hashes = chosen.select(F.col(PATH).alias("path"), F.col("file_hash.current_hash").alias("content_hash"))
-        save_state(spark, f"{store}/state", hashes, STATE_KEY)
+        # The state last: a run that stops before it is done again.
         append_log(spark, f"{store}/log", chosen.select("backup_date.backup_date"))
+        save_state(spark, f"{store}/state", hashes, STATE_KEY)
     return report
 
 

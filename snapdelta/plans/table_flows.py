@@ -1,7 +1,8 @@
 """Differential backup, version listing and restore of keyed tables.
 
-The store has three folders: ``state`` (key to hash), ``versions`` (the rows of each version) and ``log``
-(version dates). They are written in an order in which a crash leads to copying again, never to loss.
+The store has three folders: ``versions`` (the rows of each version), ``log`` (version dates) and ``state``
+(key to hash). They are written in this order. The state comes last: until it is there, the next run takes
+the rows as not stored and copies them again, so a crash never hides a version.
 """
 
 from __future__ import annotations
@@ -88,8 +89,8 @@ def backup_table(
         return report
     batch = write_version(spark, f"{store}/versions", stamp_of(run_ts), rows)
     written = spark.read.schema(T.StructType([*fields, T.StructField("content_hash", T.StringType())])).parquet(batch)
-    save_state(spark, f"{store}/state", written, fields)
     append_log(spark, f"{store}/log", spark.range(0, 1, 1, 1).select(timestamp_literal(run_ts).alias("backup_date")))
+    save_state(spark, f"{store}/state", written, fields)
     return report
 
 

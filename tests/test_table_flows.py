@@ -109,13 +109,18 @@ def test_missing_version_and_empty_log(spark, tmp_path, backup):
     assert restore_latest_table(spark, str(tmp_path), KEY).error is None
 
 
-def test_run_that_stopped_before_its_state_copies_again(spark, tmp_path, backup, monkeypatch):
-    monkeypatch.setattr(table_flows, "save_state", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+@pytest.mark.parametrize(("step", "dates"), [("append_log", 1), ("save_state", 2)])
+def test_run_that_stopped_half_way_is_done_again(spark, tmp_path, backup, monkeypatch, step, dates):
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(table_flows, step, lost)
     with pytest.raises(RuntimeError):
         backup(0, a="1")
     monkeypatch.undo()
     assert backup(1, a="1") == {"a": ((sha("1"), None), RUNS[1], None)}
     assert stored(spark, tmp_path, STAMPS[1]) == {"a": "1"}
+    assert query_versions(spark, str(tmp_path)).count() == dates
 
 
 def test_few_changes_are_gathered(spark, tmp_path):
