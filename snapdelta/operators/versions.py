@@ -40,14 +40,13 @@ def version_lines(log: DataFrame) -> DataFrame:
     days = days.select("_day", F.coalesce(F.sum("_n").over(later_days), F.lit(0)).alias("_days_before"))
     later_seconds = Window.partitionBy("_day").orderBy(F.desc("_second")).rowsBetween(Window.unboundedPreceding, -1)
     seconds = seconds.withColumn("_seconds_before", F.coalesce(F.sum("_n").over(later_seconds), F.lit(0)))
-    before = seconds.join(days, "_day").select("_second", (F.col("_days_before") + F.col("_seconds_before")).alias("_before"))
+    before = F.col("_days_before") + F.col("_seconds_before")
+    before = seconds.join(days, "_day").select("_second", before.alias("_before"))
 
     rank = F.row_number().over(Window.partitionBy("_second").orderBy(F.desc("backup_date")))
-    return (
-        dates.join(before, "_second")
-        .select((F.col("_before") + rank).alias("position"), "backup_date", display_date(F.col("backup_date")).alias("line"))
-        .orderBy("position")
-    )
+    position = (F.col("_before") + rank).alias("position")
+    ranked = dates.join(before, "_second").select(position, "backup_date", display_date(date).alias("line"))
+    return ranked.orderBy("position")
 
 
 def versions_component(log: DataFrame) -> DataFrame:

@@ -118,7 +118,8 @@ def q_upsert_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "documents").select("doc_id", "lang")
     rated = F.when(F.col("toxic") == 0, F.concat(F.lit("q"), F.col("quality").cast("string")))
     updates = table(spark, sf_dir, "labels").select("doc_id", rated.alias("lang"))
-    added = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.lit("new").alias("lang"))
+    number = (-1 - F.col("item_id")).alias("doc_id")
+    added = table(spark, sf_dir, "benchmark").select(number, F.lit("new").alias("lang"))
     return components.upsert(base, updates.unionByName(added), DOC)
 
 
@@ -473,7 +474,8 @@ def q_target_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A version log with one date per day that has events."""
-    return table(spark, sf_dir, "events").select(F.to_date("ts").cast("timestamp").alias("backup_date")).distinct()
+    day = F.to_date("ts").cast("timestamp").alias("backup_date")
+    return table(spark, sf_dir, "events").select(day).distinct()
 
 
 @query(

@@ -113,27 +113,24 @@ def copy_files(source: Column | str, target: Column | str, staging: str) -> Colu
 
     @F.pandas_udf("struct<sha256:string,error:string>")
     def copied(sources: pd.Series, targets: pd.Series) -> pd.DataFrame:
-        os.makedirs(staging, exist_ok=True)
         return pd.DataFrame([_copy(s, t, staging) for s, t in zip(sources, targets)], columns=["sha256", "error"])
 
     return copied.asNondeterministic()(source, target)
 
 
-def write_texts(
-    rows: DataFrame, root: str, path: str, text: str, staging: str, tasks: int | None = None
-) -> DataFrame:
+def write_texts(rows: DataFrame, root: str, path: str, text: str, staging: str) -> DataFrame:
     """Write the text of each row to the file at its relative path below ``root``; lazy.
 
-    Adds an ``error`` column, NULL where the file was written.
+    Adds an ``error`` column, NULL where the file was written. Rows are written where they are, without
+    a shuffle.
     """
     root = root.rstrip("/")
 
     @F.pandas_udf(T.StringType())
     def written(paths: pd.Series, texts: pd.Series) -> pd.Series:
-        os.makedirs(staging, exist_ok=True)
         return pd.Series([_write(f"{root}/{p}", t, staging) for p, t in zip(paths, texts)], dtype="object")
 
-    return spread(rows, path, tasks).withColumn("error", written.asNondeterministic()(path, text))
+    return rows.withColumn("error", written.asNondeterministic()(path, text))
 
 
 def remove_staging(staging: str) -> None:
@@ -178,6 +175,7 @@ def _put(target: str, staging: str, fill: Callable[[str], None]) -> str | None:
     """Fill a file in the staging folder and move it to its place; the problem, if there is one."""
     partial = os.path.join(staging, uuid.uuid4().hex)
     try:
+        os.makedirs(staging, exist_ok=True)
         fill(partial)
         os.makedirs(os.path.dirname(target), exist_ok=True)
         os.replace(partial, target)

@@ -29,7 +29,8 @@ def import_state(spark: SparkSession, path: str, one_document: bool = True) -> D
     if not exists(spark, path):
         return spark.createDataFrame([], STATE_SCHEMA)
     parsed = _parsed(T.MapType(T.StringType(), T.StringType()))
-    entries = spark.read.text(path, wholetext=one_document).select(F.posexplode(parsed).alias("_at", "key", "content_hash"))
+    documents = spark.read.text(path, wholetext=one_document)
+    entries = documents.select(F.posexplode(parsed).alias("_at", "key", "content_hash"))
     return latest(entries, ["key"], ["_at"], ["content_hash"])
 
 

@@ -28,7 +28,10 @@ from tests.test_files import TREE, contents, grow
 
 RUNS = [dt.datetime(2024, 1, day, 10, 20, 30, 400) for day in range(1, 6)]
 STAMPS = ["20240101102030", "20240102102030", "20240103102030", "20240104102030", "20240105102030"]
-ENTITY = "entity_id string, file_path struct<file_path:string>, file_hash struct<current_hash:string,previous_hash:string>, backup_date struct<backup_date:timestamp>"
+ENTITY = (
+    "entity_id string, file_path struct<file_path:string>, "
+    "file_hash struct<current_hash:string,previous_hash:string>, backup_date struct<backup_date:timestamp>"
+)
 
 
 def sha(content: bytes) -> str:
