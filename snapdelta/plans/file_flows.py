@@ -35,7 +35,7 @@ from snapdelta.operators.delta import with_prior
 from snapdelta.plans import steps
 from snapdelta.plans.stages import Pipeline, Stage, Transform
 from snapdelta.plans.steps import component_types, decide, gather, newest_version
-from snapdelta.sources.files import copy_files, file_sha256, list_files, remove_staging, spread
+from snapdelta.sources.files import copy_files, file_sha256, list_files, posix, remove_staging, spread
 from snapdelta.sources.interchange import export_log, export_state, import_log, import_state
 from snapdelta.sources.log import append_log, load_log
 from snapdelta.sources.state import load_state, save_state
@@ -61,7 +61,7 @@ def backup_files(
     that the next run tries them again.
     """
     run_ts = run_ts or dt.datetime.now(dt.timezone.utc)
-    source, destination = source.rstrip("/"), destination.rstrip("/")
+    source, destination = posix(source), posix(destination)
     staging = f"{destination}/.staging"
     state = load_state(spark, f"{store}/state", STATE_KEY)
     stages = backup_stages(source, destination, staging, state, run_ts, tasks)
@@ -106,8 +106,8 @@ def restore_files(
     Returns the seed entity, with an error if there is no such version, and one row per file.
     """
     version = version if isinstance(version, str) else stamp_of(version)
-    folder = f"{destination.rstrip('/')}/{version}"
-    target = target.rstrip("/")
+    folder = f"{posix(destination)}/{version}"
+    target = posix(target)
     staging = f"{target}/.staging"
     found = os.path.isdir(folder)
     checked = Stage(

@@ -729,7 +729,7 @@ def write_tree(rows: DataFrame, root: str) -> str:
 
 def _two_file_runs(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """A file tree backed up twice: with the older documents, and with the present ones written over."""
-    base = scratch_dir(spark, "files")
+    base = files.posix(scratch_dir(spark, "files"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     older = older_documents(spark, sf_dir).join(docs.select("doc_id", "source"), DOC, "left")
     tree = write_tree(older, f"{base}/tree")
@@ -741,7 +741,7 @@ def _two_file_runs(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
 @query(f"SELECT {_FILE_SQL} AS file, strlen(text)::BIGINT AS size, sha256(text) AS sha256 FROM documents")
 def q_file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    tree = write_tree(docs, scratch_dir(spark, "tree"))
+    tree = write_tree(docs, files.posix(scratch_dir(spark, "tree")))
     found = files.inventory(spark, tree)
     return found.select(relative_path(F.col("path"), tree).alias("file"), "size", "sha256")
 

@@ -40,6 +40,15 @@ FILES_PER_TASK = 64
 CHUNK = 4 * 1024 * 1024
 
 
+def posix(path: str) -> str:
+    """A path for file work, without a slash at its end: a plain one, or one given as ``file:`` URI."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    elif "://" in path:
+        raise ValueError(f"file trees need a POSIX path that all executors see, not {path}")
+    return path.rstrip("/") or "/"
+
+
 def list_files(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
     """Every file below ``root`` at any depth, hidden and empty ones included.
 
@@ -47,7 +56,7 @@ def list_files(spark: SparkSession, root: str, tasks: int | None = None) -> Data
     or lopsided tree is spread over the cluster. The listing is written to the scratch folder and
     read from there: all later steps see the same set of files. A missing root is an error.
     """
-    root = root.rstrip("/") or "/"
+    root = posix(root)
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
     tasks = tasks or task_count(spark)
@@ -124,7 +133,7 @@ def write_texts(rows: DataFrame, root: str, path: str, text: str, staging: str)
     Adds an ``error`` column, NULL where the file was written. Rows are written where they are, without
     a shuffle.
     """
-    root = root.rstrip("/")
+    root, staging = posix(root), posix(staging)
 
     @F.pandas_udf(T.StringType())
     def written(paths: pd.Series, texts: pd.Series) -> pd.Series:

@@ -13,6 +13,7 @@ from snapdelta.sources.files import (
     file_sha256,
     inventory,
     list_files,
+    posix,
     remove_staging,
     write_texts,
 )
@@ -52,6 +53,14 @@ def test_listing_reports_modification_times(spark, tmp_path):
     assert list_files(spark, str(tmp_path)).select(F.unix_seconds("modified")).first()[0] == 1_700_000_000
 
 
+def test_paths_may_be_file_uris(spark, tmp_path):
+    grow(tmp_path, {"a": b"x"})
+    assert posix(f"file://{tmp_path}/") == posix(f"file:{tmp_path}") == posix(str(tmp_path)) == str(tmp_path)
+    assert list_files(spark, f"file://{tmp_path}").select("path").first()[0] == f"{tmp_path}/a"
+    with pytest.raises(ValueError, match="POSIX"):
+        list_files(spark, "hdfs://host/folder")
+
+
 def test_empty_folders_give_no_rows(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     assert list_files(spark, str(tmp_path)).isEmpty()
