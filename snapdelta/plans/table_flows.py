@@ -177,7 +177,7 @@ def _in_touched_files(rows: DataFrame, marked: DataFrame) -> DataFrame:
 
     A list of file names goes to the driver, so this is for few files. With more, all are read.
     """
-    if FILE not in marked.columns:
+    if FILE not in marked.columns or len(rows.inputFiles()) < 2:
         return rows
     touched = marked.select(FILE).distinct()
     if touched.count() > MOST_FILES:
