@@ -1,0 +1,48 @@
+from __future__ import annotations
+
+import public_tokenizers
+import pytest
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    return SF_DIR
+
+
+@pytest.fixture(scope="session")
+def tokenizer():
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture
+def make(spark):
+    """Documents from (doc_id, text) pairs, with columns whose names clash with those used inside."""
+
+    def frame(rows, extra=True):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        return df.selectExpr("*", "'x' AS uid", "1 AS length", "2 AS pack_group", "3 AS tie") if extra else df
+
+    return frame
+
+
+AWKWARD = [
+    (1, "The cat sat on the mat. <|endoftext|> It's 'S 12 %%% é́ İstanbul ŞİŞLİ"),
+    (2, None),
+    (3, ""),
+    (4, " \n\t\v\f\r  "),
+    (5, "tab\tand\x1cfile\x85next nbsp em  two"),
+    (6, "The cat sat on the mat."),
+    (6, "The cat sat on the mat."),
+    (6, "Another text under the same key"),
+    (None, "no key"),
+    (7, "long " * 9000 + "end"),
+    (8, "\U0001f600 한국어 한 Ωμέγας ΟΔΟΣ é́ <|start<|startoftext|>x"),
+    (9, "x" * 30000),
+]
+
+
+@pytest.fixture(scope="session")
+def awkward():
+    return AWKWARD
