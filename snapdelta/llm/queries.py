@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapdelta.llm import packing, token_files
+from snapdelta.llm import bpe, lm, packing, token_files
 from snapdelta.llm.common import table
 from snapdelta.session import scratch_dir
 
@@ -40,3 +40,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
+
+
+@query()
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query()
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
