@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
@@ -10,6 +12,18 @@ import regex
 # Fixed value: how the vocabulary's pre-tokenizer cuts normalised text.
 _PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SLICE = 1000
+_TOGETHER = 100_000
+#: A mark after a letter is always a pre-token of its own at the end of a word.
+_MARKS = frozenset(",.;:!?")
+
+
+def _lowered(text: str) -> str:
+    """The text in lower case where that gives the same ids, so that fewer words differ."""
+    if "<|" in text or "Σ" in text:
+        return text
+    lower = text.lower()
+    same = text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower))
+    return lower if same else text
 
 
 class WordEncoder:
@@ -19,7 +33,8 @@ class WordEncoder:
     the older one goes when the newer is full, so memory is bounded and the result never depends on it.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 600_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -37,16 +52,27 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the text as packed unsigned integers of ``dtype``."""
-        if not text:
-            return b""
-        words = text.replace("\n", " ").split(" ")
-        unknown = set(words).difference(self.new)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The packed ids of each text; new words are looked up for some texts at a time."""
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(_lowered(text).replace("\n", " ").split(" ") if text else [])
+            size += len(waiting[-1])
+            if size >= _TOGETHER:
+                yield from self._join(waiting)
+                waiting, size = [], 0
+        yield from self._join(waiting)
+
+    def _join(self, waiting: list[list[str]]) -> Iterator[bytes]:
+        unknown = set().union(*waiting).difference(self.new)
         if unknown:
             self._learn(unknown)
-        ids = b"".join(map(self.new.__getitem__, words))
+        for words in waiting:
+            yield b"".join(map(self.new.__getitem__, words))
         if len(self.new) > self.remember:
             self.old, self.new = self.new, {}
-        return ids
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Packed ids of each word; nothing is remembered."""
@@ -55,13 +81,23 @@ class WordEncoder:
             self._encode(words[k : k + _SLICE], found)
         return [found[w] for w in words]
 
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _learn(self, unknown: set[str]) -> None:
         known = unknown & self.old.keys()
         for w in known:
             self.new[w] = self.old[w]
-        rest = list(unknown - known)
-        for k in range(0, len(rest), _SLICE):
-            self._encode(rest[k : k + _SLICE], self.new)
+        rest = unknown - known
+        ended = {w for w in rest if w[-1:] in _MARKS and w[-2:-1].isalpha()}
+        stems = ({w[:-1] for w in ended} | {w[-1] for w in ended} | (rest - ended)).difference(self.new)
+        for w in stems & self.old.keys():
+            self.new[w] = self.old[w]
+        plain = list(stems.difference(self.new))
+        for k in range(0, len(plain), _SLICE):
+            self._encode(plain[k : k + _SLICE], self.new)
+        for w in ended:
+            self.new[w] = self.new[w[:-1]] + self.new[w[-1]]
 
     def _encode(self, words: list[str], into: dict[str, bytes]) -> None:
         """Plain words in one call, cut again where a pre-token ends; the others one by one."""
@@ -71,8 +107,9 @@ class WordEncoder:
                 odd.append(w)
             else:
                 together.append(w)
-                counts.append(len(_PRE_TOKENS.findall(unicodedata.normalize("NFC", w).lower())))
-        ids = np.array(self.library.encode(" ".join(together), add_special_tokens=False).ids, self.dtype)
+                simple = w.isascii() and w.isalpha()
+                counts.append(1 if simple else len(_PRE_TOKENS.findall(unicodedata.normalize("NFC", w).lower())))
+        ids = np.array(self._ids(" ".join(together)), self.dtype)
         stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
         last = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
         if last[-1] == len(stops) - 1 and stops[-1] == len(ids):
@@ -82,7 +119,7 @@ class WordEncoder:
         else:
             odd += together
         for w in odd:
-            into[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
+            into[w] = np.array(self._ids(w), self.dtype).tobytes()
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -27,8 +27,9 @@ def pieces(
         end = np.array([end_id], words.dtype).tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(words.encode(text.as_py()) + end, words.dtype)
+            encoded = words.encode_all(text.as_py() for text in batch.column(1))
+            for doc, packed in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids = np.frombuffer(packed + end, words.dtype)
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     row = (doc, k, start, len(part), zlib.crc32(part.astype("<u4").tobytes()))

@@ -60,9 +60,9 @@ def _writer(folder: str, tokenizer: str, end_id: int | None):
         out, keys, nulls, sizes = None, [], [], [0]
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            for i in range(len(batch)):
+            for packed in words.encode_all(text.as_py() for text in column):
                 out = out or fs.open_output_stream(f"{base}/data/{name}.ids")
-                packed = words.encode(column[i].as_py()) + end
+                packed += end
                 out.write(packed)
                 sizes.append(len(packed) // words.dtype.itemsize)
             nulls.append(np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8))
