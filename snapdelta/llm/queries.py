@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapdelta.llm import bpe, lm, minhash, packing, token_files
+from snapdelta.llm import bpe, lm, minhash, packing, suffix, token_files
 from snapdelta.llm.common import table
 from snapdelta.session import scratch_dir
 
@@ -56,3 +56,8 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query()
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_strings(table(spark, sf_dir, "documents"))
