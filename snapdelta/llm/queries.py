@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapdelta.llm import bpe, lm, minhash, packing, suffix, token_files
+from snapdelta.llm import bpe, lm, minhash, packing, quality, suffix, token_files
 from snapdelta.llm.common import table
 from snapdelta.session import scratch_dir
 
@@ -61,3 +61,93 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_strings(table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+QUALITY_SQL = rf"""
+WITH texts AS (
+    SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+),
+places AS (SELECT rid, words, unnest(range(1, len(words) + 1)) AS pos FROM texts),
+windows AS (
+    SELECT rid, pos, count(*) OVER (PARTITION BY rid, array_to_string(words[pos:pos + 7], ' ')) AS times
+    FROM places WHERE pos + 7 <= len(words)
+),
+covered AS (
+    SELECT rid, count(DISTINCT pos + k) AS n
+    FROM windows, (SELECT unnest(range(0, 8)) AS k) WHERE times > 1 GROUP BY rid
+),
+stutters AS (SELECT rid, count(*) FILTER (WHERE pos > 1 AND words[pos] = words[pos - 1]) AS n FROM places GROUP BY rid),
+counts AS (
+    SELECT rid, doc_id, lang, source, len(words) AS n_words,
+        coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+        coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, coalesce(stutters.n, 0)::BIGINT AS n_stutters
+    FROM texts LEFT JOIN covered USING (rid) LEFT JOIN stutters USING (rid)
+),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
+rules(rule, spreads, margin, both_sides) AS (
+    VALUES {", ".join(f"('{r.name}', {r.spreads}, {r.margin}, {r.both_sides})" for r in quality.RULES)}
+),
+measures AS (
+    {" UNION ALL ".join(f"SELECT rid, '{r.name}' AS rule, {r.part} * 1000 // nullif({r.whole}, 0) AS value FROM based" for r in quality.RULES)}
+),
+sketch AS (
+    SELECT lang, source, rule, (value >> greatest(length(bin(value)) - 10, 0)) << greatest(length(bin(value)) - 10, 0) AS bucket,
+        count(*) AS n
+    FROM measures JOIN based USING (rid) WHERE NOT base_failed AND value IS NOT NULL GROUP BY ALL
+),
+levels AS (
+    SELECT 2 AS level, lang, source, rule, bucket, n FROM sketch
+    UNION ALL SELECT 1, lang, NULL, rule, bucket, sum(n) FROM sketch GROUP BY ALL
+    UNION ALL SELECT 0, NULL, NULL, rule, bucket, sum(n) FROM sketch GROUP BY ALL
+),
+ranked AS (
+    SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) AS below,
+        sum(n) OVER (PARTITION BY level, lang, source, rule) AS total
+    FROM levels
+),
+quarters AS (
+    SELECT level, lang, source, rule, max(total) AS total, min(bucket) FILTER (WHERE below * 4 >= total) AS q1,
+        min(bucket) FILTER (WHERE below * 4 >= total * 2) AS q2, min(bucket) FILTER (WHERE below * 4 >= total * 3) AS q3
+    FROM ranked GROUP BY ALL
+),
+fences AS (
+    SELECT level, lang, source, rule, total, q2,
+        CASE WHEN both_sides THEN q2 - greatest(spreads * least(q2 - q1, q3 - q2), margin) END AS low,
+        q2 + greatest(spreads * least(q2 - q1, q3 - q2), margin) AS high
+    FROM quarters JOIN rules USING (rule)
+),
+by_lang AS (
+    SELECT f.lang, f.rule,
+        f.total >= {quality.LEAST_ROWS} AND f.q2 <= a.high AND (a.low IS NULL OR f.q2 >= a.low) AS fits,
+        CASE WHEN fits THEN f.low ELSE a.low END AS low, CASE WHEN fits THEN f.high ELSE a.high END AS high
+    FROM fences f JOIN fences a ON f.rule = a.rule AND f.level = 1 AND a.level = 0
+),
+by_source AS (
+    SELECT f.lang, f.source, f.rule,
+        f.total >= {quality.LEAST_ROWS} AND f.q2 <= a.high AND (a.low IS NULL OR f.q2 >= a.low) AS fits,
+        CASE WHEN fits THEN f.low ELSE a.low END AS low, CASE WHEN fits THEN f.high ELSE a.high END AS high
+    FROM fences f JOIN by_lang a ON f.rule = a.rule AND f.lang IS NOT DISTINCT FROM a.lang AND f.level = 2
+),
+broken AS (
+    SELECT rid, count(*) AS n FROM measures JOIN based USING (rid)
+    JOIN by_source s ON s.rule = measures.rule AND s.lang IS NOT DISTINCT FROM based.lang AND s.source IS NOT DISTINCT FROM based.source
+    WHERE value > high OR value < low GROUP BY rid
+)
+"""
+
+
+@query(
+    QUALITY_SQL
+    + """
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT base_failed AND broken.rid IS NULL AS kept
+    FROM based LEFT JOIN broken USING (rid)
+    """
+)
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).drop("n_lines", "n_stutters", "broken")
