@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapdelta.llm import bpe, lm, minhash, packing, quality, suffix, token_files
+from snapdelta.llm import bpe, lm, minhash, packing, quality, range_join, shards, site_tree, suffix, token_files
 from snapdelta.llm.common import table
 from snapdelta.session import scratch_dir
 
@@ -151,3 +151,18 @@ broken AS (
 )
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).drop("n_lines", "n_stutters", "broken")
+
+
+@query()
+def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.linked_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extracted(table(spark, sf_dir, "pages"))
