@@ -180,7 +180,7 @@ class Model:
         rng = np.random.default_rng(seed)
         smooth = counts.output_counts + 1.0
         blocked = counts.output_counts == 0
-        blocked[RARE] = False  # an unseen word belongs here
+        blocked[[END, RARE]] = False  # every text ends, and an unseen word belongs to the rare ones
         return cls(
             rng.normal(0, 0.3, (m + 1, d)).astype(np.float32),
             np.array([[1.0] * d, [0.5] * d], np.float32),
