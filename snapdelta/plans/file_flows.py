@@ -36,7 +36,7 @@ from snapdelta.plans import steps
 from snapdelta.plans.stages import Pipeline, Stage, Transform
 from snapdelta.plans.steps import component_types, decide, gather, newest_version
 from snapdelta.sources.files import copy_files, file_sha256, list_files, posix, remove_staging, spread
-from snapdelta.sources.interchange import export_log, export_state, import_log, import_state
+from snapdelta.sources.interchange import ENTRIES_PER_DOCUMENT, export_log, export_state, import_log, import_state
 from snapdelta.sources.log import append_log, load_log
 from snapdelta.sources.state import load_state, save_state
 
@@ -143,20 +143,32 @@ def import_store(spark: SparkSession, hashes: str, dates: str, store: str) -> No
         append_log(spark, f"{store}/log", log)
 
 
-def export_store(spark: SparkSession, store: str, hashes: str, dates: str) -> None:
-    """Write hash state and version log as JSON folders."""
+def export_store(
+    spark: SparkSession, store: str, hashes: str, dates: str, entries_per_document: int = ENTRIES_PER_DOCUMENT
+) -> None:
+    """Write hash state and version log as JSON folders, with a document on each line."""
     known = load_state(spark, f"{store}/state", STATE_KEY)
-    export_state(known.withColumnRenamed("path", "key"), hashes)
-    export_log(load_log(spark, f"{store}/log"), dates)
+    export_state(known.withColumnRenamed("path", "key"), hashes, entries_per_document)
+    export_log(load_log(spark, f"{store}/log"), dates, entries_per_document)
 
 
 def discover(root: str, tasks: int | None = None) -> Transform:
-    """Generator: a new entity with a path for each file below ``root``, per entity given."""
+    """Generator: a new entity with a path for each file below ``root``, per entity given.
+
+    For many entities, a file is repeated in two steps, so that no row holds more than a root of their number.
+    """
 
     def generate(entities: DataFrame) -> DataFrame:
-        per_entity = F.array_repeat(F.lit(0), F.lit(entities.count()))
+        n = entities.count()
+        step = max(1, round(n**0.5))
         files = list_files(entities.sparkSession, root, tasks)
-        files = files.select("path", F.posexplode(per_entity).alias("entity", "_"))
+        if n != 1:
+            starts = F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step))) if n else F.explode(F.array().cast("array<int>"))
+            files = files.select("path", starts.alias("start"))
+            last = F.least(F.col("start") + step - 1, F.lit(n - 1))
+            files = files.select("path", F.explode(F.sequence("start", last)).alias("entity"))
+        else:
+            files = files.select("path", F.lit(0).alias("entity"))
         return files.select(entity_id("entity", "path").alias("entity_id"), _path_component())
 
     return generate

@@ -1,6 +1,7 @@
 """The version log: the dates at which versions were made.
 
-Each addition writes the whole log, a date per run, as a new ``entry=N`` folder; the newest finished one counts.
+An addition writes its dates as a new ``entry=N`` folder. Reading puts together the entries since the last ``full=N`` folder, and
+that one; after ``COMPACT_AFTER`` entries the next addition writes a full one.
 """
 
 from __future__ import annotations
@@ -11,20 +12,39 @@ from pyspark.sql import types as T
 from snapdelta.operators.versions import log_add
 from snapdelta.sources.folders import child_folders, committed
 
+COMPACT_AFTER = 32
 LOG_SCHEMA = T.StructType([T.StructField("backup_date", T.TimestampType())])
 
 
 def load_log(spark: SparkSession, path: str) -> DataFrame:
     """All dates, once each; an empty frame if the log does not exist."""
-    for name in reversed(child_folders(spark, path)):
-        if committed(spark, f"{path}/{name}"):
-            return spark.read.schema(LOG_SCHEMA).parquet(f"{path}/{name}")
-    return spark.createDataFrame([], LOG_SCHEMA)
+    folders = [f"{path}/{name}" for name in _current(spark, path)]
+    if not folders:
+        return spark.createDataFrame([], LOG_SCHEMA)
+    return spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true").parquet(*folders).distinct()
 
 
 def append_log(spark: SparkSession, path: str, dates: DataFrame) -> str:
     """Add dates; those already there collapse. Returns the folder written."""
-    serial = max([int(n.rpartition("=")[2]) for n in child_folders(spark, path)], default=0) + 1
-    folder = f"{path}/entry={serial:08d}"
-    log_add(load_log(spark, path), dates).write.parquet(folder)
+    serial = max([_number(n) for n in child_folders(spark, path)], default=0) + 1
+    rows, kind = dates.select("backup_date").distinct(), "entry"
+    if len(_current(spark, path)) > COMPACT_AFTER:
+        rows, kind = log_add(load_log(spark, path), dates), "full"
+    folder = f"{path}/{kind}={serial:08d}"
+    rows.write.parquet(folder)
     return folder
+
+
+def _current(spark: SparkSession, path: str) -> list[str]:
+    """Folders that make up the log, oldest first."""
+    current: list[str] = []
+    for name in sorted(child_folders(spark, path), key=_number, reverse=True):
+        if committed(spark, f"{path}/{name}"):
+            current.insert(0, name)
+            if name.startswith("full="):
+                break
+    return current
+
+
+def _number(folder: str) -> int:
+    return int(folder.rpartition("=")[2])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapdelta.session import scratch_dir
+from snapdelta.plans import file_flows
 from snapdelta.sources import interchange, log, snapshots, state
 
 KEY = [T.StructField("path", T.StringType())]
@@ -125,16 +126,45 @@ def test_json_state_export_reads_back(spark, tmp_path, rows):
     assert rows(interchange.import_state(spark, f"{tmp_path}/one")) == rows(frame)
 
 
-def test_large_json_state_is_split(spark, tmp_path, rows, monkeypatch):
-    monkeypatch.setattr(interchange, "ENTRIES_PER_DOCUMENT", 10)
+@pytest.mark.parametrize("text", ["", "  \n", '{"a":"b"} trailing {', '{"a":"b"} {"c":"d"}', "[1] x"])
+@pytest.mark.parametrize("load", [interchange.import_state, interchange.import_log])
+def test_blank_and_trailing_text_fail(spark, tmp_path, load, text):
+    (tmp_path / "odd.json").write_text(text)
+    with pytest.raises(Exception, match="MALFORMED_RECORD|JSON document"):
+        load(spark, f"{tmp_path}/odd.json").collect()
+
+
+@pytest.mark.parametrize("entries", [7, 10_000])
+def test_store_export_reads_back_whole(spark, tmp_path, rows, entries):
+    known = hashes(spark, **{f"k{n}": f"h{n}" for n in range(1000)})
+    key = [known.schema["path"]]
+    state.save_state(spark, f"{tmp_path}/a/state", known, key)
+    moments = spark.range(300).select(F.timestamp_seconds("id").alias("backup_date"))
+    log.append_log(spark, f"{tmp_path}/a/log", moments)
+    file_flows.export_store(spark, f"{tmp_path}/a", f"{tmp_path}/hashes", f"{tmp_path}/dates", entries)
+    file_flows.import_store(spark, f"{tmp_path}/hashes", f"{tmp_path}/dates", f"{tmp_path}/b")
+    assert rows(state.load_state(spark, f"{tmp_path}/b/state", key)) == rows(known)
+    assert rows(log.load_log(spark, f"{tmp_path}/b/log")) == rows(moments)
+
+
+def test_log_additions_are_put_together(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(log, "COMPACT_AFTER", 3)
+    for n in range(9):
+        log.append_log(spark, str(tmp_path), spark.range(n, n + 2).select(F.timestamp_seconds("id").alias("backup_date")))
+    assert log.load_log(spark, str(tmp_path)).count() == 10
+    assert any(p.name.startswith("full=") for p in tmp_path.iterdir())
+
+
+def test_large_json_state_is_split(spark, tmp_path, rows):
     frame = hashes(spark, **{f"k{n}": f"h{n}" for n in range(100)}).withColumnRenamed("path", "key")
-    interchange.export_state(frame, f"{tmp_path}/many")
+    interchange.export_state(frame, f"{tmp_path}/many", 10)
     objects = "".join(p.read_text() for p in (tmp_path / "many").glob("*.txt")).splitlines()
     assert len(objects) > 5
     assert rows(interchange.import_state(spark, f"{tmp_path}/many", one_document=False)) == rows(frame)
     moments = spark.range(100).select(F.timestamp_seconds("id").alias("backup_date"))
-    interchange.export_log(moments, f"{tmp_path}/dates")
+    interchange.export_log(moments, f"{tmp_path}/dates", 10)
     assert rows(interchange.import_log(spark, f"{tmp_path}/dates", one_document=False)) == rows(moments)
+    assert rows(interchange.import_log(spark, f"{tmp_path}/dates")) == rows(moments)
 
 
 def test_json_log(spark, tmp_path, rows):
