@@ -7,21 +7,30 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The two date formats, whole seconds both.
-VERSION_FORMAT = "yyyyMMddHHmmss"
-DISPLAY_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# The two date formats are yyyyMMddHHmmss and yyyy-MM-dd HH:mm:ss, whole seconds both.
 
 EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
 
 def version_stamp(ts: Column) -> Column:
-    """Version name of a point in time; fractions of a second are cut off."""
-    return F.date_format(ts, VERSION_FORMAT)
+    """Version name of a point in time in UTC, whatever the session's zone; fractions of a second are cut off."""
+    return _in_utc(ts, "yyyyMMdd", "", "")
 
 
 def display_date(ts: Column) -> Column:
-    """A stored date as shown to people."""
-    return F.date_format(ts, DISPLAY_FORMAT)
+    """A stored date as shown to people, in UTC."""
+    return _in_utc(ts, "yyyy-MM-dd", " ", ":")
+
+
+def _in_utc(ts: Column, day_format: str, after_day: str, between: str) -> Column:
+    """Day and time counted from the epoch: formatting a timestamp would use the session's zone."""
+    micros_of = F.unix_micros(ts)
+    second = (micros_of - F.pmod(micros_of, F.lit(1_000_000))) / F.lit(1_000_000)
+    in_day = F.pmod(second.cast("long"), F.lit(86_400))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), ((second - in_day) / 86_400).cast("int"))
+    hour, minute = F.floor(in_day / 3600), F.floor(F.pmod(in_day, F.lit(3600)) / 60)
+    parts = [F.lpad(x.cast("string"), 2, "0") for x in (hour, minute, F.pmod(in_day, F.lit(60)))]
+    return F.concat(F.date_format(day, day_format), F.lit(after_day), F.concat_ws(between, *parts))
 
 
 def stamp_of(moment: dt.datetime) -> str:

@@ -30,6 +30,6 @@ def stamp(when: Column, moment: Column) -> Column:
 
 def merge_state(state: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
     """State after a run: updated keys take the new hash, all others stay, none is removed."""
-    columns = [*key, "content_hash"]
-    kept = state.select(*columns).join(updates.select(*key), list(key), "left_anti")
-    return kept.unionByName(updates.select(*columns))
+    new = updates.select(*key, F.col("content_hash").alias("_new"), F.lit(True).alias("_updated"))
+    merged = state.select(*key, "content_hash").join(new, list(key), "full")
+    return merged.select(*key, F.when(F.col("_updated"), F.col("_new")).otherwise(F.col("content_hash")).alias("content_hash"))

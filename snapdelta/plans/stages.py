@@ -21,6 +21,7 @@ Transform = Callable[[DataFrame], DataFrame]
 
 # Fixed value: the name of a stage that was given none.
 UNNAMED = "Unnamed Pipe"
+_GIVEN = "_snapdelta_given"
 
 
 @dataclass(frozen=True)
@@ -71,14 +72,22 @@ class Pipeline:
         from the second stage on.
         """
         key = list(self.key)
-        rows = entities if storage is None else entities.select(*key).join(storage, key, "left")
+        others = None
+        if storage is None:
+            rows = entities
+        else:
+            # One join for both: the given entities with what is stored of them, and what else is stored.
+            given = entities.select(*key, F.lit(True).alias(_GIVEN))
+            joined = given.join(storage, key, "full")
+            rows = joined.where(F.col(_GIVEN)).drop(_GIVEN)
+            others = joined.where(F.col(_GIVEN).isNull()).drop(_GIVEN)
         for position, stage in enumerate(self.stages):
             made = stage.generate(rows)
             rows = stage.apply(rows)
             if position == 0:
                 rows = rows if distinct_input else rows.dropDuplicates(key)
-                if storage is not None:
-                    made.append(storage.join(entities.select(*key), key, "left_anti"))
+                if others is not None:
+                    made.append(others)
             rows = populated(_append(rows, made), key)
             if stage.cut:
                 rows = _written(rows, stage.name)
