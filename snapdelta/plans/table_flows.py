@@ -11,7 +11,6 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,19 +28,18 @@ from snapdelta.functions.status import (
 )
 from snapdelta.operators.components import has_component, set_component
 from snapdelta.operators.delta import with_prior
-from snapdelta.operators.prefilter import anti_join, semi_join
 from snapdelta.plans import steps
 from snapdelta.plans.stages import Pipeline, Stage, Transform
 from snapdelta.plans.steps import component_types, decide, gather, newest_version
 from snapdelta.session import scratch_dir
 from snapdelta.sources.log import append_log
-from snapdelta.sources.snapshots import read_version, write_version
+from snapdelta.sources.snapshots import HASH_IN_VERSION, RESERVED, read_version, write_version
 from snapdelta.sources.state import has_state, load_state, save_state
 
-# Below this share of changed rows the changes lie thin in many tasks: gather them before writing.
-GATHER_BELOW = 0.25
-# Up to here the files with changes are named one by one when the content is read again.
-MOST_FILES = 10_000
+# Changed rows are written in slices of about so many keys, the most that is broadcast at once.
+SLICE_KEYS = 1_000_000
+# So few changed rows are put into few files, by a shuffle of these rows alone. More are written where they are read.
+GATHERED = 10_000
 FILE = "_snapdelta_file"
 
 
@@ -70,25 +68,30 @@ def backup_table(
 
     The first run hashes and writes in a single pass. Later ones read the content once to hash it and, if
     anything changed, read what is needed to write it: where ``current`` comes straight from files, only
-    the files with changes. Only keys and hashes are joined with the state.
+    the files with changes, in slices whose keys are broadcast, so that content is never shuffled. Only keys
+    and hashes are joined with the state. Column names that begin with ``_snapdelta_`` are reserved.
     """
+    taken = [name for name in current.columns if name.lower().startswith(RESERVED)]
+    if taken:
+        raise ValueError(f"reserved column names in the source: {', '.join(taken)}")
     run_ts = run_ts or dt.datetime.now(dt.timezone.utc)
     fields = [current.schema[name] for name in key]
     state = load_state(spark, f"{store}/state", fields)
     report = detect(current, key, content, state, run_ts)
 
-    rows = current.withColumn("content_hash", hash_of_columns(current, content))
+    rows = current.withColumn(HASH_IN_VERSION, hash_of_columns(current, content))
     if has_state(spark, f"{store}/state"):
         located = detect(_located(current), key, content, state, run_ts)
-        rows = _changed_rows(rows, located, key)
+        slices = _changed_rows(rows, located, key)
     else:
         # Not a test of the hash itself, which would be computed for the test and for the row.
         rows = rows.where(has_component(*key, *(content if len(content) == 1 else ())))
-        rows = None if rows.isEmpty() else rows
-    if rows is None:
+        slices = [] if rows.isEmpty() else [rows]
+    if not slices:
         return report
-    batch = write_version(spark, f"{store}/versions", stamp_of(run_ts), rows)
-    written = spark.read.schema(T.StructType([*fields, T.StructField("content_hash", T.StringType())])).parquet(batch)
+    batch = write_version(spark, f"{store}/versions", stamp_of(run_ts), *slices)
+    written = spark.read.schema(T.StructType([*fields, T.StructField(HASH_IN_VERSION, T.StringType())])).parquet(batch)
+    written = written.withColumnRenamed(HASH_IN_VERSION, "content_hash")
     append_log(spark, f"{store}/log", spark.range(0, 1, 1, 1).select(timestamp_literal(run_ts).alias("backup_date")))
     save_state(spark, f"{store}/state", written, fields)
     return report
@@ -121,8 +124,11 @@ def restore_latest_table(spark: SparkSession, store: str, key: Sequence[str]) ->
 
 
 def put_over(target: DataFrame, restored: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``target`` with restored rows in place of its rows of the same key; other rows stay."""
-    kept = anti_join(target, restored.select(*key), key, restored.count())
+    """``target`` with restored rows in place of its rows of the same key; other rows stay.
+
+    One anti join: Spark broadcasts the restored keys if they are few and else shuffles both sides by key.
+    """
+    kept = target.join(restored.select(*key), list(key), "left_anti")
     return kept.unionByName(restored.select(*target.columns))
 
 
@@ -142,11 +148,12 @@ def look_up(state: DataFrame, key: Sequence[str]) -> Transform:
     return transform
 
 
-def _changed_rows(rows: DataFrame, located: DataFrame, key: Sequence[str]) -> DataFrame | None:
-    """The stamped ones of ``rows``; None if there are none.
+def _changed_rows(rows: DataFrame, located: DataFrame, key: Sequence[str]) -> list[DataFrame]:
+    """The stamped ones of ``rows``, in slices; none if there are none.
 
-    The keys become a table of their own, so that their number and size are known before the content
-    is read for writing.
+    The keys become a table of their own, with a mark of the file each was read from. A slice is some files
+    with changes and their keys; a file with more keys than a slice holds is read for each part of
+    them. A source that is not files is read once, with one semi join.
     """
     spark = rows.sparkSession
     path = scratch_dir(spark, "marked")
@@ -157,32 +164,53 @@ def _changed_rows(rows: DataFrame, located: DataFrame, key: Sequence[str]) -> Da
     marked = spark.read.schema(marked.schema).parquet(path)
     n_marked = marked.count()
     if not n_marked:
-        return None
+        return []
     # A repeated task may count rows twice, but never too few: equal numbers do mean all rows.
-    if n_marked < seen.get["n"]:
-        rows = semi_join(_in_touched_files(rows, marked), marked.select(*key), key, n_marked)
-    return gather(rows) if n_marked < GATHER_BELOW * seen.get["n"] else rows
-
+    if n_marked == seen.get["n"]:
+        return [rows]
+    if FILE in marked.columns:
+        slices = [_slice(rows, marked, key, *part) for part in _parts(_touched(rows, marked))]
+    else:
+        slices = [rows.join(marked.select(*key), list(key), "left_semi")]
+    return [gather(rows) for rows in slices] if n_marked <= GATHERED else slices
 
-def _located(df: DataFrame) -> DataFrame:
-    """``df`` with a short mark of the file each row was read from, if it comes straight from files."""
-    try:
-        return df if "_metadata" in df.columns else df.withColumn(FILE, F.xxhash64("_metadata.file_path"))
-    except AnalysisException:
-        return df
 
+def _touched(rows: DataFrame, marked: DataFrame) -> list[tuple[str, int, int]]:
+    """Name, mark and number of changed keys of each file with changes: a part of the list of files that the driver holds anyway."""
+    counts = marked.groupBy(FILE).agg(F.count(F.lit(1)).alias("n"))
+    names = rows.select("_metadata.file_path").distinct().withColumn(FILE, F.xxhash64("file_path"))
+    return [tuple(r) for r in names.join(counts, FILE).select("file_path", FILE, "n").orderBy("file_path").collect()]
+
+
+def _parts(touched: list[tuple[str, int, int]]) -> list[tuple[list[str], list[int], int, int]]:
+    """Files, their marks, and which part of how many of their keys, for every slice."""
+    parts: list[tuple[list[str], list[int], int, int]] = []
+    names, marks, keys = [], [], 0
+    for name, mark, n in touched:
+        if n > SLICE_KEYS:
+            whole = -(-n // SLICE_KEYS)
+            parts += [([name], [mark], i, whole) for i in range(whole)]
+            continue
+        if keys + n > SLICE_KEYS:
+            parts.append((names, marks, 0, 1))
+            names, marks, keys = [], [], 0
+        names.append(name)
+        marks.append(mark)
+        keys += n
+    return [*parts, (names, marks, 0, 1)] if names else parts
+
+
+def _slice(
+    rows: DataFrame, marked: DataFrame, key: Sequence[str], names: list[str], marks: list[int], part: int, whole: int
+) -> DataFrame:
+    mine = F.pmod(F.xxhash64(*key), F.lit(whole)) == part if whole > 1 else F.lit(True)
+    keys = marked.where(F.col(FILE).isin(marks) & mine).select(*key)
+    # At most SLICE_KEYS keys.
+    return rows.where(F.col("_metadata.file_path").isin(names) & mine).join(F.broadcast(keys), list(key), "left_semi")
 
-def _in_touched_files(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """``rows`` without the files that hold no marked row; Spark does not open those.
 
-    A list of file names goes to the driver, so this is for few files. With more, all are read.
-    """
-    if FILE not in marked.columns or len(rows.inputFiles()) < 2:
-        return rows
-    touched = marked.select(FILE).distinct()
-    if touched.count() > MOST_FILES:
-        return rows
-    # At most MOST_FILES marks of 8 bytes.
-    names = rows.select("_metadata.file_path").distinct().withColumn(FILE, F.xxhash64("file_path"))
-    names = names.join(F.broadcast(touched), FILE, "left_semi").select("file_path").collect()
-    return rows.where(F.col("_metadata.file_path").isin([name for (name,) in names]))
+def _located(df: DataFrame) -> DataFrame:
+    """``df`` with a short mark of the file each row was read from, if it comes straight from files."""
+    hidden = df._jdf.queryExecution().analyzed().metadataOutput()
+    from_files = any(hidden.apply(i).name() == "_metadata" for i in range(hidden.size()))
+    return df.withColumn(FILE, F.xxhash64("_metadata.file_path")) if from_files and "_metadata" not in df.columns else df

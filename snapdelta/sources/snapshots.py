@@ -15,13 +15,22 @@ from pyspark.sql import types as T
 
 from snapdelta.sources.folders import child_folders, committed
 
+# The hash of a row goes into a version under a name that no source column may have.
+RESERVED = "_snapdelta_"
+HASH_IN_VERSION = f"{RESERVED}hash"
 
-def write_version(spark: SparkSession, root: str, version: str, rows: DataFrame) -> str:
-    """Write the rows of one version as a new batch. Returns the folder written."""
+
+def write_version(spark: SparkSession, root: str, version: str, *slices: DataFrame) -> str:
+    """Write the rows of one version, given in one or several slices, as a new batch. Returns the folder written.
+
+    Only the last slice leaves the success marker, so a batch counts when it is whole.
+    """
     folder = f"{root}/version={version}"
     serial = max([int(n.rpartition("=")[2]) for n in child_folders(spark, folder)], default=0) + 1
     batch = f"{folder}/batch={serial:08d}"
-    rows.write.parquet(batch)
+    for position, rows in enumerate(slices, 1):
+        last = str(position == len(slices)).lower()
+        rows.write.mode("append").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", last).parquet(batch)
     return batch
 
 
@@ -36,8 +45,9 @@ def read_version(
 ) -> DataFrame | None:
     """The rows of one version, or None if it does not exist. No other version is opened.
 
-    A key in several batches of the version is taken from the last one. Only the keys of later
-    batches are compared; with one batch, the usual case, this is a plain scan.
+    A key in several batches of the version is taken from the last one. The keys that are in later batches are
+    found from key columns alone; with one batch, the usual case, this is a plain scan. The hash shows as
+    ``content_hash`` and the version as ``version`` unless the source has such columns of its own.
     """
     folders = _batches(spark, root, version)
     if not folders:
@@ -48,10 +58,14 @@ def read_version(
     for position, batch in enumerate(batches):
         later = [b.select(*key) for b in batches[position + 1 :]]
         if later:
-            batch = batch.join(reduce(DataFrame.unionByName, later), list(key), "left_anti")
+            lost = batch.select(*key).join(reduce(DataFrame.unionByName, later), list(key), "left_semi")
+            batch = batch.join(lost, list(key), "left_anti")
         visible.append(batch)
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), visible)
-    return rows.withColumn("version", F.lit(version))
+    if HASH_IN_VERSION in rows.columns:
+        own = "content_hash" in rows.columns
+        rows = rows.drop(HASH_IN_VERSION) if own else rows.withColumnRenamed(HASH_IN_VERSION, "content_hash")
+    return rows if "version" in rows.columns else rows.withColumn("version", F.lit(version))
 
 
 def _batches(spark: SparkSession, root: str, version: str) -> list[str]:

@@ -8,7 +8,6 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
-from snapdelta.operators import prefilter
 from snapdelta.plans import table_flows
 from snapdelta.plans.steps import query_versions
 from snapdelta.plans.table_flows import backup_table, put_over, restore_latest_table, restore_table
@@ -172,11 +171,52 @@ def test_sources_without_file_names_are_read_whole(spark, in_files, reshape):
     assert restore_latest_table(spark, store, KEY).rows.count() == 500
 
 
-def test_many_touched_files_are_not_named(spark, in_files, monkeypatch):
+@pytest.mark.parametrize("keys", [1, 90, 1000])
+def test_slices_of_any_size_shuffle_no_content(spark, in_files, monkeypatch, keys):
     source, store = in_files
-    monkeypatch.setattr(table_flows, "MOST_FILES", 0)
-    backup_table(spark, source, KEY, ["text"], store, RUNS[1])
-    assert restore_latest_table(spark, store, KEY).rows.count() == 500
+    monkeypatch.setattr(table_flows, "SLICE_KEYS", keys if keys > 1 else 20)
+    monkeypatch.setattr(table_flows, "GATHERED", 10)
+    written = []
+    write = table_flows.write_version
+    monkeypatch.setattr(table_flows, "write_version", lambda *args: written.extend(args[3:]) or write(*args))
+    many = source.withColumn("text", F.when(F.col("id").between(2500, 4500), "changed").otherwise(F.col("text")))
+    backup_table(spark, many, KEY, ["text"], store, RUNS[1])
+    assert len(written) >= 2001 / max(keys, 20) - 1
+    for rows in written[:3]:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+        assert len(exchanges) == 1 and "BroadcastExchange" in exchanges[0]
+    rows = restore_latest_table(spark, store, KEY).rows
+    assert rows.count() == rows.select("id").distinct().count() == 2001 and rows.where("text != 'changed'").isEmpty()
+
+
+def test_a_source_with_columns_named_like_ours_comes_back_whole(spark, tmp_path):
+    frame = docs(spark, a="1", b="2").selectExpr("*", "'v9' AS version", "'mine' AS content_hash")
+    backup_table(spark, frame, KEY, ["text"], str(tmp_path), RUNS[0])
+    again = frame.withColumn("text", F.when(F.col("id") == "b", "3").otherwise(F.col("text")))
+    backup_table(spark, again, KEY, ["text"], str(tmp_path), RUNS[1])
+    rows = restore_latest_table(spark, str(tmp_path), KEY).rows
+    assert [r.asDict() for r in rows.collect()] == [{"id": "b", "text": "3", "version": "v9", "content_hash": "mine"}]
+    with pytest.raises(ValueError, match="_snapdelta_hash"):
+        backup_table(spark, frame.withColumn("_snapdelta_hash", F.lit(1)), KEY, ["text"], str(tmp_path), RUNS[2])
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_nested_and_timestamp_changes_are_found_in_every_zone(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        old = "array('a, b') AS x, map('k', 1) AS m, timestamp_seconds(1730611800) AS t"
+        new = "array('a', 'b') AS x, map('k', 1) AS m, timestamp_seconds(1730611800) AS t"
+        later = "array('a, b') AS x, map('k', 1) AS m, timestamp_seconds(1730615400) AS t"
+        first = spark.sql(f"SELECT 1 AS id, {old} UNION ALL SELECT 2, {old} UNION ALL SELECT 3, {old}")
+        backup_table(spark, first, KEY, ["x", "m", "t"], str(tmp_path), RUNS[0])
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        second = spark.sql(f"SELECT 1 AS id, {new} UNION ALL SELECT 2, {later} UNION ALL SELECT 3, {old}")
+        report = backup_table(spark, second, KEY, ["x", "m", "t"], str(tmp_path), RUNS[1])
+        assert sorted(r.id for r in report.where("backup_date IS NOT NULL").collect()) == [1, 2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
 def test_put_over_replaces_same_keys_only(spark, rows):
@@ -194,34 +234,6 @@ def test_composite_key(spark, tmp_path):
     assert [tuple(r) for r in rows.select("conv", "turn", "text").collect()] == [(1, 2, "bb")]
 
 
-@pytest.mark.parametrize("n_keys", [prefilter.FEW + 1, 5])
-def test_joins_behind_the_bitmap_are_exact(spark, n_keys):
-    rows = spark.range(200_000).select(F.col("id").alias("a"), (F.col("id") % 7).cast("string").alias("b"), F.lit("x").alias("c"))
-    rows = rows.unionByName(spark.createDataFrame([(None, "0", "x"), (5, None, "x")], "a long, b string, c string"))
-    keys = rows.where("a % 400 = 0").select("a", "b")
-    kept = prefilter.semi_join(rows, keys, ["a", "b"], n_keys)
-    others = prefilter.anti_join(rows, keys, ["a", "b"], n_keys)
-    assert kept.columns == others.columns == rows.columns
-    assert kept.count() == 500 and kept.exceptAll(rows.where("a % 400 = 0")).isEmpty()
-    assert others.count() == 200_002 - 500
-    assert others.where("a % 400 = 0").isEmpty() and others.where("a is null or b is null").count() == 2
-
-
-def test_bitmap_lets_few_others_through(spark):
-    rows = spark.range(200_000).withColumnRenamed("id", "a")
-    keys = rows.where("a % 400 = 0")
-    passed = prefilter._flagged(rows, keys, ["a"], 500).where("_possible").select("a")
-    assert keys.exceptAll(passed).isEmpty()
-    assert passed.count() < 500 + 200_000 / prefilter.POSITIONS_PER_KEY * 1.1
-
-
-def test_bitmap_size_is_bounded():
-    assert prefilter._positions(1) == 16
-    assert prefilter._positions(1000) == 16_384
-    assert prefilter._positions(10**9) == prefilter.MOST_POSITIONS
-    assert prefilter.MOST_POSITIONS / 8 <= 64 * 2**20
-
-
 def test_many_runs_agree_with_a_dictionary(spark, tmp_path):
     random = Random(7)
     source, known = {}, {}
