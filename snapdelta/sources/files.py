@@ -37,6 +37,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH = 10_000
 FILES_PER_TASK = 64
+MOST_FILES = 4096
+MOST_BYTES = 4 * 1024**3
 CHUNK = 4 * 1024 * 1024
 
 
@@ -53,18 +55,19 @@ def list_files(spark: SparkSession, root: str, tasks: int | None = None) -> Data
     """Every file below ``root`` at any depth, hidden and empty ones included.
 
     Folders are listed level by level, each level as one Spark job over all its folders, so a deep
-    or lopsided tree is spread over the cluster. The listing is written to the scratch folder and
+    or lopsided tree is spread over the cluster. A linked folder is not descended into, which could go round for ever: it and a
+    folder that cannot be opened are listed as entries that cannot be read. A name that is not
+    UTF-8 is shown with each odd byte as a private-use character (``shown``) and found again by it. The listing is written to the scratch folder and
     read from there: all later steps see the same set of files. A missing root is an error.
     """
     root = posix(root)
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
-    tasks = tasks or task_count(spark)
     listing = scratch_dir(spark, "listing")
     folders, count, depth = spark.createDataFrame([(root,)], "path string"), 1, 0
     while count:
         # An explicit number: AQE would merge these few bytes of paths into a single task.
-        level = folders.select("path").repartition(min(count, tasks), "path")
+        level = folders.select("path").repartition(tasks or min(count, task_count(spark, count)), "path")
         folder = f"{listing}/depth={depth}"
         level.mapInPandas(_list_folders, ENTRY_SCHEMA).write.parquet(folder)
         folders = spark.read.schema(ENTRY_SCHEMA).parquet(folder).where("is_folder")
@@ -80,22 +83,27 @@ def inventory(spark: SparkSession, root: str, tasks: int | None = None) -> DataF
 
 
 def spread(df: DataFrame, path: Column | str, tasks: int | None = None) -> DataFrame:
-    """Spread rows that each stand for file work evenly over a fixed number of tasks.
+    """Spread rows that each stand for file work evenly over tasks; rows without a path are dealt out too.
 
-    Unless ``tasks`` is given, the rows are counted to choose it.
+    Unless ``tasks`` is given, the rows and, where there is a ``size``, their bytes are counted to choose it.
     """
-    return df.repartition(tasks or task_count(df.sparkSession, df.count()), path)
+    if tasks is None:
+        size = F.sum("size") if "size" in df.columns else F.lit(0)
+        n_files, n_bytes = df.agg(F.count(F.lit(1)), size).first()
+        tasks = task_count(df.sparkSession, n_files, n_bytes or 0)
+    path = F.col(path) if isinstance(path, str) else path
+    return df.repartition(tasks, F.coalesce(path, F.xxhash64(*df.columns).cast("string")))
 
 
-def task_count(spark: SparkSession, n_files: int | None = None) -> int:
-    """Tasks for file work: some per core, so that one slow file does not hold up a whole share.
+def task_count(spark: SparkSession, n_files: int, n_bytes: int = 0) -> int:
+    """Tasks for file work: some per core while files are few, and as many more as files and bytes ask for.
 
-    At least as many as the session has shuffle partitions, since with dynamic allocation few cores may
-    be there yet; but no more than give each task ``FILES_PER_TASK``, as long as all cores have work.
+    No task has more than about ``MOST_FILES`` files or, as far as sizes are known, ``MOST_BYTES``.
     """
     cores = spark.sparkContext.defaultParallelism
-    most = max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return most if n_files is None else min(most, max(cores, n_files // FILES_PER_TASK))
+    some = max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    few = min(some, max(cores, n_files // FILES_PER_TASK))
+    return max(1, few, n_files // MOST_FILES, n_bytes // MOST_BYTES)
 
 
 def file_sha256(path: Column | str) -> Column:
@@ -149,8 +157,10 @@ def remove_staging(staging: str) -> None:
 
 
 def _digest(path: str | None) -> str | None:
+    if path is None:
+        return None
     try:
-        with open(path, "rb") as stream:
+        with open(real(path), "rb") as stream:
             return hashlib.file_digest(stream, "sha256").hexdigest()
     except (OSError, TypeError, ValueError):
         return None
@@ -159,6 +169,7 @@ def _digest(path: str | None) -> str | None:
 def _copy(source: str | None, target: str | None, staging: str) -> tuple[str | None, str | None]:
     if source is None or target is None:
         return None, None
+    source, target = real(source), real(target)
     digest = hashlib.sha256()
 
     def fill(partial: str) -> None:
@@ -199,7 +210,12 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
     for batch in batches:
         for folder in batch["path"]:
-            with os.scandir(folder) as entries:
+            try:
+                entries = os.scandir(real(folder))
+            except OSError:
+                rows.append((folder, None, None, False))
+                continue
+            with entries:
                 for entry in entries:
                     rows.append(_describe(entry))
                     if len(rows) == BATCH:
@@ -208,13 +224,32 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield _frame(rows)
 
 
+# Bytes of a name that are not UTF-8, as Python gives them, and the private-use characters that stand for them.
+_SHOWN = {0xDC00 + b: 0x10FF00 + b for b in range(0x80, 0x100)}
+_REAL = {there: here for here, there in _SHOWN.items()}
+
+
+def shown(path: str) -> str:
+    """A path as text that can be stored, whatever bytes it has."""
+    return path.translate(_SHOWN)
+
+
+def real(path: str) -> str:
+    """The path that ``shown`` has made storable."""
+    return path.translate(_REAL)
+
+
 def _describe(entry: os.DirEntry) -> tuple:
+    path = shown(entry.path)
     try:
         info = entry.stat()
+        folder = entry.is_dir()
     except OSError:
         # For example a dangling link: still listed, and reported when it is read.
-        return entry.path, None, None, False
-    return entry.path, info.st_size, dt.datetime.fromtimestamp(info.st_mtime, dt.timezone.utc), entry.is_dir()
+        return path, None, None, False
+    if folder and entry.is_symlink():
+        return path, None, None, False
+    return path, info.st_size, dt.datetime.fromtimestamp(info.st_mtime, dt.timezone.utc), folder
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapdelta.functions import relative_path
+from snapdelta.sources import files
 from snapdelta.sources.files import (
     copy_files,
     file_sha256,
@@ -125,3 +126,31 @@ def test_write_texts(spark, tmp_path):
     frame = spark.createDataFrame([("a/b.txt", "zwei\r\nü"), ("c", "")], "p string, t string")
     assert [r["error"] for r in write_texts(frame, f"{tmp_path}/out/", "p", "t", f"{tmp_path}/staging").collect()] == [None, None]
     assert contents(tmp_path / "out") == {"a/b.txt": "zwei\r\nü".encode(), "c": b""}
+
+
+def test_odd_names_and_link_loops_end_in_rows(spark, tmp_path):
+    root = tmp_path / "odd"
+    (root / "a" / "b").mkdir(parents=True)
+    (root / "a" / "one.txt").write_text("1")
+    with open(os.fsencode(str(root)) + b"/bad\xff\xfename", "wb") as f:
+        f.write(b"2")
+    (root / "a" / "b" / "up").symlink_to(root)
+    rows = {r.path: r.sha256 for r in files.inventory(spark, str(root)).collect()}
+    assert len(rows) == 3
+    odd = next(p for p in rows if p.endswith("name"))
+    assert os.fsencode(files.real(odd)).endswith(b"bad\xff\xfename")
+    assert rows[odd] == hashlib.sha256(b"2").hexdigest()
+    assert rows[f"{root}/a/one.txt"] == hashlib.sha256(b"1").hexdigest()
+    assert rows[f"{root}/a/b/up"] is None
+
+
+def test_tasks_follow_files_and_bytes_without_a_cap(spark):
+    assert files.task_count(spark, 10**9) > 200_000
+    assert files.task_count(spark, 1000, 10**15) > 200_000
+    assert files.task_count(spark, 0) >= 1
+
+
+def test_rows_without_a_path_are_dealt_out(spark):
+    rows = spark.range(4000).selectExpr("id", "cast(null as string) AS path")
+    sizes = [r["count"] for r in files.spread(rows, "path", 8).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 800
