@@ -18,6 +18,7 @@ from snapdelta.functions import (
     content_hash,
     display_date,
     entity_id,
+    hash_of_columns,
     parent_path,
     relative_path,
     require,
@@ -29,7 +30,7 @@ from snapdelta.operators import components, delta, versions
 from snapdelta.plans import file_flows, steps, table_flows
 from snapdelta.plans.stages import Pipeline, Stage, clean, errors
 from snapdelta.session import scratch_dir
-from snapdelta.sources import files, interchange, log, snapshots, state
+from snapdelta.sources import files, log, snapshots, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -577,6 +578,35 @@ def q_versioned_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_flows.restore_table(spark, store, FIRST_RUN, DOC).rows
 
 
+@query(
+    """
+    SELECT doc_id, text, 'mine' AS content_hash, source AS version FROM documents
+    """
+)
+def q_roundtrip_reserved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = scratch_dir(spark, "reserved")
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", F.lit("mine").alias("content_hash"), F.col("source").alias("version"))
+    table_flows.backup_table(spark, docs, DOC, ["text"], store, FIRST_RUN)
+    return table_flows.restore_table(spark, store, FIRST_RUN, DOC).rows
+
+
+@query(
+    """
+    SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents
+    WHERE lang <> 'en' AND string_split(text, chr(10)) IS DISTINCT FROM [text]
+    """
+)
+def q_changed_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as arrays of lines against the same texts as arrays of one."""
+    docs = table(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
+    before = docs.withColumn("lines", F.when(F.col("lang") == "en", F.col("lines")).otherwise(F.array("text")))
+    hashed = docs.select("doc_id", F.size("lines").cast("long").alias("lines"), hash_of_columns(docs, ["lines"]).alias("current_hash"))
+    known = before.select("doc_id", hash_of_columns(before, ["lines"]).alias("content_hash"))
+    rows = delta.with_prior(hashed, known, DOC)
+    return rows.where(delta.changed(F.col("current_hash"), F.col("previous_hash"))).select("doc_id", "lines")
+
+
 @query(
     """
     SELECT doc_id, CASE WHEN source = 'src0' OR lang = 'fr' THEN 'again' ELSE lang END AS lang, '20240301063000' AS version
@@ -613,18 +643,28 @@ def q_state_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PRIOR_SQL} SELECT doc_id::VARCHAR AS key, content_hash FROM prior")
 def q_state_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_dir(spark, "state-json")
-    rows = prior_state(spark, sf_dir).select(F.col("doc_id").cast("string").alias("key"), "content_hash")
-    interchange.export_state(rows, path)
-    return interchange.import_state(spark, path, one_document=False)
+    base = scratch_dir(spark, "state-json")
+    rows = prior_state(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "content_hash")
+    state.save_state(spark, f"{base}/old/state", rows, file_flows.STATE_KEY)
+    return state.load_state(spark, f"{_handed_over(spark, base)}/state", file_flows.STATE_KEY).withColumnRenamed("path", "key")
+
+
+def _handed_over(spark: SparkSession, base: str) -> str:
+    """The store ``old`` exported as many documents and one more time as one, and imported again."""
+    for source, goal, entries in (("old", "half", 50), ("half", "new", 10_000_000)):
+        hashes, dates = f"{base}/{goal}-hashes", f"{base}/{goal}-dates"
+        file_flows.export_store(spark, f"{base}/{source}", hashes, dates, entries)
+        file_flows.import_store(spark, hashes, dates, f"{base}/{goal}")
+    return f"{base}/new"
 
 
 @query("SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS line FROM orders")
 def q_log_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_dir(spark, "log-json")
+    base = scratch_dir(spark, "log-json")
     dates = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("backup_date"))
-    interchange.export_log(dates, path)
-    return interchange.import_log(spark, path, one_document=False).select(display_date(F.col("backup_date")).alias("line"))
+    log.append_log(spark, f"{base}/old/log", dates)
+    handed = log.load_log(spark, f"{_handed_over(spark, base)}/log")
+    return handed.select(display_date(F.col("backup_date")).alias("line"))
 
 
 @query(
