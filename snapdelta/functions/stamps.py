@@ -24,7 +24,7 @@ def display_date(ts: Column) -> Column:
 
 def _in_utc(ts: Column, day_format: str, after_day: str, between: str) -> Column:
     """Day and time counted from the epoch: formatting a timestamp would use the session's zone."""
-    micros_of = F.unix_micros(ts)
+    micros_of = F.unix_micros(ts.cast("timestamp"))
     second = (micros_of - F.pmod(micros_of, F.lit(1_000_000))) / F.lit(1_000_000)
     in_day = F.pmod(second.cast("long"), F.lit(86_400))
     day = F.date_add(F.lit("1970-01-01").cast("date"), ((second - in_day) / 86_400).cast("int"))
