@@ -25,10 +25,12 @@ _FACTORS = _rng.integers(1, 2**63, 2 * M * WIDTH, dtype=np.uint64) * np.uint64(2
 _TERMS = _rng.integers(1, 2**63, 2 * M * WIDTH, dtype=np.uint64)
 #: Of the minhashes, a pair of similarity 0.75 agrees in fewer than so many with a probability below 1e-7.
 _LEAST_AGREEING = 14
+#: Nodes and shingles in a part of a cluster, two of which are compared in one task.
+TILE_NODES, TILE_SHINGLES = 1024, 600_000
 #: Rows that a center is compared with in one task.
 _PER_TASK = 256
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, least array<int>, hashes array<bigint>"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, least array<int>, hashes array<bigint>"
 
 
 def _signed(value: np.ndarray) -> np.ndarray:
@@ -57,13 +59,13 @@ def signatures(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col:
                 hashes.append(_signed(mix(parts[:, 0] * np.uint64(31) + parts[:, 1])))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                    batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                     pa.array(least, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "least", "hashes"],
+                names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "least", "hashes"],
             )
 
-    return texts(docs, id_col, text_col).mapInArrow(sign, _SIGNED)
+    return texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, _SIGNED)
 
 
 def tables(nodes: DataFrame) -> DataFrame:
@@ -119,11 +121,11 @@ def _alike(a: str, b: str):
 def near_duplicates(
     docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, set_a, set_b, component_id, kept, keeper.
+    """One row per document: doc_id, text_hash, n_shingles, set_a, set_b, component_id, kept, keeper.
 
-    Documents with equal sets are one node. In each table a node is compared with the table row's smallest node, and
-    what is then still in different components of one key is compared with each other, so no link
-    between different texts is lost to the grouping. A document without words is linked with nothing.
+    Documents with equal sets are one node. The nodes of a key are first compared with its smallest node. What keys
+    then still join without a link is a cluster, and all sets of a cluster are compared in tiles, so no link
+    between different texts is lost to the grouping and a large group is never expanded into its pairs. A document without words is linked with nothing.
     ``component_id`` is the smallest doc_id reachable, ``kept`` whether it is the document's own; a null id
     counts as largest and is kept only if it is alone. ``keeper`` marks exactly one row of each group, also
     among rows that share an id. An empty table gives no rows.
@@ -136,8 +138,9 @@ def near_duplicates(
     )
     nodes = written(nodes, "nodes")
     rows = written(tables(nodes), "tables")
-    centers = rows.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = rows.join(centers.drop("n"), "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    shared = rows.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = written(rows.join(shared, "key"), "shared")
+    stars = rows.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     light = nodes.select("node", "least", "n")
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -147,30 +150,21 @@ def near_duplicates(
         sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
         return pairs.where(sizes).select("a", "b")
 
-    stars = written(likely(stars), "stars")
     # The sets of all documents that can have a partner at all, from their texts.
-    member = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(rows, "key").select("node").distinct()
+    member = rows.select("node").distinct()
     wanted = nodes.join(member, "node").select("node", "set_a", "set_b")
     chosen = wanted.join(signed.select(F.col("uid").alias("node"), "doc_id"), "node")
     sets = written(_sets(docs, chosen, size, id_col, text_col), "sets")
-    links = written(verified(stars, sets, percent), "links")
-
-    # Keys that still join different components: their nodes are compared across components.
-    grouped = _labelled(rows, links)
-    open_keys = grouped.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
-    left_over = grouped.join(open_keys.select("key"), "key")
-    one = left_over.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = left_over.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = one.join(two, "key").where("ca < cb").select("a", "b").distinct()
-    tested = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = written(likely(across).join(tested, ["a", "b"], "left_anti"), "across")
-    links = links.unionByName(verified(across, sets, percent))
+    tested = written(likely(stars), "pairs")
+    links = written(verified(tested, sets, percent), "links")
+    # Nodes of keys that still join different components: compared with all of their cluster.
+    links = links.unionByName(written(_compared(_clusters(rows, links), nodes, sets, percent), "links"))
 
     found = components(links)
     labels = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = labels.groupBy("component").agg(F.min("least_id").alias("component_id"))
     labels = labels.join(named, "component").select("set_a", "set_b", "component", "component_id")
-    rows = signed.select("doc_id", "uid", "n_shingles", "set_a", "set_b")
+    rows = signed.select("doc_id", "text_hash", "uid", "n_shingles", "set_a", "set_b")
     joined = rows.where("n_shingles > 0").join(labels, ["set_a", "set_b"])
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     first = joined.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("members"))
@@ -178,15 +172,95 @@ def near_duplicates(
     alone = F.col("members") == 1
     joined = joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), alone))
     empty = rows.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "kept": F.lit(True), "keeper": F.lit(True)})
-    columns = ["doc_id", "n_shingles", "set_a", "set_b", "component_id", "kept", "keeper"]
+    columns = ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "component_id", "kept", "keeper"]
     return joined.select(columns).unionByName(empty.select(columns))
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return written(
-        rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "labelled"
+def one_of_each(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without their near duplicates: one row of each group stays, with all its columns.
+
+    Documents without words all stay. Texts are shuffled once, by id and hash; of equal rows the first is found by an
+    aggregate, so that a row that fills a third of the table is reduced in each task.
+    """
+    found = near_duplicates(docs, percent, size, id_col, text_col)
+    found = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.count_if("keeper").alias("keepers"))
+    found = written(found.where("keepers > 0").withColumn("known", F.col("doc_id").isNotNull()).na.fill(0, ["doc_id"]), "keepers")
+    key = docs[id_col].cast("long")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("document"), F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNotNull().alias("known"),
+        F.xxhash64(docs[text_col]).alias("text_hash"),
+    )
+    joined = rows.join(found, ["doc_id", "known", "text_hash"])
+    all_stay = joined.where("rows = keepers").select("document.*")
+    first = joined.where("rows > keepers").groupBy("doc_id", "known", "text_hash").agg(F.first("document").alias("document"))
+    return all_stay.unionByName(first.select("document.*"))
+
+
+def _clusters(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``cluster, node`` of the nodes in keys whose nodes are not all in one component: what such keys connect."""
+    labelled = rows.select("key", "node").join(components(links), "node", "left")
+    labelled = written(labelled.withColumn("component", F.coalesce("component", "node")), "labelled")
+    several = labelled.groupBy("key").agg(
+        F.min("component").alias("c"), F.max("component").alias("d"), F.min("node").alias("center")
+    ).where("c < d")
+    spokes = labelled.join(several.select("key", "center"), "key").select(F.col("node").alias("a"), F.col("center").alias("b"))
+    return written(components(spokes).select(F.col("component").alias("cluster"), "node"), "clusters")
+
+
+def _compared(clusters: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect what is linked within each cluster, found by comparing the full sets of all its nodes.
+
+    A cluster is dealt into parts of bounded size, and each pair of parts is a tile for one task: no pairs
+    leave a task but those that connect.
+    """
+    sized = clusters.join(nodes.select("node", "n"), "node")
+    parts = sized.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts")
     )
+    dealt = sized.select("cluster", "node").join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    tiles = dealt.select("cluster", "node", "part", other)
+    tiles = tiles.select("cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node")
+    full = tiles.join(sets, "node").select("cluster", "p", "q", "part", "node", "shingles")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(k) for k in range(6)), strict=True))
+        rows = (tuple(x.as_py() for x in r) for r in rows)
+        for (_, p, q), group in groupby(rows, key=lambda r: r[:3]):
+            members = list(group)
+            here = [i for i, r in enumerate(members) if r[3] == p]
+            there = [i for i, r in enumerate(members) if r[3] == q]
+            edges = _tile_links([np.frombuffer(r[5], np.uint64) for r in members], here, there, percent)
+            pairs = [(members[i][4], members[j][4]) for i, j in edges]
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return spread(full, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node").mapInArrow(compare, "a long, b long")
+
+
+def _tile_links(sets: list[np.ndarray], here: list[int], there: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links between two lists of sets, as many as connect what all links connect."""
+    if not here or not there:
+        return []
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    own = [codes[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    facing = np.concatenate([own[j] for j in there])
+    starts = np.cumsum([0, *sizes[there][:-1]])
+    columns = np.array(there)
+    present = np.zeros(codes.max() + 1, np.int32)
+    group, edges = np.arange(len(sets)), []
+    for i in here:
+        present[own[i]] = 1
+        common = np.add.reduceat(present[facing], starts)
+        present[own[i]] = 0
+        linked = columns[100 * common >= percent * (sizes[i] + sizes[columns] - common)]
+        for g in np.unique(group[linked]):
+            if g != group[i]:
+                edges.append((i, int(linked[group[linked] == g][0])))
+                group[group == g] = group[i]
+    return edges
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:

@@ -33,7 +33,8 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows):
+def linked(rows):
+    """The shingle set and the group of every row."""
     sets = [shingles(t) for _, t in rows]
     holders = {}
     for i, s in enumerate(sets):
@@ -41,7 +42,11 @@ def brute(rows):
             holders.setdefault(x, []).append(i)
     pairs = {(i, j) for h in holders.values() for i in h for j in h if i < j}
     links = [(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
-    root = roots(len(rows), links)
+    return sets, roots(len(rows), links)
+
+
+def brute(rows):
+    sets, root = linked(rows)
     out = []
     for i, (doc, _) in enumerate(rows):
         members = [rows[j][0] for j in range(len(rows)) if root[j] == root[i]]
@@ -85,3 +90,15 @@ def test_one_keeper_for_each_group(spark, make):
 def test_query(spark, sf_dir):
     stored = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     assert found(queries.QUERIES["op7_minhash_near_dedup"](spark, sf_dir)) == brute([(r["doc_id"], r["text"]) for r in stored])
+
+
+@pytest.mark.parametrize("nodes", [16, 1000])
+def test_a_large_group_of_copies_that_are_hardly_alike(spark, make, monkeypatch, nodes):
+    """Copies whose similarity to each other lies on both sides of the limit, in one cluster of many tiles."""
+    monkeypatch.setattr(minhash, "TILE_NODES", nodes)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(f"x{rng.random()}" if rng.random() < 0.035 else w for w in base)) for i in range(150)]
+    result = found(minhash.near_duplicates(make(rows)))
+    assert result == brute(rows)
+    assert 1 < sum(kept for *_, kept in result) < 149
