@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -166,17 +167,48 @@ def judged(
     are made of the other documents. A null language or source is a group like any other, a null text has
     no words and fails. Repeated rows count each for itself; an empty table gives no rows.
     """
-    counts = written(measured(docs, id_col, text_col, lang_col, source_col), "counts")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    counts = counts.withColumn("base_failed", failed)
-    limits = written(thresholds(sketches(counts.where(~F.col("base_failed"))), least_rows), "limits")
-    same = F.col("c.lang").eqNullSafe(F.col("t.lang")) & F.col("c.source").eqNullSafe(F.col("t.source"))
-    joined = counts.alias("c").join(limits.alias("t"), same, "left")
+    counts, limits = _counts_and_limits(docs, least_rows, id_col, text_col, lang_col, source_col)
+    rows = _limited(counts, limits).select("doc_id", *_COUNTS, "base_failed", _broken().alias("broken"))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+
+
+def accepted(
+    docs: DataFrame, least_rows: int = LEAST_ROWS, id_col: str = "doc_id", text_col: str = "text",
+    lang_col: str = "lang", source_col: str = "source",
+) -> DataFrame:
+    """The documents that ``judged`` keeps, with all their columns. Texts are counted where they are read and not shuffled."""
+    _, limits = _counts_and_limits(docs, least_rows, id_col, text_col, lang_col, source_col)
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in _COUNTS))
+    def counted(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([count_words(t) for t in text], columns=list(_COUNTS))
+
+    rows = docs.select(
+        F.struct(*docs.columns).alias("document"), docs[lang_col].cast("string").alias("lang"), docs[source_col].cast("string").alias("source"),
+        counted(docs[text_col]).alias("counts"),
+    ).select("document", "lang", "source", "counts.*").withColumn("base_failed", _failed())
+    kept = _limited(rows, limits).where(~F.col("base_failed") & (F.size(_broken()) == 0))
+    return kept.select("document.*")
 
+
+def _failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def _counts_and_limits(docs: DataFrame, least_rows: int, *columns: str) -> tuple[DataFrame, DataFrame]:
+    counts = written(measured(docs, *columns), "counts").withColumn("base_failed", _failed())
+    return counts, written(thresholds(sketches(counts.where(~F.col("base_failed"))), least_rows), "limits")
+
+
+def _limited(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    limits = limits.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "limits")
+    same = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
+    return rows.join(limits, same, "left")
+
+
+def _broken() -> Column:
     def breaks(rule: Rule) -> Column:
         value, limit = measure(rule), F.col("limits")[rule.name]
         return F.when((value > limit.high) | (value < limit.low), F.lit(rule.name))
 
-    broken = F.array_compact(F.array(*(breaks(r) for r in RULES)))
-    rows = joined.select("c.doc_id", *_COUNTS, "base_failed", broken.alias("broken"))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+    return F.array_compact(F.array(*(breaks(r) for r in RULES)))

@@ -274,20 +274,20 @@ def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
                         runs.append([start, stop])
                 edges = [0, *(x for run in runs for x in run), len(data)]
                 kept = b"".join(data[s:e].tobytes() for s, e in zip(edges[::2], edges[1::2], strict=True))
-                row = (len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if with_text else None)
+                row = (len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             arrays = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.mapInArrow(remove, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(remove, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def repeated_strings(
-    docs: DataFrame, length: int = 200, k: int = 40, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = 200, k: int = 40, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds ``kept`` (binary).
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte that a string of ``length`` bytes covers which also starts elsewhere in the input. A null text is
     empty, and a text shorter than ``length`` stays whole. Documents with equal texts of ``length`` bytes or more
@@ -295,6 +295,47 @@ def repeated_strings(
     """
     keyed = _keyed(docs, id_col, text_col)
     sha = F.sha2("text", 256)
+    narrow, once, cleaned = _found(keyed, sha, length, k, with_text=False)
+    rows = narrow.join(once.select("k1", "k2", "copies"), ["k1", "k2"]).join(cleaned, ["k1", "k2"], "left")
+    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+
+    def choose(all_gone: Column, otherwise: Column) -> Column:
+        return F.when(whole, all_gone).otherwise(otherwise)
+
+    return rows.select(
+        "doc_id", "n_bytes",
+        choose(F.col("n_bytes"), F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        choose(F.lit(1), F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        choose(F.sha2(F.lit(b""), 256), F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+    )
+
+
+def without_repeats(
+    docs: DataFrame, length: int = 200, k: int = 40, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars"
+) -> DataFrame:
+    """The documents with ``repeated_strings`` taken out of their texts and ``n_chars`` counted anew where there is such a column.
+
+    Every row stays, if need be with an empty text; a null text stays null. A character of which only a part is
+    removed goes whole, so that the text is valid.
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    _, once, cleaned = _found(keyed, F.lit(None).cast("string"), length, k, with_text=True)
+    content = F.coalesce(docs[text_col], F.lit("")).cast("binary")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("document"), docs[text_col].alias("text"), F.xxhash64(content).alias("k1"), F.xxhash64(F.lit(1), content).alias("k2")
+    )
+    changed = once.where("copies > 1").select("k1", "k2", F.lit("").alias("kept"), F.lit(length).alias("from"))
+    changed = written(changed.unionByName(cleaned.select("k1", "k2", "kept", F.lit(0).alias("from"))), "changed")
+    joined = rows.join(changed, ["k1", "k2"], "left")
+    text = F.when(F.octet_length("text") >= F.col("from"), F.col("kept")).otherwise(F.col("text"))
+    out = joined.select("document.*", text.alias("__text")).withColumn(text_col, F.col("__text"))
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.length("__text").cast(docs.schema[chars_col].dataType))
+    return out.select(docs.columns)
+
+
+def _found(keyed: DataFrame, sha: Column, length: int, k: int, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents by key, the texts with their number of copies, and of the texts that keep a part what they keep."""
     narrow = keyed.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha"))
     narrow = written(narrow, "texts")
     once = narrow.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one"))
@@ -308,17 +349,4 @@ def repeated_strings(
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     partly = chosen.where("copies = 1").select("k1", "k2", "text").join(spans, ["k1", "k2"])
     cleaned = _kept(partly, with_text)
-    rows = narrow.join(once.select("k1", "k2", "copies"), ["k1", "k2"]).join(cleaned, ["k1", "k2"], "left")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-
-    def choose(all_gone: Column, otherwise: Column) -> Column:
-        return F.when(whole, all_gone).otherwise(otherwise)
-
-    out = rows.select(
-        "doc_id", "k1", "k2", "n_bytes",
-        choose(F.col("n_bytes"), F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        choose(F.lit(1), F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        choose(F.sha2(F.lit(b""), 256), F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        choose(F.lit(b""), F.col("kept")).alias("kept"),
-    )
-    return out if with_text else out.drop("k1", "k2", "kept")
+    return narrow, once, cleaned
