@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from snapdelta.llm import wordtable
-from snapdelta.llm.encode import encoder
+from snapdelta.llm.encode import encoder, split_marks
 from snapdelta.llm.wordtable import squeeze, unsqueeze
 
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def blank_words(text: str | None) -> list[bytes]:
-    """A text cut at blanks and line ends, where no token of the vocabulary can cross."""
-    return text.encode("utf-8", "surrogatepass").replace(b"\n", b" ").split(b" ") if text else []
+def plain_words(text: str | None) -> list[bytes]:
+    """A text cut where no token of the vocabulary can cross, in lower case where that gives the same ids."""
+    return "\n".join(split_marks(text)).encode("utf-8", "surrogatepass").split(b"\n") if text else []
 
 
 def encode_distinct(chunks: DataFrame, tokenizer: str) -> DataFrame:
@@ -35,8 +35,8 @@ def encode_distinct(chunks: DataFrame, tokenizer: str) -> DataFrame:
             new = [w for w in asked if w not in known]
             known.update(zip(new, words.encode_words([w.decode("utf-8", "surrogatepass") for w in new]), strict=True))
             ids = [known[w] for w in asked]
-            lengths = np.array([len(x) // words.dtype.itemsize for x in ids], "<u4").tobytes()
-            reply = lengths + b"".join(ids)
+            lengths = wordtable.planes(np.array([len(x) // words.dtype.itemsize for x in ids], "<u4"))
+            reply = lengths + wordtable.planes(np.frombuffer(b"".join(ids), words.dtype))
             yield chunk, bucket, n, positions, len(reply), squeeze(reply)
 
     return wordtable.by_word(chunks, answer)
@@ -52,7 +52,7 @@ def encoded(
     makes the row of a document; by default the digests of its ids and of its decoded text. ``words`` has,
     by position, ``counts`` and the texts ``ids`` (decimal) and ``pieces``.
     """
-    chunks = wordtable.split_words(docs, blank_words, id_col=id_col, text_col=text_col, **sizes)
+    chunks = wordtable.split_words(docs, plain_words, id_col=id_col, text_col=text_col, **sizes)
     answers = encode_distinct(chunks, tokenizer)
     out = wordtable.arrow_schema(schema)
     consume = consume or digests
@@ -85,8 +85,8 @@ class WordTexts:
         for r in rows:
             at = wordtable.unpack_positions(r["positions"], r["n"])
             data = unsqueeze(r["data"], r["size"])
-            lengths = np.frombuffer(data[: 4 * r["n"]], "<u4").astype(np.int64)
-            ids = np.frombuffer(data[4 * r["n"] :], library.dtype).tolist()
+            lengths = wordtable.from_planes(data[: 4 * r["n"]], "<u4").astype(np.int64)
+            ids = wordtable.from_planes(data[4 * r["n"] :], library.dtype).tolist()
             self.counts[at] = lengths
             start = 0
             for place, stop in zip(at.tolist(), np.cumsum(lengths).tolist(), strict=True):

@@ -17,6 +17,14 @@ _TOGETHER = 100_000
 _MARKS = frozenset(",.;:!?")
 
 
+_ENDS = regex.compile(r"(?<=\p{L})[,.;:!?](?=[ \n]|$)")
+
+
+def split_marks(text: str) -> list[str]:
+    """Words between blanks and line ends, with the mark that ends a word after a letter as a word of its own."""
+    return _ENDS.sub(r" \g<0>", _lowered(text)).replace("\n", " ").split(" ")
+
+
 def _lowered(text: str) -> str:
     """The text in lower case where that gives the same ids, so that fewer words differ."""
     if "<|" in text or "Σ" in text:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from snapdelta.llm.common import spread, tasks, texts, written
 
 #: Sizes of the packed rows: a chunk ends at so many words or distinct words, a block of documents at so many words.
-CHUNK_WORDS, CHUNK_DISTINCT, BLOCK_WORDS = 4_000_000, 400_000, 65_536
+CHUNK_WORDS, CHUNK_DISTINCT, BLOCK_WORDS = 4_000_000, 400_000, 262_144
 
 #: ``kind`` 0: the words of a chunk, ``size`` bytes when unpacked, with a count each. 1: a block of documents.
 _CHUNKS = "chunk long, kind int, size long, words binary, counts binary, doc_ids array<bigint>, lengths array<bigint>, positions binary"
@@ -38,13 +38,31 @@ class Numbers(dict):
 
 
 def squeeze(data: bytes | np.ndarray) -> bytes:
-    return pa.Codec("zstd", compression_level=1).compress(bytes(data), asbytes=True)
+    return pa.Codec("zstd", compression_level=3).compress(bytes(data), asbytes=True)
 
 
 def unsqueeze(data: bytes, size: int) -> bytes:
     return pa.Codec("zstd").decompress(data, size, asbytes=True)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones and so on, which compress far better than whole numbers."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, dtype: str | np.dtype) -> np.ndarray:
+    dtype = np.dtype(dtype)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).ravel()
+
+
+def pack_places(place: np.ndarray) -> bytes:
+    return squeeze(planes(place.astype("<u4")))
+
+
+def unpack_places(data: bytes, size: int) -> np.ndarray:
+    return from_planes(unsqueeze(data, size), "<u4")
+
+
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema
@@ -66,7 +84,7 @@ def split_words(
 ) -> DataFrame:
     """The written table of chunks. ``split`` gives the words of a text in UTF-8, without line ends in them.
 
-    The counts are how often a word occurs in documents whose id ``counted`` accepts, all by default.
+    The counts are how often a word occurs in documents whose id ``counted`` accepts; without it there are none.
     A null text is what ``split`` makes of it. A document is never divided, so a very long one is a
     chunk of its own.
     """
@@ -74,46 +92,46 @@ def split_words(
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
-        numbers, counts, used = Numbers(), np.zeros(0, np.int64), 0
-        ids: list = []
-        arrays: list[np.ndarray] = []
-        waiting = 0
-
-        def block():
-            nonlocal ids, arrays, waiting, counts
-            lengths = [len(a) for a in arrays]
+        numbers, ids, arrays, used = Numbers(), [], [], 0
+
+        def rows() -> Iterator[tuple]:
+            """The chunk's blocks and its words, the most frequent first, which gives the smallest numbers."""
+            lengths = np.array([len(a) for a in arrays])
             place = np.concatenate([*arrays, np.zeros(0, np.uint32)])
-            use = np.repeat([counted is None or counted(i) for i in ids], lengths).astype(bool)
-            seen = np.bincount(place[use], minlength=len(numbers))
-            seen[: len(counts)] += counts
-            counts = seen
-            row = (chunk, 1, 4 * len(place), None, None, ids, lengths, squeeze(place.tobytes()))
-            ids, arrays, waiting = [], [], 0
-            return batch_of([row], schema)
-
-        def dictionary():
-            nonlocal numbers, counts, used, chunk
-            words = b"\n".join(numbers)
-            row = (chunk, 0, len(words), squeeze(words), squeeze(counts.astype("<u4").tobytes()), None, None, None)
-            numbers, counts, used, chunk = Numbers(), np.zeros(0, np.int64), 0, chunk + 1
-            return batch_of([row], schema)
+            order = np.argsort(-np.bincount(place, minlength=len(numbers)), kind="stable")
+            rank = np.empty(len(numbers), np.uint32)
+            rank[order] = np.arange(len(numbers))
+            place = rank[place]
+            counts = None
+            if counted:
+                use = np.repeat([counted(i) for i in ids], lengths).astype(bool)
+                counts = squeeze(np.bincount(place[use], minlength=len(numbers)).astype("<u4").tobytes())
+            cuts = np.concatenate([[0], np.cumsum(lengths)])
+            first = 0
+            for k in range(1, len(ids) + 1):
+                if k == len(ids) or cuts[k + 1] - cuts[first] > block_words:
+                    part = place[cuts[first] : cuts[k]]
+                    yield chunk, 1, 4 * len(part), None, None, ids[first:k], lengths[first:k].tolist(), pack_places(part)
+                    first = k
+            if not numbers:
+                return
+            names = list(numbers)
+            words = b"\n".join([names[i] for i in order.tolist()])
+            yield chunk, 0, len(words), squeeze(words), counts, None, None, None
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = split(text.as_py())
                 arrays.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
                 ids.append(doc)
-                waiting += len(found)
                 used += len(found)
-                full = used >= chunk_words or len(numbers) >= chunk_distinct
-                if full or waiting >= block_words or len(ids) >= block_words:
-                    yield block()
-                if full:
-                    yield dictionary()
+                if used >= chunk_words or len(numbers) >= chunk_distinct or len(ids) >= chunk_words:
+                    for row in rows():
+                        yield batch_of([row], schema)
+                    numbers, ids, arrays, used, chunk = Numbers(), [], [], 0, chunk + 1
         if ids:
-            yield block()
-        if used or numbers:
-            yield dictionary()
+            for row in rows():
+                yield batch_of([row], schema)
 
     return written(texts(docs, id_col, text_col).mapInArrow(number, _CHUNKS), "chunks")
 
@@ -124,11 +142,11 @@ def unpack_words(words: bytes, size: int) -> list[bytes]:
 
 def pack_positions(positions: np.ndarray) -> bytes:
     """Ascending positions as differences."""
-    return squeeze(np.diff(positions.astype("<u4"), prepend=np.uint32(0)).astype("<u4").tobytes())
+    return squeeze(planes(np.diff(positions.astype("<u4"), prepend=np.uint32(0)).astype("<u4")))
 
 
 def unpack_positions(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(unsqueeze(data, 4 * n), "<u4"), dtype=np.int64)
+    return np.cumsum(from_planes(unsqueeze(data, 4 * n), "<u4"), dtype=np.int64)
 
 
 def by_word(chunks: DataFrame, answer: Callable[[list[tuple]], Iterator[tuple]], schema: str = _ANSWERS) -> DataFrame:
@@ -144,7 +162,7 @@ def by_word(chunks: DataFrame, answer: Callable[[list[tuple]], Iterator[tuple]],
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
             words = unpack_words(row["words"], row["size"])
-            counts = np.frombuffer(unsqueeze(row["counts"], 4 * len(words)), "<u4")
+            counts = None if row["counts"] is None else np.frombuffer(unsqueeze(row["counts"], 4 * len(words)), "<u4")
             bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -152,7 +170,7 @@ def by_word(chunks: DataFrame, answer: Callable[[list[tuple]], Iterator[tuple]],
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 at = order[cuts[k] : cuts[k + 1]]
                 part = b"\n".join([words[i] for i in at.tolist()])
-                rows.append((k, row["chunk"], len(at), len(part), squeeze(part), squeeze(counts[at].tobytes()), pack_positions(at)))
+                rows.append((k, row["chunk"], len(at), len(part), squeeze(part), None if counts is None else squeeze(counts[at].tobytes()), pack_positions(at)))
             yield batch_of(rows, dealt)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +231,7 @@ def by_chunk(
 
 def documents(block: dict) -> Iterator[tuple[int | None, np.ndarray]]:
     """Id and word positions of each document of a block row."""
-    place = np.frombuffer(unsqueeze(block["data"], block["size"]), "<u4")
+    place = unpack_places(block["data"], block["size"])
     cuts = np.cumsum([0, *block["lengths"]])
     for k, doc in enumerate(block["doc_ids"]):
         yield doc, place[cuts[k] : cuts[k + 1]]
