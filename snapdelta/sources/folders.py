@@ -24,6 +24,35 @@ def committed(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
+def number(folder: str) -> int:
+    """The serial number of a folder named ``<kind>=<number>``."""
+    return int(folder.rpartition("=")[2])
+
+
+def current(spark: SparkSession, path: str) -> list[str]:
+    """Numbered folders that count: the last finished ``full=N``, if any, and what was finished since, oldest first."""
+    found: list[str] = []
+    for name in sorted(child_folders(spark, path), key=number, reverse=True):
+        if committed(spark, f"{path}/{name}"):
+            found.insert(0, name)
+            if name.startswith("full="):
+                break
+    return found
+
+
+def vacuum(spark: SparkSession, path: str) -> list[str]:
+    """Remove numbered folders older than all that count, finished or not; returns their names.
+
+    For a time when no job reads the store: a frame planned before may still name them.
+    """
+    kept = current(spark, path)
+    old = [n for n in child_folders(spark, path) if kept and number(n) < number(kept[0])]
+    for name in old:
+        fs, where = _resolve(spark, f"{path}/{name}")
+        fs.delete(where, True)
+    return old
+
+
 def _resolve(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from snapdelta.operators.versions import log_add
-from snapdelta.sources.folders import child_folders, committed
+from snapdelta.sources.folders import child_folders, number
+from snapdelta.sources.folders import current as _current
 
 COMPACT_AFTER = 32
 LOG_SCHEMA = T.StructType([T.StructField("backup_date", T.TimestampType())])
@@ -26,25 +27,10 @@ def load_log(spark: SparkSession, path: str) -> DataFrame:
 
 def append_log(spark: SparkSession, path: str, dates: DataFrame) -> str:
     """Add dates; those already there collapse. Returns the folder written."""
-    serial = max([_number(n) for n in child_folders(spark, path)], default=0) + 1
+    serial = max([number(n) for n in child_folders(spark, path)], default=0) + 1
     rows, kind = dates.select("backup_date").distinct(), "entry"
     if len(_current(spark, path)) > COMPACT_AFTER:
         rows, kind = log_add(load_log(spark, path), dates), "full"
     folder = f"{path}/{kind}={serial:08d}"
     rows.write.parquet(folder)
     return folder
-
-
-def _current(spark: SparkSession, path: str) -> list[str]:
-    """Folders that make up the log, oldest first."""
-    current: list[str] = []
-    for name in sorted(child_folders(spark, path), key=_number, reverse=True):
-        if committed(spark, f"{path}/{name}"):
-            current.insert(0, name)
-            if name.startswith("full="):
-                break
-    return current
-
-
-def _number(folder: str) -> int:
-    return int(folder.rpartition("=")[2])

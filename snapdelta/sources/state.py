@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from snapdelta.operators.components import latest
 from snapdelta.operators.delta import merge_state
-from snapdelta.sources.folders import child_folders, committed
+from snapdelta.sources.folders import child_folders, number
+from snapdelta.sources.folders import current as _current
 
 COMPACT_AFTER = 8
 HASH = T.StructField("content_hash", T.StringType())
@@ -32,7 +33,7 @@ def load_state(spark: SparkSession, path: str, key: Sequence[T.StructField]) ->
     """The current state; an empty frame of the right type if none was ever saved."""
     schema = T.StructType([*key, HASH])
     parts = [
-        spark.read.schema(schema).parquet(f"{path}/{name}").withColumn("_write", F.lit(_number(name)))
+        spark.read.schema(schema).parquet(f"{path}/{name}").withColumn("_write", F.lit(number(name)))
         for name in _current(spark, path)
     ]
     if not parts:
@@ -49,7 +50,7 @@ def load_state(spark: SparkSession, path: str, key: Sequence[T.StructField]) ->
 def save_state(spark: SparkSession, path: str, updates: DataFrame, key: Sequence[T.StructField]) -> str:
     """Store the hashes of changed keys, each key once in ``updates``. Returns the folder written."""
     names = [f.name for f in key]
-    serial = max([_number(n) for n in child_folders(spark, path)], default=0) + 1
+    serial = max([number(n) for n in child_folders(spark, path)], default=0) + 1
     rows, kind = updates.select(*names, HASH.name), "delta"
     if len(_current(spark, path)) > COMPACT_AFTER:
         rows, kind = merge_state(load_state(spark, path, key), rows, names), "full"
@@ -57,18 +58,3 @@ def save_state(spark: SparkSession, path: str, updates: DataFrame, key: Sequence
     # Short rows from maybe very many tasks: put them into few files.
     rows.hint("rebalance").write.parquet(folder)
     return folder
-
-
-def _current(spark: SparkSession, path: str) -> list[str]:
-    """Folders that make up the state: the last full one, if any, and the deltas since, oldest first."""
-    current: list[str] = []
-    for name in sorted(child_folders(spark, path), key=_number, reverse=True):
-        if committed(spark, f"{path}/{name}"):
-            current.insert(0, name)
-            if name.startswith("full="):
-                break
-    return current
-
-
-def _number(folder: str) -> int:
-    return int(folder.rpartition("=")[2])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapdelta.session import scratch_dir
-from snapdelta.plans import file_flows
+from snapdelta.plans import file_flows, steps
 from snapdelta.sources import interchange, log, snapshots, state
 
 KEY = [T.StructField("path", T.StringType())]
@@ -231,3 +231,17 @@ def test_cluster_without_a_shared_folder_is_an_error():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_dir(_Session("yarn"), "x")
     assert "/x-" in scratch_dir(_Session("local[2]"), "x")
+
+
+def test_vacuum_removes_what_no_reader_needs(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(log, "COMPACT_AFTER", 2)
+    monkeypatch.setattr(state, "COMPACT_AFTER", 2)
+    key = [T.StructField("path", T.StringType())]
+    for n in range(5):
+        log.append_log(spark, f"{tmp_path}/log", spark.range(n, n + 2).select(F.timestamp_seconds("id").alias("backup_date")))
+        state.save_state(spark, f"{tmp_path}/state", hashes(spark, **{f"k{n}": f"h{n}"}), key)
+    before = rows(log.load_log(spark, f"{tmp_path}/log")), rows(state.load_state(spark, f"{tmp_path}/state", key))
+    removed = steps.vacuum(spark, str(tmp_path))
+    assert "state/delta=00000001" in removed and "log/entry=00000001" in removed
+    assert before == (rows(log.load_log(spark, f"{tmp_path}/log")), rows(state.load_state(spark, f"{tmp_path}/state", key)))
+    assert steps.vacuum(spark, str(tmp_path)) == []
