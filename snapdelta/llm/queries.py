@@ -52,7 +52,34 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE texts AS (
+        SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ),
+    shingles AS (
+        SELECT DISTINCT rid, array_to_string(words[i:i + 4], ' ') AS shingle
+        FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM texts WHERE len(words) > 0)
+    ),
+    sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+    common AS (
+        SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.rid <> b.rid
+        GROUP BY a.rid, b.rid
+    ),
+    links AS (
+        SELECT a, b FROM common JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b
+        WHERE 100 * common.n >= 75 * (x.n + y.n - common.n)
+    ),
+    reach(rid, other) AS (
+        SELECT rid, rid FROM texts UNION SELECT r.rid, l.b FROM reach r JOIN links l ON r.other = l.a
+    ),
+    least AS (SELECT reach.rid, min(o.doc_id) AS component_id FROM reach JOIN texts o ON o.rid = reach.other GROUP BY reach.rid)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM texts JOIN least USING (rid) LEFT JOIN sizes USING (rid)
+    """
+)
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -70,16 +97,19 @@ WITH texts AS (
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
     FROM documents
 ),
-places AS (SELECT rid, words, unnest(range(1, len(words) + 1)) AS pos FROM texts),
-windows AS (
-    SELECT rid, pos, count(*) OVER (PARTITION BY rid, array_to_string(words[pos:pos + 7], ' ')) AS times
-    FROM places WHERE pos + 7 <= len(words)
+places AS (
+    SELECT rid, unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i:i + 7], ' '))) AS eight,
+        unnest(range(1, len(words) - 6)) AS pos
+    FROM texts
 ),
+windows AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid, eight) AS times FROM places),
 covered AS (
     SELECT rid, count(DISTINCT pos + k) AS n
     FROM windows, (SELECT unnest(range(0, 8)) AS k) WHERE times > 1 GROUP BY rid
 ),
-stutters AS (SELECT rid, count(*) FILTER (WHERE pos > 1 AND words[pos] = words[pos - 1]) AS n FROM places GROUP BY rid),
+stutters AS (
+    SELECT rid, list_sum(list_transform(range(2, len(words) + 1), lambda i: (words[i] = words[i - 1])::INT)) AS n FROM texts
+),
 counts AS (
     SELECT rid, doc_id, lang, source, len(words) AS n_words,
         coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
@@ -158,7 +188,28 @@ def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    """
+    WITH RECURSIVE vectors AS (
+        SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    ),
+    sized AS (
+        SELECT rid, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM vectors
+        WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ),
+    links AS (
+        SELECT a.rid AS a, b.rid AS b FROM sized a JOIN sized b ON a.label = b.label AND len(a.e) = len(b.e) AND a.rid <> b.rid
+        WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+    ),
+    reach(rid, other) AS (
+        SELECT rid, rid FROM vectors UNION SELECT r.rid, l.b FROM reach r JOIN links l ON r.other = l.a
+    ),
+    least AS (SELECT reach.rid, min(o.vec_id) AS component_id FROM reach JOIN vectors o ON o.rid = reach.other GROUP BY reach.rid),
+    counted AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+    FROM vectors JOIN least USING (rid) LEFT JOIN counted USING (rid)
+    """
+)
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join.linked_embeddings(table(spark, sf_dir, "embeddings"))
 
