@@ -323,7 +323,8 @@ def score(encoded: DataFrame, counts: Counts, model: Model) -> DataFrame:
 
 
 def score_texts(
-    docs: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text", **sizes: int
+    docs: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text",
+    chunk_words: int = 2_000_000, chunk_distinct: int = 200_000, **sizes: int,
 ) -> DataFrame:
     """Train on the documents that are not held out and score all: a row per document.
 
@@ -332,7 +333,7 @@ def score_texts(
     """
     training = F.col("doc_id").isNull() | (F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
     documents = docs.select(docs[id_col].cast("long").alias("doc_id")).where(training).count()
-    chunks = wordtable.split_words(docs, lower_words, lambda doc: not held_out(doc), id_col, text_col, **sizes)
+    chunks = wordtable.split_words(docs, lower_words, lambda doc: not held_out(doc), id_col, text_col, chunk_words, chunk_distinct, **sizes)
     answers, counts = count_words(chunks, documents, shape)
     encoded = written(encode(chunks, answers, counts), "outputs")
     return score(encoded, counts, train(encoded, counts))
