@@ -41,7 +41,7 @@ class WordEncoder:
     the older one goes when the newer is full, so memory is bounded and the result never depends on it.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
