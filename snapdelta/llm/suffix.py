@@ -28,6 +28,8 @@ _SPAN = 1 << 20  # window starts handled at a time
 #: Of anchors with more occurrences, windows are told apart by their common bytes before they meet in a task.
 _HOT = 1000
 _BLOCK = 16
+#: Bytes around anchors that a task ranks together.
+_TOGETHER = 1 << 20
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -194,23 +196,30 @@ def _windows(marked: DataFrame, length: int, k: int) -> DataFrame:
     return marked.select("k1", "k2", "text", "marks").mapInArrow(cut, out)
 
 
-def repeated_windows(contexts: list[bytes], weights: list[int], length: int) -> list[np.ndarray]:
-    """For each context, which of its window starts hold a string that another occurrence has too.
+def _long_names(data: np.ndarray, size: int) -> np.ndarray:
+    """``names`` of data of any length."""
+    if len(data) <= _SPAN:
+        return names(data, size)
+    return np.concatenate([names(data[i : i + _SPAN + size - 1], size) for i in range(0, len(data) - size + 1, _SPAN)])
+
+
+def repeated_windows(contexts: list[bytes], weights: list[int], groups: list[int], length: int) -> list[np.ndarray]:
+    """For each context, which of its window starts hold a string that another occurrence in its group has too.
 
     Lengths grow from a quarter of ``length``; a pair of names, at a start and at the offset behind it, is the
-    name of the longer string, and starts whose name is unique drop out.
+    name of the longer string, and starts whose name is unique drop out. Many groups are ranked together.
     """
-    counts = np.array([len(c) - length + 1 for c in contexts])
+    sizes = np.array([len(c) for c in contexts])
+    counts = sizes - length + 1
     owner = np.repeat(np.arange(len(contexts)), counts)
     weight = np.array(weights)[owner]
     size = max(1, length // 4)
-    short = [names(np.frombuffer(c, np.uint8), size) for c in contexts]
-    base = np.cumsum([0, *(len(s) for s in short)])
-    named = np.concatenate(short)
+    # Names that run over the end of a context are never looked up.
+    named = _long_names(np.frombuffer(b"".join(contexts), np.uint8), size)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = base[owner] + within
+    at = np.repeat(np.cumsum(sizes) - sizes, counts) + within
     alive = np.arange(len(owner))
-    key = named[at]
+    key = named[at] + mix(np.array(groups, np.int64).view(np.uint64))[owner]
     offsets = list(range(size, length - size, size)) + [length - size]
     steps = [offsets[:1], offsets[1:]]  # twice the length, then the whole
     alive, key = _several(alive, key, weight)
@@ -234,26 +243,45 @@ def _several(alive: np.ndarray, key: np.ndarray, weight: np.ndarray) -> tuple[np
     return alive[keep], key[keep]
 
 
+def _pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, rows) for i in range(0, len(batch), rows))
+
+
+def _covered(rows: list[tuple[int, int, bytes, set]], length: int) -> Iterator[pa.RecordBatch]:
+    """The runs of bytes that repeated windows cover, for rows of whole groups: key, first, context, references."""
+    if not rows:
+        return
+    found = repeated_windows([r[2] for r in rows], [len(r[3]) for r in rows], [r[0] for r in rows], length)
+    out: list[tuple[int, int, int, int]] = []
+    for (_, first, _, refs), hits in zip(rows, found, strict=True):
+        if hits.any():
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], hits, [0]]))).tolist()
+            for s, e in zip(edges[::2], edges[1::2], strict=True):
+                out += [(k1, k2, a - first + s, a - first + e - 1 + length) for k1, k2, a in refs]
+    if out:
+        columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "start", "stop"])
+
+
 def _spans(windows: DataFrame, length: int) -> DataFrame:
     """``k1, k2, start, stop``: the runs of bytes that repeated windows cover."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = (zip(*(batch.column(i) for i in range(6)), strict=True) for batch in batches)
-        rows = (tuple(x.as_py() for x in r) for c in columns for r in c)
-        for _, group in groupby(rows, key=lambda r: r[0]):
+        columns = (zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True) for b in batches for batch in _pieces(b, 1024))
+        rows = (r for c in columns for r in c)
+        waiting: list[tuple[int, int, bytes, set]] = []
+        size = 0
+        for key, group in groupby(rows, key=lambda r: r[0]):
             merged: dict[tuple[int, bytes], set] = {}
             for _, context, first, k1, k2, at in group:
                 merged.setdefault((first, context), set()).update(zip(k1, k2, at, strict=True))
-            if sum(map(len, merged.values())) < 2:
-                continue
-            found = repeated_windows([c for _, c in merged], [len(r) for r in merged.values()], length)
-            out: list[tuple[int, int, int, int]] = []
-            for (first, _), refs, hits in zip(merged, merged.values(), found, strict=True):
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], hits, [0]])))
-                for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                    out += [(k1, k2, a - first + s, a - first + e - 1 + length) for k1, k2, a in refs]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["k1", "k2", "start", "stop"])
+            if sum(map(len, merged.values())) > 1:
+                waiting += [(key, first, context, refs) for (first, context), refs in merged.items()]
+                size += sum(len(context) for _, context in merged)
+            if size >= _TOGETHER:
+                yield from _covered(waiting, length)
+                waiting, size = [], 0
+        yield from _covered(waiting, length)
 
     dealt = spread(windows, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(compare, "k1 long, k2 long, start long, stop long")
