@@ -20,9 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, under fixed names; other columns, whatever their names, do not matter from here on."""
+    short_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of 2,000 rows unless the session says otherwise: 10,000 whole texts at once take
+    an executor some hundred MB for each task."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "2000")
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """The words of a text in UTF-8, A-Z in lower case. ``bytes.split`` splits at exactly ``SPACES``."""
     return text.encode("utf-8", "surrogatepass").translate(_UPPER).split() if text else []

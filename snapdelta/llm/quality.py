@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapdelta.llm.common import written
+from snapdelta.llm.common import short_batches, written
 
 _SYMBOLS = b"#*$%&|<>"
 _WHITE = " \t\n\v\f\r"
@@ -82,6 +82,7 @@ def _repeated(h: np.ndarray, size: int) -> int:
 
 def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """doc_id, lang, source and the counts of every whole text."""
+    short_batches(docs.sparkSession)
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"), docs[lang_col].cast("string").alias("lang"),
         docs[source_col].cast("string").alias("source"), docs[text_col].alias("text"),
