@@ -31,26 +31,29 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SPACE = re.compile(r"\s+")
-_PARTS = re.compile(r"[^a-z]+")
 
 # What HTML says about elements.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small span strike"
-    " strong sub sup time tt u var wbr".split()
+    " strong sub sup time tt u var wbr math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover"
+    " semantics".split()
 )
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-_NO_TEXT = frozenset(
-    "head script style title noscript template iframe object svg canvas math audio video button select option optgroup textarea form nav"
-    " footer aside dialog menu datalist noembed noframes".split()
+_NO_TEXT = frozenset(  # never text of an article
+    "head script style title noscript template iframe object svg canvas audio video button select option optgroup textarea form"
+    " datalist noembed noframes".split()
 )
-_NO_TEXT_NAMES = frozenset(
+_NO_ARTICLE = frozenset("nav footer aside dialog menu".split())
+#: Whole classes, ids and roles; a name that only has such a word in it ("content-sidebar-wrap", "no-comments") says nothing.
+_NO_ARTICLE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices"
     " newsletter popup modal overlay sidebar menu menus nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments"
     " disqus replies share sharing social related recommended widget toolbar pagination pager login signup subscribe search complementary"
-    " contentinfo alert dialog".split()
+    " contentinfo alert dialog cookie-notice cookie-banner cookie-consent site-footer site-nav main-menu main-nav nav-bar side-bar"
+    " disqus_thread related-posts share-buttons".split()
 )
-_HEADERS = frozenset("header headers topbar".split())
+_HEADERS = frozenset("header headers topbar site-header".split())
 _MAIN = frozenset("article main".split())
 _CLOSED_BY = {  # an open element that a new one ends
     "p": frozenset(
@@ -62,12 +65,16 @@ _CLOSED_BY = {  # an open element that a new one ends
 }
 
 
+#: What an element is declared to be: anything, no article by a class, id or role, no article by its tag, never text.
+OPEN, NAMED, TAGGED, NEVER = range(4)
+
+
 class Block:
-    """A run of text between block elements: where it stands, its text, whether it is declared no article, whether it is inside one."""
+    """A run of text between block elements: where it stands, its text, how far it is declared no article, whether it is inside one."""
 
     __slots__ = ("path", "text", "declared", "main")
 
-    def __init__(self, path: str, text: str, declared: bool, main: bool):
+    def __init__(self, path: str, text: str, declared: int, main: bool):
         self.path, self.text, self.declared, self.main = path, text, declared, main
 
 
@@ -76,7 +83,7 @@ def blocks(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
     found: list[Block] = []
     children: dict[str, list[str]] = {}
     # Of each open element: tag, path, declared, main.
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    stack: list[tuple[str, str, int, bool]] = [("", "", OPEN, False)]
     waiting: list[str] = []
     page = page or ""
 
@@ -119,28 +126,34 @@ def blocks(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
             stack.pop()
         rest = token["rest"] or ""
         _, path, declared, main = stack[-1]
-        name, says_no = _named(tag, rest, main)
+        name, says = _named(tag, rest, main)
+        if tag in _MAIN and declared == NAMED:  # the name of a wrapper says less than the article's own tag
+            declared = OPEN
         own = f"{path}/{name}"
         children.setdefault(path, []).append(name)
         if tag in _RAW:  # text up to its end tag only
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = stop.start() if stop else end
         if tag not in _VOID and not rest.endswith("/"):
-            stack.append((tag, own, declared or says_no, main or tag in _MAIN))
+            stack.append((tag, own, max(declared, says), main or (tag in _MAIN and declared == OPEN)))
     flush()
     return found, children
 
 
-def _named(tag: str, rest: str, main: bool) -> tuple[str, bool]:
-    """An element's name in the tree, and whether tag, class, id or role declare it to be no article."""
+def _named(tag: str, rest: str, main: bool) -> tuple[str, int]:
+    """An element's name in the tree, and what tag, class, id and role declare it to be."""
+    says = NEVER if tag in _NO_TEXT else TAGGED if tag in _NO_ARTICLE or (tag == "header" and not main) else OPEN
     if not rest:
-        return tag, tag in _NO_TEXT or (tag == "header" and not main)
+        return tag, says
     named = [(a.lower(), v.strip("\"'").lower()) for a, v in _ATTRIBUTE.findall(rest)]
-    words = {w for _, v in named for w in _PARTS.split(v)}
+    words = {w for _, v in named for w in v.split()}
     classes = ".".join(v for a, v in named if a == "class")
-    no = tag in _NO_TEXT or bool(words & _NO_TEXT_NAMES) or bool(_HIDDEN.search(rest))
-    no = no or (not main and (tag == "header" or bool(words & _HEADERS)))
-    return (f"{tag}.{_SPACE.sub('.', classes)}" if classes else tag), no and tag not in ("html", "body", "article", "main")
+    if tag not in ("html", "body", *_MAIN):
+        if _HIDDEN.search(rest):
+            says = NEVER
+        elif says == OPEN and (words & _NO_ARTICLE_NAMES or (not main and words & _HEADERS)):
+            says = NAMED
+    return (f"{tag}.{_SPACE.sub('.', classes)}" if classes else tag), says
 
 
 def _hash(value: str) -> int:
@@ -204,9 +217,10 @@ def main_text(page: str | None, removed: set[str]) -> str:
     """The text of a page without what is declared no article and without the branches removed from its site.
 
     Where the page marks its article, text outside it is left out. If the site's tree leaves nothing, the
-    declarations alone decide.
+    declarations alone decide, and if these leave nothing, only the tags do.
     """
-    found = [b for b in blocks(page)[0] if not b.declared]
+    some = [b for b in blocks(page)[0] if b.declared < TAGGED]
+    found = [b for b in some if b.declared == OPEN] or some
     if any(b.main for b in found):
         found = [b for b in found if b.main]
     kept = [b for b in found if not _inside(b.path, removed)] or found

@@ -34,6 +34,21 @@ def test_pages(page, text):
     assert site_tree.main_text(page, set()).replace("</div", "").replace("<", "<").strip() == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='content-sidebar-wrap'><main><p>x</p></main></div>", "x"),
+        ("<body class='has-sidebar'><div class='no-comments post-share-enabled'><article><p>x</p></article></div></body>", "x"),
+        ("<div class='search-result'><p>x</p></div><div class='widget'>w</div>", "x"),
+        ("<div class='sidebar'><main><p>x</p></main></div><div class='sidebar'>s</div>", "x"),
+        ("<div id='search'><p>all there is</p></div><nav>n</nav>", "all there is"),
+        ("<article><p>so <math><mi>a</mi><mo>=</mo><mi>b</mi></math></p></article>", "so a=b"),
+    ],
+)
+def test_words_inside_of_names_declare_nothing(page, text):
+    assert site_tree.main_text(page, set()) == text
+
+
 def site(n):
     rows = []
     for i in range(n):
