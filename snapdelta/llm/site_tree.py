@@ -1,9 +1,11 @@
 """Main text of web pages by site style trees.
 
-The element trees of a host's pages are merged by path. Of every merged node two entropies are taken over the pages: of its
-presentation (which elements follow each other in it) and of its content. A branch none of whose nodes
-varies from page to page is what the site repeats, and is removed from each page; so is what its tags, classes
-and roles declare to be no part of the article. Pages equal in all their text count once.
+The element trees of a host's pages are merged: a node is an element with its tag, classes, id and place among the
+siblings of that name, and a text under its sibling group is one more node, so that what is repeated is found wherever
+it stands. Of every node two entropies are taken over the pages that have its group: of its presentation (which
+elements follow each other in it) and of its content. A node that does not vary from page to page is what the site
+repeats, and is removed from each page; so is what its tags, classes and roles declare to be no part of the article.
+Pages equal in all their text count once.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from snapdelta.llm.common import written
 
-#: A branch is removed below this importance (0: the same on every page, 1: different on every page), once so many pages have it.
+#: A node is removed below this importance (0: the same on every page, 1: different on every page), once so many pages have its group.
 LOW, LEAST_PAGES = 0.4, 20
 
 _TOKEN = re.compile(
@@ -31,6 +33,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 
 # What HTML says about elements.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -67,23 +70,33 @@ _CLOSED_BY = {  # an open element that a new one ends
 
 #: What an element is declared to be: anything, no article by a class, id or role, no article by its tag, never text.
 OPEN, NAMED, TAGGED, NEVER = range(4)
+#: Kinds of nodes, and the group of text outside of all elements.
+GROUP, ELEMENT, TEXT = range(3)
+ROOT = 0
 
 
 class Block:
-    """A run of text between block elements: where it stands, its text, how far it is declared no article, whether it is inside one."""
+    """A run of text between block elements: the node it stands in, the group of that node (the same elements whatever
+    their places), the elements that follow each other in the node, its text, how far it is declared no article,
+    whether it is inside one."""
 
-    __slots__ = ("path", "text", "declared", "main")
+    __slots__ = ("group", "node", "children", "text", "declared", "main")
 
-    def __init__(self, path: str, text: str, declared: int, main: bool):
-        self.path, self.text, self.declared, self.main = path, text, declared, main
+    def __init__(self, group: int, node: int, children: list[str], text: str, declared: int, main: bool):
+        self.group, self.node, self.children, self.text, self.declared, self.main = group, node, children, text, declared, main
 
+    def own(self) -> int:
+        """The node of the text itself, at any place in its group."""
+        return _hash(f"{self.group}={self.text}")
 
-def blocks(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
-    """The text blocks of a page in order, and for every path the block elements that follow each other in it."""
+
+def blocks(page: str | None) -> list[Block]:
+    """The text blocks of a page in order."""
     found: list[Block] = []
-    children: dict[str, list[str]] = {}
-    # Of each open element: tag, path, declared, main.
-    stack: list[tuple[str, str, int, bool]] = [("", "", OPEN, False)]
+    # Of each open element: tag, group, node, declared, main, names of its children.
+    stack: list[tuple[str, int, int, int, bool, list[str]]] = [("", ROOT, ROOT, OPEN, False, [])]
+    # Of each open element, how many children of a name it has so far.
+    seen: list[dict[str, int]] = [{}]
     waiting: list[str] = []
     page = page or ""
 
@@ -92,8 +105,8 @@ def blocks(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
             text = _SPACE.sub(" ", html.unescape("".join(waiting))).strip()
             waiting.clear()
             if text:
-                _, path, declared, main = stack[-1]
-                found.append(Block(path, text, declared, main))
+                _, group, node, declared, main, children = stack[-1]
+                found.append(Block(group, node, children, text, declared, main))
 
     at, end = 0, len(page)
     while at < end:
@@ -119,25 +132,28 @@ def blocks(page: str | None) -> tuple[list[Block], dict[str, list[str]]]:
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    del stack[k:], seen[k:]
                     break
             continue
         while len(stack) > 1 and tag in _CLOSED_BY.get(stack[-1][0], ()):
             stack.pop()
+            seen.pop()
         rest = token["rest"] or ""
-        _, path, declared, main = stack[-1]
+        _, group, node, declared, main, children = stack[-1]
         name, says = _named(tag, rest, main)
         if tag in _MAIN and declared == NAMED:  # the name of a wrapper says less than the article's own tag
             declared = OPEN
-        own = f"{path}/{name}"
-        children.setdefault(path, []).append(name)
+        children.append(name)
+        place = seen[-1][name] = seen[-1].get(name, 0) + 1
         if tag in _RAW:  # text up to its end tag only
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = stop.start() if stop else end
         if tag not in _VOID and not rest.endswith("/"):
-            stack.append((tag, own, max(declared, says), main or (tag in _MAIN and declared == OPEN)))
+            own = _hash(f"{group}/{name}"), _hash(f"{node}/{name}/{place}")
+            stack.append((tag, *own, max(declared, says), main or (tag in _MAIN and declared == OPEN), []))
+            seen.append({})
     flush()
-    return found, children
+    return found
 
 
 def _named(tag: str, rest: str, main: bool) -> tuple[str, int]:
@@ -147,31 +163,39 @@ def _named(tag: str, rest: str, main: bool) -> tuple[str, int]:
         return tag, says
     named = [(a.lower(), v.strip("\"'").lower()) for a, v in _ATTRIBUTE.findall(rest)]
     words = {w for _, v in named for w in v.split()}
-    classes = ".".join(v for a, v in named if a == "class")
-    if tag not in ("html", "body", *_MAIN):
+    if tag in ("html", "body"):  # one on every page, often with the page's number or kind as a class
+        return tag, says
+    if tag not in _MAIN:
         if _HIDDEN.search(rest):
             says = NEVER
         elif says == OPEN and (words & _NO_ARTICLE_NAMES or (not main and words & _HEADERS)):
             says = NAMED
-    return (f"{tag}.{_SPACE.sub('.', classes)}" if classes else tag), says
+    own = "".join(f".{_SPACE.sub('.', v.strip())}" if a == "class" else f"#{v.strip()}" for a, v in sorted(named) if a != "role")
+    return tag + _DIGITS.sub("0", own), says  # numbers in names are those of pages and items
 
 
 def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def page_rows(page: str | None) -> list[tuple[str, int, int, int]]:
-    """For every path of a page: path, hash of its presentation, of its content, and of all text of the page."""
-    found, children = blocks(page)
-    content: dict[str, list[str]] = {}
+def page_rows(page: str | None) -> list[tuple[int, int, int, int, int, int]]:
+    """For every node of a page: kind, group, node, hash of its presentation, of its content, and of all text of the page.
+
+    The kinds are groups, elements and texts. The root is a group of every page with text.
+    """
+    found = [b for b in blocks(page) if b.declared < NEVER]
+    if not found:
+        return []
+    content: dict[tuple[int, int], list[Block]] = {}
     for b in found:
-        content.setdefault(b.path, []).append(b.text)
+        content.setdefault((b.group, b.node), []).append(b)
     whole = _hash("\n".join(b.text for b in found))
-    rows = []
-    for path in content.keys() | children.keys():
-        names = children.get(path, [])
+    rows = [(GROUP, g, g, 0, 0, whole) for g in {ROOT, *(b.group for b in found)}]
+    rows += [(TEXT, g, n, 0, 0, whole) for g, n in {(b.group, b.own()) for b in found}]
+    for (group, node), mine in content.items():
+        names = mine[0].children
         runs = [n for n, before in zip(names, [None, *names], strict=False) if n != before]
-        rows.append((path, _hash(" ".join(runs)), _hash("\n".join(content.get(path, []))), whole))
+        rows.append((ELEMENT, group, node, _hash(" ".join(runs)), _hash("\n".join(b.text for b in mine)), whole))
     return rows
 
 
@@ -179,84 +203,77 @@ def _host(url: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def _entropy(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Entropy of a value over the pages of each node, 1 where all differ."""
-    counts = rows.groupBy("host", "path", value).agg(F.count(F.lit(1)).alias("c"))
-    sums = counts.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    entropy = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(1.0)
-    return sums.select("host", "path", F.col("m").alias("pages"), entropy.alias(name))
+def _sums(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """For each node, the sum of c log c over its values, each on c pages."""
+    key = ["host", "kind", "group", "node"]
+    counts = rows.groupBy(*key, value).agg(F.count(F.lit(1)).alias("c"))
+    return counts.groupBy(*key).agg(F.sum("c").alias("found"), F.sum(F.col("c") * F.log("c")).alias(name))
 
 
-def branches(pages: DataFrame) -> DataFrame:
-    """``host, path, pages, importance`` of every branch of every site's tree: that of its most important node."""
+def nodes(pages: DataFrame) -> DataFrame:
+    """``host, kind, group, node, found, pages, importance`` of every node of every site's tree.
+
+    ``found`` pages have the node and ``pages`` have its group; a page with the group but without the node counts as
+    one that differs. The importance is the greater entropy of presentation and content, 1 where all pages differ.
+    """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, columns = [], ([], [], [], [])
+            hosts, columns = [], ([], [], [], [], [], [])
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for row in page_rows(page.as_py()):
                     hosts.append(host)
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.string(), pa.int8(), *[pa.int64()] * 5)
             arrays = [pa.array(c, t) for c, t in zip((hosts, *columns), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["host", "path", "style", "content", "page"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["host", "kind", "group", "node", "style", "content", "page"])
 
-    schema = "host string, path string, style long, content long, page long"
+    schema = "host string, kind byte, group long, node long, style long, content long, page long"
     rows = written(pages.select("host", "html").mapInArrow(collect, schema).distinct(), "nodes")
-    nodes = _entropy(rows, "style", "presentation").join(_entropy(rows, "content", "text").drop("pages"), ["host", "path"])
-    steps = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
-    spread_out = nodes.select("host", F.explode(above).alias("branch"), "path", "pages", F.greatest("presentation", "text").alias("importance"))
-    own = F.max(F.when(F.col("branch") == F.col("path"), F.col("pages")))
-    grouped = spread_out.groupBy("host", "branch").agg(own.alias("pages"), F.max("importance").alias("importance"))
-    return grouped.withColumnRenamed("branch", "path")
+    texts = written(_sums(rows, "content", "text"), "sums")
+    styles = _sums(rows.where(F.col("kind") == ELEMENT), "style", "presentation").drop("found")
+    groups = texts.where(F.col("kind") == GROUP).select("host", "group", F.col("found").alias("pages"))
+    known = texts.join(groups, ["host", "group"]).join(styles, ["host", "kind", "group", "node"], "left")
+    least = F.least("text", F.coalesce("presentation", "text"))
+    importance = F.when(F.col("pages") > 1, 1 - least / (F.col("pages") * F.log("pages"))).otherwise(1.0)
+    return known.select("host", "kind", "group", "node", "found", "pages", importance.alias("importance"))
 
 
-def main_text(page: str | None, removed: set[str]) -> str:
-    """The text of a page without what is declared no article and without the branches removed from its site.
+def main_text(page: str | None, removed: set[int]) -> str:
+    """The text of a page without what is declared no article and without the nodes removed from its site.
 
     Where the page marks its article, text outside it is left out. If the site's tree leaves nothing, the
     declarations alone decide, and if these leave nothing, only the tags do.
     """
-    some = [b for b in blocks(page)[0] if b.declared < TAGGED]
+    some = [b for b in blocks(page) if b.declared < TAGGED]
     found = [b for b in some if b.declared == OPEN] or some
     if any(b.main for b in found):
         found = [b for b in found if b.main]
-    kept = [b for b in found if not _inside(b.path, removed)] or found
+    kept = [b for b in found if b.node not in removed and b.own() not in removed] or found
     return "\n\n".join(b.text for b in kept)
 
 
-def _inside(path: str, removed: set[str]) -> bool:
-    at = len(path)
-    while at > 0:
-        if path[:at] in removed:
-            return True
-        at = path.rfind("/", 0, at)
-    return False
-
-
 def extracted(
     pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     A null or empty page has an empty text. A null url or one without a host belongs to the site with the empty
-    name. Repeated rows are extracted each for itself; an empty table gives no rows. The branches to remove are joined by
+    name. Repeated rows are extracted each for itself; an empty table gives no rows. The nodes to remove are joined by
     host; Spark broadcasts them if their written size is small and else shuffles the pages, splitting a hot host.
     """
     rows = pages.select(
         pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html")
     ).withColumn("host", _host("url"))
-    tree = branches(rows)
-    repeated = tree.where((F.col("importance") < low) & (F.col("pages") >= least_pages) & (F.col("path") != ""))
-    removed = written(repeated.groupBy("host").agg(F.collect_list("path").alias("removed")), "removed")
+    repeated = nodes(rows).where((F.col("kind") != GROUP) & (F.col("importance") < low) & (F.col("pages") >= least_pages))
+    removed = written(repeated.groupBy("host").agg(F.collect_list("node").alias("removed")), "removed")
     joined = rows.join(removed, "host", "left").select("page_id", "url", "html", "removed")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = batch.column(3).to_pylist()
-            out = [main_text(page.as_py(), set(p or ())) for page, p in zip(batch.column(2), paths, strict=True)]
+            lists = batch.column(3).to_pylist()
+            out = [main_text(page.as_py(), set(r or ())) for page, r in zip(batch.column(2), lists, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(np.fromiter(map(len, out), np.int64, len(out)))],
                 names=["page_id", "url", "text", "n_chars"],

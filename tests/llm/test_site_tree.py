@@ -74,6 +74,17 @@ def test_copies_of_a_page_do_not_make_it_boilerplate(spark):
     assert found[1200] == found[0] == "Text 0 of its own.\n\nMore 0."
 
 
+def test_siblings_are_nodes_of_their_own(spark):
+    def page(i):
+        own = "".join(f"<p>Own {i} {k}.</p>" for k in range(1 + i % 4))
+        boxes = f"<div id=menu2>Start About</div><div id=content>{own}<p>Subscribe now</p></div><div id=notice>All rights</div>"
+        return f"<html><body class='page-{i}'>{boxes}<div>Top</div><div>Text {i}.</div></body></html>"
+
+    rows = [(i, f"https://one.example/{i}", page(i)) for i in range(40)]
+    found = {r.page_id: r.text for r in site_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: "\n\n".join([*(f"Own {i} {k}." for k in range(1 + i % 4)), f"Text {i}."]) for i in range(40)}
+
+
 def plain(page):
     article = re.search(r"<article>(.*)</article>", page, re.S)[1]
     parts = re.split(r"</?(?:h1|p)>", article)
