@@ -4,8 +4,10 @@ The element trees of a host's pages are merged: a node is an element with its ta
 siblings of that name, and a text under its sibling group is one more node, so that what is repeated is found wherever
 it stands. Of every node two entropies are taken over the pages that have its group: of its presentation (which
 elements follow each other in it) and of its content. A node that does not vary from page to page is what the site
-repeats, and is removed from each page; so is what its tags, classes and roles declare to be no part of the article.
-Pages equal in all their text count once.
+repeats, and is removed from each page. On few pages the entropy leans on that of the same group on all hosts. Removed
+too is what tags, whole classes, ids and roles declare to be no part of the article (menus, advertisements and footers
+that are drawn anew for each page do not repeat), unless such names alone hold most of what the tree leaves. Text outside
+a marked article is left out only where the tree cannot know, on hosts with one page. Pages equal in all their text count once.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from snapdelta.llm.common import written
 
-#: A node is removed below this importance (0: the same on every page, 1: different on every page), once so many pages have its group.
-LOW, LEAST_PAGES = 0.4, 20
+#: A node is removed below this importance (0: the same on every page, 1: different on every page), on hosts with so many pages.
+LOW, LEAST_PAGES = 0.4, 2
+#: Pages that the importance of the group on all hosts counts for, and hosts that it takes.
+LEAN, LEAST_HOSTS = 4, 3
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?P<data>.*?)\]\]>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
@@ -34,6 +38,7 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
+_MARKED = re.compile(r"<(?:article|main)[\s/>]", re.I)
 
 # What HTML says about elements.
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -211,10 +216,13 @@ def _sums(rows: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """``host, kind, group, node, found, pages, importance`` of every node of every site's tree.
+    """``host, kind, group, node, pages, all_pages, importance`` of every node of every site's tree.
 
-    ``found`` pages have the node and ``pages`` have its group; a page with the group but without the node counts as
-    one that differs. The importance is the greater entropy of presentation and content, 1 where all pages differ.
+    ``pages`` have the node's group, of ``all_pages`` of the host; a page with the group but without the node counts as
+    one that differs. The importance is the greater entropy of presentation and content, 1 where all pages differ. It
+    leans on the mean of the group over the hosts that have it on two or more pages, or if these are too few, on the share
+    of the host's pages without the group: what few of many pages have is no proof. On more than one page it only rises
+    by that. Null where neither is known.
     """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,22 +244,45 @@ def nodes(pages: DataFrame) -> DataFrame:
     groups = texts.where(F.col("kind") == GROUP).select("host", "group", F.col("found").alias("pages"))
     known = texts.join(groups, ["host", "group"]).join(styles, ["host", "kind", "group", "node"], "left")
     least = F.least("text", F.coalesce("presentation", "text"))
-    importance = F.when(F.col("pages") > 1, 1 - least / (F.col("pages") * F.log("pages"))).otherwise(1.0)
-    return known.select("host", "kind", "group", "node", "found", "pages", importance.alias("importance"))
-
-
-def main_text(page: str | None, removed: set[int]) -> str:
-    """The text of a page without what is declared no article and without the nodes removed from its site.
-
-    Where the page marks its article, text outside it is left out. If the site's tree leaves nothing, the
-    declarations alone decide, and if these leave nothing, only the tags do.
+    own = F.when(F.col("pages") > 1, 1 - least / (F.col("pages") * F.log("pages")))
+    known = written(known.select("host", "kind", "group", "node", "found", "pages", own.alias("own")), "entropies")
+    elements = known.where((F.col("kind") == ELEMENT) & (F.col("pages") > 1))
+    hosts = elements.groupBy("host", "group").agg((F.sum(F.col("own") * F.col("found")) / F.sum("found")).alias("own"))
+    usual = hosts.groupBy("group").agg(F.avg("own").alias("usual"), F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= LEAST_HOSTS)
+    sites = known.where((F.col("kind") == GROUP) & (F.col("group") == ROOT)).select("host", F.col("pages").alias("all_pages"))
+    known = known.join(usual.drop("hosts"), "group", "left").join(sites, "host")
+    other = F.coalesce("usual", F.when(F.col("all_pages") > 1, 1 - F.col("pages") / F.col("all_pages")))
+    leaning = (F.col("pages") * F.col("own") + LEAN * other) / (F.col("pages") + LEAN)
+    importance = F.when(F.col("pages") > 1, F.greatest("own", leaning)).otherwise(other)
+    return known.select("host", "kind", "group", "node", "pages", "all_pages", importance.alias("importance"))
+
+
+def _by_names(found: list[Block], marked: bool, varies: bool) -> list[Block]:
+    """Without what is declared no article. On a page that marks no article, names count for nothing if they hold all text
+    or, of text known to vary from page to page, most of it."""
+    some = [b for b in found if b.declared < TAGGED]
+    left = [b for b in some if b.declared == OPEN]
+    most = varies and 2 * sum(len(b.text) for b in left) < sum(len(b.text) for b in some)
+    return some if not marked and (most or not left) else left
+
+
+def main_text(page: str | None, removed: set[int], unknown: set[int] | None = None) -> str:
+    """The text of a page without the nodes and groups removed from its site and without what is declared no article.
+
+    Of groups that the tree does not know, all if ``unknown`` is None, only text in the marked article is kept, if there is
+    one. If the site's tree leaves nothing, the declarations alone decide. What is never text, such as scripts and
+    forms, is left out in any case.
     """
-    some = [b for b in blocks(page) if b.declared < TAGGED]
-    found = [b for b in some if b.declared == OPEN] or some
-    if any(b.main for b in found):
-        found = [b for b in found if b.main]
-    kept = [b for b in found if b.node not in removed and b.own() not in removed] or found
-    return "\n\n".join(b.text for b in kept)
+    found = [b for b in blocks(page) if b.declared < NEVER]
+    marked = bool(_MARKED.search(page or ""))
+    varying = [b for b in found if not removed or not (b.group in removed or b.node in removed or b.own() in removed)]
+    for kept, varies in ((varying, unknown is not None and not unknown), (found, False)):
+        kept = _by_names(kept, marked, varies)
+        if any(b.main for b in kept):
+            kept = [b for b in kept if b.main or not (unknown is None or b.group in unknown)]
+        if kept:
+            return "\n\n".join(b.text for b in kept)
+    return ""
 
 
 def extracted(
@@ -266,14 +297,20 @@ def extracted(
     rows = pages.select(
         pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].alias("html")
     ).withColumn("host", _host("url"))
-    repeated = nodes(rows).where((F.col("kind") != GROUP) & (F.col("importance") < low) & (F.col("pages") >= least_pages))
-    removed = written(repeated.groupBy("host").agg(F.collect_list("node").alias("removed")), "removed")
-    joined = rows.join(removed, "host", "left").select("page_id", "url", "html", "removed")
+    tree = nodes(rows)
+    single = (F.col("kind") == GROUP) & (F.col("pages") == 1)
+    enough = (F.col("kind") != GROUP) & (F.col("pages") > 1) & (F.col("all_pages") >= least_pages)
+    repeated = (single | enough) & (F.col("importance") < low)
+    lone = single & F.col("importance").isNull()
+    lists = tree.where(repeated | lone).groupBy("host").agg(
+        F.collect_list(F.when(repeated, F.col("node"))).alias("removed"), F.collect_list(F.when(lone, F.col("group"))).alias("unknown")
+    )
+    joined = rows.join(written(lists, "removed"), "host", "left").select("page_id", "url", "html", "removed", "unknown")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3).to_pylist()
-            out = [main_text(page.as_py(), set(r or ())) for page, r in zip(batch.column(2), lists, strict=True)]
+            lists = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            out = [main_text(page.as_py(), set(r or ()), set(u or ())) for page, r, u in zip(batch.column(2), *lists, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(np.fromiter(map(len, out), np.int64, len(out)))],
                 names=["page_id", "url", "text", "n_chars"],

@@ -85,6 +85,30 @@ def test_siblings_are_nodes_of_their_own(spark):
     assert found == {i: "\n\n".join([*(f"Own {i} {k}." for k in range(1 + i % 4)), f"Text {i}."]) for i in range(40)}
 
 
+@pytest.mark.parametrize("n", [2, 3, 5, 30])
+def test_the_tree_alone_decides_without_telling_names(spark, n):
+    """Neither an article nor a telling class; what is called a promotion or is outside a teaser is the page's own text."""
+    def page(i, teaser):
+        own = f"<div class=promo><p>Text {i} of its own.</p></div><div><p>More {i * 7}.</p><p>Same end</p></div>{teaser}"
+        return f"<html><body><div class=x1>Start About</div>{own}<form>f</form><script>s</script><div>All rights</div></body></html>"
+
+    rows = [(i, f"https://one.example/{i}", page(i, "<div class=x3>Same teaser</div>")) for i in range(n)]
+    rows += [(100 + i, f"https://two.example/{i}", page(i, "<article>Same teaser</article>").replace("promo", "x2")) for i in range(n)]
+    found = {r.page_id: r.text for r in site_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {h + i: f"Text {i} of its own.\n\nMore {i * 7}." for h in (0, 100) for i in range(n)}
+
+
+def test_few_pages_lean_on_all_hosts(spark):
+    def page(host, own):
+        return f"<html><body><div class=x1>Start {host}</div><div class=x2>{''.join(f'<p>{x}</p>' for x in own)}</div></body></html>"
+
+    rows = [(10 * h + i, f"https://h{h}.example/{i}", page(h, [f"Text {h} {i}.", f"More {h} {i}."])) for h in range(5) for i in range(4)]
+    rows += [(100, "https://single.example/", page(100, ["Text."]))]
+    rows += [(200 + i, f"https://near.example/{i}", page(200, ["A shared passage.", f"End {i}."])) for i in range(2)]
+    found = {r.page_id: r.text for r in site_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[100] == "Text." and found[201] == "A shared passage.\n\nEnd 1." and found[12] == "Text 1 2.\n\nMore 1 2."
+
+
 def plain(page):
     article = re.search(r"<article>(.*)</article>", page, re.S)[1]
     parts = re.split(r"</?(?:h1|p)>", article)
