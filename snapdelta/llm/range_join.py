@@ -3,7 +3,8 @@
 On unit vectors a least cosine is a greatest distance. Every vector belongs to the cell of its nearest pivot, and
 goes as a guest to each cell that can hold a partner: by the triangle inequality, used on the line
 through both pivots, a partner of v in the cell of p' is only possible if
-(d(v, p')^2 - d(v, p)^2) / (2 d(p, p')) is at most the range. So cells join independently and nothing is missed.
+(d(v, p')^2 - d(v, p)^2) / (2 d(p, p')) is at most the range. On unit vectors that is (v.p - v.p') / d(p, p'), which
+stays exact to 1e-9 as long as no two pivots are closer than 1e-6. So cells join independently and nothing is missed.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from snapdelta.llm.common import components, spread, written
 #: Vectors for each pivot, pivots of all labels together at most, vectors of a cell that are compared in one task, and
 #: guests in one product of matrices.
 PER_PIVOT, MOST_PIVOTS, BLOCK, STEP = 4096, 8192, 1024, 2048
+#: Least distance of two pivots.
+LEAST_GAP = 1e-6
 
 
 def _unit(values: np.ndarray) -> np.ndarray | None:
@@ -66,13 +69,39 @@ def _pivots(nodes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     found: dict[tuple[str, int], list[np.ndarray]] = {}
     for r in sample.select("label", "dims", "unit").orderBy("label", "dims", "unit").limit(2 * MOST_PIVOTS).collect():
         found.setdefault((r.label, r.dims), []).append(np.frombuffer(r.unit, np.float64))
-    return {k: np.stack(v) for k, v in found.items()}
+    return {k: _apart(np.stack(v)) for k, v in found.items()}
+
+
+def _close(pivots: np.ndarray, products: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pivots that are so near to one that products say little about the distance, and their distances."""
+    near = np.flatnonzero(products > 1 - 5e-5)
+    return near, np.linalg.norm(pivots[near] - pivots[i], axis=1)
+
+
+def _apart(pivots: np.ndarray) -> np.ndarray:
+    """Without those that are as good as equal to one before."""
+    left = np.ones(len(pivots), bool)
+    for i in range(len(pivots)):
+        if left[i]:
+            near, far = _close(pivots, pivots @ pivots[i], i)
+            left[near[(far < LEAST_GAP) & (near > i)]] = False
+    return pivots[left]
+
+
+def _gaps(pivots: np.ndarray) -> np.ndarray:
+    """All distances between pivots."""
+    products = pivots @ pivots.T
+    gaps = np.sqrt(np.maximum(0, 2 - 2 * products))
+    for i in range(len(pivots)):
+        near, far = _close(pivots, products[i], i)
+        gaps[i, near] = far
+    return gaps
 
 
 def _cells(nodes: DataFrame, reach: float) -> DataFrame:
     """``label, dims, cell, home, node, copies, unit``: each vector at home and where it is a guest."""
     pivots = _pivots(nodes)
-    apart = {k: np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)) for k, p in pivots.items()}
+    apart = {k: _gaps(p) for k, p in pivots.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,10 +109,9 @@ def _cells(nodes: DataFrame, reach: float) -> DataFrame:
             for i, (name, dims, unit) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 4)), strict=True)):
                 cells = [(0, True)]
                 if (name, dims) in pivots:
-                    squares = np.maximum(0, 2 - 2 * pivots[name, dims] @ np.frombuffer(unit, np.float64))
-                    own = int(squares.argmin())
-                    gap = np.maximum(apart[name, dims][own], 1e-12)
-                    near = (squares - squares[own]) / (2 * gap) <= reach + 1e-9
+                    products = pivots[name, dims] @ np.frombuffer(unit, np.float64)
+                    own = int(products.argmax())
+                    near = products[own] - products <= (reach + 1e-9) * apart[name, dims][own]
                     near[own] = True
                     cells = [(int(c), c == own) for c in np.flatnonzero(near)]
                 for c, home in cells:

@@ -47,6 +47,22 @@ def clusters(seed, n, dims=6, labels=2):
     return rows + [(n + i, rows[i % 3][1], rows[i % 3][2]) for i in range(20)]
 
 
+def test_pivots_that_differ_in_their_last_bit(spark, monkeypatch):
+    monkeypatch.setattr(range_join, "PER_PIVOT", 10)
+    rng = np.random.default_rng(3)
+    top = (rng.normal(size=16) * ([1] * 8 + [0.02] * 8)).astype(np.float32)
+    rows = []
+    for i in range(240):
+        v = top.copy()
+        if i % 2:  # a last bit of two small components
+            for k in rng.integers(8, 16, size=2):
+                v[k] = np.nextafter(v[k], np.float32(rng.choice([-9, 9])))
+        else:  # at a cosine around the least
+            v = v + (rng.normal(size=16) * np.linalg.norm(top) * rng.choice([0.08, 0.1, 0.12])).astype(np.float32)
+        rows.append((i, v.tolist(), 1))
+    assert found(range_join.linked_embeddings(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
 def test_many_cells_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(range_join, "PER_PIVOT", 40)
     monkeypatch.setattr(range_join, "BLOCK", 16)
