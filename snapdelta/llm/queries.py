@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapdelta.llm import bpe, lm, minhash, packing, quality, range_join, shards, site_tree, suffix, token_files
+from snapdelta.llm import bpe, filter_audit, lm, minhash, packing, quality, range_join, shards, site_tree, suffix, token_files
 from snapdelta.llm.common import table
 from snapdelta.session import scratch_dir
 
@@ -217,3 +217,45 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_tree.extracted(table(spark, sf_dir, "pages"))
+
+
+@query(
+    rf"""
+    WITH measures AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS words,
+            doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS is_copy
+        FROM documents
+    ),
+    marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    failing AS (
+        SELECT part, (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+            + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text))::INT
+            + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(is_copy, false)::INT AS mask,
+            count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+        FROM measures LEFT JOIN marks USING (doc_id) GROUP BY ALL
+    ),
+    letters AS (SELECT unnest(range(5)) AS bit),
+    orders AS (
+        SELECT [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM letters a, letters b, letters c, letters d, letters e
+        WHERE len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+    ),
+    steps AS (
+        SELECT array_to_string(list_transform(bits, lambda x: chr(65 + x::INT)), '') AS filter_order, step::INT AS step,
+            1 << bits[step]::INT AS bit, coalesce(list_sum(list_transform(bits[1:step - 1], lambda x: 1 << x::INT)), 0)::INT AS earlier
+        FROM orders, (SELECT unnest(range(1, 6)) AS step)
+    ),
+    counted AS (
+        SELECT part, filter_order, step, bit,
+            sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+            sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+            sum(CASE WHEN mask & earlier <> 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+            sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+            sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+            sum(CASE WHEN mask & earlier = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+        FROM failing, steps GROUP BY ALL
+    )
+    SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted
+    """
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -26,4 +26,4 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 def test_all_are_registered():
     names = set(contract.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
