@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapdelta.llm import bpe, filter_audit, lm, minhash, packing, quality, range_join, shards, site_tree, suffix, token_files
+from snapdelta.llm import bpe, filter_audit, lm, merkle, minhash, packing, quality, range_join, shards, site_tree, suffix, token_files
 from snapdelta.llm.common import table
 from snapdelta.session import scratch_dir
 
@@ -259,3 +259,70 @@ def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE fields AS (
+        SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS tree,
+            coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+            text, replace(text, chr(10), '') AS cut, list_reduce(
+                [4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                lambda crc, byte: list_reduce([xor(crc, byte)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                    lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) & 1 = 1 AS chosen
+        FROM documents
+    ),
+    hashed AS (
+        SELECT rid, doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+            CASE WHEN coalesce(chosen, false) THEN sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) END AS altered
+        FROM fields
+    ),
+    leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n
+        FROM hashed
+    ),
+    nodes(lvl, tree, place, n, hash) AS (
+        SELECT 0, tree, place, n, leaf FROM leaves
+        UNION ALL
+        SELECT lvl + 1, tree, place // 3, (any_value(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY place))
+        FROM nodes WHERE n > 1 GROUP BY lvl, tree, place // 3
+    ),
+    subroots AS (
+        SELECT tree, hash, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+    ),
+    tops(lvl, place, n, hash) AS (
+        SELECT 0, place, n, hash FROM subroots
+        UNION ALL
+        SELECT lvl + 1, place // 3, (any_value(n) + 2) // 3, sha256(string_agg(hash, '' ORDER BY place))
+        FROM tops WHERE n > 1 GROUP BY lvl, place // 3
+    ),
+    beside AS (
+        SELECT a.lvl, a.tree, a.place, coalesce(string_agg(b.hash, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before,
+            coalesce(string_agg(b.hash, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+        FROM nodes a JOIN nodes b ON a.lvl = b.lvl AND a.tree = b.tree AND a.place // 3 = b.place // 3 WHERE a.n > 1 GROUP BY ALL
+    ),
+    beside_tops AS (
+        SELECT a.lvl, a.place, coalesce(string_agg(b.hash, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS before,
+            coalesce(string_agg(b.hash, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS after
+        FROM tops a JOIN tops b ON a.lvl = b.lvl AND a.place // 3 = b.place // 3 WHERE a.n > 1 GROUP BY ALL
+    ),
+    folds(rid, tree, lvl, place, n, hash, proof) AS (
+        SELECT rid, tree, 0, place, n, coalesce(altered, leaf), '' FROM leaves
+        UNION ALL
+        SELECT rid, f.tree, f.lvl + 1, f.place // 3, (n + 2) // 3, sha256(before || hash || after), proof || before || after
+        FROM folds f JOIN beside b ON b.lvl = f.lvl AND b.tree = f.tree AND b.place = f.place WHERE n > 1
+    ),
+    top_folds(rid, lvl, place, n, hash, proof) AS (
+        SELECT rid, 0, s.place, s.n, f.hash, proof FROM folds f JOIN subroots s USING (tree) WHERE f.n = 1
+        UNION ALL
+        SELECT rid, f.lvl + 1, f.place // 3, (n + 2) // 3, sha256(before || hash || after), proof || before || after
+        FROM top_folds f JOIN beside_tops b ON b.lvl = f.lvl AND b.place = f.place WHERE n > 1
+    )
+    SELECT doc_id, leaf, subroots.hash AS subroot, root.hash AS root, sha256(proof) AS proof_sha256, f.hash AS folded_root,
+        f.hash = root.hash AS verified
+    FROM leaves JOIN subroots USING (tree) JOIN top_folds f ON f.rid = leaves.rid AND f.n = 1, (SELECT hash FROM tops WHERE n = 1) root
+    """
+)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.versions(table(spark, sf_dir, "documents"))

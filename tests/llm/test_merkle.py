@@ -1,0 +1,106 @@
+"""Merkle manifest: against one tree built in plain Python, with blocks of nine leaves so that trees span several of them."""
+
+from __future__ import annotations
+
+import binascii
+import hashlib
+
+import pytest
+
+from snapdelta.llm import merkle
+
+SCHEMA = "doc_id long, text string, source string, lang string, n_chars long"
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def field(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def leaf(doc_id, text, source, lang, n_chars):
+    return h(*map(field, (doc_id, source, lang, n_chars, text)))
+
+
+def tree(nodes):
+    """The root and the siblings of every leaf, by the plain definition."""
+    path, above = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, at in enumerate(above):
+            run = range(at // 3 * 3, min(at // 3 * 3 + 3, len(nodes)))
+            path[k].append(([nodes[j] for j in run if j < at], [nodes[j] for j in run if j > at]))
+        nodes = [h(*nodes[j : j + 3]) for j in range(0, len(nodes), 3)]
+        above = [at // 3 for at in above]
+    return nodes[0] if nodes else None, path
+
+
+def plain(rows):
+    sources = sorted({r[2] for r in rows}, key=lambda s: (s is not None, (s or "").encode()))
+    members = {s: sorted((r for r in rows if r[2] == s), key=lambda r: (r[0] is not None, r[0] or 0, leaf(*r))) for s in sources}
+    trees = {s: tree([leaf(*r) for r in members[s]]) for s in sources}
+    root, tops = tree([trees[s][0] for s in sources])
+    result = []
+    for s, top in zip(sources, tops, strict=True):
+        for row, path in zip(members[s], trees[s][1], strict=True):
+            node, proof = leaf(*row), ""
+            if row[0] is not None and row[1] and binascii.crc32(str(row[0]).encode()) % 2 == 0:
+                node = leaf(row[0], row[1].replace("\n", ""), *row[2:])
+            for before, after in path + top:
+                node, proof = h(*before, node, *after), proof + "".join(before + after)
+            result.append((row[0], leaf(*row), trees[s][0], root, h(proof), node, node == root))
+    return result
+
+
+def found(spark, rows, **options):
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS tree", "2 AS place", "3 AS leaf", "4 AS root", "5 AS `a.b`", "6 AS n")
+    return sorted(map(tuple, merkle.versions(df, **options).collect()), key=repr)
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(merkle, "LEVELS", 2)
+    monkeypatch.setattr(merkle, "BLOCK", 9)
+
+
+@pytest.fixture
+def rows(awkward):
+    prose = [(k, f"one {k}\ntwo\n{k % 7}", "big", "en", k) for k in range(-40, 160)]
+    prose += [(k, f"line\n{k}", f"s{k % 13}", None, None) for k in range(300, 340)]
+    odd = [(i, t, None, "x", 1) for i, t in awkward] + [(7, "a\nb", "", "en", None), (8, "a\nb", "é", "en", 3), (9, "lone\n", "\U0001f600", None, 0)]
+    exact = [(k, None, f"p{size}", "en", 0) for size in (1, 3, 9, 10, 27, 81, 82) for k in range(size)]
+    return prose + odd + exact + [(5, "same\nrow", "twice", "en", 2)] * 14
+
+
+def test_against_a_plain_tree(spark, rows, small_blocks):
+    assert found(spark, rows) == sorted(plain(rows), key=repr)
+
+
+def test_one_block(spark, rows):
+    assert found(spark, rows) == sorted(plain(rows), key=repr)
+
+
+def test_versions_share_all_but_their_path(spark, rows, small_blocks):
+    """Each copied node is the hash of the one below it between its siblings; an untouched row copies the tree's own nodes."""
+    names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "proof", "copied"]
+    versions = [dict(zip(names, r, strict=True)) for r in found(spark, rows, nodes=True)]
+    roots = {v["subroot"] for v in versions} | {v["root"] for v in versions}
+    assert any(not v["verified"] for v in versions)
+    for v in versions:
+        assert len(v["copied"]) == len(v["proof"]) + 1 and v["copied"][-1] == v["folded_root"]
+        for below, beside, node in zip(v["copied"], v["proof"], v["copied"][1:], strict=False):
+            assert node == h(beside["before"], below, beside["after"])
+        assert v["verified"] == (v["copied"][0] == v["leaf"]) and (not v["verified"] or v["subroot"] in v["copied"])
+        assert v["verified"] or not roots & set(v["copied"])
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "a\nb", "s", "en", 3)], [(None, None, None, None, None)] * 2])
+def test_few_rows(spark, rows):
+    assert found(spark, rows) == sorted(plain(rows), key=repr)
+
+
+def test_large_tree(spark):
+    """More rows than a block of production size holds, in one source."""
+    rows = [(k, "x\ny" if k % 3 else "z", "hot", "en", k) for k in range(2 * merkle.BLOCK + 5)]
+    assert found(spark, rows) == sorted(plain(rows), key=repr)
