@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapdelta.llm import bpe, filter_audit, lm, merkle, minhash, packing, quality, range_join, shards, site_tree, suffix, token_files
+from snapdelta.llm import bpe, filter_audit, lm, merkle, minhash, packing, quality, range_join, shards, site_tree, suffix, token_files, toxicity
 from snapdelta.llm.common import table
 from snapdelta.session import scratch_dir
 
@@ -326,3 +326,8 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.versions(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
