@@ -19,7 +19,6 @@ from snapdelta.llm.common import tasks, written
 
 #: Nodes that are hashed together, and levels of the tree that a block holds (3 ** 7 = 2,187 leaves).
 ARITY, LEVELS = 3, 7
-BLOCK = ARITY**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 _PATH = "array<struct<before: string, after: string>>"
@@ -93,54 +92,54 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     return joined.withColumn("place", F.col("at") - F.col("first") + F.col("base")).drop("part", "at", "first", "base", "tie")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.expr(f"place DIV {BLOCK}"))
+def _blocks(nodes: DataFrame, levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.expr(f"place DIV {ARITY**levels}"))
 
 
-def _height(n: int) -> int | None:
+def _height(n: int, levels: int) -> int | None:
     """A block of a larger tree is of full height, a tree that is one block ends where one node is left."""
-    return LEVELS if n > BLOCK else None
+    return levels if n > ARITY**levels else None
 
 
 def _rows(table: pa.Table) -> pa.Table:
     return table.sort_by("place")
 
 
-def block_roots(nodes: DataFrame) -> DataFrame:
+def block_roots(nodes: DataFrame, levels: int) -> DataFrame:
     """The roots of the aligned blocks, as the leaves of the tree above: ``tree, place, n, leaf``."""
 
     def root(block: pa.Table) -> pa.Table:
         block = _rows(block)
         n = block["n"][0].as_py()
-        top = build(block["leaf"].to_pylist(), _height(n))[-1][0]
-        above = -(-n // BLOCK)
+        top = build(block["leaf"].to_pylist(), _height(n, levels))[-1][0]
+        above = -(-n // ARITY**levels)
         return pa.Table.from_pylist([{"tree": block["tree"][0].as_py(), "place": block["block"][0].as_py(), "n": above, "leaf": top}])
 
-    rows = _blocks(nodes.select("tree", "place", "n", "leaf"))
+    rows = _blocks(nodes.select("tree", "place", "n", "leaf"), levels)
     return rows.groupBy("tree", "block").applyInArrow(root, "tree string, place long, n long, leaf string")
 
 
-def paths_of_blocks(nodes: DataFrame) -> DataFrame:
+def paths_of_blocks(nodes: DataFrame, levels: int) -> DataFrame:
     """``tree, block, path, root``: the siblings from the root of each block up to the root of its tree."""
-    roots = written(block_roots(nodes), "block-roots")
+    roots = written(block_roots(nodes, levels), "block-roots")
     most = roots.agg(F.max("n")).first()[0]
     if (most or 1) == 1:
         return roots.select("tree", F.col("place").alias("block"), F.array().cast(_PATH).alias("path"), F.col("leaf").alias("root"))
-    return paths(roots).withColumnRenamed("place", "block")
+    return paths(roots, levels).withColumnRenamed("place", "block")
 
 
-def paths(nodes: DataFrame) -> DataFrame:
+def paths(nodes: DataFrame, levels: int) -> DataFrame:
     """``tree, place, path, root`` of every node: its siblings and its ancestors' up to the root of its tree."""
 
     def climb(block: pa.Table, above: pa.Table) -> pa.Table:
         block, rest, top = _rows(block), _path(above), above["root"][0].as_py()
-        tree = build(block["leaf"].to_pylist(), _height(block["n"][0].as_py()))
+        tree = build(block["leaf"].to_pylist(), _height(block["n"][0].as_py(), levels))
         whole = [[{"before": b, "after": a} for b, a in siblings(tree, k) + rest] for k in range(len(block))]
         found = {"tree": block["tree"].to_pylist(), "place": block["place"].to_pylist(), "path": whole, "root": [top] * len(block)}
         return pa.table(found, pa.schema([("tree", pa.string()), ("place", pa.int64()), ("path", _arrow_path()), ("root", pa.string())]))
 
-    upper = paths_of_blocks(nodes)
-    met = _blocks(nodes).groupBy("tree", "block").cogroup(upper.groupBy("tree", "block"))
+    upper = paths_of_blocks(nodes, levels)
+    met = _blocks(nodes, levels).groupBy("tree", "block").cogroup(upper.groupBy("tree", "block"))
     return written(met.applyInArrow(climb, f"tree string, place long, path {_PATH}, root string"), "paths")
 
 
@@ -154,22 +153,22 @@ def _path(above: pa.Table) -> list[tuple[str, str]]:
 
 def versions(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", fields: Sequence[str] = FIELDS, text_col: str = "text",
-    nodes: bool = False,
+    nodes: bool = False, levels: int = LEVELS,
 ) -> DataFrame:
     """One row per document: doc_id, its leaf, the root of its source (subroot), the root of all, the hash of the siblings that
     prove it, the root of the version its tampered leaf makes (folded_root), and whether that is the root of all (verified).
 
     Tampering takes the line ends out of the text where 2 divides the crc32 of the id. With ``nodes``, also ``proof``, the siblings level by level,
-    and ``copied``, the nodes that the version does not share, from the leaf to the root. A null source is a tree of its
+    and ``copied``, the nodes that the version does not share, from the leaf to the root. ``levels`` is the height of a block. A null source is a tree of its
     own, before all others; a null id is before all others and never tampered with; a null text stays. Equal ids go by their leaves, and rows
     repeated in full are leaves of their own. A text is hashed whole, whatever its length. A lone leaf is its subroot. Other
     columns do not matter. An empty table gives no rows.
     """
     rows = placed(leaves(docs, id_col, source_col, fields, text_col), ["doc_id", "leaf"])
-    in_source = written(paths_of_blocks(rows), "source-paths")
+    in_source = written(paths_of_blocks(rows, levels), "source-paths")
     subroots = in_source.select("tree", "root").distinct().select(F.lit("").alias("tree"), F.col("tree").alias("of"), F.col("root").alias("leaf"))
     tops = placed(subroots, ["of"])
-    to_root = paths(tops).join(tops.select("place", "of"), "place")
+    to_root = paths(tops, levels).join(tops.select("place", "of"), "place")
     to_root = to_root.select(F.col("of").alias("tree"), F.col("path").alias("top_path"), F.col("root").alias("top"))
     upper = in_source.join(to_root, "tree").select(
         "tree", "block", F.concat("path", "top_path").alias("path"), F.col("root").alias("subroot"), F.col("top").alias("root")
@@ -179,7 +178,7 @@ def versions(
         block, rest = _rows(block), _path(above)
         subroot, root = above["subroot"][0].as_py(), above["root"][0].as_py()
         own = block["leaf"].to_pylist()
-        tree = build(own, _height(block["n"][0].as_py()))
+        tree = build(own, _height(block["n"][0].as_py(), levels))
         found = []
         for k, (doc_id, leaf, altered) in enumerate(zip(block["doc_id"].to_pylist(), own, block["altered"].to_pylist(), strict=True)):
             path = siblings(tree, k) + rest
@@ -199,4 +198,4 @@ def versions(
         columns += [("proof", _arrow_path()), ("copied", pa.list_(pa.string()))]
         schema += f", proof {_PATH}, copied array<string>"
     arrow = pa.schema(columns)
-    return _blocks(rows).groupBy("tree", "block").cogroup(upper.groupBy("tree", "block")).applyInArrow(verify, schema)
+    return _blocks(rows, levels).groupBy("tree", "block").cogroup(upper.groupBy("tree", "block")).applyInArrow(verify, schema)

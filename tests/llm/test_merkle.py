@@ -58,12 +58,6 @@ def found(spark, rows, **options):
     return sorted(map(tuple, merkle.versions(df, **options).collect()), key=repr)
 
 
-@pytest.fixture
-def small_blocks(monkeypatch):
-    monkeypatch.setattr(merkle, "LEVELS", 2)
-    monkeypatch.setattr(merkle, "BLOCK", 9)
-
-
 @pytest.fixture
 def rows(awkward):
     prose = [(k, f"one {k}\ntwo\n{k % 7}", "big", "en", k) for k in range(-40, 160)]
@@ -73,18 +67,18 @@ def rows(awkward):
     return prose + odd + exact + [(5, "same\nrow", "twice", "en", 2)] * 14
 
 
-def test_against_a_plain_tree(spark, rows, small_blocks):
-    assert found(spark, rows) == sorted(plain(rows), key=repr)
+def test_against_a_plain_tree(spark, rows):
+    assert found(spark, rows, levels=2) == sorted(plain(rows), key=repr)
 
 
 def test_one_block(spark, rows):
     assert found(spark, rows) == sorted(plain(rows), key=repr)
 
 
-def test_versions_share_all_but_their_path(spark, rows, small_blocks):
+def test_versions_share_all_but_their_path(spark, rows):
     """Each copied node is the hash of the one below it between its siblings; an untouched row copies the tree's own nodes."""
     names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "proof", "copied"]
-    versions = [dict(zip(names, r, strict=True)) for r in found(spark, rows, nodes=True)]
+    versions = [dict(zip(names, r, strict=True)) for r in found(spark, rows, nodes=True, levels=2)]
     roots = {v["subroot"] for v in versions} | {v["root"] for v in versions}
     assert any(not v["verified"] for v in versions)
     for v in versions:
@@ -102,5 +96,5 @@ def test_few_rows(spark, rows):
 
 def test_large_tree(spark):
     """More rows than a block of production size holds, in one source."""
-    rows = [(k, "x\ny" if k % 3 else "z", "hot", "en", k) for k in range(2 * merkle.BLOCK + 5)]
+    rows = [(k, "x\ny" if k % 3 else "z", "hot", "en", k) for k in range(2 * merkle.ARITY**merkle.LEVELS + 5)]
     assert found(spark, rows) == sorted(plain(rows), key=repr)

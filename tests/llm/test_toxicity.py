@@ -1,0 +1,114 @@
+"""Toxicity: buckets, counts and the fit against plain versions, held-out labels, awkward rows."""
+
+from __future__ import annotations
+
+import binascii
+import math
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from snapdelta.llm import queries, toxicity
+
+LABELS = "doc_id long, toxic int"
+
+
+def one_bucket(gram):
+    value, mask = 0, (1 << 64) - 1
+    for c in gram:
+        value = (value + max(32, ord(c))) * 0x9E3779B97F4A7C15 & mask
+        value ^= value >> 29
+    return value >> (64 - toxicity.BITS)
+
+
+def plain(text):
+    text = f" {text or ''} ".lower()
+    return {one_bucket(text[k : k + n]) for n in toxicity.SIZES for k in range(len(text) - n + 1)}
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 7])
+def test_buckets(awkward, monkeypatch, piece):
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    for text in [t[:300] if t else t for _, t in awkward] + ["a", "ab", "abc", "Idiot\tidiot", "é" * 20]:
+        assert set(toxicity.present(text).tolist()) == plain(text)
+
+
+def corpus(n):
+    """Every fourth document has one of two insults; words differ from document to document."""
+    docs = []
+    for k in range(n):
+        words = [f"w{(k * 31 + j * 17) % 211}" for j in range(10 + k % 30)]
+        if k % 4 == 0:
+            words[k % 10] = ("blockhead", "Nitwit")[k // 4 % 2]
+        docs.append((k, " ".join(words), int(k % 4 == 0)))
+    return docs
+
+
+def test_counts_and_ratios(spark):
+    docs = corpus(60)
+    sample = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    expected = {}
+    for _, text, toxic in docs:
+        for b in plain(text):
+            expected.setdefault(b, [0, 0])[toxic] += 1
+    found = toxicity.counts(sample)
+    assert {r.bucket: [r.clean, r.toxic] for r in found.collect()} == expected
+    for r in toxicity.ratios(found, 15, 45).collect():
+        clean, toxic = expected[r.bucket]
+        assert r.ratio == pytest.approx(math.log((toxic + 1) / 17) - math.log((clean + 1) / 47))
+
+
+def test_regression_is_at_its_minimum():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 12)) < 0.4
+    y = (x[:, 0] | (x[:, 1] & x[:, 2])).astype(float)
+    ratio, weight = rng.normal(size=12), np.full(300, 1 / 300)
+    w, constant = toxicity.regression(np.packbits(x, axis=1), y, weight, ratio)
+    z = (x * ratio) @ w + constant
+    error = (1 / (1 + np.exp(-z)) - y) / 300
+    slope = np.append((x * ratio).T @ error + toxicity.PENALTY * w, error.sum())
+    assert np.abs(slope).max() < 2e-3
+    assert ((z > 0) == (y > 0)).mean() > 0.95
+
+
+def test_learns_from_the_allowed_labels_only(spark):
+    docs = corpus(400)
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").selectExpr("*", "1 AS toxic", "2 AS hash", "3 AS `a.b`", "4 AS score")
+    outside = {k: binascii.crc32(str(k).encode()) % 5 == 0 for k, *_ in docs}
+    honest = [(k, toxic) for k, _, toxic in docs]
+    spoilt = [(k, 1 - toxic if outside[k] else toxic) for k, toxic in honest]
+    results = [{r.doc_id: r for r in toxicity.held_out(frame, spark.createDataFrame(x, LABELS)).collect()} for x in (honest, spoilt)]
+    assert results[0] == results[1]
+    for k, toxic in honest:
+        row = results[0][k]
+        assert row.held_out == outside[k] and row.predicted == toxic == int(row.score >= 0.5)
+
+
+def test_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_ROWS", 40)
+    docs = corpus(800)
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, toxic) for k, _, toxic in docs], LABELS)
+    sample, totals = toxicity._labelled(frame, labels, "doc_id", "toxic")
+    assert totals == {0: 600, 1: 200} and 10 <= sample.where("toxic = 1").count() <= 80 and 10 <= sample.where("toxic = 0").count() <= 80
+    rated = {r.doc_id: r.score for r in toxicity.scores(frame, toxicity.fit(frame, labels)).collect()}
+    assert np.mean([(rated[k] >= 0.5) == toxic for k, _, toxic in docs]) > 0.95
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1)], [(1, 0), (6, 0)], [(None, 1), (1, None)], [(6, 1), (6, 0), (7, 0), (5, 0)]])
+def test_awkward_rows(spark, make, awkward, labels):
+    rows = toxicity.held_out(make(awkward), spark.createDataFrame(labels, LABELS)).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in awkward)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+    assert len({r.score for r in rows if r.doc_id in (2, 3)}) == 1
+    assert len({r.score for r in rows}) == 1 or any(i == 6 and flag == 1 for i, flag in labels)
+    assert toxicity.held_out(make([]), spark.createDataFrame(labels, LABELS)).collect() == []
+
+
+def test_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist()}
+    rows = [r for r in queries.QUERIES["op12_toxicity"](spark, folder).collect() if r.held_out and r.doc_id in labels]
+    toxic, clean = ([r.predicted for r in rows if labels[r.doc_id] == k] for k in (1, 0))
+    assert len(toxic) > 50 and sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean)
