@@ -12,10 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def with_prior(current: DataFrame, state: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Attach ``previous_hash``; NULL where the state does not know the key."""
-    prior = state.select(*key, F.col("content_hash").alias("previous_hash"))
-    return current.join(prior, list(key), "left")
+def with_prior(current: DataFrame, state: DataFrame | Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
+    """Attach ``previous_hash``; NULL where the state does not know the key.
+
+    The state may come in tiers, newest first, each with a key at most once; the first that knows a key counts. Tiers bucketed by
+    key are joined as they lie: only ``current`` is shuffled, and once for all of them.
+    """
+    tiers = [state] if isinstance(state, DataFrame) else state
+    rows, known = current, [F.lit(None).cast("struct<content_hash:string>")]
+    for age, tier in enumerate(tiers):
+        prior = tier.select(*key, F.struct("content_hash").alias(f"_prior_{age}"))
+        rows = rows.join(prior, list(key), "left")
+        known.append(F.col(f"_prior_{age}"))
+    previous = F.coalesce(*known)["content_hash"].alias("previous_hash")
+    return rows.select(*[current[c] for c in current.columns], previous)
 
 
 def changed(current: Column, previous: Column) -> Column:

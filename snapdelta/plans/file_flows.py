@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from snapdelta.plans.steps import component_types, decide, gather, newest_versio
 from snapdelta.sources.files import copy_files, file_sha256, list_files, posix, remove_staging, spread
 from snapdelta.sources.interchange import ENTRIES_PER_DOCUMENT, export_log, export_state, import_log, import_state
 from snapdelta.sources.log import append_log, load_log
-from snapdelta.sources.state import load_state, save_state
+from snapdelta.sources.state import load_state, open_state, save_state
 
 PATH = "file_path.file_path"
 STATE_KEY = [T.StructField("path", T.StringType())]
@@ -63,7 +64,7 @@ def backup_files(
     run_ts = run_ts or dt.datetime.now(dt.timezone.utc)
     source, destination = posix(source), posix(destination)
     staging = f"{destination}/.staging"
-    state = load_state(spark, f"{store}/state", STATE_KEY)
+    state = open_state(spark, f"{store}/state", STATE_KEY)
     stages = backup_stages(source, destination, staging, state, run_ts, tasks)
     report = Pipeline(stages).run(_seed(spark, source), distinct_input=True)
     remove_staging(staging)
@@ -83,7 +84,7 @@ def backup_stages(
     source: str,
     destination: str,
     staging: str,
-    state: DataFrame,
+    state: DataFrame | Sequence[DataFrame],
     run_ts: dt.datetime,
     tasks: int | None = None,
 ) -> list[Stage]:
@@ -174,7 +175,7 @@ def discover(root: str, tasks: int | None = None) -> Transform:
     return generate
 
 
-def hash_files(state: DataFrame, tasks: int | None = None) -> Transform:
+def hash_files(state: DataFrame | Sequence[DataFrame], tasks: int | None = None) -> Transform:
     """Hash each file and look up the hash stored for its path."""
 
     def transform(df: DataFrame) -> DataFrame:

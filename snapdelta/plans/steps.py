@@ -14,7 +14,7 @@ from snapdelta.operators.components import COMPONENTS, has_component, set_compon
 from snapdelta.operators.delta import changed, stamp
 from snapdelta.operators.versions import latest_version, version_lines
 from snapdelta.plans.stages import Transform
-from snapdelta.sources import folders
+from snapdelta.sources import folders, state
 from snapdelta.sources.log import load_log
 
 # The names of the stages.
@@ -61,7 +61,8 @@ def newest_version(spark: SparkSession, store: str) -> str | None:
 
 def vacuum(spark: SparkSession, store: str) -> list[str]:
     """Remove the folders of a store's state and log that no reader needs any more; versions stay."""
-    return [f"{part}/{name}" for part in ("state", "log") for name in folders.vacuum(spark, f"{store}/{part}")]
+    old = [f"state/{name}" for name in state.vacuum(spark, f"{store}/state")]
+    return old + [f"log/{name}" for name in folders.vacuum(spark, f"{store}/log")]
 
 
 def component_types(*names: str) -> dict[str, str]:

@@ -34,7 +34,7 @@ from snapdelta.plans.steps import component_types, decide, gather, newest_versio
 from snapdelta.session import scratch_dir
 from snapdelta.sources.log import append_log
 from snapdelta.sources.snapshots import HASH_IN_VERSION, RESERVED, read_version, write_version
-from snapdelta.sources.state import has_state, load_state, save_state
+from snapdelta.sources.state import open_state, save_state
 
 # Changed rows are written in slices of about so many keys, the most that is broadcast at once.
 SLICE_KEYS = 1_000_000
@@ -76,11 +76,11 @@ def backup_table(
         raise ValueError(f"reserved column names in the source: {', '.join(taken)}")
     run_ts = run_ts or dt.datetime.now(dt.timezone.utc)
     fields = [current.schema[name] for name in key]
-    state = load_state(spark, f"{store}/state", fields)
+    state = open_state(spark, f"{store}/state", fields)
     report = detect(current, key, content, state, run_ts)
 
     rows = current.withColumn(HASH_IN_VERSION, hash_of_columns(current, content))
-    if has_state(spark, f"{store}/state"):
+    if state:
         located = detect(_located(current), key, content, state, run_ts)
         slices = _changed_rows(rows, located, key)
     else:
@@ -98,7 +98,7 @@ def backup_table(
 
 
 def detect(
-    current: DataFrame, key: Sequence[str], content: Sequence[str], state: DataFrame, run_ts: dt.datetime
+    current: DataFrame, key: Sequence[str], content: Sequence[str], state: DataFrame | Sequence[DataFrame], run_ts: dt.datetime
 ) -> DataFrame:
     """The entity table of a run: which rows are new or changed, and which failed."""
     located = [name for name in current.columns if name == FILE]
@@ -132,7 +132,7 @@ def put_over(target: DataFrame, restored: DataFrame, key: Sequence[str]) -> Data
     return kept.unionByName(restored.select(*target.columns))
 
 
-def look_up(state: DataFrame, key: Sequence[str]) -> Transform:
+def look_up(state: DataFrame | Sequence[DataFrame], key: Sequence[str]) -> Transform:
     """Set the ``file_hash`` component from the hash in the row and the stored one."""
 
     def transform(df: DataFrame) -> DataFrame:

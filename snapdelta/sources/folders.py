@@ -48,11 +48,22 @@ def vacuum(spark: SparkSession, path: str) -> list[str]:
     kept = current(spark, path)
     old = [n for n in child_folders(spark, path) if kept and number(n) < number(kept[0])]
     for name in old:
-        fs, where = _resolve(spark, f"{path}/{name}")
-        fs.delete(where, True)
+        remove(spark, f"{path}/{name}")
     return old
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder and what is in it; nothing happens if there is none."""
+    fs, where = _resolve(spark, path)
+    fs.delete(where, True)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    fs, where = _resolve(spark, path)
+    return fs.getContentSummary(where).getLength()
+
+
 def _resolve(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

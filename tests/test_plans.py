@@ -47,15 +47,22 @@ def test_lookup_shuffles_keys_and_hashes_but_no_content(spark, docs, no_broadcas
     assert shuffles.count("Exchange hashpartitioning") == 2
 
 
-def test_stored_state_is_shuffled_and_sorted_once_for_merge_and_join(spark, docs, tmp_path, no_broadcast):
+@pytest.mark.parametrize("buckets", [3, 8, 40])
+def test_stored_state_is_not_shuffled(spark, docs, tmp_path, no_broadcast, monkeypatch, buckets):
+    """Three tiers are joined with one exchange, that of the rows looked up."""
     key = [docs.schema["id"]]
-    hashes = docs.select("id", content_hash("text").alias("content_hash"))
-    for _ in range(3):
-        state.save_state(spark, str(tmp_path), hashes, key)
-    current = hashes.withColumnRenamed("content_hash", "current_hash")
-    text = plan(delta.with_prior(current, state.load_state(spark, str(tmp_path), key), ["id"]))
-    state_side = text[text.index("SortMergeJoin") :].split("max_by", 1)[1]
-    assert state_side.count("Exchange") == 1 and state_side.count("Sort [") == 1
+    monkeypatch.setattr(state, "LIKE", 0)
+    for n in (1000, 100, 10):
+        hashes = docs.where(F.col("id") < n).select("id", F.lit(str(n)).alias("content_hash"))
+        state.save_state(spark, str(tmp_path), hashes, key, buckets)
+    tiers = state.open_state(spark, str(tmp_path), key)
+    current = docs.select((F.col("id") * 2).alias("id"), content_hash("text").alias("current_hash"))
+    joined = delta.with_prior(current, tiers, ["id"])
+    text = plan(joined)
+    assert len(tiers) == 3 and text.count("SortMergeJoin") == len(tiers) and text.count("Bucketed: true") == len(tiers)
+    assert len(re.findall(r"\bExchange hashpartitioning", text)) == 1 and f", {buckets}), ENSURE" in text
+    found = {r.id: r.previous_hash for r in joined.collect()}
+    assert found == {k: "10" if k < 10 else "100" if k < 100 else "1000" if k < 1000 else None for k in range(0, 2000, 2)}
 
 
 def test_first_run_hashes_each_row_once(spark, docs, tmp_path, monkeypatch):

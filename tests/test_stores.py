@@ -41,26 +41,81 @@ def test_later_writes_win_and_other_keys_stay(spark, tmp_path, rows):
     assert rows(state.load_state(spark, str(tmp_path), KEY)) == [("a", "1"), ("b", "5"), ("c", "4")]
 
 
-def test_many_runs_are_merged_into_a_full_folder(spark, tmp_path, rows):
+def test_runs_are_merged_into_tiers_that_grow_with_age(spark, tmp_path, rows):
     expected = {}
-    for run in range(state.COMPACT_AFTER + 4):
-        update = {"same": str(run), f"run{run}": "x"}
+    for run in range(1, 10):
+        update = {"same": str(run)} | {f"run{run}-{k}": "x" * 10 for k in range(400)}
         expected.update(update)
         state.save_state(spark, str(tmp_path), hashes(spark, **update), KEY)
         assert dict(rows(state.load_state(spark, str(tmp_path), KEY))) == expected
-    names = sorted(p.name for p in tmp_path.iterdir())
-    assert [n for n in names if n.startswith("full=")] == [f"full={state.COMPACT_AFTER + 2:08d}"]
-    assert len(state._current(spark, str(tmp_path))) == 3
+        covered = [(t.first, t.last) for t in state.tiers(spark, str(tmp_path))]
+        assert covered[0][1] == run and covered[-1][0] == 1 and len(covered) <= run.bit_length()
+        assert all(a[0] == b[1] + 1 for a, b in zip(covered, covered[1:], strict=False))
+
+
+def test_rewriting_grows_with_the_logarithm_of_the_runs():
+    """Sizes alone: 100 and 1,000 equal runs, and small runs over a large state, which must stay untouched."""
+    for runs, most in ((100, 8), (1000, 11)):
+        sizes, written = [], 0
+        for _ in range(runs):
+            sizes.insert(0, 1)
+            alike = state.like_tiers(sizes)
+            written += 1 + (sum(sizes[:alike]) if alike > 1 else 0)
+            sizes = [sum(sizes[:alike]), *sizes[alike:]]
+            assert len(sizes) <= most
+        assert written <= runs * most and sum(sizes) == runs
+    sizes = [10**6]
+    for _ in range(1000):
+        sizes.insert(0, 1)
+        alike = state.like_tiers(sizes)
+        sizes = [sum(sizes[:alike]), *sizes[alike:]]
+        assert sizes[-1] == 10**6
+
+
+def test_bytes_written_over_many_runs(spark, tmp_path):
+    """What lies in all folders ever written, over what the runs brought, grows by a level per doubling."""
+    update = {f"k{k}": "y" * 40 for k in range(2000)}
+    brought = 0
+    for run in range(16):
+        before = {t.name for t in state._folders(spark, str(tmp_path))}
+        state.save_state(spark, str(tmp_path), hashes(spark, **{f"{run}-{k}": v for k, v in update.items()}), KEY, buckets=2)
+        new = [p for p in tmp_path.iterdir() if p.name not in before]
+        brought += min(sum(f.stat().st_size for f in p.iterdir()) for p in new)
+    in_all = sum(f.stat().st_size for p in tmp_path.iterdir() for f in p.iterdir())
+    assert in_all <= 5 * brought
+
+
+def test_state_in_another_number_of_buckets(spark, tmp_path, rows):
+    for update in ({"a": "1", "b": "2"}, {"b": "3"}):
+        state.save_state(spark, str(tmp_path), hashes(spark, **update), KEY, buckets=3)
+    state.rebucket(spark, str(tmp_path), KEY, 5)
+    state.save_state(spark, str(tmp_path), hashes(spark, c="4"), KEY)
+    assert {t.buckets for t in state.tiers(spark, str(tmp_path))} == {5}
+    assert rows(state.load_state(spark, str(tmp_path), KEY)) == [("a", "1"), ("b", "3"), ("c", "4")]
+
+
+def test_empty_update_and_odd_names(spark, tmp_path, rows):
+    key = [T.StructField("a.b`c d", T.LongType()), T.StructField("content", T.BinaryType())]
+    frame = spark.createDataFrame([(1, b"x", "h"), (2, b"y", "i")], T.StructType([*key, state.HASH]))
+    folder = f"{tmp_path}/it's here"
+    state.save_state(spark, folder, frame.limit(0), key)
+    assert state.has_state(spark, folder) and state.load_state(spark, folder, key).isEmpty()
+    state.save_state(spark, folder, frame, key)
+    loaded = state.load_state(spark, folder, key)
+    assert loaded.columns == frame.columns and rows(loaded) == [(1, b"x", "h"), (2, b"y", "i")]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("snapdelta_")]
 
 
 def test_unfinished_write_is_not_read_and_not_in_the_way(spark, tmp_path, rows):
     state.save_state(spark, str(tmp_path), hashes(spark, a="1"), KEY)
-    broken = tmp_path / "delta=00000002"
+    broken = tmp_path / "tier=00000001-00000002-8"
     hashes(spark, a="half").write.parquet(str(broken))
     (broken / "_SUCCESS").unlink()
     assert rows(state.load_state(spark, str(tmp_path), KEY)) == [("a", "1")]
     state.save_state(spark, str(tmp_path), hashes(spark, b="2"), KEY)
     assert rows(state.load_state(spark, str(tmp_path), KEY)) == [("a", "1"), ("b", "2")]
+    assert "tier=00000001-00000002-8" in state.vacuum(spark, str(tmp_path))
+    assert rows(state.load_state(spark, str(tmp_path), KEY)) == [("a", "1"), ("b", "2")]
 
 
 def test_state_with_a_composite_key(spark, tmp_path, rows):
@@ -235,13 +290,12 @@ def test_cluster_without_a_shared_folder_is_an_error():
 
 def test_vacuum_removes_what_no_reader_needs(spark, tmp_path, rows, monkeypatch):
     monkeypatch.setattr(log, "COMPACT_AFTER", 2)
-    monkeypatch.setattr(state, "COMPACT_AFTER", 2)
     key = [T.StructField("path", T.StringType())]
     for n in range(5):
         log.append_log(spark, f"{tmp_path}/log", spark.range(n, n + 2).select(F.timestamp_seconds("id").alias("backup_date")))
         state.save_state(spark, f"{tmp_path}/state", hashes(spark, **{f"k{n}": f"h{n}"}), key)
     before = rows(log.load_log(spark, f"{tmp_path}/log")), rows(state.load_state(spark, f"{tmp_path}/state", key))
     removed = steps.vacuum(spark, str(tmp_path))
-    assert "state/delta=00000001" in removed and "log/entry=00000001" in removed
+    assert any(n.startswith("state/tier=00000001-00000001-") for n in removed) and "log/entry=00000001" in removed
     assert before == (rows(log.load_log(spark, f"{tmp_path}/log")), rows(state.load_state(spark, f"{tmp_path}/state", key)))
     assert steps.vacuum(spark, str(tmp_path)) == []
