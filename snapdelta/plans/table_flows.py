@@ -10,13 +10,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapdelta.functions.hashing import hash_of_columns
-from snapdelta.functions.stamps import stamp_of, timestamp_literal
+from snapdelta.functions.names import quoted
+from snapdelta.functions.stamps import stamp_of, timestamp_literal, version_stamp
 from snapdelta.functions.status import (
     HASH_FAILED,
     NO_VERSIONS,
@@ -33,14 +35,17 @@ from snapdelta.plans.stages import Pipeline, Stage, Transform
 from snapdelta.plans.steps import component_types, decide, gather, newest_version
 from snapdelta.session import scratch_dir
 from snapdelta.sources.log import append_log
-from snapdelta.sources.snapshots import HASH_IN_VERSION, RESERVED, read_version, write_version
+from snapdelta.sources.snapshots import HASH_IN_VERSION, TAKEN, read_batch, read_version, write_version, write_versions
 from snapdelta.sources.state import open_state, save_state
 
-# Changed rows are written in slices of about so many keys, the most that is broadcast at once.
+# Changed rows are written in slices of about so many keys, the most that is broadcast for one of them, from so many files.
 SLICE_KEYS = 1_000_000
+SLICE_FILES = 1_000
+# So many slices go into one job, whose tasks run side by side.
+AT_ONCE = 4
 # So few changed rows are put into few files, by a shuffle of these rows alone. More are written where they are read.
 GATHERED = 10_000
-FILE = "_snapdelta_file"
+FILE, STAMP = "_snapdelta_file", "_snapdelta_stamp"
 
 
 @dataclass(frozen=True)
@@ -58,6 +63,7 @@ def backup_table(
     content: Sequence[str],
     store: str,
     run_ts: dt.datetime | None = None,
+    stamp_col: str | None = None,
 ) -> DataFrame:
     """Write the rows that are new or changed since the last run as a new version.
 
@@ -66,50 +72,73 @@ def backup_table(
     on the rows chosen and ``error`` on rows that failed. It is lazy and compares with the state before the
     run; write it down if it is to outlive the source.
 
+    All rows get the time of the run, ``run_ts``, as their stamp, or with ``stamp_col`` the time in that column (where it is NULL, that
+    of the run). Rows go into the version of their stamp; one run may so write many versions, which are all committed at once.
+
     The first run hashes and writes in a single pass. Later ones read the content once to hash it and, if
     anything changed, read what is needed to write it: where ``current`` comes straight from files, only
     the files with changes, in slices whose keys are broadcast, so that content is never shuffled. Only keys
     and hashes are joined with the state. Column names that begin with ``_snapdelta_`` are reserved.
     """
-    taken = [name for name in current.columns if name.lower().startswith(RESERVED)]
+    taken = [name for name in current.columns if name.lower().startswith(TAKEN)]
     if taken:
         raise ValueError(f"reserved column names in the source: {', '.join(taken)}")
     run_ts = run_ts or dt.datetime.now(dt.timezone.utc)
     fields = [current.schema[name] for name in key]
     state = open_state(spark, f"{store}/state", fields)
-    report = detect(current, key, content, state, run_ts)
+    report = detect(current, key, content, state, run_ts, stamp_col)
 
     rows = current.withColumn(HASH_IN_VERSION, hash_of_columns(current, content))
     if state:
-        located = detect(_located(current), key, content, state, run_ts)
-        slices = _changed_rows(rows, located, key)
+        slices = _changed_rows(rows, current, key, content, state, run_ts)
     else:
         # Not a test of the hash itself, which would be computed for the test and for the row.
         rows = rows.where(has_component(*key, *(content if len(content) == 1 else ())))
         slices = [] if rows.isEmpty() else [rows]
     if not slices:
         return report
-    batch = write_version(spark, f"{store}/versions", stamp_of(run_ts), *slices)
-    written = spark.read.schema(T.StructType([*fields, T.StructField(HASH_IN_VERSION, T.StringType())])).parquet(batch)
-    written = written.withColumnRenamed(HASH_IN_VERSION, "content_hash")
-    append_log(spark, f"{store}/log", spark.range(0, 1, 1, 1).select(timestamp_literal(run_ts).alias("backup_date")))
-    save_state(spark, f"{store}/state", written, fields)
+    root = f"{store}/versions"
+    if stamp_col:
+        moment = _moment(F.col(quoted(stamp_col)), run_ts)
+        slices = [rows.withColumn(STAMP, moment) for rows in slices]
+        batch = write_versions(spark, root, version_stamp(F.col(STAMP)), *slices)
+        dates = read_batch(spark, root, batch, T.StructType([T.StructField(STAMP, T.TimestampType())])).distinct()
+    else:
+        batch = write_version(spark, root, stamp_of(run_ts), *slices)
+        dates = spark.range(0, 1, 1, 1).select(timestamp_literal(run_ts).alias(STAMP))
+    written = read_batch(spark, root, batch, T.StructType([*fields, T.StructField(HASH_IN_VERSION, T.StringType())]))
+    append_log(spark, f"{store}/log", dates.withColumnRenamed(STAMP, "backup_date"))
+    save_state(spark, f"{store}/state", written.withColumnRenamed(HASH_IN_VERSION, "content_hash"), fields)
     return report
 
 
 def detect(
-    current: DataFrame, key: Sequence[str], content: Sequence[str], state: DataFrame | Sequence[DataFrame], run_ts: dt.datetime
+    current: DataFrame,
+    key: Sequence[str],
+    content: Sequence[str],
+    state: DataFrame | Sequence[DataFrame],
+    run_ts: dt.datetime,
+    stamp_col: str | None = None,
 ) -> DataFrame:
     """The entity table of a run: which rows are new or changed, and which failed."""
-    located = [name for name in current.columns if name == FILE]
-    hashed = current.select(*key, *located, hash_of_columns(current, content).alias("current_hash"))
+    stamps = [_moment(F.col(quoted(stamp_col)), run_ts).alias(STAMP)] if stamp_col else []
+    hashed = current.select(*key, *stamps, hash_of_columns(current, content).alias("current_hash"))
+    return _detected(hashed, key, state, run_ts).drop(STAMP)
+
+
+def _detected(hashed: DataFrame, key: Sequence[str], state: DataFrame | Sequence[DataFrame], run_ts: dt.datetime) -> DataFrame:
+    own = STAMP if STAMP in hashed.columns else None
     stages = [
         Stage(steps.HASHING, [look_up(state, key)], components=component_types("file_hash")),
-        Stage(steps.DECISION, [decide(("file_hash",), run_ts)], components=component_types("backup_date")),
+        Stage(steps.DECISION, [decide(("file_hash",), run_ts, own)], components=component_types("backup_date")),
     ]
     return Pipeline(stages, key=key).run(hashed, distinct_input=True)
 
 
+def _moment(stamp: Column, run_ts: dt.datetime) -> Column:
+    return F.coalesce(stamp.cast("timestamp"), timestamp_literal(run_ts))
+
+
 def restore_table(spark: SparkSession, store: str, version: str | dt.datetime, key: Sequence[str]) -> Restored:
     """The rows that changed in one version; no other version is read."""
     version = version if isinstance(version, str) else stamp_of(version)
@@ -148,38 +177,45 @@ def look_up(state: DataFrame | Sequence[DataFrame], key: Sequence[str]) -> Trans
     return transform
 
 
-def _changed_rows(rows: DataFrame, located: DataFrame, key: Sequence[str]) -> list[DataFrame]:
-    """The stamped ones of ``rows``, in slices; none if there are none.
+def _changed_rows(
+    rows: DataFrame, current: DataFrame, key: Sequence[str], content: Sequence[str], state: Sequence[DataFrame], run_ts: dt.datetime
+) -> list[DataFrame]:
+    """The new and changed ones of ``rows``, in slices, several of them in one frame; none if there are none.
 
-    The keys become a table of their own, with a mark of the file each was read from. A slice is some files
-    with changes and their keys; a file with more keys than a slice holds is read for each part of
-    them. A source that is not files is read once, with one semi join.
+    The keys become a table of their own, with a mark of the file each was read from; the names of the files are gathered
+    while the rows are hashed. A slice is some files with changes and their keys; a file with more keys than a slice holds is read for
+    each part of them. A source that is not files is read once, with one semi join.
     """
     spark = rows.sparkSession
     path = scratch_dir(spark, "marked")
-    seen = Observation()
-    stamped = located.observe(seen, F.count(F.lit(1)).alias("n")).where(has_component("backup_date"))
-    marked = stamped.select(*key, *[name for name in located.columns if name == FILE])
+    seen, hashes = Observation(), hash_of_columns(current, content).alias("current_hash")
+    rows_seen = F.count(F.lit(1)).alias("n")
+    if _from_files(current):
+        name = F.col("_metadata.file_path")
+        hashed = current.select(*key, F.xxhash64(name).alias(FILE), name.alias("_name"), hashes)
+        # As many names as there are files, whose list the driver holds anyway.
+        hashed = hashed.observe(seen, rows_seen, F.collect_set(F.struct(FILE, "_name")).alias("files")).drop("_name")
+    else:
+        hashed = current.select(*key, hashes).observe(seen, rows_seen)
+    marked = _detected(hashed, key, state, run_ts).where(has_component("backup_date"))
+    marked = marked.select(*key, *[name for name in hashed.columns if name == FILE])
     gather(marked).write.parquet(path)
     marked = spark.read.schema(marked.schema).parquet(path)
-    n_marked = marked.count()
+    by_file = [FILE] if FILE in marked.columns else []
+    counts = {r[0]: r[-1] for r in marked.groupBy(*by_file).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_marked = sum(counts.values())
     if not n_marked:
         return []
     # A repeated task may count rows twice, but never too few: equal numbers do mean all rows.
     if n_marked == seen.get["n"]:
         return [rows]
-    if FILE in marked.columns:
-        slices = [_slice(rows, marked, key, *part) for part in _parts(_touched(rows, marked))]
+    if by_file:
+        touched = sorted((name, mark, counts[mark]) for mark, name in {tuple(f) for f in seen.get["files"]} if mark in counts)
+        slices = [_slice(rows, marked, key, *part) for part in _parts(touched)]
+        together = [reduce(DataFrame.unionByName, slices[k : k + AT_ONCE]) for k in range(0, len(slices), AT_ONCE)]
     else:
-        slices = [rows.join(marked.select(*key), list(key), "left_semi")]
-    return [gather(rows) for rows in slices] if n_marked <= GATHERED else slices
-
-
-def _touched(rows: DataFrame, marked: DataFrame) -> list[tuple[str, int, int]]:
-    """Name, mark and number of changed keys of each file with changes: a part of the list of files that the driver holds anyway."""
-    counts = marked.groupBy(FILE).agg(F.count(F.lit(1)).alias("n"))
-    names = rows.select("_metadata.file_path").distinct().withColumn(FILE, F.xxhash64("file_path"))
-    return [tuple(r) for r in names.join(counts, FILE).select("file_path", FILE, "n").orderBy("file_path").collect()]
+        together = [rows.join(marked.select(*key), list(key), "left_semi")]
+    return [gather(rows) for rows in together] if n_marked <= GATHERED else together
 
 
 def _parts(touched: list[tuple[str, int, int]]) -> list[tuple[list[str], list[int], int, int]]:
@@ -191,7 +227,7 @@ def _parts(touched: list[tuple[str, int, int]]) -> list[tuple[list[str], list[in
             whole = -(-n // SLICE_KEYS)
             parts += [([name], [mark], i, whole) for i in range(whole)]
             continue
-        if keys + n > SLICE_KEYS:
+        if keys + n > SLICE_KEYS or len(names) == SLICE_FILES:
             parts.append((names, marks, 0, 1))
             names, marks, keys = [], [], 0
         names.append(name)
@@ -209,8 +245,7 @@ def _slice(
     return rows.where(F.col("_metadata.file_path").isin(names) & mine).join(F.broadcast(keys), list(key), "left_semi")
 
 
-def _located(df: DataFrame) -> DataFrame:
-    """``df`` with a short mark of the file each row was read from, if it comes straight from files."""
+def _from_files(df: DataFrame) -> bool:
+    """Whether rows come straight from files, so that Spark can say from which."""
     hidden = df._jdf.queryExecution().analyzed().metadataOutput()
-    from_files = any(hidden.apply(i).name() == "_metadata" for i in range(hidden.size()))
-    return df.withColumn(FILE, F.xxhash64("_metadata.file_path")) if from_files and "_metadata" not in df.columns else df
+    return any(hidden.apply(i).name() == "_metadata" for i in range(hidden.size())) and "_metadata" not in df.columns

@@ -13,6 +13,20 @@ def child_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory())
 
 
+def child_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files directly below ``path``, sorted; none if it does not exist."""
+    fs, where = _resolve(spark, path)
+    if not fs.exists(where):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(where) if s.isFile())
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file, which must not be there yet."""
+    fs, where = _resolve(spark, path)
+    fs.create(where, False).close()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder at ``path``."""
     fs, where = _resolve(spark, path)

@@ -181,15 +181,69 @@ def test_slices_of_any_size_shuffle_no_content(spark, in_files, monkeypatch, key
     monkeypatch.setattr(table_flows, "write_version", lambda *args: written.extend(args[3:]) or write(*args))
     many = source.withColumn("text", F.when(F.col("id").between(2500, 4500), "changed").otherwise(F.col("text")))
     backup_table(spark, many, KEY, ["text"], store, RUNS[1])
-    assert len(written) >= 2001 / max(keys, 20) - 1
+    slices = 0
     for rows in written[:3]:
         plan = rows._jdf.queryExecution().executedPlan().toString()
         exchanges = [line for line in plan.splitlines() if "Exchange" in line]
-        assert len(exchanges) == 1 and "BroadcastExchange" in exchanges[0]
+        assert 1 <= len(exchanges) <= table_flows.AT_ONCE and all("BroadcastExchange" in line for line in exchanges)
+        slices += len(exchanges)
+    assert len(written) >= (2001 / max(keys, 20) - 1) / table_flows.AT_ONCE and slices > 1
     rows = restore_latest_table(spark, store, KEY).rows
     assert rows.count() == rows.select("id").distinct().count() == 2001 and rows.where("text != 'changed'").isEmpty()
 
 
+def test_files_of_a_slice_are_bounded(spark, in_files, monkeypatch):
+    source, store = in_files
+    monkeypatch.setattr(table_flows, "SLICE_FILES", 3)
+    everywhere = source.withColumn("text", F.when(F.col("id") % 500 == 7, "changed").otherwise(F.col("text")))
+    parts = []
+    slice_of = table_flows._slice
+    monkeypatch.setattr(table_flows, "_slice", lambda *args: parts.append(args[3]) or slice_of(*args))
+    backup_table(spark, everywhere, KEY, ["text"], store, RUNS[1])
+    assert [len(names) for names in parts] == [3, 3, 3, 1]
+    rows = restore_latest_table(spark, store, KEY).rows
+    assert rows.count() == 519 and rows.where("text != 'changed'").isEmpty()
+
+
+def test_files_with_changes_are_found_while_hashing(spark, in_files, monkeypatch):
+    source, store = in_files
+    collected = []
+    monkeypatch.setattr(table_flows, "_parts", lambda touched, plain=table_flows._parts: collected.extend(touched) or plain(touched))
+    backup_table(spark, source, KEY, ["text"], store, RUNS[1])
+    assert len(collected) == 1 and "part-00003" in collected[0][0] and collected[0][2] == 500
+
+
+STAMPED = "id string, text string, at timestamp"
+
+
+def test_stamps_of_rows_make_many_versions_at_once(spark, tmp_path, monkeypatch):
+    day = [dt.datetime(2023, 5, d, 1, 2, 3, 456) for d in range(1, 4)]
+    frame = spark.createDataFrame([("a", "1", day[0]), ("b", "2", day[1]), ("c", "3", day[0]), ("d", "4", None)], STAMPED)
+    report = backup_table(spark, frame, KEY, ["text"], str(tmp_path), RUNS[0], stamp_col="at")
+    assert {r.id: r.backup_date[0] for r in report.collect()} == {"a": day[0], "b": day[1], "c": day[0], "d": RUNS[0]}
+    assert report.columns == ["id", "file_hash", "error", "backup_date"]
+    assert snapshots.stored_versions(spark, f"{tmp_path}/versions") == ["20230501010203", "20230502010203", STAMPS[0]]
+    assert stored(spark, tmp_path, "20230501010203") == {"a": "1", "c": "3"} and stored(spark, tmp_path, STAMPS[0]) == {"d": "4"}
+    assert [r.backup_date for r in query_versions(spark, str(tmp_path)).collect()] == [RUNS[0], day[1], day[0]]
+    # A later run into a version of the past, and one that stops before its commit.
+    again = spark.createDataFrame([("a", "9", day[0]), ("b", "2", day[2])], STAMPED)
+    monkeypatch.setattr(snapshots, "touch", lambda spark, path, plain=snapshots.touch: 1 / 0 if "batch=" in path else plain(spark, path))
+    with pytest.raises(ZeroDivisionError):
+        backup_table(spark, again, KEY, ["text"], str(tmp_path), RUNS[1], stamp_col="at")
+    monkeypatch.undo()
+    assert stored(spark, tmp_path, "20230501010203") == {"a": "1", "c": "3"}
+    backup_table(spark, again, KEY, ["text"], str(tmp_path), RUNS[1], stamp_col="at")
+    assert stored(spark, tmp_path, "20230501010203") == {"a": "9", "c": "3"} and query_versions(spark, str(tmp_path)).count() == 3
+
+
+def test_stamps_of_rows_from_files(spark, in_files):
+    source, store = in_files
+    stamped = source.withColumn("at.time", F.timestamp_seconds(1_700_000_000 + F.col("id") % 3 * 86_400))
+    backup_table(spark, stamped, KEY, ["text"], store, RUNS[1], stamp_col="at.time")
+    counts = [restore_table(spark, store, v, KEY).rows.count() for v in ("20231114221320", "20231115221320", "20231116221320")]
+    assert sum(counts) == 500 and min(counts) >= 166
+
+
 def test_a_source_with_columns_named_like_ours_comes_back_whole(spark, tmp_path):
     frame = docs(spark, a="1", b="2").selectExpr("*", "'v9' AS version", "'mine' AS content_hash")
     backup_table(spark, frame, KEY, ["text"], str(tmp_path), RUNS[0])
