@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.functions.status import NO_VERSIONS, VERSION_NOT_FOUND, require
 from snapdelta.functions.stamps import display_date
-from snapdelta.operators.components import latest
+from snapdelta.operators.components import latest, set_component
+from snapdelta.session import checkpointed
 
 
 def log_add(log: DataFrame, new: DataFrame) -> DataFrame:
@@ -23,30 +25,23 @@ def list_versions(log: DataFrame) -> DataFrame:
 
 
 def version_lines(log: DataFrame) -> DataFrame:
-    """One display line per stored date with its place in the list, newest first.
+    """One display line per stored date with its place in the list, newest first, in this order.
 
-    The place is the rank within the second, plus the dates in later seconds of the day, plus those on
-    later days. No window then holds more than a second's microseconds, a day's seconds or one row per
-    calendar day, even for a log in which every row of a table has a date of its own.
+    The dates are dealt to ranges, sorted within each and kept so (``session.checkpointed``, which makes this run at once). A place is
+    that within the range plus the dates in later ranges, of which the driver sums up one count each. No window, and no second sort.
     """
-    date = F.col("backup_date")
-    dates = log.select(date, F.date_trunc("second", date).alias("_second"), F.to_date(date).alias("_day"))
-    # Stated here, not left to the joins below, so that their inputs are alike and shuffled once for all.
-    dates = dates.where("_second is not null and _day is not null").distinct()
-    seconds = dates.groupBy("_day", "_second").agg(F.count(F.lit(1)).alias("_n"))
-    days = seconds.groupBy("_day").agg(F.sum("_n").alias("_n"))
-
-    later_days = Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("_day", F.coalesce(F.sum("_n").over(later_days), F.lit(0)).alias("_days_before"))
-    later_seconds = Window.partitionBy("_day").orderBy(F.desc("_second")).rowsBetween(Window.unboundedPreceding, -1)
-    seconds = seconds.withColumn("_seconds_before", F.coalesce(F.sum("_n").over(later_seconds), F.lit(0)))
-    before = F.col("_days_before") + F.col("_seconds_before")
-    before = seconds.join(days, "_day").select("_second", before.alias("_before"))
-
-    rank = F.row_number().over(Window.partitionBy("_second").orderBy(F.desc("backup_date")))
-    position = (F.col("_before") + rank).alias("position")
-    ranked = dates.join(before, "_second").select(position, "backup_date", display_date(date).alias("line"))
-    return ranked.orderBy("position")
+    spark = log.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    newest_first = F.desc("backup_date")
+    dates = log.select("backup_date").where("backup_date IS NOT NULL").distinct()
+    dates = checkpointed(dates.repartitionByRange(ranges, newest_first).sortWithinPartitions(newest_first))
+    counts = dict(dates.groupBy(F.spark_partition_id()).count().collect())
+    before = list(accumulate((counts.get(part, 0) for part in range(ranges - 1)), initial=0))
+    # The number of a row is that of its partition, shifted, plus its place there.
+    numbered = dates.withColumn("_at", F.monotonically_increasing_id())
+    part, place = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND((1 << 33) - 1)
+    position = F.get(F.array(*map(F.lit, before)).cast("array<long>"), part) + place + 1
+    return numbered.select(position.alias("position"), "backup_date", display_date(F.col("backup_date")).alias("line"))
 
 
 def versions_component(log: DataFrame) -> DataFrame:
@@ -59,6 +54,11 @@ def versions_component(log: DataFrame) -> DataFrame:
     return log.agg(F.struct(dates.alias("dates")).alias("backup_dates"))
 
 
+def with_versions(entities: DataFrame, log: DataFrame) -> DataFrame:
+    """Set the ``backup_dates`` component of every entity to the list of all dates. The list is made once, as a scalar subquery."""
+    return set_component(entities, "backup_dates", versions_component(log).scalar())
+
+
 def latest_version(log: DataFrame) -> DataFrame:
     """One row: the newest date, or NULL with a failed status when there is none."""
     newest = log.agg(F.max("backup_date").alias("backup_date"))

@@ -746,6 +746,101 @@ def q_restore_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_flows.put_over(first.select("doc_id", "text"), last, DOC)
 
 
+@query(
+    """
+    SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark
+    """
+)
+def q_restore_into(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last version put into a stored table that holds the first, of which only the files concerned are written anew."""
+    store, _ = _two_runs(spark, sf_dir)
+    target = f"{store}/target"
+    table_flows.restore_table(spark, store, FIRST_RUN, DOC).rows.select("doc_id", "text").write.parquet(target)
+    table_flows.restore_into(spark, target, table_flows.restore_latest_table(spark, store, DOC).rows, DOC)
+    return spark.read.parquet(target)
+
+
+@query(
+    """
+    WITH days AS (SELECT strftime(date_trunc('day', ts) + INTERVAL 6 HOUR, '%Y%m%d%H%M%S') AS version FROM events)
+    SELECT min(version) AS version, CAST(NULL AS VARCHAR) AS error_message FROM days
+    UNION ALL SELECT '19990101000000', 'Backup date not found.'
+    """
+)
+def q_restore_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity tables of a restore that finds its version and of one that does not."""
+    store, _ = _two_event_runs(spark, sf_dir)
+    first = snapshots.stored_versions(spark, f"{store}/versions")[0]
+    tables = [table_flows.restore_table(spark, store, v, ["event_id"]).entities for v in (first, "19990101000000")]
+    version = F.regexp_extract("file_path.file_path", "([^/]+)$", 1)
+    return tables[0].unionByName(tables[1]).select(version.alias("version"), "error.error_message")
+
+
+def _two_event_runs(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A store of events in which each has its own day, six in the morning, as stamp: first those with even ids, then all."""
+    store = scratch_dir(spark, "stamped")
+    stamp = (F.to_date("ts").cast("timestamp") + F.expr("INTERVAL 6 HOURS")).alias("day")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value", stamp)
+    key, content = ["event_id"], ["user_id", "value"]
+    table_flows.backup_table(spark, events.where("event_id % 2 = 0"), key, content, store, FIRST_RUN, stamp_col="day")
+    return store, table_flows.backup_table(spark, events, key, content, store, SECOND_RUN, stamp_col="day")
+
+
+@query(
+    """
+    SELECT row_number() OVER (ORDER BY d DESC) AS position, strftime(d, '%Y-%m-%d %H:%M:%S') AS line
+    FROM (SELECT DISTINCT date_trunc('day', ts) + INTERVAL 6 HOUR AS d FROM events)
+    """
+)
+def q_stamped_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _two_event_runs(spark, sf_dir)
+    return steps.query_versions(spark, store).select("position", "line")
+
+
+@query(
+    """
+    WITH days AS (SELECT *, date_trunc('day', ts) + INTERVAL 6 HOUR AS d FROM events)
+    SELECT event_id, user_id, value, strftime(d, '%Y%m%d%H%M%S') AS version FROM days WHERE d = (SELECT max(d) FROM days)
+    """
+)
+def q_restore_stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest version, to which both runs wrote."""
+    store, _ = _two_event_runs(spark, sf_dir)
+    return table_flows.restore_latest_table(spark, store, ["event_id"]).rows.select("event_id", "user_id", "value", "version")
+
+
+@query(
+    """
+    SELECT event_id, CASE WHEN event_id % 2 = 1 THEN strftime(date_trunc('day', ts), '%Y%m%d') || '060000' END AS version FROM events
+    """
+)
+def q_backup_stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, report = _two_event_runs(spark, sf_dir)
+    return report.select("event_id", version_stamp(F.col("backup_date.backup_date")).alias("version"))
+
+
+@query(
+    """
+    SELECT doc_id, (SELECT count(DISTINCT date_trunc('day', ts)) FROM events) AS n_dates,
+           (SELECT strftime(max(date_trunc('day', ts)), '%Y-%m-%d %H:%M:%S') FROM events) AS newest,
+           (SELECT strftime(min(date_trunc('day', ts)), '%Y-%m-%d %H:%M:%S') FROM events) AS oldest, 0 AS n_of_none
+    FROM documents JOIN labels USING (doc_id)
+    """
+)
+def q_versions_on_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of versions as a component of every entity, by a pipeline of one stage; and the list of an empty log."""
+    entities = labelled(spark, sf_dir).where(components.has_component("label"))
+    days = _days(spark, sf_dir)
+    listed = Pipeline([steps.list_versions(days)], key=DOC).run(entities, distinct_input=True)
+    listed = listed.withColumnRenamed("backup_dates", "all_dates")
+    listed = Pipeline([steps.list_versions(days.limit(0))], key=DOC).run(listed, distinct_input=True)
+    dates = F.col("all_dates.dates")
+    return listed.select(
+        "doc_id", F.size(dates).cast("long").alias("n_dates"), display_date(dates[0]).alias("newest"),
+        display_date(F.element_at(dates, -1)).alias("oldest"), F.size("backup_dates.dates").alias("n_of_none"),
+    )
+
+
 # --- File trees -----------------------------------------------------------------------------------
 
 

@@ -12,8 +12,8 @@ from snapdelta.functions.stamps import stamp_of_micros, timestamp_literal
 from snapdelta.functions.status import REQUIRED_MISSING, RESULT, require
 from snapdelta.operators.components import COMPONENTS, has_component, set_component
 from snapdelta.operators.delta import changed, stamp
-from snapdelta.operators.versions import latest_version, version_lines
-from snapdelta.plans.stages import Transform
+from snapdelta.operators.versions import latest_version, version_lines, with_versions
+from snapdelta.plans.stages import Stage, Transform
 from snapdelta.sources import folders, state
 from snapdelta.sources.log import load_log
 
@@ -22,6 +22,7 @@ DISCOVERY = "File Discovery"
 HASHING = "Hash Calculation"
 DECISION = "Backup Decision"
 EXECUTION = "Backup Execution"
+QUERY = "Query Backup Dates"
 RESTORE = "Restore"
 
 
@@ -47,6 +48,11 @@ def gather(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
+def list_versions(log: DataFrame) -> Stage:
+    """A stage that gives every entity the list of all version dates, newest first; an empty log gives an empty list."""
+    return Stage(QUERY, [lambda entities: with_versions(entities, log)], components=component_types("backup_dates"))
+
+
 def query_versions(spark: SparkSession, store: str) -> DataFrame:
     """The version dates in a store's log, newest first, each with its place and display line."""
     return version_lines(load_log(spark, f"{store}/log"))

@@ -8,6 +8,7 @@ the rows as not stored and copies them again, so a crash never hides a version.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapdelta.functions.hashing import hash_of_columns
+from snapdelta.functions.hashing import entity_id, hash_of_columns
 from snapdelta.functions.names import quoted
 from snapdelta.functions.stamps import stamp_of, timestamp_literal, version_stamp
 from snapdelta.functions.status import (
@@ -28,12 +29,13 @@ from snapdelta.functions.status import (
     first_failure,
     require,
 )
-from snapdelta.operators.components import has_component, set_component
+from snapdelta.operators.components import has_component, seed_entities, set_component
 from snapdelta.operators.delta import with_prior
 from snapdelta.plans import steps
 from snapdelta.plans.stages import Pipeline, Stage, Transform
 from snapdelta.plans.steps import component_types, decide, gather, newest_version
 from snapdelta.session import scratch_dir
+from snapdelta.sources import folders
 from snapdelta.sources.log import append_log
 from snapdelta.sources.snapshots import HASH_IN_VERSION, TAKEN, read_batch, read_version, write_version, write_versions
 from snapdelta.sources.state import open_state, save_state
@@ -46,14 +48,20 @@ AT_ONCE = 4
 # So few changed rows are put into few files, by a shuffle of these rows alone. More are written where they are read.
 GATHERED = 10_000
 FILE, STAMP = "_snapdelta_file", "_snapdelta_stamp"
+# Hidden folders below the target of a restore.
+STAGED = "_snapdelta_restore-"
 
 
 @dataclass(frozen=True)
 class Restored:
-    """Rows of a version, or None with the reason in ``error``."""
+    """Rows of a version, or None with the reason in ``error``.
+
+    ``entities`` is the entity table of the run: the store as seed entity, with the reason as its ``error`` component.
+    """
 
     rows: DataFrame | None
     error: str | None = None
+    entities: DataFrame | None = None
 
 
 def backup_table(
@@ -143,24 +151,83 @@ def restore_table(spark: SparkSession, store: str, version: str | dt.datetime, k
     """The rows that changed in one version; no other version is read."""
     version = version if isinstance(version, str) else stamp_of(version)
     rows = read_version(spark, f"{store}/versions", version, key)
-    return Restored(rows) if rows is not None else Restored(None, VERSION_NOT_FOUND)
+    return _restored(spark, f"{store}/versions/{version}", rows, None if rows is not None else VERSION_NOT_FOUND)
 
 
 def restore_latest_table(spark: SparkSession, store: str, key: Sequence[str]) -> Restored:
     """The rows of the newest version in the log."""
     version = newest_version(spark, store)
-    return restore_table(spark, store, version, key) if version else Restored(None, NO_VERSIONS)
+    return restore_table(spark, store, version, key) if version else _restored(spark, f"{store}/versions", None, NO_VERSIONS)
+
+
+def _restored(spark: SparkSession, path: str, rows: DataFrame | None, error: str | None) -> Restored:
+    seed = spark.createDataFrame([(path,)], "path string")
+    seed = seed_entities(seed, F.col("path"), entity_id(F.lit("seed"), "_path"))
+    check = Stage(steps.RESTORE, [lambda df: df.withColumn(RESULT, require(F.lit(error is None), error))])
+    return Restored(rows, error, Pipeline([check]).run(seed, distinct_input=True))
 
 
 def put_over(target: DataFrame, restored: DataFrame, key: Sequence[str]) -> DataFrame:
     """``target`` with restored rows in place of its rows of the same key; other rows stay.
 
-    One anti join: Spark broadcasts the restored keys if they are few and else shuffles both sides by key.
+    One anti join: Spark broadcasts the restored keys if they are few and else shuffles both sides by key. ``restore_into`` changes
+    a stored target without reading all of it.
     """
     kept = target.join(restored.select(*key), list(key), "left_anti")
     return kept.unionByName(restored.select(*target.columns))
 
 
+def restore_into(
+    spark: SparkSession, target: str, restored: DataFrame, key: Sequence[str], partition_by: Sequence[str] = ()
+) -> list[str]:
+    """Write restored rows over the rows of the same key in a folder of Parquet; other rows stay. Returns the files replaced.
+
+    Copy on write: only the files that hold restored keys are written anew, without those rows, and the restored rows are added as new
+    files. Which files these are is found from key columns alone. They are read in slices whose keys are broadcast (``SLICE_KEYS``,
+    ``SLICE_FILES``), so no content of the target is shuffled. New files are staged in a hidden folder; then a plan of the exchange is
+    written, and it takes place file by file. A run that stops before it has the plan changes nothing; one that stops later is
+    finished by the next call, or by ``finish_restore``. Readers should wait meanwhile. Keys are unique in ``restored``; a NULL key
+    matches none. ``partition_by`` names the partition columns of the target.
+    """
+    finish_restore(spark, target)
+    rows = spark.read.parquet(target)
+    restored = restored.select(*[quoted(c) for c in rows.columns])
+    marks = scratch_dir(spark, "held")
+    file = F.col("_metadata.file_path")
+    held = rows.select(*key, F.xxhash64(file).alias(FILE), file.alias("_name")).join(restored.select(*key), list(key), "left_semi")
+    gather(held).write.parquet(marks)
+    held = spark.read.schema(held.schema).parquet(marks)
+    # As many rows as there are files to be replaced.
+    touched = sorted(tuple(r) for r in held.groupBy("_name", FILE).agg(F.count(F.lit(1)).alias("n")).collect())
+
+    slices = [_slice(rows, held, key, *part, how="left_anti") for part in _parts(touched)]
+    together = [reduce(DataFrame.unionByName, slices[k : k + AT_ONCE]) for k in range(0, len(slices), AT_ONCE)]
+    staged = f"{target}/{STAGED}{uuid.uuid4().hex}"
+    for new in [*together, restored]:
+        new.write.mode("append").partitionBy(*partition_by).parquet(f"{staged}/new")
+    replaced = [name for name, _, _ in touched]
+    folders.write_lines(spark, f"{staged}/plan", replaced)
+    finish_restore(spark, target)
+    return replaced
+
+
+def finish_restore(spark: SparkSession, target: str) -> None:
+    """Let staged files take the place of those they replace, as planned; staged files without a plan are removed.
+
+    Each step may be done again: what has been moved is not there any more, nor is what has been removed.
+    """
+    for name in folders.child_folders(spark, target):
+        if not name.startswith(STAGED):
+            continue
+        staged = f"{target}/{name}"
+        if folders.exists(spark, f"{staged}/plan"):
+            # Old files go first: a reader may miss rows for a moment, but never finds two of a key.
+            for old in folders.read_lines(spark, f"{staged}/plan"):
+                folders.remove_file(spark, old)
+            folders.move_files(spark, f"{staged}/new", target)
+        folders.remove(spark, staged)
+
+
 def look_up(state: DataFrame | Sequence[DataFrame], key: Sequence[str]) -> Transform:
     """Set the ``file_hash`` component from the hash in the row and the stored one."""
 
@@ -237,12 +304,13 @@ def _parts(touched: list[tuple[str, int, int]]) -> list[tuple[list[str], list[in
 
 
 def _slice(
-    rows: DataFrame, marked: DataFrame, key: Sequence[str], names: list[str], marks: list[int], part: int, whole: int
+    rows: DataFrame, marked: DataFrame, key: Sequence[str], names: list[str], marks: list[int], part: int, whole: int, how: str = "left_semi"
 ) -> DataFrame:
+    """The rows of some files, or of a part of one, whose keys are marked, or with ``left_anti`` those whose keys are not."""
     mine = F.pmod(F.xxhash64(*key), F.lit(whole)) == part if whole > 1 else F.lit(True)
     keys = marked.where(F.col(FILE).isin(marks) & mine).select(*key)
     # At most SLICE_KEYS keys.
-    return rows.where(F.col("_metadata.file_path").isin(names) & mine).join(F.broadcast(keys), list(key), "left_semi")
+    return rows.where(F.col("_metadata.file_path").isin(names) & mine).join(F.broadcast(keys), list(key), how)
 
 
 def _from_files(df: DataFrame) -> bool:

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_base: str | None = None
 
@@ -36,12 +36,24 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     temporary folder; a cluster without the setting is an error, because one machine's disk is
     neither visible to the other executors nor safe from the loss of that machine.
     """
+    return f"{_shared(spark)}/snapdelta/{purpose}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as it is now, cut in the shared folder, with its partitions and the order in them kept."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(_shared(spark))
+    return df.checkpoint()
+
+
+def _shared(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = _local_scratch()
-    return f"{base.rstrip('/')}/snapdelta/{purpose}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
 
 
 def _local_scratch() -> str:

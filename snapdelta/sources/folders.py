@@ -78,6 +78,51 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(where).getLength()
 
 
+def remove_file(spark: SparkSession, uri: str) -> None:
+    """Remove a file by the name Spark gives it, a URI; nothing happens if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
+
+
+def move_files(spark: SparkSession, source: str, target: str) -> None:
+    """Move the data files below a folder, at any depth, to the same relative places below another."""
+    fs, where = _resolve(spark, source)
+    if not fs.exists(where):
+        return
+    root, found, names = fs.makeQualified(where).toUri().getPath(), fs.listFiles(where, True), []
+    while found.hasNext():
+        names.append(found.next().getPath().toUri().getPath().removeprefix(f"{root}/"))
+    for name in names:
+        if not name.rpartition("/")[2].startswith(("_", ".")):
+            goal = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
+            fs.mkdirs(goal.getParent())
+            if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{source}/{name}"), goal):
+                raise OSError(f"{name} was not moved to {target}")
+
+
+def write_lines(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """Write a small file of lines, which shows under its name only when it is whole."""
+    fs, where = _resolve(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    stream = fs.create(part, True)
+    try:
+        stream.write("".join(f"{line}\n" for line in lines).encode())
+    finally:
+        stream.close()
+    if not fs.rename(part, where):
+        raise OSError(f"{path} was not written")
+
+
+def read_lines(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a small file."""
+    fs, where = _resolve(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode().splitlines()
+    finally:
+        stream.close()
+
+
 def _resolve(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

@@ -96,17 +96,29 @@ def test_reading_a_version_opens_that_version_only(spark, docs, tmp_path):
     assert "ReadSchema: struct<id:bigint>" in plan(read.select("id"))
 
 
-def test_position_of_versions_uses_no_window_over_all_dates(docs):
-    dates = docs.select(F.timestamp_seconds("id").alias("backup_date"))
-    windows = re.findall(r"windowspecdefinition\((_?\w+)", plan(versions.version_lines(dates)))
-    assert set(windows) == {"_day", "_second"}
+def test_position_of_versions_uses_no_window_and_no_shuffle_of_its_own(docs):
+    """The dates are in order already: one distinct and one range partitioning came before."""
+    lines = versions.version_lines(docs.select(F.timestamp_seconds("id").alias("backup_date")))
+    text = plan(lines)
+    assert "Window" not in text and "Exchange" not in text and "Sort" not in text
 
 
-def test_listing_versions_scans_the_log_once(docs):
-    lines = versions.version_lines(docs.select(F.timestamp_seconds("id").alias("backup_date")))
-    lines.collect()
-    final = plan(lines).split("== Initial Plan ==")[0]
-    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 2
+def test_restoring_into_a_target_shuffles_none_of_its_content(spark, docs, tmp_path, monkeypatch, no_broadcast):
+    target = f"{tmp_path}/target"
+    docs.repartition(10).write.parquet(target)
+    written = []
+    slice_of = table_flows._slice
+    monkeypatch.setattr(table_flows, "_slice", lambda *args, **how: written.append(slice_of(*args, **how)) or written[-1])
+    table_flows.restore_into(spark, target, docs.where("id < 3").withColumn("text", F.lit("new")), ["id"])
+    text = plan(written[0])
+    exchanges = [line for line in text.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "BroadcastExchange" in exchanges[0]
+
+
+def test_list_of_versions_is_joined_to_no_entity(docs):
+    dates = docs.select(F.timestamp_seconds("id").alias("backup_date"))
+    text = plan(versions.with_versions(docs.select("id"), dates))
+    assert "Subquery" in text and "Join" not in text
 
 
 def test_no_cross_joins(spark, docs):

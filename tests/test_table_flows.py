@@ -102,11 +102,15 @@ def test_two_runs_within_one_second(spark, tmp_path, backup):
 
 
 def test_missing_version_and_empty_log(spark, tmp_path, backup):
-    assert restore_latest_table(spark, str(tmp_path), KEY).error == "No backup dates found."
+    empty = restore_latest_table(spark, str(tmp_path), KEY)
+    assert empty.error == "No backup dates found." and empty.entities.first().error[0] == "No backup dates found."
     backup(0, a="1")
     missing = restore_table(spark, str(tmp_path), "20200101000000", KEY)
     assert missing.rows is None and missing.error == "Backup date not found."
-    assert restore_latest_table(spark, str(tmp_path), KEY).error is None
+    entity = missing.entities.first()
+    assert entity.error[0] == "Backup date not found." and entity.file_path[0] == f"{tmp_path}/versions/20200101000000"
+    found = restore_latest_table(spark, str(tmp_path), KEY)
+    assert found.error is None and [r.error for r in found.entities.collect()] == [None]
 
 
 @pytest.mark.parametrize(("step", "dates"), [("append_log", 1), ("save_state", 2)])
@@ -279,6 +283,68 @@ def test_put_over_replaces_same_keys_only(spark, rows):
     assert rows(put_over(target, restored, KEY)) == [("a", "new"), ("b", "kept"), ("c", "added")]
 
 
+@pytest.fixture
+def target(spark, tmp_path):
+    """A thousand rows in ten files of a hundred, and the names of the files."""
+    path = f"{tmp_path}/some target"
+    spark.range(0, 1000, 1, 10).select("id", F.concat(F.lit("old"), "id").alias("text"), F.lit(1).alias("n")).write.parquet(path)
+    return path, lambda: {p.name for p in (tmp_path / "some target").glob("*.parquet")}
+
+
+def contents(spark, path):
+    return {r.id: (r.text, r.n) for r in spark.read.parquet(path).collect()}
+
+
+@pytest.mark.parametrize(("keys", "files"), [(1_000_000, 1000), (30, 1000), (1_000_000, 2)])
+def test_restoring_into_a_target_replaces_the_files_concerned(spark, target, monkeypatch, keys, files):
+    monkeypatch.setattr(table_flows, "SLICE_KEYS", keys)
+    monkeypatch.setattr(table_flows, "SLICE_FILES", files)
+    path, names = target
+    expected, before = contents(spark, path), names()
+    ids = [5, *range(290, 410), 999, 1000, 2000]
+    restored = spark.createDataFrame([(i, f"new{i}", 2, "extra") for i in ids], "id long, text string, n int, version string")
+    replaced = table_flows.restore_into(spark, path, restored, ["id"])
+    expected |= {i: (f"new{i}", 2) for i in ids}
+    rows = spark.read.parquet(path)
+    assert contents(spark, path) == expected and rows.count() == len(expected) and rows.columns == ["id", "text", "n"]
+    assert len(replaced) == 5 and len(before & names()) == 5
+    assert table_flows.restore_into(spark, path, restored.limit(0), ["id"]) == [] and contents(spark, path) == expected
+
+
+@pytest.mark.parametrize("step", ["write_lines", "move_files", "remove_file", "remove"])
+def test_a_restore_that_stopped_is_finished_or_undone(spark, target, monkeypatch, step):
+    path, _ = target
+    expected = contents(spark, path)
+    restored = spark.createDataFrame([(5, "new", 2), (950, "new", 2)], "id long, text string, n int")
+    plain, calls = getattr(table_flows.folders, step), []
+
+    def lost(*args):
+        calls.append(args)
+        if len(calls) == (2 if step == "remove_file" else 1):
+            raise RuntimeError("lost")
+        return plain(*args)
+
+    monkeypatch.setattr(table_flows.folders, step, lost)
+    with pytest.raises(RuntimeError):
+        table_flows.restore_into(spark, path, restored, ["id"])
+    monkeypatch.undo()
+    table_flows.finish_restore(spark, path)
+    if step != "write_lines":
+        expected |= {5: ("new", 2), 950: ("new", 2)}
+    rows = spark.read.parquet(path)
+    assert contents(spark, path) == expected and rows.count() == 1000
+
+
+def test_restoring_into_a_partitioned_target(spark, tmp_path):
+    path = f"{tmp_path}/by day"
+    frame = spark.range(100).selectExpr("id", "id % 3 AS day", "'old' AS text")
+    frame.write.partitionBy("day").parquet(path)
+    restored = spark.createDataFrame([(4, 1, "new"), (200, 7, "added")], "id long, day long, text string")
+    assert len(table_flows.restore_into(spark, path, restored, ["id"], ["day"])) == 1
+    found = {r.id: (r.day, r.text) for r in spark.read.parquet(path).collect()}
+    assert found == {k: (k % 3, "old") for k in range(100)} | {4: (1, "new"), 200: (7, "added")}
+
+
 def test_composite_key(spark, tmp_path):
     frame = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "conv long, turn long, text string")
     backup_table(spark, frame, ["conv", "turn"], ["text"], str(tmp_path), RUNS[0])

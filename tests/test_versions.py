@@ -14,6 +14,9 @@ from snapdelta.operators.versions import (
     versions_component,
 )
 
+from snapdelta.plans import steps
+from snapdelta.plans.stages import Pipeline
+
 DAYS = [dt.datetime(2022, 1, 2), dt.datetime(2022, 1, 1), dt.datetime(2022, 1, 3)]
 NEWEST_FIRST = sorted(DAYS, reverse=True)
 
@@ -35,6 +38,15 @@ def test_component_holds_all_dates_and_is_empty_not_null(spark):
     assert versions_component(log(spark)).first()["backup_dates"]["dates"] == []
 
 
+def test_list_on_entities_through_a_stage(spark):
+    """The two cases of a list on an entity: unsorted dates, and none."""
+    entities = spark.createDataFrame([("a", ("p",)), ("b", None)], "entity_id string, file_path struct<file_path:string>")
+    for dates, expected in ((log(spark, *DAYS, DAYS[0]), NEWEST_FIRST), (log(spark), [])):
+        result = Pipeline([steps.list_versions(dates)]).run(entities)
+        assert {r.entity_id: r.backup_dates.dates for r in result.collect()} == {"a": expected, "b": expected}
+        assert [r.error for r in result.collect()] == [None, None]
+
+
 def test_dates_within_one_second_print_twice(spark):
     twins = [dt.datetime(2022, 1, 1, 5, 6, 7, n) for n in (1, 2)]
     lines = version_lines(log(spark, *DAYS, *twins))
