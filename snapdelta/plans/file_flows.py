@@ -53,6 +53,7 @@ def backup_files(
     run_ts: dt.datetime | None = None,
     only_written: bool = False,
     tasks: int | None = None,
+    stamp_col: str | None = None,
 ) -> DataFrame:
     """Copy the files that are new or changed since the last run into a new version.
 
@@ -60,12 +61,15 @@ def backup_files(
     ``file_hash``, ``backup_date`` on the files chosen and ``error`` on those that failed. As a rule the
     state takes every chosen file, copied or not; ``only_written=True`` leaves failed copies out, so
     that the next run tries them again.
+
+    All files get the time of the run as their stamp, or with ``stamp_col`` one of their own, for example
+    ``file_time.modified``, the time of their last change. Files go into the version of their stamp.
     """
     run_ts = run_ts or dt.datetime.now(dt.timezone.utc)
     source, destination = posix(source), posix(destination)
     staging = f"{destination}/.staging"
     state = open_state(spark, f"{store}/state", STATE_KEY)
-    stages = backup_stages(source, destination, staging, state, run_ts, tasks)
+    stages = backup_stages(source, destination, staging, state, run_ts, tasks, stamp_col)
     report = Pipeline(stages).run(_seed(spark, source), distinct_input=True)
     remove_staging(staging)
 
@@ -87,12 +91,14 @@ def backup_stages(
     state: DataFrame | Sequence[DataFrame],
     run_ts: dt.datetime,
     tasks: int | None = None,
+    stamp_col: str | None = None,
 ) -> list[Stage]:
     """The four stages of a backup. Hashing and copying, the dear ones, keep what they did."""
-    version = F.lit(stamp_of(run_ts))
-    choose = [decide(("file_hash", "file_path"), run_ts), gather]
+    version = None if stamp_col else F.lit(stamp_of(run_ts))
+    choose = [decide(("file_hash", "file_path"), run_ts, stamp_col), gather]
+    timed = component_types("file_time") if stamp_col else {}
     return [
-        Stage(steps.DISCOVERY, generators=[discover(source, tasks)]),
+        Stage(steps.DISCOVERY, generators=[discover(source, tasks, bool(stamp_col))], components=timed),
         Stage(steps.HASHING, [hash_files(state, tasks)], components=component_types("file_path", "file_hash")),
         Stage(steps.DECISION, choose, components=component_types("backup_date"), cut=True),
         Stage(steps.EXECUTION, [store_files(source, destination, staging, version, tasks)], cut=True),
@@ -153,8 +159,8 @@ def export_store(
     export_log(load_log(spark, f"{store}/log"), dates, entries_per_document)
 
 
-def discover(root: str, tasks: int | None = None) -> Transform:
-    """Generator: a new entity with a path for each file below ``root``, per entity given.
+def discover(root: str, tasks: int | None = None, times: bool = False) -> Transform:
+    """Generator: a new entity with a path for each file below ``root``, per entity given; with ``times`` also its ``file_time``.
 
     For many entities, a file is repeated in two steps, so that no row holds more than a root of their number.
     """
@@ -162,15 +168,16 @@ def discover(root: str, tasks: int | None = None) -> Transform:
     def generate(entities: DataFrame) -> DataFrame:
         n = entities.count()
         step = max(1, round(n**0.5))
-        files = list_files(entities.sparkSession, root, tasks)
+        files = list_files(entities.sparkSession, root, tasks).select("path", "modified")
         if n != 1:
             starts = F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step))) if n else F.explode(F.array().cast("array<int>"))
-            files = files.select("path", starts.alias("start"))
+            files = files.select("*", starts.alias("start"))
             last = F.least(F.col("start") + step - 1, F.lit(n - 1))
-            files = files.select("path", F.explode(F.sequence("start", last)).alias("entity"))
+            files = files.select("path", "modified", F.explode(F.sequence("start", last)).alias("entity"))
         else:
-            files = files.select("path", F.lit(0).alias("entity"))
-        return files.select(entity_id("entity", "path").alias("entity_id"), _path_component())
+            files = files.withColumn("entity", F.lit(0))
+        time = [F.struct("modified").alias("file_time")] if times else []
+        return files.select(entity_id("entity", "path").alias("entity_id"), _path_component(), *time)
 
     return generate
 

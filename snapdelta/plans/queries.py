@@ -27,7 +27,7 @@ from snapdelta.functions import (
 )
 from snapdelta.functions.status import COMPONENT_MISSING, RESULT
 from snapdelta.operators import components, delta, versions
-from snapdelta.plans import file_flows, steps, table_flows
+from snapdelta.plans import file_flows, python_stages, steps, table_flows
 from snapdelta.plans.stages import Pipeline, Stage, clean, errors
 from snapdelta.session import scratch_dir
 from snapdelta.sources import files, log, snapshots, state
@@ -427,6 +427,83 @@ def q_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.merge_state(prior_state(spark, sf_dir), changed, DOC)
 
 
+# --- Feeds and Python stages ----------------------------------------------------------------------
+
+
+_KINDS = ("click", "error", "purchase", "signup")
+
+
+@query(
+    f"""
+    WITH last AS (
+        SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value
+        FROM events GROUP BY user_id, event_type
+    ),
+    held AS (
+        SELECT *, event_type = 'error' AND event_id % 2 = 1 AS malformed FROM last
+        WHERE event_type <> 'view' AND NOT (event_type = 'signup' AND event_id % 2 = 0)
+    )
+    SELECT user_id, {", ".join(f"max(event_id) FILTER (event_type = '{k}' AND NOT malformed) AS {k}_event, "
+                               f"max(value) FILTER (event_type = '{k}' AND NOT malformed) AS {k}_value" for k in _KINDS)},
+           CASE WHEN bool_or(malformed) THEN 'Component malformed: error_seen' END AS error_message
+    FROM held GROUP BY user_id
+    """
+)
+def q_component_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as writes of JSON components in any order: some take theirs away, some are malformed, views are not declared."""
+    events = table(spark, sf_dir, "events")
+    payload = (
+        F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 1), F.concat(F.lit("{value: "), F.col("event_id")))
+        .when((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 0), F.lit("null"))
+        .otherwise(F.to_json(F.struct(F.col("event_id").alias("event"), "value")))
+    )
+    kind = F.concat("event_type", F.lit("_seen"))
+    feed = events.select("user_id", "ts", "event_id", kind.alias("component_type"), payload.alias("payload"))
+    declared = {f"{k}_seen": "struct<event:bigint,value:double>" for k in _KINDS}
+    wide = components.from_feed(feed, ["user_id"], declared, ("ts", "event_id"))
+    fields = [F.col(f"{k}_seen.{field}").alias(f"{k}_{field}") for k in _KINDS for field in ("event", "value")]
+    return wide.select("user_id", *fields, "error.error_message")
+
+
+@query(
+    """
+    WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+    SELECT doc_id::VARCHAR AS entity_id, len(lines)::BIGINT AS n_lines, NULL::BIGINT AS number, NULL::BIGINT AS n_chars,
+           CASE WHEN len(lines) = 1 THEN 'Text is a single line.' END AS error_message
+    FROM parts
+    UNION ALL
+    SELECT doc_id || '/' || i, NULL, i, length(lines[i + 1]), CASE WHEN lines[i + 1] = '' THEN 'Line is empty.' END
+    FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM parts)
+    """
+)
+def q_python_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain Python logic on every document, and a table function that makes an entity of each of its lines."""
+
+    def shape(row):
+        n = row["text"].count("\n") + 1
+        found = {"shape": {"n_lines": n}}
+        return found if n > 1 else python_stages.Failed("Text is a single line.", found)
+
+    def lines(row):
+        for number, line in enumerate(row["text"].split("\n")):
+            made = {"entity_id": f"{row['entity_id']}/{number}", "line": {"number": number, "n_chars": len(line)}}
+            yield made if line else made | {"error": {"error_message": "Line is empty."}}
+
+    types = {"shape": "struct<n_lines:bigint>", "line": "struct<number:bigint,n_chars:bigint>"}
+    reads = ["entity_id", "text"]
+    made = f"entity_id string, line {types['line']}, error struct<error_message:string>"
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select(F.col("doc_id").cast("string").alias("entity_id"), F.coalesce("text", F.lit("")).alias("text"))
+    stage = Stage(
+        "Lines",
+        [python_stages.row_transform(shape, ["text"], {"shape": types["shape"]})],
+        generators=[python_stages.entity_maker(lines, reads, made)],
+        components=types,
+    )
+    rows = Pipeline([stage]).run(docs, distinct_input=True)
+    return rows.select("entity_id", "shape.n_lines", "line.number", "line.n_chars", "error.error_message")
+
+
 # --- Paths, stamps and versions -------------------------------------------------------------------
 
 

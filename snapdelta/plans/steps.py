@@ -30,9 +30,10 @@ def decide(required: Sequence[str], run_ts: dt.datetime | None = None, stamp_col
     """Stamp the rows whose hash differs from the stored one.
 
     The stamp is the time of the run, one value for all rows, or a time of each row's own from
-    ``stamp_col``. Rows without the ``required`` components fail.
+    ``stamp_col``, where there is one. Rows without the ``required`` components fail.
     """
-    moment = F.col(stamp_col) if stamp_col else timestamp_literal(run_ts)
+    moments = [F.col(stamp_col).cast("timestamp")] if stamp_col else []
+    moment = F.coalesce(*moments, *([timestamp_literal(run_ts)] if run_ts else []))
 
     def transform(df: DataFrame) -> DataFrame:
         complete = has_component(*required)

@@ -34,7 +34,7 @@ from snapdelta.operators.delta import with_prior
 from snapdelta.plans import steps
 from snapdelta.plans.stages import Pipeline, Stage, Transform
 from snapdelta.plans.steps import component_types, decide, gather, newest_version
-from snapdelta.session import scratch_dir
+from snapdelta.session import scratch_folder
 from snapdelta.sources import folders
 from snapdelta.sources.log import append_log
 from snapdelta.sources.snapshots import HASH_IN_VERSION, TAKEN, read_batch, read_version, write_version, write_versions
@@ -97,23 +97,24 @@ def backup_table(
     report = detect(current, key, content, state, run_ts, stamp_col)
 
     rows = current.withColumn(HASH_IN_VERSION, hash_of_columns(current, content))
-    if state:
-        slices = _changed_rows(rows, current, key, content, state, run_ts)
-    else:
-        # Not a test of the hash itself, which would be computed for the test and for the row.
-        rows = rows.where(has_component(*key, *(content if len(content) == 1 else ())))
-        slices = [] if rows.isEmpty() else [rows]
-    if not slices:
-        return report
     root = f"{store}/versions"
-    if stamp_col:
-        moment = _moment(F.col(quoted(stamp_col)), run_ts)
-        slices = [rows.withColumn(STAMP, moment) for rows in slices]
-        batch = write_versions(spark, root, version_stamp(F.col(STAMP)), *slices)
-        dates = read_batch(spark, root, batch, T.StructType([T.StructField(STAMP, T.TimestampType())])).distinct()
-    else:
-        batch = write_version(spark, root, stamp_of(run_ts), *slices)
-        dates = spark.range(0, 1, 1, 1).select(timestamp_literal(run_ts).alias(STAMP))
+    with scratch_folder(spark, "marked") as marks:
+        if state:
+            slices = _changed_rows(rows, current, key, content, state, run_ts, marks)
+        else:
+            # Not a test of the hash itself, which would be computed for the test and for the row.
+            rows = rows.where(has_component(*key, *(content if len(content) == 1 else ())))
+            slices = [] if rows.isEmpty() else [rows]
+        if not slices:
+            return report
+        if stamp_col:
+            moment = _moment(F.col(quoted(stamp_col)), run_ts)
+            slices = [rows.withColumn(STAMP, moment) for rows in slices]
+            batch = write_versions(spark, root, version_stamp(F.col(STAMP)), *slices)
+            dates = read_batch(spark, root, batch, T.StructType([T.StructField(STAMP, T.TimestampType())])).distinct()
+        else:
+            batch = write_version(spark, root, stamp_of(run_ts), *slices)
+            dates = spark.range(0, 1, 1, 1).select(timestamp_literal(run_ts).alias(STAMP))
     written = read_batch(spark, root, batch, T.StructType([*fields, T.StructField(HASH_IN_VERSION, T.StringType())]))
     append_log(spark, f"{store}/log", dates.withColumnRenamed(STAMP, "backup_date"))
     save_state(spark, f"{store}/state", written.withColumnRenamed(HASH_IN_VERSION, "content_hash"), fields)
@@ -192,19 +193,19 @@ def restore_into(
     finish_restore(spark, target)
     rows = spark.read.parquet(target)
     restored = restored.select(*[quoted(c) for c in rows.columns])
-    marks = scratch_dir(spark, "held")
     file = F.col("_metadata.file_path")
     held = rows.select(*key, F.xxhash64(file).alias(FILE), file.alias("_name")).join(restored.select(*key), list(key), "left_semi")
-    gather(held).write.parquet(marks)
-    held = spark.read.schema(held.schema).parquet(marks)
-    # As many rows as there are files to be replaced.
-    touched = sorted(tuple(r) for r in held.groupBy("_name", FILE).agg(F.count(F.lit(1)).alias("n")).collect())
-
-    slices = [_slice(rows, held, key, *part, how="left_anti") for part in _parts(touched)]
-    together = [reduce(DataFrame.unionByName, slices[k : k + AT_ONCE]) for k in range(0, len(slices), AT_ONCE)]
-    staged = f"{target}/{STAGED}{uuid.uuid4().hex}"
-    for new in [*together, restored]:
-        new.write.mode("append").partitionBy(*partition_by).parquet(f"{staged}/new")
+    with scratch_folder(spark, "held") as marks:
+        gather(held).write.parquet(marks)
+        held = spark.read.schema(held.schema).parquet(marks)
+        # As many rows as there are files to be replaced.
+        touched = sorted(tuple(r) for r in held.groupBy("_name", FILE).agg(F.count(F.lit(1)).alias("n")).collect())
+
+        slices = [_slice(rows, held, key, *part, how="left_anti") for part in _parts(touched)]
+        together = [reduce(DataFrame.unionByName, slices[k : k + AT_ONCE]) for k in range(0, len(slices), AT_ONCE)]
+        staged = f"{target}/{STAGED}{uuid.uuid4().hex}"
+        for new in [*together, restored]:
+            new.write.mode("append").partitionBy(*partition_by).parquet(f"{staged}/new")
     replaced = [name for name, _, _ in touched]
     folders.write_lines(spark, f"{staged}/plan", replaced)
     finish_restore(spark, target)
@@ -245,16 +246,15 @@ def look_up(state: DataFrame | Sequence[DataFrame], key: Sequence[str]) -> Trans
 
 
 def _changed_rows(
-    rows: DataFrame, current: DataFrame, key: Sequence[str], content: Sequence[str], state: Sequence[DataFrame], run_ts: dt.datetime
+    rows: DataFrame, current: DataFrame, key: Sequence[str], content: Sequence[str], state: Sequence[DataFrame], run_ts: dt.datetime,
+    marks: str,
 ) -> list[DataFrame]:
     """The new and changed ones of ``rows``, in slices, several of them in one frame; none if there are none.
 
-    The keys become a table of their own, with a mark of the file each was read from; the names of the files are gathered
+    The keys become a table of their own, in the folder ``marks``, with a mark of the file each was read from; the names of the files are gathered
     while the rows are hashed. A slice is some files with changes and their keys; a file with more keys than a slice holds is read for
     each part of them. A source that is not files is read once, with one semi join.
     """
-    spark = rows.sparkSession
-    path = scratch_dir(spark, "marked")
     seen, hashes = Observation(), hash_of_columns(current, content).alias("current_hash")
     rows_seen = F.count(F.lit(1)).alias("n")
     if _from_files(current):
@@ -266,8 +266,8 @@ def _changed_rows(
         hashed = current.select(*key, hashes).observe(seen, rows_seen)
     marked = _detected(hashed, key, state, run_ts).where(has_component("backup_date"))
     marked = marked.select(*key, *[name for name in hashed.columns if name == FILE])
-    gather(marked).write.parquet(path)
-    marked = spark.read.schema(marked.schema).parquet(path)
+    gather(marked).write.parquet(marks)
+    marked = rows.sparkSession.read.schema(marked.schema).parquet(marks)
     by_file = [FILE] if FILE in marked.columns else []
     counts = {r[0]: r[-1] for r in marked.groupBy(*by_file).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_marked = sum(counts.values())

@@ -6,9 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from snapdelta.sources.folders import remove
+
 _local_base: str | None = None
 
 
@@ -39,6 +43,16 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{_shared(spark)}/snapdelta/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession, purpose: str) -> Iterator[str]:
+    """A fresh folder under the shared one that goes when the work with it is done, or has failed."""
+    path = scratch_dir(spark, purpose)
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` as it is now, cut in the shared folder, with its partitions and the order in them kept."""
     spark = df.sparkSession

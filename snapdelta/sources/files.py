@@ -11,6 +11,7 @@ import contextlib
 import datetime as dt
 import hashlib
 import os
+import re
 import shutil
 import sys
 import uuid
@@ -151,9 +152,8 @@ def write_texts(rows: DataFrame, root: str, path: str, text: str, staging: str)
 
 
 def remove_staging(staging: str) -> None:
-    """Remove an empty staging folder after a run."""
-    with contextlib.suppress(OSError):
-        os.rmdir(staging)
+    """Remove a staging folder after a run, with the half files that killed tasks left there."""
+    shutil.rmtree(staging, ignore_errors=True)
 
 
 def _digest(path: str | None) -> str | None:
@@ -224,19 +224,21 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield _frame(rows)
 
 
-# Bytes of a name that are not UTF-8, as Python gives them, and the private-use characters that stand for them.
+# Bytes of a name that are not UTF-8, as Python gives them, show as the private-use characters from U+10FF80 on. A name that has
+# such a character of its own, or the one before them, shows with that one before it.
+_MARK = "\U0010ff7f"
+_OWN = re.compile("[\U0010ff7f-\U0010ffff]")
 _SHOWN = {0xDC00 + b: 0x10FF00 + b for b in range(0x80, 0x100)}
-_REAL = {there: here for here, there in _SHOWN.items()}
 
 
 def shown(path: str) -> str:
     """A path as text that can be stored, whatever bytes it has."""
-    return path.translate(_SHOWN)
+    return _OWN.sub(lambda own: _MARK + own[0], path).translate(_SHOWN)
 
 
 def real(path: str) -> str:
     """The path that ``shown`` has made storable."""
-    return path.translate(_REAL)
+    return re.sub(f"{_MARK}(.)|([\U0010ff80-\U0010ffff])", lambda c: c[1] or chr(ord(c[2]) - 0x10FF00 + 0xDC00), path, flags=re.DOTALL)
 
 
 def _describe(entry: os.DirEntry) -> tuple:

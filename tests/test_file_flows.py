@@ -105,6 +105,21 @@ def test_change_addition_and_deletion(place):
     assert place.lines() == ["2024-01-02 10:20:30", "2024-01-01 10:20:30"]
 
 
+def test_files_stamped_with_their_own_time(spark, place):
+    grow(place.source, {"a": b"1", "d/b": b"2", "c": b"3"})
+    moments = {"a": 1_600_000_000, "d/b": 1_700_000_000, "c": 1_600_000_000}
+    for name, second in moments.items():
+        os.utime(place.source / name, (second, second))
+    report = place.backup(0, stamp_col="file_time.modified")
+    assert {n: r[1] and r[1].timestamp() for n, r in report.items() if n != "."} == moments and report["."] == SEED
+    assert contents(place.destination) == {"20200913122640/a": b"1", "20200913122640/c": b"3", "20231114221320/d/b": b"2"}
+    assert place.lines() == ["2023-11-14 22:13:20", "2020-09-13 12:26:40"]
+    grow(place.source, {"a": b"11"})
+    os.utime(place.source / "a", (1_700_000_000, 1_700_000_000))
+    place.backup(1, stamp_col="file_time.modified")
+    assert contents(place.destination / "20231114221320") == {"a": b"11", "d/b": b"2"} and len(place.lines()) == 2
+
+
 def test_restore_gives_one_version_only(spark, place):
     grow(place.source, {"keep": b"1", "change": b"2"})
     place.backup(0)

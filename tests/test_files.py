@@ -154,3 +154,24 @@ def test_rows_without_a_path_are_dealt_out(spark):
     rows = spark.range(4000).selectExpr("id", "cast(null as string) AS path")
     sizes = [r["count"] for r in files.spread(rows, "path", 8).groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 800
+
+
+def test_names_with_the_stand_ins_of_odd_bytes_are_found_again(spark, tmp_path):
+    root = tmp_path / "own"
+    root.mkdir()
+    names = [b"a\xff", "b\U0010ffff".encode(), "c\U0010ff7f\U0010ff80".encode() + b"\x80", "\U0010ff7f".encode(), b"plain"]
+    for name in names:
+        with open(os.fsencode(str(root)) + b"/" + name, "wb") as f:
+            f.write(name)
+    rows = {r.path: r.sha256 for r in files.inventory(spark, str(root)).collect()}
+    assert {os.fsencode(files.real(p)).rpartition(b"/")[2]: h for p, h in rows.items()} == {n: hashlib.sha256(n).hexdigest() for n in names}
+    for path in (os.fsdecode(n) for n in names):
+        assert files.real(files.shown(path)) == path
+        files.shown(path).encode()
+
+
+def test_staging_goes_with_what_killed_tasks_left(tmp_path):
+    (tmp_path / ".staging").mkdir()
+    (tmp_path / ".staging" / "half").write_bytes(b"x")
+    files.remove_staging(f"{tmp_path}/.staging")
+    assert not (tmp_path / ".staging").exists()

@@ -1,0 +1,109 @@
+"""Stages in plain Python, and the wide table of a long feed."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from snapdelta.operators import components
+from snapdelta.plans.python_stages import Failed, entity_maker, row_transform
+from snapdelta.plans.stages import Pipeline, Stage
+
+ENTITY = "entity_id string, name struct<text:string>, size struct<n:int,at:timestamp>, `a.b` struct<x:int>"
+
+
+@pytest.fixture
+def entities(spark):
+    moment = dt.datetime(2024, 1, 2, 3, 4, 5)
+    return spark.createDataFrame(
+        [("a", ("one",), (1, moment), (7,)), ("b", (None,), None, None), ("c", None, (3, None), (9,))], ENTITY
+    )
+
+
+def run(entities, function, reads, sets):
+    stage = Stage("Python", [row_transform(function, reads, sets)], components=sets)
+    return {r.entity_id: r for r in Pipeline([stage]).run(entities, distinct_input=True).collect()}
+
+
+def test_components_are_set_kept_and_taken_away(entities):
+    def longer(row):
+        if row["name"] is None:
+            return Failed("FilePathComponent missing.")
+        if row["name"]["text"] is None:
+            return Failed(None, {"size": {"n": -1}})
+        return {"size": {"n": len(row["name"]["text"])}, "mark": {"of": [row["size"]["n"]]}, "name": None}
+
+    sets = {"size": "struct<n:int,at:timestamp>", "mark": "struct<of:array<int>>", "name": "struct<text:string>"}
+    found = run(entities, longer, ["name", "size"], sets)
+    assert found["a"].size.n == 3 and found["a"].mark.of == [1] and found["a"].name is None and found["a"].error is None
+    assert found["b"].size.n == -1 and found["b"].error is not None and found["b"].error.error_message is None
+    assert found["c"].size.n == 3 and found["c"].error.error_message == "FilePathComponent missing."
+    assert [found[k]["a.b"] and found[k]["a.b"].x for k in "abc"] == [7, None, 9]
+
+
+def test_nothing_returned_is_a_success_and_changes_nothing(entities):
+    found = run(entities, lambda row: None, [], {"size": "struct<n:int,at:timestamp>"})
+    assert found["a"].size.at == dt.datetime(2024, 1, 2, 3, 4, 5) and all(r.error is None for r in found.values())
+
+
+@pytest.mark.parametrize("function", [lambda row: 1 / 0, lambda row: {"other": {"x": 1}}])
+def test_exceptions_end_the_run(entities, function):
+    with pytest.raises(Exception, match="ZeroDivisionError|not declared"):
+        run(entities, function, ["name"], {"size": "struct<n:int,at:timestamp>"})
+
+
+def test_table_function_makes_entities(entities, spark):
+    def parts(row):
+        for n in range(row["size"]["n"] if row["size"] else 0):
+            yield {"entity_id": f"{row['entity_id']}{n}", "part": {"n": n}}
+        if row["name"] is None:
+            yield {"entity_id": "lost", "error": {"error_message": "no name"}}
+
+    made = "entity_id string, part struct<n:int>, error struct<error_message:string>"
+    stage = Stage("Make", generators=[entity_maker(parts, ["entity_id", "size", "name"], made)], components={"part": "struct<n:int>"})
+    rows = Pipeline([stage]).run(entities, distinct_input=True).collect()
+    new = {r.entity_id: (r.part and r.part.n, r.error and r.error.error_message) for r in rows if r.entity_id not in "abc"}
+    assert new == {"a0": (0, None), "c0": (0, None), "c1": (1, None), "c2": (2, None), "lost": (None, "no name")} and len(rows) == 8
+    assert Pipeline([stage]).run(entities.limit(0), distinct_input=True).collect() == []
+
+
+TYPES = {"name": "struct<text:string>", "size": "struct<n:int,tags:array<string>>"}
+FEED = [
+    ("a", 2, "name", '{"text": "new"}'), ("a", 1, "name", '{"text": "old"}'), ("a", 1, "size", '{"n": 5, "tags": ["x", null]}'),
+    ("b", 1, "name", '{"text": "was"}'), ("b", 2, "name", None), ("b", 1, "size", '{"n": 1, "other": true}'),
+    ("c", 1, "name", '{"text": "gone"}'), ("c", 3, "name", " null "), ("d", 1, "unknown", "{}"),
+    ("e", 1, "size", '{"n": "many"}'), ("e", 1, "name", '{"text": "kept"}'), ("f", 1, "name", "{oops"), ("f", 1, "size", "17"),
+    ("g", 1, "name", '{"text": "a"}'), ("g", 1, "name", '{"text": "b"}'), (None, 1, "name", '{"text": "nobody"}'),
+]
+
+
+def wide(feed, **options):
+    rows = components.from_feed(feed, ["id"], TYPES, **options).collect()
+    return {r.id: (r.name and r.name.text, r["size"] and (r["size"].n, r["size"].tags), r.error and r.error.error_message) for r in rows}
+
+
+EXPECTED = {
+    "a": ("new", (5, ["x", None]), None), "b": (None, (1, None), None), "e": ("kept", None, "Component malformed: size"),
+    "g": ("b", None, None), None: ("nobody", None, None),
+}
+
+
+def test_feed_of_json_in_any_order(spark):
+    feed = spark.createDataFrame(FEED, "id string, seq int, component_type string, payload string")
+    expected = EXPECTED | {"f": (None, None, "Component malformed: name, size")}
+    assert wide(feed) == expected == wide(feed.orderBy(F.desc("payload"), "seq").repartition(5, "payload"))
+    assert wide(feed.limit(0)) == {}
+
+
+def test_feed_of_variants(spark):
+    feed = spark.createDataFrame(FEED, "id string, seq int, component_type string, payload string").where("payload <> '{oops' OR payload IS NULL")
+    feed = feed.select("id", "seq", "component_type", F.parse_json("payload").alias("payload"))
+    assert wide(feed) == EXPECTED | {"f": (None, None, "Component malformed: size")}
+
+
+def test_feed_is_shuffled_once(spark):
+    feed = spark.createDataFrame(FEED, "id string, seq int, component_type string, payload string")
+    text = components.from_feed(feed, ["id"], TYPES)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "partial_max_by" in text and "Join" not in text
