@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -122,3 +123,70 @@ def test_query(spark, sf_dir):
     found = queries.QUERIES["op8_site_style_tree"](spark, sf_dir).collect()
     assert {r.page_id: r.text for r in found} == expected and len(found) == len(stored)
     assert all(r.n_chars == len(r.text) for r in found)
+
+
+def test_the_tree_alone_takes_what_is_drawn_from_a_stock(spark, monkeypatch):
+    """Menus, advertisements and footers, drawn from 60 texts, go at sf0.1 by the entropy of their groups: no name is asked."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = pages.select("page_id", "url", "html").withColumn("host", site_tree._host("url"))
+    decided = site_tree.with_verdicts(rows, site_tree.LOW, site_tree.LEAST_PAGES).collect()
+    for lists in ("_NO_ARTICLE", "_NO_ARTICLE_NAMES", "_VARYING", "_HEADERS"):
+        monkeypatch.setattr(site_tree, lists, frozenset())
+    went = 0
+    for r in decided:
+        kept, tree, named, outside = site_tree.sorted_out(r.html, set(r.removed), set(r.unknown), set(r.sure), r.host)
+        assert "\n\n".join(b.text for b in kept) == plain(r.html) and not named and not outside
+        went += len(tree)
+    assert went > 7 * len(decided)
+
+
+def stock(spark, n, copies=0, hosts=4):
+    """Pages without a telling name: a menu from a stock of 30, an article of its own or one of many copies, the host's name below."""
+    rows = []
+    for i in range(n):
+        host = f"h{i % hosts}.example"
+        own = "The same article, word for word." if i < copies else f"Article {i} begins. It goes on with {i * 7919}."
+        body = f"<div class=a><p>Menu text number {i * 13 % 30}</p></div><div class=b><p>{own}</p></div><div class=c>By {host}</div>"
+        rows.append((i, f"https://{host}/{i}", f"<html><body>{body}</body></html>"))
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+@pytest.mark.parametrize(("n", "copies"), [(150, 0), (600, 0), (600, 300)])
+def test_stocks_and_copies(spark, n, copies):
+    """A stock goes though it differs from page to page; an article stays though half of all pages have it."""
+    found = {r.page_id: r.text for r in site_tree.extracted(stock(spark, n, copies)).collect()}
+    expected = {i: f"Article {i} begins. It goes on with {i * 7919}." for i in range(copies, n)}
+    assert {i: found[i] for i in expected} == expected
+    assert all(found[i] == "The same article, word for word." for i in range(copies))
+
+
+def test_threshold_lies_between_two_modes():
+    assert 0.4 <= site_tree._between_modes({30: 10, 35: 10, 80: 5, 90: 5}) <= 0.7
+    assert site_tree._between_modes({30: 10, 41: 10, 88: 20}) == pytest.approx(0.645)
+    assert site_tree._between_modes({90: 10, 95: 3}) == site_tree._between_modes({}) == site_tree.BOUNDS[0]
+
+
+@pytest.mark.parametrize(
+    "unit", ['<a "x ', "<a 'x> ", '<a ">" ', "<![CDATA[ ", "<!-- ", "<", "</p>", "<div>", "<p <", "<textarea", '<div class="', "</div><b"]
+)
+def test_long_broken_pages_take_linear_time(unit):
+    page = "<div>" * 20_000 + unit * (1_000_000 // len(unit)) + "end"
+    began = time.perf_counter()
+    list(site_tree.tokens(page))
+    assert time.perf_counter() - began < 4
+
+
+def test_a_megabyte_of_unclosed_tags_is_read_within_a_second():
+    page = '<a "x ' * 170_000
+    began = time.perf_counter()
+    site_tree.page_rows(page)
+    assert time.perf_counter() - began < 1
+
+
+def test_comments_and_asides_go_though_they_vary(spark):
+    rows = [
+        (i, f"https://h{i % 5}.example/{i}", f"<article><p>Text {i} here.</p></article><div class=comments><article>Reader {i * 31}</article></div><aside>See {i}</aside>")
+        for i in range(150)
+    ]
+    found = {r.page_id: r.text for r in site_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Text {i} here." for i in range(150)}
