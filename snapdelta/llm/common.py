@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,17 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(tasks(df.sparkSession), *keys)
 
 
+def matched(rows: DataFrame, groups: DataFrame, key: Sequence[str], size: str) -> DataFrame:
+    """``rows`` with what a written table of their groups says, a row per ``key``, of which ``size`` is the number of rows.
+
+    A group with more than a thousandth of all rows would be one task: there are fewer than a thousand of these, which are broadcast.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = groups.where(F.col(size) * 1000 > total)
+    rest = rows.join(F.broadcast(large.select(*key)), list(key), "left_anti")
+    return rows.join(F.broadcast(large), list(key)).unionByName(rest.join(groups.where(F.col(size) * 1000 <= total), list(key)))
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """Smallest id reachable, for each id that has a link: ``node, component``.
 

@@ -90,6 +90,12 @@ GROUP, ELEMENT, TEXT = range(3)
 ROOT = 0
 
 
+def _base(host: str) -> str:
+    """A host's name without its first part, if what is left is a name still."""
+    base = host.partition(".")[2]
+    return base if "." in base else host
+
+
 class Block:
     """A run of text between block elements: the node it stands in, the group of that node (the same elements whatever
     their places), the elements that follow each other in the node, its text, how far it is declared no article,
@@ -103,8 +109,8 @@ class Block:
     def own(self, host: str) -> int:
         """The node of the text itself, at any place in its group and whatever its host is called."""
         text = self.text
-        for name in (host, host.partition(".")[2]):
-            if "." in name:
+        if host and "." in text and _base(host) in text.lower():
+            for name in (host, _base(host)):
                 text = re.sub(re.escape(name), "\0", text, flags=re.I)
         return _hash(f"{self.group}={text}")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from snapdelta.llm import queries, range_join
 from tests.llm.test_minhash import roots
@@ -47,8 +48,7 @@ def clusters(seed, n, dims=6, labels=2):
     return rows + [(n + i, rows[i % 3][1], rows[i % 3][2]) for i in range(20)]
 
 
-def test_pivots_that_differ_in_their_last_bit(spark, monkeypatch):
-    monkeypatch.setattr(range_join, "PER_PIVOT", 10)
+def test_copies_that_differ_in_their_last_bit(spark):
     rng = np.random.default_rng(3)
     top = (rng.normal(size=16) * ([1] * 8 + [0.02] * 8)).astype(np.float32)
     rows = []
@@ -60,18 +60,67 @@ def test_pivots_that_differ_in_their_last_bit(spark, monkeypatch):
         else:  # at a cosine around the least
             v = v + (rng.normal(size=16) * np.linalg.norm(top) * rng.choice([0.08, 0.1, 0.12])).astype(np.float32)
         rows.append((i, v.tolist(), 1))
-    assert found(range_join.linked_embeddings(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    assert found(range_join.linked_embeddings(spark.createDataFrame(rows, SCHEMA), pair_cost=1e6)) == brute(rows)
 
 
-def test_many_cells_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(range_join, "PER_PIVOT", 40)
-    monkeypatch.setattr(range_join, "BLOCK", 16)
-    monkeypatch.setattr(range_join, "STEP", 7)
+def test_many_cells_blocks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(range_join, "BLOCK_BYTES", 6 * 8 * 16)
+    monkeypatch.setattr(range_join, "PART", 30)
+    monkeypatch.setattr(range_join, "SAMPLE", 100)
     rows = clusters(1, 500)
-    df = spark.createDataFrame(rows, SCHEMA)
-    nodes = range_join.unit_vectors(df.selectExpr("vec_id", "string(label)", "embedding"))
-    assert sum(len(p) for p in range_join._pivots(nodes).values()) > 4
-    assert found(range_join.linked_embeddings(df)) == brute(rows)
+    tables = {}
+    written = range_join.written
+    monkeypatch.setattr(range_join, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    assert found(range_join.linked_embeddings(spark.createDataFrame(rows, SCHEMA), pair_cost=1e5)) == brute(rows)
+    held = tables["held"].collect()
+    assert len(held) > 10 and max(r.blocks for r in held) > 1 and tables["guests"].count() > 0
+
+
+def compared(tables):
+    """Pairs that meet, of all pairs within labels, and copies a vector."""
+    away = tables["guests"].groupBy("label", "dims", "cell").agg(F.count(F.lit(1)).alias("guests"))
+    held = tables["held"].join(away, ["label", "dims", "cell"], "left").fillna(0)
+    met = held.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * F.col("guests"))).first()[0]
+    whole = tables["sizes"].agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    return met / whole, 1 + tables["guests"].count() / tables["nodes"].count()
+
+
+def test_clustered_vectors_are_compared_in_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(30, 64))
+    rows = [(i, (centers[i % 30] + rng.normal(size=64) * (0.05, 0.3, 0.6)[i % 3]).astype(np.float32).tolist(), i % 2) for i in range(3000)]
+    tables = {}
+    written = range_join.written
+    monkeypatch.setattr(range_join, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    result = range_join.linked_embeddings(spark.createDataFrame(rows, SCHEMA))
+    assert found(result) == brute(rows)
+    share, copies = compared(tables)
+    assert share < 0.5 and copies < 4
+
+
+def test_pivots_of_every_label_on_the_given_tables(spark, sf_dir, monkeypatch):
+    tables = {}
+    written = range_join.written
+    monkeypatch.setattr(range_join, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    range_join.linked_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    sizes = {(r.label, r.dims): r.n for r in tables["sizes"].collect()}
+    chosen = {(r.label, r.dims): len(r.pivots) // (8 * r.dims) for r in tables["pivots"].collect()}
+    assert set(chosen) == set(sizes) and all(chosen[k] >= 2 for k, n in sizes.items() if n > 1)
+    assert compared(tables)[0] <= 1 and len(tables["held"].collect()) > len(sizes)
+
+
+def test_a_large_cluster_leaves_few_links(spark, monkeypatch):
+    """Near copies over many blocks: one link between two blocks, not one for every vector and block."""
+    monkeypatch.setattr(range_join, "BLOCK_BYTES", 8 * 8 * 20)
+    rng = np.random.default_rng(7)
+    top = rng.normal(size=8)
+    rows = [(i, (top + rng.normal(size=8) * 0.01).astype(np.float32).tolist(), 1) for i in range(400)]
+    tables = {}
+    written = range_join.written
+    monkeypatch.setattr(range_join, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    assert found(range_join.linked_embeddings(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+    blocks = sum(r.blocks for r in tables["held"].collect())
+    assert blocks >= 20 and tables["across"].where("links IS NULL").count() <= blocks * (blocks - 1)
 
 
 def test_awkward_rows(spark):
