@@ -1,8 +1,9 @@
 """Quality rules whose thresholds come from the corpus: mergeable quantile sketches per language and source.
 
 A sketch is a histogram over buckets of fixed relative width, kept as rows. Sketches of sources add up to that of
-their language and these to that of all, so one pass over the documents serves all levels. A fence lies
-as many spreads from the median as a rule allows, and at least a margin away; it replaces fixed cutoffs.
+their language and these to that of all, so one pass over the documents serves all levels. A fence is the middle of the first gap in the
+outer quarter of a group's sketch that is wide for what lies before it: there the body of the group ends and something else begins. A group
+without such a gap has no fence of its own. Fences are drawn towards those of the level above, the more the smaller the group.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snapdelta.functions.names import quoted
 from snapdelta.llm.common import short_batches, written
 
 _SYMBOLS = b"#*$%&|<>"
@@ -26,24 +28,23 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure in thousandths, its parts, and how far from the median a document may lie."""
+    """A measure in thousandths, its parts, and the least width of a gap, which is no threshold itself."""
 
     name: str
     part: str
     whole: str
-    spreads: int
-    margin: int
+    gap: int
     both_sides: bool = False
 
 
 RULES = (
-    Rule("word_length", "word_chars", "n_words", 12, 2000, both_sides=True),
-    Rule("symbols", "n_symbols", "n_words", 12, 150),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", 12, 400),
-    Rule("stutters", "n_stutters", "n_words", 12, 250),
+    Rule("word_length", "word_chars", "n_words", 500, both_sides=True),
+    Rule("symbols", "n_symbols", "n_words", 100),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", 150),
+    Rule("stutters", "n_stutters", "n_words", 100),
 )
-#: A group with fewer documents goes by the sketch of the level above.
-LEAST_ROWS = 100
+#: The level above counts like so many documents. Where it has no fence, a group with fewer documents than that half has none either.
+LEAN, LEAST_ROWS = 200, 100
 
 
 def count_words(text: str | None) -> tuple[int, ...]:
@@ -116,46 +117,57 @@ def sketches(counts: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Median, fences and number of documents per group and rule, from sketches merged to ``keys``.
+    """``low``, ``high`` and the number of documents per group and rule, from sketches merged to ``keys``; null where there is no gap.
 
-    A window holds the buckets of one group, a few hundred at most.
+    A gap counts if it is half as wide again as the outer part of the body: from the median to the ninth tenth, or to the gap if that
+    is nearer. A window holds the buckets of one group, some thousand at most.
     """
     merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "rule")
-    up_to = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = merged.withColumns({"below": F.sum("n").over(up_to), "rows": F.sum("n").over(group)})
+    by_bucket = group.orderBy("bucket")
+    up_to = by_bucket.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = merged.withColumns({"below": F.sum("n").over(up_to), "rows": F.sum("n").over(group), "next": F.lead("bucket").over(by_bucket)})
+
+    def quantile(tenths: int) -> Column:
+        return F.min(F.when(F.col("below") * 10 >= F.col("rows") * tenths, F.col("bucket"))).over(group).alias(f"q{tenths}")
+
+    ranked = ranked.select("*", *(quantile(q) for q in (1, 5, 9)), _of_rule("gap").alias("least"), _of_rule("both_sides").alias("both_sides"))
+    width, middle = F.expr("next - bucket"), F.expr("(bucket + next) DIV 2")
+    wide = width >= F.col("least")
+    above = wide & F.expr("below * 4 >= rows * 3 AND 2 * (next - bucket) >= 3 * (least(q9, bucket) - q5)")
+    under = wide & F.expr("both_sides = 1 AND (rows - below) * 4 >= rows * 3 AND 2 * (next - bucket) >= 3 * (q5 - greatest(q1, next))")
+    return ranked.groupBy(*keys, "rule").agg(
+        F.max("rows").alias("rows"), F.max_by(middle, F.when(under, F.col("bucket"))).alias("low"),
+        F.min_by(middle, F.when(above, F.col("bucket"))).alias("high"),
+    )
 
-    def quantile(quarter: int) -> Column:
-        return F.min(F.when(F.col("below") * 4 >= F.col("rows") * quarter, F.col("bucket"))).alias(f"q{quarter}")
 
-    quarters = ranked.groupBy(*keys, "rule").agg(F.max("rows").alias("rows"), *(quantile(q) for q in (1, 2, 3)))
-    rules = F.create_map(*(x for r in RULES for x in (F.lit(r.name), F.array(F.lit(r.spreads), F.lit(r.margin), F.lit(int(r.both_sides))))))
-    parts = rules[F.col("rule")]
-    reach = F.greatest(parts[0] * F.least(F.col("q2") - F.col("q1"), F.col("q3") - F.col("q2")), parts[1])
-    low = F.when(parts[2] == 1, F.col("q2") - reach)
-    return quarters.select(*keys, "rule", "rows", F.col("q2").alias("median"), low.alias("low"), (F.col("q2") + reach).alias("high"))
+def _of_rule(field: str) -> Column:
+    return F.create_map(*(F.lit(x) for r in RULES for x in (r.name, int(getattr(r, field)))))[F.col("rule")]
 
 
 def thresholds(sketch: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """One row per language and source: ``limits``, a map from rule to its fences.
-
-    A source goes by its own sketch if it has enough documents and its median lies within the fences of its language; else
-    by its language's, on the same terms, and at last by that of all documents.
-    """
-    total = fences(sketch, []).select("rule", F.struct("low", "high").alias("all"))
+    """One row per language and source: ``limits``, a map from rule to its fences, drawn from source to language to all documents."""
+    total = fences(sketch, []).select("rule", F.struct("low", "high").alias("above"))
     by_lang = fences(sketch, ["lang"]).join(total, "rule")
-    by_lang = by_lang.select("lang", "rule", F.when(_fits("all", least_rows), F.struct("low", "high")).otherwise(F.col("all")).alias("above"))
+    by_lang = by_lang.select("lang", "rule", _drawn(least_rows).alias("above"))
     by_source = fences(sketch, ["lang", "source"]).alias("s").join(
         by_lang.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")) & (F.col("s.rule") == F.col("l.rule"))
     )
-    chosen = F.when(_fits("above", least_rows), F.struct("low", "high")).otherwise(F.col("above"))
-    rows = by_source.select("s.lang", "s.source", "s.rule", chosen.alias("limit"))
+    rows = by_source.select("s.lang", "s.source", "s.rule", _drawn(least_rows).alias("limit"))
     return rows.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("rule", "limit"))).alias("limits"))
 
 
-def _fits(above: str, least_rows: int) -> Column:
-    median, outer = F.col("median"), F.col(above)
-    return (F.col("rows") >= least_rows) & (median <= outer.high) & (outer.low.isNull() | (median >= outer.low))
+def _drawn(least_rows: int) -> Column:
+    """A group's fences, drawn towards those above."""
+
+    def drawn(side: str) -> Column:
+        own, above = F.col(side), F.col("above")[side]
+        between = F.expr(f"(rows * {side} + {LEAN} * above.{side}) DIV (rows + {LEAN})")
+        alone = F.when(F.col("rows") >= least_rows, own)
+        return F.when(own.isNull(), above).when(above.isNull(), alone).otherwise(between).alias(side)
+
+    return F.struct(drawn("low"), drawn("high"))
 
 
 def judged(
@@ -185,7 +197,7 @@ def accepted(
         return pd.DataFrame([count_words(t) for t in text], columns=list(_COUNTS))
 
     rows = docs.select(
-        F.struct(*docs.columns).alias("document"), docs[lang_col].cast("string").alias("lang"), docs[source_col].cast("string").alias("source"),
+        F.struct(*[docs[quoted(c)].alias(c) for c in docs.columns]).alias("document"), docs[lang_col].cast("string").alias("lang"), docs[source_col].cast("string").alias("source"),
         counted(docs[text_col]).alias("counts"),
     ).select("document", "lang", "source", "counts.*").withColumn("base_failed", _failed())
     kept = _limited(rows, limits).where(~F.col("base_failed") & (F.size(_broken()) == 0))

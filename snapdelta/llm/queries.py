@@ -91,6 +91,13 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _drawn(side: str, above: str) -> str:
+    return f"""CASE WHEN f.{side} IS NULL THEN {above}.{side} WHEN {above}.{side} IS NULL THEN CASE WHEN f.total >= {quality.LEAST_ROWS} THEN f.{side} END
+        ELSE (f.total * f.{side} + {quality.LEAN} * {above}.{side}) // (f.total + {quality.LEAN}) END AS {side}"""
+
+
 QUALITY_SQL = rf"""
 WITH texts AS (
     SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS words,
@@ -119,8 +126,8 @@ counts AS (
     FROM texts LEFT JOIN covered USING (rid) LEFT JOIN stutters USING (rid)
 ),
 based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
-rules(rule, spreads, margin, both_sides) AS (
-    VALUES {", ".join(f"('{r.name}', {r.spreads}, {r.margin}, {r.both_sides})" for r in quality.RULES)}
+rules(rule, least, both_sides) AS (
+    VALUES {", ".join(f"('{r.name}', {r.gap}, {r.both_sides})" for r in quality.RULES)}
 ),
 measures AS (
     {" UNION ALL ".join(f"SELECT rid, '{r.name}' AS rule, {r.part} * 1000 // nullif({r.whole}, 0) AS value FROM based" for r in quality.RULES)}
@@ -137,30 +144,32 @@ levels AS (
 ),
 ranked AS (
     SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) AS below,
-        sum(n) OVER (PARTITION BY level, lang, source, rule) AS total
+        sum(n) OVER (PARTITION BY level, lang, source, rule) AS total,
+        lead(bucket) OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) AS next
     FROM levels
 ),
-quarters AS (
-    SELECT level, lang, source, rule, max(total) AS total, min(bucket) FILTER (WHERE below * 4 >= total) AS q1,
-        min(bucket) FILTER (WHERE below * 4 >= total * 2) AS q2, min(bucket) FILTER (WHERE below * 4 >= total * 3) AS q3
+quantiles AS (
+    SELECT level, lang, source, rule, min(bucket) FILTER (WHERE below * 10 >= total) AS q1,
+        min(bucket) FILTER (WHERE below * 10 >= total * 5) AS q5, min(bucket) FILTER (WHERE below * 10 >= total * 9) AS q9
     FROM ranked GROUP BY ALL
 ),
+gaps AS (
+    SELECT r.*, below * 4 >= total * 3 AND 2 * (next - bucket) >= 3 * (least(q9, bucket) - q5) AS above,
+        both_sides AND (total - below) * 4 >= total * 3 AND 2 * (next - bucket) >= 3 * (q5 - greatest(q1, next)) AS under,
+        next - bucket >= rules.least AS wide
+    FROM ranked r JOIN rules USING (rule) JOIN quantiles q
+        ON q.level = r.level AND q.lang IS NOT DISTINCT FROM r.lang AND q.source IS NOT DISTINCT FROM r.source AND q.rule = r.rule
+),
 fences AS (
-    SELECT level, lang, source, rule, total, q2,
-        CASE WHEN both_sides THEN q2 - greatest(spreads * least(q2 - q1, q3 - q2), margin) END AS low,
-        q2 + greatest(spreads * least(q2 - q1, q3 - q2), margin) AS high
-    FROM quarters JOIN rules USING (rule)
+    SELECT level, lang, source, rule, max(total) AS total, arg_max((bucket + next) // 2, bucket) FILTER (WHERE wide AND under) AS low,
+        arg_min((bucket + next) // 2, bucket) FILTER (WHERE wide AND above) AS high
+    FROM gaps GROUP BY ALL
 ),
 by_lang AS (
-    SELECT f.lang, f.rule,
-        f.total >= {quality.LEAST_ROWS} AND f.q2 <= a.high AND (a.low IS NULL OR f.q2 >= a.low) AS fits,
-        CASE WHEN fits THEN f.low ELSE a.low END AS low, CASE WHEN fits THEN f.high ELSE a.high END AS high
-    FROM fences f JOIN fences a ON f.rule = a.rule AND f.level = 1 AND a.level = 0
+    SELECT f.lang, f.rule, {_drawn("low", "a")}, {_drawn("high", "a")} FROM fences f JOIN fences a ON f.rule = a.rule AND f.level = 1 AND a.level = 0
 ),
 by_source AS (
-    SELECT f.lang, f.source, f.rule,
-        f.total >= {quality.LEAST_ROWS} AND f.q2 <= a.high AND (a.low IS NULL OR f.q2 >= a.low) AS fits,
-        CASE WHEN fits THEN f.low ELSE a.low END AS low, CASE WHEN fits THEN f.high ELSE a.high END AS high
+    SELECT f.lang, f.source, f.rule, {_drawn("low", "a")}, {_drawn("high", "a")}
     FROM fences f JOIN by_lang a ON f.rule = a.rule AND f.lang IS NOT DISTINCT FROM a.lang AND f.level = 2
 ),
 broken AS (
