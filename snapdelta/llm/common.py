@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapdelta.functions.names import quoted
 from snapdelta.session import scratch_dir
 
 #: The white space that separates words in all word-based operators: space and the controls 9 to 13.
@@ -25,6 +26,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
 
+def document(docs: DataFrame) -> Column:
+    """A row with all its columns, whatever their names, as one struct column ``document``."""
+    return F.struct(*[docs[quoted(c)].alias(c) for c in docs.columns]).alias("document")
+
+
 def short_batches(spark: SparkSession) -> None:
     """Send texts to Python in batches of 2,000 rows unless the session says otherwise: 10,000 whole texts at once take
     an executor some hundred MB for each task."""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.llm.common import components, spread, texts, written
+from snapdelta.llm.common import components, document, matched, spread, texts, written
 from snapdelta.llm.shingles import minhashes, mix, shingle_set
 
 #: Hashes in each collection, and minhashes in a hash.
@@ -123,9 +123,10 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, set_a, set_b, component_id, kept, keeper.
 
-    Documents with equal sets are one node. The nodes of a key are first compared with its smallest node. What keys
-    then still join without a link is a cluster, and all sets of a cluster are compared in tiles, so no link
-    between different texts is lost to the grouping and a large group is never expanded into its pairs. A document without words is linked with nothing.
+    Documents with equal sets are one node. The nodes of a key are first compared with its smallest node. In keys that
+    then still hold nodes without a link between them, all that are alike by their minhashes are compared in tiles, so no link
+    between different texts is lost to the grouping, nothing is concluded from a key alone, and a large group is never expanded into its
+    pairs. A document without words is linked with nothing. Very long texts are taken whole.
     ``component_id`` is the smallest doc_id reachable, ``kept`` whether it is the document's own; a null id
     counts as largest and is kept only if it is alone. ``keeper`` marks exactly one row of each group, also
     among rows that share an id. An empty table gives no rows.
@@ -157,18 +158,20 @@ def near_duplicates(
     sets = written(_sets(docs, chosen, size, id_col, text_col), "sets")
     tested = written(likely(stars), "pairs")
     links = written(verified(tested, sets, percent), "links")
-    # Nodes of keys that still join different components: compared with all of their cluster.
-    links = links.unionByName(written(_compared(_clusters(rows, links), nodes, sets, percent), "links"))
+    # Keys whose nodes are not all linked yet: compared within each key.
+    links = links.unionByName(written(_compared(_open_keys(rows, links), nodes, sets, percent), "links"))
 
     found = components(links)
     labels = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = labels.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labels = labels.join(named, "component").select("set_a", "set_b", "component", "component_id")
+    labels = written(labels.select("set_a", "set_b", "component", "least_id"), "labels")
+    named = labels.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    labels = matched(labels, written(named, "named"), ["component"], "nodes")
+    labels = labels.select("set_a", "set_b", "component", "component_id")
     rows = signed.select("doc_id", "text_hash", "uid", "n_shingles", "set_a", "set_b")
-    joined = rows.where("n_shingles > 0").join(labels, ["set_a", "set_b"])
+    joined = written(rows.where("n_shingles > 0").join(labels, ["set_a", "set_b"]), "joined")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     first = joined.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("members"))
-    joined = joined.join(first, "component").withColumn("keeper", F.col("uid") == F.col("first.uid"))
+    joined = matched(joined, written(first, "first"), ["component"], "members").withColumn("keeper", F.col("uid") == F.col("first.uid"))
     alone = F.col("members") == 1
     joined = joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), alone))
     empty = rows.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "kept": F.lit(True), "keeper": F.lit(True)})
@@ -187,7 +190,7 @@ def one_of_each(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str =
     found = written(found.where("keepers > 0").withColumn("known", F.col("doc_id").isNotNull()).na.fill(0, ["doc_id"]), "keepers")
     key = docs[id_col].cast("long")
     rows = docs.select(
-        F.struct(*docs.columns).alias("document"), F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNotNull().alias("known"),
+        document(docs), F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNotNull().alias("known"),
         F.xxhash64(docs[text_col]).alias("text_hash"),
     )
     joined = rows.join(found, ["doc_id", "known", "text_hash"])
@@ -196,71 +199,83 @@ def one_of_each(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str =
     return all_stay.unionByName(first.select("document.*"))
 
 
-def _clusters(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``cluster, node`` of the nodes in keys whose nodes are not all in one component: what such keys connect."""
-    labelled = rows.select("key", "node").join(components(links), "node", "left")
+def _open_keys(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``key, node, component`` of the keys whose nodes are not all in one component."""
+    labelled = rows.select("key", "node").distinct().join(components(links), "node", "left")
     labelled = written(labelled.withColumn("component", F.coalesce("component", "node")), "labelled")
-    several = labelled.groupBy("key").agg(
-        F.min("component").alias("c"), F.max("component").alias("d"), F.min("node").alias("center")
-    ).where("c < d")
-    spokes = labelled.join(several.select("key", "center"), "key").select(F.col("node").alias("a"), F.col("center").alias("b"))
-    return written(components(spokes).select(F.col("component").alias("cluster"), "node"), "clusters")
+    several = labelled.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d")
+    return written(labelled.join(several.select("key"), "key", "left_semi"), "open")
 
 
-def _compared(clusters: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect what is linked within each cluster, found by comparing the full sets of all its nodes.
+def _compared(keys: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect what is linked within each key, found by comparing the full sets of its nodes that are alike.
 
-    A cluster is dealt into parts of bounded size, and each pair of parts is a tile for one task: no pairs
-    leave a task but those that connect.
+    A key is dealt into parts of bounded size, and each pair of parts is a tile for one task: no pairs leave a task but those that
+    connect. A pair that shares several keys is compared in the smallest of them.
     """
-    sized = clusters.join(nodes.select("node", "n"), "node")
-    parts = sized.groupBy("cluster").agg(
+    light = nodes.select("node", "n", "least").join(keys.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node")
+    sized = keys.join(light.select("node", "n"), "node")
+    parts = sized.groupBy("key").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts")
     )
-    dealt = sized.select("cluster", "node").join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = keys.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    tiles = dealt.select("cluster", "node", "part", other)
-    tiles = tiles.select("cluster", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node")
-    full = tiles.join(sets, "node").select("cluster", "p", "q", "part", "node", "shingles")
+    tiles = dealt.select("key", "node", "component", "part", other)
+    tiles = tiles.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "component")
+    full = tiles.join(light.select("node", "least", "keys"), "node").join(sets, "node")
+    full = full.select("key", "p", "q", "part", "node", "component", "least", "keys", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(k) for k in range(6)), strict=True))
+        rows = (r for batch in batches for r in zip(*(batch.column(k) for k in range(9)), strict=True))
         rows = (tuple(x.as_py() for x in r) for r in rows)
-        for (_, p, q), group in groupby(rows, key=lambda r: r[:3]):
-            members = list(group)
-            here = [i for i, r in enumerate(members) if r[3] == p]
-            there = [i for i, r in enumerate(members) if r[3] == q]
-            edges = _tile_links([np.frombuffer(r[5], np.uint64) for r in members], here, there, percent)
-            pairs = [(members[i][4], members[j][4]) for i, j in edges]
+        for (key, _, _), group in groupby(rows, key=lambda r: r[:3]):
+            pairs = _Tile(list(group)).links(key, percent)
             a, b = zip(*pairs, strict=True) if pairs else ((), ())
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return spread(full, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node").mapInArrow(compare, "a long, b long")
-
-
-def _tile_links(sets: list[np.ndarray], here: list[int], there: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links between two lists of sets, as many as connect what all links connect."""
-    if not here or not there:
-        return []
-    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    sizes = np.array([len(s) for s in sets])
-    ends = np.cumsum(sizes)
-    own = [codes[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-    facing = np.concatenate([own[j] for j in there])
-    starts = np.cumsum([0, *sizes[there][:-1]])
-    columns = np.array(there)
-    present = np.zeros(codes.max() + 1, np.int32)
-    group, edges = np.arange(len(sets)), []
-    for i in here:
-        present[own[i]] = 1
-        common = np.add.reduceat(present[facing], starts)
-        present[own[i]] = 0
-        linked = columns[100 * common >= percent * (sizes[i] + sizes[columns] - common)]
-        for g in np.unique(group[linked]):
-            if g != group[i]:
-                edges.append((i, int(linked[group[linked] == g][0])))
-                group[group == g] = group[i]
-    return edges
+    return spread(full, "key", "p", "q").sortWithinPartitions("key", "p", "q", "node").mapInArrow(compare, "a long, b long")
+
+
+class _Tile:
+    """The nodes of two parts of a key (or of one with itself): of each its component, minhashes, keys and set."""
+
+    def __init__(self, rows: list[tuple]):
+        p, q = rows[0][1:3]
+        self.here = [i for i, r in enumerate(rows) if r[3] == p]
+        self.there = np.array([i for i, r in enumerate(rows) if r[3] == q], np.int64)
+        self.nodes = [r[4] for r in rows]
+        _, self.group = np.unique([r[5] for r in rows], return_inverse=True)
+        self.least = np.array([r[6] for r in rows], np.int32)
+        self.keys = [r[7] for r in rows]
+        self.sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+        self.sizes = np.array([len(s) for s in self.sets])
+
+    def links(self, key: int, percent: int) -> list[tuple[int, int]]:
+        """Links between the parts, as many as connect what all links connect."""
+        edges = []
+        for i in self.here:
+            for j in self._worth(i, percent):
+                # Earlier links may have joined the two meanwhile.
+                if self.group[i] != self.group[j] and _least_common(self.keys[i], self.keys[j]) == key and self._linked(i, j, percent):
+                    edges.append((self.nodes[i], self.nodes[j]))
+                    self.group[self.group == self.group[j]] = self.group[i]
+        return edges
+
+    def _worth(self, i: int, percent: int) -> np.ndarray:
+        """Nodes of other components that are large enough and agree in enough minhashes."""
+        there = self.there[self.group[self.there] != self.group[i]]
+        sizes = self.sizes[there]
+        there = there[100 * np.minimum(sizes, self.sizes[i]) >= percent * np.maximum(sizes, self.sizes[i])]
+        return there[(self.least[there] == self.least[i]).sum(axis=1) >= _LEAST_AGREEING]
+
+    def _linked(self, i: int, j: int, percent: int) -> bool:
+        a, b = self.sets[i], self.sets[j]
+        common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+        return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _least_common(a: list[int], b: list[int]) -> int:
+    return min(set(a).intersection(b))
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:

@@ -18,8 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapdelta.functions.names import quoted
-from snapdelta.llm.common import short_batches, written
+from snapdelta.llm.common import document, short_batches, written
 
 _SYMBOLS = b"#*$%&|<>"
 _WHITE = " \t\n\v\f\r"
@@ -197,7 +196,7 @@ def accepted(
         return pd.DataFrame([count_words(t) for t in text], columns=list(_COUNTS))
 
     rows = docs.select(
-        F.struct(*[docs[quoted(c)].alias(c) for c in docs.columns]).alias("document"), docs[lang_col].cast("string").alias("lang"), docs[source_col].cast("string").alias("source"),
+        document(docs), docs[lang_col].cast("string").alias("lang"), docs[source_col].cast("string").alias("source"),
         counted(docs[text_col]).alias("counts"),
     ).select("document", "lang", "source", "counts.*").withColumn("base_failed", _failed())
     kept = _limited(rows, limits).where(~F.col("base_failed") & (F.size(_broken()) == 0))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.llm.common import spread, tasks, texts, written
+from snapdelta.llm.common import document, spread, tasks, texts, written
 from snapdelta.llm.shingles import mix
 
 _BASE = 0x9E3779B97F4A7C15
@@ -350,16 +350,16 @@ def without_repeats(
     _, once, cleaned = _found(keyed, F.lit(None).cast("string"), length, k, with_text=True)
     content = F.coalesce(docs[text_col], F.lit("")).cast("binary")
     rows = docs.select(
-        F.struct(*docs.columns).alias("document"), docs[text_col].alias("text"), F.xxhash64(content).alias("k1"), F.xxhash64(F.lit(1), content).alias("k2")
+        document(docs), docs[text_col].alias("text"), F.xxhash64(content).alias("k1"), F.xxhash64(F.lit(1), content).alias("k2")
     )
     changed = once.where("copies > 1").select("k1", "k2", F.lit("").alias("kept"), F.lit(length).alias("from"))
     changed = written(changed.unionByName(cleaned.select("k1", "k2", "kept", F.lit(0).alias("from"))), "changed")
     joined = rows.join(changed, ["k1", "k2"], "left")
     text = F.when(F.octet_length("text") >= F.col("from"), F.col("kept")).otherwise(F.col("text"))
-    out = joined.select("document.*", text.alias("__text")).withColumn(text_col, F.col("__text"))
+    changed = {text_col: text}
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.length("__text").cast(docs.schema[chars_col].dataType))
-    return out.select(docs.columns)
+        changed[chars_col] = F.length(text).cast(docs.schema[chars_col].dataType)
+    return joined.select(*[changed.get(c, F.col("document")[c]).alias(c) for c in docs.columns])
 
 
 def _found(keyed: DataFrame, sha: Column, length: int, k: int, with_text: bool) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ STAGES = dict(corpus_pipeline.STAGES)
 
 def documents(spark, rows):
     full = [(i, t, "en", f"s{k % 2}", len(t or "")) for k, (i, t) in enumerate(rows)]
-    return spark.createDataFrame(full, SCHEMA).selectExpr("*", "'mine' AS document", "7 AS counts", "8 AS kept", "9 AS rows", "1 AS k1")
+    return spark.createDataFrame(full, SCHEMA).selectExpr("*", "'mine' AS document", "7 AS counts", "8 AS kept", "9 AS rows", "1 AS k1", "2 AS __text", "3 AS `a.b`")
 
 
 def test_quality_stage(spark, awkward, sf_dir):
