@@ -159,7 +159,8 @@ def near_duplicates(
     tested = written(likely(stars), "pairs")
     links = written(verified(tested, sets, percent), "links")
     # Keys whose nodes are not all linked yet: compared within each key.
-    links = links.unionByName(written(_compared(_open_keys(rows, links), nodes, sets, percent), "links"))
+    keys = _worth_comparing(_open_keys(rows, links), nodes, percent)
+    links = links.unionByName(written(_compared(keys, nodes, sets, percent), "links"))
 
     found = components(links)
     labels = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -207,6 +208,34 @@ def _open_keys(rows: DataFrame, links: DataFrame) -> DataFrame:
     return written(labelled.join(several.select("key"), "key", "left_semi"), "open")
 
 
+def _tiles(keys: DataFrame, parts: DataFrame) -> DataFrame:
+    """The nodes of every pair of parts of a key: ``key, p, q, part, node`` and what else ``keys`` has."""
+    dealt = keys.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return tiles.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("parts", "other")
+
+
+def _worth_comparing(keys: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of the rows ``key, node, component`` those whose node has a partner in its key that may be linked with it, by minhashes alone.
+
+    A pair that shares several keys counts in the smallest of them. So a key's full sets are only fetched where they are needed.
+    """
+    light = nodes.select("node", "n", "least").join(keys.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node")
+    parts = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE_NODES).cast("int").alias("parts"))
+    full = _tiles(keys, parts).join(light, "node").select("key", "p", "q", "part", "node", "component", "n", "least", "keys")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (key, _, _), group in groupby(rows, key=lambda r: r[:3]):
+            tile = _Tile(list(group))
+            chosen = np.flatnonzero(tile.worth(key, percent)).tolist()
+            columns = [key] * len(chosen), [tile.nodes[i] for i in chosen], [tile.components[i] for i in chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "node", "component"])
+
+    dealt = spread(full, "key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
+    return written(dealt.mapInArrow(choose, "key long, node long, component long").distinct(), "worth")
+
+
 def _compared(keys: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that connect what is linked within each key, found by comparing the full sets of its nodes that are alike.
 
@@ -214,19 +243,14 @@ def _compared(keys: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
     connect. A pair that shares several keys is compared in the smallest of them.
     """
     light = nodes.select("node", "n", "least").join(keys.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node")
-    sized = keys.join(light.select("node", "n"), "node")
-    parts = sized.groupBy("key").agg(
+    parts = keys.join(light.select("node", "n"), "node").groupBy("key").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts")
     )
-    dealt = keys.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    tiles = dealt.select("key", "node", "component", "part", other)
-    tiles = tiles.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "component")
-    full = tiles.join(light.select("node", "least", "keys"), "node").join(sets, "node")
-    full = full.select("key", "p", "q", "part", "node", "component", "least", "keys", "shingles")
+    full = _tiles(keys, parts).join(light, "node").join(sets, "node")
+    full = full.select("key", "p", "q", "part", "node", "component", "n", "least", "keys", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(k) for k in range(9)), strict=True))
+        rows = (r for batch in batches for r in zip(*(batch.column(k) for k in range(10)), strict=True))
         rows = (tuple(x.as_py() for x in r) for r in rows)
         for (key, _, _), group in groupby(rows, key=lambda r: r[:3]):
             pairs = _Tile(list(group)).links(key, percent)
@@ -237,31 +261,40 @@ def _compared(keys: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
 
 
 class _Tile:
-    """The nodes of two parts of a key (or of one with itself): of each its component, minhashes, keys and set."""
+    """The nodes of two parts of a key (or of one with itself): of each its component, size, minhashes, keys and maybe its set."""
 
     def __init__(self, rows: list[tuple]):
         p, q = rows[0][1:3]
         self.here = [i for i, r in enumerate(rows) if r[3] == p]
         self.there = np.array([i for i, r in enumerate(rows) if r[3] == q], np.int64)
-        self.nodes = [r[4] for r in rows]
-        _, self.group = np.unique([r[5] for r in rows], return_inverse=True)
-        self.least = np.array([r[6] for r in rows], np.int32)
-        self.keys = [r[7] for r in rows]
-        self.sets = [np.frombuffer(r[8], np.uint64) for r in rows]
-        self.sizes = np.array([len(s) for s in self.sets])
+        self.nodes, self.components = [r[4] for r in rows], [r[5] for r in rows]
+        _, self.group = np.unique(self.components, return_inverse=True)
+        self.sizes = np.array([r[6] for r in rows])
+        self.least = np.array([r[7] for r in rows], np.int32)
+        self.keys = [r[8] for r in rows]
+        self.sets = [np.frombuffer(r[9], np.uint64) for r in rows if len(r) > 9]
+
+    def worth(self, key: int, percent: int) -> np.ndarray:
+        """Which nodes have a partner that may be linked with them."""
+        found = np.zeros(len(self.nodes), bool)
+        for i in self.here:
+            for j in self._alike(i, percent):
+                if not (found[i] and found[j]) and _least_common(self.keys[i], self.keys[j]) == key:
+                    found[i] = found[j] = True
+        return found
 
     def links(self, key: int, percent: int) -> list[tuple[int, int]]:
         """Links between the parts, as many as connect what all links connect."""
         edges = []
         for i in self.here:
-            for j in self._worth(i, percent):
+            for j in self._alike(i, percent):
                 # Earlier links may have joined the two meanwhile.
                 if self.group[i] != self.group[j] and _least_common(self.keys[i], self.keys[j]) == key and self._linked(i, j, percent):
                     edges.append((self.nodes[i], self.nodes[j]))
                     self.group[self.group == self.group[j]] = self.group[i]
         return edges
 
-    def _worth(self, i: int, percent: int) -> np.ndarray:
+    def _alike(self, i: int, percent: int) -> np.ndarray:
         """Nodes of other components that are large enough and agree in enough minhashes."""
         there = self.there[self.group[self.there] != self.group[i]]
         sizes = self.sizes[there]
