@@ -31,14 +31,15 @@ def write_token_files(
     """Encode every text, append ``end_id`` if given, and write parts in ascending order of ``id_col``.
 
     A null text is empty and a null id sorts first. Rows with the same id stay apart, ordered by a hash of
-    their text, so a hot id can fall into several parts. An empty table gives an empty manifest. Texts
+    their text and then by a number of their own, so a hot id, or a row that is repeated in a third of the table, falls into several
+    parts. Very long texts are encoded whole. An empty table gives an empty manifest. Texts
     are shuffled once, by ranges of id. A repeated task writes files of new names, and only the names of the attempt
     that counted enter the manifest. Returns the manifest: part, name, width, n_docs, n_tokens and the bases.
     """
     spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    rows = texts(docs, id_col, text_col).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie", "row")
     rows.mapInArrow(_writer(folder, tokenizer, end_id), _PART).write.parquet(f"{folder}/parts")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per part; their number follows the shuffle setting, not the documents.

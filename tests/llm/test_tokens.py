@@ -41,6 +41,20 @@ def test_token_files_on_awkward_rows(spark, make, tokenizer, awkward):
     assert [r.start for r in by_place] == [0, *np.cumsum([r.n_tokens for r in by_place])[:-1]]
 
 
+def test_a_row_repeated_over_and_over_is_dealt_to_several_parts(spark, make, tokenizer):
+    rows = [(5, "the same row again")] * 4000 + [(k, f"row {k}") for k in range(200)]
+    folder = scratch_dir(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these few bytes would be put together
+    try:
+        manifest = token_files.write_token_files(make(rows).repartition(8), folder, tokenizer, 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r.n_docs for r in manifest) < 1500 and sum(r.n_docs for r in manifest) == len(rows)
+    found = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.token_digests(spark, folder).collect())
+    assert [d for _, d, _ in found] == sorted(i for i, _ in rows)
+    assert [s for s, *_ in found] == [0, *np.cumsum([n for *_, n in found])[:-1]]
+
+
 def test_token_files_of_an_empty_table(spark, make, tokenizer):
     folder = scratch_dir(spark, "t")
     assert token_files.write_token_files(make([]), folder, tokenizer, 2).count() == 0
