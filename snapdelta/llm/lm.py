@@ -37,14 +37,15 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 class Shape:
     """Sizes of the model and of its training. Words with an output of their own: ``per_root`` times the root of the number of tokens."""
 
-    per_root: float = 4.0
+    per_root: float = 1.0
     endings: int = 96
     dims: int = 16
     class_noise: int = 32
-    word_noise: int = 4
+    word_noise: int = 2
     batch: int = 2048
     rate: float = 0.2
     rounds: tuple[int, ...] = (1, 2, 5)  # eighths of the training documents, each used in one round
+    task_tokens: int = 400  # tokens for every output that a task trains on, so that models in transit grow as the corpus does
 
     def singles(self, tokens: int) -> int:
         return int(self.per_root * tokens**0.5) + 1
@@ -375,12 +376,12 @@ class Learner:
         self.met[part][at] += np.diff(np.append(first, len(rows)))
 
     def blocks(self) -> Iterator[tuple[int, int, bytes, bytes]]:
-        """The rows that were met, in blocks: part, number of the block, how often each row was met, the rows times that."""
+        """The rows that were met, in blocks: part, number of the block, how often each row was met, the rows."""
         for part, (rows, met) in enumerate(zip(self.model.parts(), self.met, strict=True)):
             for k in range(0, len(rows), ROWS):
                 n = met[k : k + ROWS].astype(np.float64)
                 if n.any():
-                    yield part, k // ROWS, n.tobytes(), (rows[k : k + ROWS] * n[:, None]).tobytes()
+                    yield part, k // ROWS, n.tobytes(), rows[k : k + ROWS].tobytes()
 
 
 #: Rows of a model that are summed up together.
@@ -421,8 +422,11 @@ def train(encoded: DataFrame, counts: Counts) -> Model:
                 yield wordtable.batch_of([row], wordtable.arrow_schema(_BLOCKS))
 
         def add_up(block: pa.Table) -> pa.Table:
-            met = sum(np.frombuffer(x) for x in block["met"].to_pylist())
-            rows = sum(np.frombuffer(x).reshape(len(met), -1) for x in block["rows"].to_pylist())
+            weights = [np.frombuffer(x) for x in block["met"].to_pylist()]
+            met = sum(weights)
+            rows = sum(
+                np.frombuffer(x, np.float32).reshape(len(met), -1) * n[:, None] for x, n in zip(block["rows"].to_pylist(), weights, strict=True)
+            )
             mean = (rows / np.maximum(met, 1)[:, None]).astype(np.float32)
             same = block.slice(0, 1).select(["part", "number"])
             return same.append_column("met", pa.array([(met > 0).tobytes()], pa.binary())).append_column("rows", pa.array([mean.tobytes()], pa.binary()))
@@ -430,6 +434,7 @@ def train(encoded: DataFrame, counts: Counts) -> Model:
         part = F.pmod(F.xxhash64("doc_id"), F.lit(8))
         rows = encoded.where(~F.col("held_out") & (part >= first) & (part < first + eighths)).select("outputs")
         first += eighths
+        rows = rows.coalesce(1 + counts.tokens * eighths // (8 * shape.task_tokens * counts.outputs))
         found = rows.mapInArrow(learn, _BLOCKS).groupBy("part", "number").applyInArrow(add_up, _BLOCKS)
         for r in found.collect():
             into = model.parts()[r.part][r.number * ROWS : (r.number + 1) * ROWS]
