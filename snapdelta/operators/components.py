@@ -110,7 +110,8 @@ def from_feed(
     """
     variant = isinstance(feed.schema[payload].dataType, T.VariantType)
     text = F.to_json(F.col(payload)) if variant else F.col(payload)
-    written = feed.where(F.col(kind).isin(*components)).select(*key, F.col(kind).alias("_kind"), F.struct(*order, text).alias("_order"), text.alias("_text"))
+    written = feed.where(F.col(kind).isin(*components))
+    written = written.select(*key, F.col(kind).alias("_kind"), F.struct(*order, text).alias("_order"), text.alias("_text"))
 
     def last(name: str) -> Column:
         mine = F.col("_kind") == name
