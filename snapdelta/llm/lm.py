@@ -41,7 +41,7 @@ class Shape:
     endings: int = 96
     dims: int = 16
     class_noise: int = 32
-    word_noise: int = 2
+    word_noise: int = 1
     batch: int = 2048
     rate: float = 0.2
     rounds: tuple[int, ...] = (1, 2, 5)  # eighths of the training documents, each used in one round
@@ -272,32 +272,37 @@ class Model:
         n = np.int64(len(self.context))
         contexts, at = np.unique(u * n + v, return_inverse=True)
         h, c = self.hidden(contexts // n, contexts % n), self.classes.of[w]
-        totals = np.empty(len(h), np.float32)
+        # What is common to all of a context: the sum over classes.
+        totals, group = np.empty(len(h), np.float32), np.ascontiguousarray(self.group[:, :-1].T)
         step = max(1, SCORES // len(self.classes))
         for k in range(0, len(h), step):
-            totals[k : k + step] = _log_sums(h[k : k + step] @ self.group[:, :-1].T + self.group[:, -1])
-        mine = h[at]
-        result = np.einsum("ij,ij->i", mine, self.group[c, :-1] + self.target[w, :-1]) + self.group[c, -1] + self.target[w, -1] - totals[at]
-        # The contexts of each class, once each.
+            totals[k : k + step] = _log_sums(h[k : k + step] @ group + self.group[:, -1])
+        last = self.target[:, -1] + self.group[self.classes.of, -1]
+        result = np.einsum("ij,ij->i", h[at], self.whole()[w]) + last[w] - totals[at]
+        # The contexts of each class, once each: the sum over its outputs.
         pairs, place = np.unique(c * np.int64(len(h)) + at, return_inverse=True)
         within, bounds = np.empty(len(pairs), np.float32), np.searchsorted(pairs // max(1, len(h)), np.arange(len(self.classes) + 1))
+        context = pairs % max(1, len(h))
         last = np.where(self.blocked, -np.inf, self.target[:, -1]).astype(np.float32)
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             members = self.classes.order[self.classes.start[k] : self.classes.start[k + 1]]
-            vectors, own, step = self.target[members, :-1].T, last[members], max(1, SCORES // len(members))
+            vectors, own, step = np.ascontiguousarray(self.target[members, :-1].T), last[members], max(1, SCORES // len(members))
             for first in range(bounds[k], bounds[k + 1], step):
                 stop = min(bounds[k + 1], first + step)
-                within[first:stop] = _log_sums(h[pairs[first:stop] - k * np.int64(len(h))] @ vectors + own)
+                within[first:stop] = _log_sums(h[context[first:stop]] @ vectors + own)
         return result - within[place]
 
 
 #: Scores that are in one matrix at a time, at most.
-SCORES = 1 << 22
+SCORES = 1 << 18
 
 
 def _log_sums(scores: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials by row; the scores are used up."""
     top = scores.max(axis=1, keepdims=True)
-    return top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
+    scores -= top
+    np.exp(scores, out=scores)
+    return top[:, 0] + np.log(scores.sum(axis=1))
 
 
 def windows(outputs: list[bytes], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
