@@ -275,16 +275,18 @@ class Model:
         # What is common to all of a context: the sum over classes.
         totals, group = np.empty(len(h), np.float32), np.ascontiguousarray(self.group[:, :-1].T)
         step = max(1, SCORES // len(self.classes))
+        held = np.bincount(self.classes.of, ~self.blocked, minlength=len(self.classes)) > 0  # classes that some word is in
+        own = np.where(held, self.group[:, -1], -np.inf).astype(np.float32)
         for k in range(0, len(h), step):
-            totals[k : k + step] = _log_sums(h[k : k + step] @ group + self.group[:, -1])
+            totals[k : k + step] = _log_sums(h[k : k + step] @ group + own)
         last = self.target[:, -1] + self.group[self.classes.of, -1]
         result = np.einsum("ij,ij->i", h[at], self.whole()[w]) + last[w] - totals[at]
         # The contexts of each class, once each: the sum over its outputs.
         pairs, place = np.unique(c * np.int64(len(h)) + at, return_inverse=True)
-        within, bounds = np.empty(len(pairs), np.float32), np.searchsorted(pairs // max(1, len(h)), np.arange(len(self.classes) + 1))
+        within, bounds = np.zeros(len(pairs), np.float32), np.searchsorted(pairs // max(1, len(h)), np.arange(len(self.classes) + 1))
         context = pairs % max(1, len(h))
         last = np.where(self.blocked, -np.inf, self.target[:, -1]).astype(np.float32)
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
+        for k in np.flatnonzero(np.diff(bounds) * held).tolist():
             members = self.classes.order[self.classes.start[k] : self.classes.start[k + 1]]
             vectors, own, step = np.ascontiguousarray(self.target[members, :-1].T), last[members], max(1, SCORES // len(members))
             for first in range(bounds[k], bounds[k + 1], step):

@@ -76,7 +76,8 @@ def plain_scores(model, u, v):
     """Natural log of the probability of every output, class by class."""
     h = model.order[0] * model.context[u] + model.order[1] * model.context[v]
     group = model.group[:, :-1] @ h + model.group[:, -1]
-    group = group - math.log(sum(math.exp(x) for x in group))
+    held = {int(k) for k, closed in zip(model.classes.of, model.blocked, strict=True) if not closed}
+    group = group - math.log(sum(math.exp(x) for k, x in enumerate(group) if k in held))
     result = np.full(len(model.target), -math.inf)
     for k in range(len(group)):
         mine = [w for w in range(len(result)) if model.classes.of[w] == k and not model.blocked[w]]
