@@ -130,11 +130,12 @@ class WordEncoder:
             into[w] = np.array(self._ids(w), self.dtype).tobytes()
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One per Python worker and vocabulary, so that what it remembers serves later tasks too."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, **sizes: int) -> WordEncoder:
+    """One per Python worker, vocabulary and size, so that what it remembers serves later tasks too."""
+    key = (path, *sizes.items())
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(path, **sizes)
+    return _encoders[key]

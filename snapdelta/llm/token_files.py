@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from snapdelta.llm.common import texts
 from snapdelta.llm.encode import encoder
 
+#: Words whose ids a worker remembers, twice over: nothing else in these tasks takes memory.
+REMEMBER = 600_000
+
 _PART = "part long, name string, width long, n_docs long, n_tokens long"
 
 
@@ -54,7 +57,7 @@ def write_token_files(
 
 def _writer(folder: str, tokenizer: str, end_id: int | None):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, name = encoder(tokenizer), TaskContext.get().partitionId(), uuid.uuid4().hex
+        words, part, name = encoder(tokenizer, remember=REMEMBER), TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(f"{base}/data", recursive=True)
         end = b"" if end_id is None else np.array([end_id], words.dtype).tobytes()
