@@ -12,7 +12,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.llm.common import components, document, matched, spread, texts, written
@@ -23,26 +23,39 @@ M, WIDTH = 10, 2
 _rng = np.random.default_rng(7)
 _FACTORS = _rng.integers(1, 2**63, 2 * M * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _rng.integers(1, 2**63, 2 * M * WIDTH, dtype=np.uint64)
-#: Of the minhashes, a pair of similarity 0.75 agrees in fewer than so many with a probability below 1e-7.
-_LEAST_AGREEING = 14
-#: Nodes and shingles in a part of a cluster, two of which are compared in one task.
+#: Words of 64 bits in the parities of a set, at most.
+_MOST_WORDS = 128
+#: Bits that tell which texts may be asked for; its size does not grow with the table.
+_FILTER_BITS = 1 << 23
+#: Nodes and shingles in a part of a key, two of which are compared in one task.
 TILE_NODES, TILE_SHINGLES = 1024, 600_000
 #: Rows that a center is compared with in one task.
 _PER_TASK = 256
 
-_SIGNED = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, least array<int>, hashes array<bigint>"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, hashes array<bigint>, parity array<bigint>"
 
 
 def _signed(value: np.ndarray) -> np.ndarray:
     return value.view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of a power of two of bits, at least as many as shingles (up to a limit), whether an odd number of shingles falls on it.
+
+    Where the parities of two sets differ, at least one shingle is in one set only, so sets differ in at least as many shingles as bits.
+    The halves of a set's parities, combined by xor, are its parities in half as many bits.
+    """
+    words = min(_MOST_WORDS, 1 << max(0, (len(shingles) - 1).bit_length() - 6))
+    odd = np.bincount((shingles & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def signatures(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: number of shingles, 128 bits that stand for its set, its minhashes and the two collections."""
+    """Per document: number of shingles, 128 bits that stand for its set, the two collections of hashes and its parities."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, least, hashes = [], [], [], [], []
+            n, a, b, hashes, parity = [], [], [], [], []
             for text in batch.column(1):
                 found = shingle_set(text.as_py(), size)
                 n.append(len(found))
@@ -50,19 +63,18 @@ def signatures(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col:
                 a.append(int(_signed(sums)[0]))
                 b.append(int(_signed(sums)[1]))
                 if not len(found):
-                    least.append(None)
                     hashes.append(None)
+                    parity.append(None)
                     continue
-                values = minhashes(found, _FACTORS, _TERMS)
-                least.append(_signed(values).astype(np.int32))
-                parts = mix(values).reshape(2 * M, WIDTH)
+                parts = mix(minhashes(found, _FACTORS, _TERMS)).reshape(2 * M, WIDTH)
                 hashes.append(_signed(mix(parts[:, 0] * np.uint64(31) + parts[:, 1])))
+                parity.append(_signed(parities(found)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                    pa.array(least, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())),
+                    pa.array(hashes, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "least", "hashes"],
+                names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "hashes", "parity"],
             )
 
     return texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, _SIGNED)
@@ -112,10 +124,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _alike(a: str, b: str):
-    """Whether enough minhashes agree for the pair to be worth comparing in full."""
-    same = F.expr(f"size(filter(zip_with({a}, {b}, (x, y) -> x = y), s -> s))")
-    return same >= _LEAST_AGREEING
+def _differing(a: str, b: str) -> Column:
+    """Bits in which the parities differ, the longer ones folded; null if these are more than twice as long."""
+
+    def fold(x: str) -> str:
+        return f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (x, y) -> x ^ y)"
+
+    def bits(x: str, y: str) -> str:
+        return f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
+
+    return F.expr(f"CASE WHEN size({a}) = size({b}) THEN {bits(a, b)} WHEN size({a}) > size({b}) THEN {bits(fold(a), b)} ELSE {bits(a, fold(b))} END")
+
+
+def _alike(percent: int) -> Column:
+    """Whether sets of ``na`` and ``nb`` shingles with parities ``pa`` and ``pb`` can be linked: not if they are too unlike in size, or differ in more than
+    (100 - percent) / (100 + percent) of their shingles. Both hold for every linked pair."""
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return sizes & F.coalesce((100 + percent) * _differing("pa", "pb") <= (100 - percent) * (F.col("na") + F.col("nb")), F.lit(True))
 
 
 def near_duplicates(
@@ -124,7 +149,7 @@ def near_duplicates(
     """One row per document: doc_id, text_hash, n_shingles, set_a, set_b, component_id, kept, keeper.
 
     Documents with equal sets are one node. The nodes of a key are first compared with its smallest node. In keys that
-    then still hold nodes without a link between them, all that are alike by their minhashes are compared in tiles, so no link
+    then still hold nodes without a link between them, all that can be alike by the parities of their sets are compared in tiles, so no link
     between different texts is lost to the grouping, nothing is concluded from a key alone, and a large group is never expanded into its
     pairs. A document without words is linked with nothing. Very long texts are taken whole.
     ``component_id`` is the smallest doc_id reachable, ``kept`` whether it is the document's own; a null id
@@ -134,32 +159,20 @@ def near_duplicates(
     signed = written(signatures(docs, size, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     full = signed.where("n_shingles > 0")
     nodes = full.groupBy("set_a", "set_b").agg(
-        F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.first("hashes").alias("hashes"), F.first("least").alias("least"),
-        F.first("n_shingles").alias("n"),
+        F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.first("hashes").alias("hashes"), F.first("parity").alias("parity"),
+        F.first("n_shingles").alias("n"), F.min_by(F.xxhash64("doc_id", "text_hash"), "uid").alias("text_key"),
     )
     nodes = written(nodes, "nodes")
     rows = written(tables(nodes), "tables")
     shared = rows.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     rows = written(rows.join(shared, "key"), "shared")
     stars = rows.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    light = nodes.select("node", "least", "n")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        left = light.select(F.col("node").alias("a"), F.col("least").alias("la"), F.col("n").alias("na"))
-        right = light.select(F.col("node").alias("b"), F.col("least").alias("lb"), F.col("n").alias("nb"))
-        pairs = pairs.join(left, "a").join(right, "b").where(_alike("la", "lb"))
-        sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        return pairs.where(sizes).select("a", "b")
-
-    # The sets of all documents that can have a partner at all, from their texts.
-    member = rows.select("node").distinct()
-    wanted = nodes.join(member, "node").select("node", "set_a", "set_b")
-    chosen = wanted.join(signed.select(F.col("uid").alias("node"), "doc_id"), "node")
-    sets = written(_sets(docs, chosen, size, id_col, text_col), "sets")
-    tested = written(likely(stars), "pairs")
-    links = written(verified(tested, sets, percent), "links")
+    tested = written(_likely(stars, nodes, percent), "pairs")
+    ends = tested.select(F.explode(F.array("a", "b")).alias("node"))
+    links = written(verified(tested, _sets(docs, nodes, ends, size, id_col, text_col), percent), "links")
     # Keys whose nodes are not all linked yet: compared within each key.
     keys = _worth_comparing(_open_keys(rows, links), nodes, percent)
+    sets = _sets(docs, nodes, keys.select("node"), size, id_col, text_col)
     links = links.unionByName(written(_compared(keys, nodes, sets, percent), "links"))
 
     found = components(links)
@@ -208,46 +221,71 @@ def _open_keys(rows: DataFrame, links: DataFrame) -> DataFrame:
     return written(labelled.join(several.select("key"), "key", "left_semi"), "open")
 
 
-def _tiles(keys: DataFrame, parts: DataFrame) -> DataFrame:
-    """The nodes of every pair of parts of a key: ``key, p, q, part, node`` and what else ``keys`` has."""
-    dealt = keys.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return tiles.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("parts", "other")
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs ``a, b``, those that can be linked by size and parities."""
+    left = nodes.select(F.col("node").alias("a"), F.col("parity").alias("pa"), F.col("n").alias("na"))
+    right = nodes.select(F.col("node").alias("b"), F.col("parity").alias("pb"), F.col("n").alias("nb"))
+    return pairs.join(left, "a").join(right, "b").where(_alike(percent)).select("a", "b")
+
+
+def _tiles(keys: DataFrame, shingles: int | None = None) -> DataFrame:
+    """``key, p, q, part, node, component``: the nodes of each pair of parts of a key between which a link can join components.
+
+    ``keys`` has ``key, node, component, n``. A key's commonest component has parts of its own, which only meet the parts with all the other
+    nodes: of a group that is linked but for a few nodes, the rows grow with its size, not with its square.
+    """
+    counts = keys.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+
+    def parts(rows: str, n: str) -> Column:
+        count = F.ceil(F.col(rows) / TILE_NODES)
+        return (F.greatest(count, F.ceil(F.col(n) / shingles)) if shingles else count).cast("int")
+
+    sums = counts.groupBy("key").agg(
+        F.max(F.struct("rows", "component", "n")).alias("main"), F.sum("rows").alias("rows"), F.sum("n").alias("n")
+    )
+    sums = sums.select("key", F.col("main.component").alias("main"), "main.rows", "main.n", (F.col("rows") - F.col("main.rows")).alias("others"), (F.col("n") - F.col("main.n")).alias("m"))
+    sums = sums.select("key", "main", parts("rows", "n").alias("first"), parts("others", "m").alias("more"))
+    dealt = keys.join(sums, "key").withColumn("of_main", F.col("component") == F.col("main"))
+    at = F.xxhash64("node")
+    part = F.when(F.col("of_main"), F.pmod(at, "first")).otherwise(F.col("first") + F.pmod(at, "more")).cast("int")
+    others = F.sequence(F.when(F.col("of_main"), F.col("first")).otherwise(0), F.col("first") + F.col("more") - 1)
+    tiles = dealt.withColumn("part", part).withColumn("other", F.explode(others))
+    return tiles.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "component")
+
+
+def _light(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, n, parity`` and all ``keys`` of the nodes in ``keys``."""
+    return nodes.select("node", "n", "parity").join(keys.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node")
 
 
 def _worth_comparing(keys: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of the rows ``key, node, component`` those whose node has a partner in its key that may be linked with it, by minhashes alone.
+    """Of the rows ``key, node, component`` those whose node has a partner in its key that can be linked with it, by sizes and parities; with ``n``.
 
     A pair that shares several keys counts in the smallest of them. So a key's full sets are only fetched where they are needed.
     """
-    light = nodes.select("node", "n", "least").join(keys.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node")
-    parts = keys.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE_NODES).cast("int").alias("parts"))
-    full = _tiles(keys, parts).join(light, "node").select("key", "p", "q", "part", "node", "component", "n", "least", "keys")
+    full = _tiles(keys.withColumn("n", F.lit(0))).join(_light(keys, nodes), "node")
+    full = full.select("key", "p", "q", "part", "node", "component", "n", "parity", "keys")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for (key, _, _), group in groupby(rows, key=lambda r: r[:3]):
             tile = _Tile(list(group))
             chosen = np.flatnonzero(tile.worth(key, percent)).tolist()
-            columns = [key] * len(chosen), [tile.nodes[i] for i in chosen], [tile.components[i] for i in chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "node", "component"])
+            columns = [key] * len(chosen), [tile.nodes[i] for i in chosen], [tile.components[i] for i in chosen], tile.sizes[chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "node", "component", "n"])
 
     dealt = spread(full, "key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
-    return written(dealt.mapInArrow(choose, "key long, node long, component long").distinct(), "worth")
+    return written(dealt.mapInArrow(choose, "key long, node long, component long, n long").distinct(), "worth")
 
 
 def _compared(keys: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect what is linked within each key, found by comparing the full sets of its nodes that are alike.
+    """Links that connect what is linked within each key, found by comparing the full sets of its nodes that can be alike.
 
-    A key is dealt into parts of bounded size, and each pair of parts is a tile for one task: no pairs leave a task but those that
+    A key is dealt into parts of bounded size, and pairs of parts are tiles, each for one task: no pairs leave a task but those that
     connect. A pair that shares several keys is compared in the smallest of them.
     """
-    light = nodes.select("node", "n", "least").join(keys.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys")), "node")
-    parts = keys.join(light.select("node", "n"), "node").groupBy("key").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / TILE_NODES), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("parts")
-    )
-    full = _tiles(keys, parts).join(light, "node").join(sets, "node")
-    full = full.select("key", "p", "q", "part", "node", "component", "n", "least", "keys", "shingles")
+    full = _tiles(keys, TILE_SHINGLES).join(_light(keys, nodes).join(sets, "node"), "node")
+    full = full.select("key", "p", "q", "part", "node", "component", "n", "parity", "keys", "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(batch.column(k) for k in range(10)), strict=True))
@@ -261,7 +299,7 @@ def _compared(keys: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
 
 
 class _Tile:
-    """The nodes of two parts of a key (or of one with itself): of each its component, size, minhashes, keys and maybe its set."""
+    """The nodes of two parts of a key (or of one with itself): of each its component, size, parities, keys and maybe its set."""
 
     def __init__(self, rows: list[tuple]):
         p, q = rows[0][1:3]
@@ -270,7 +308,14 @@ class _Tile:
         self.nodes, self.components = [r[4] for r in rows], [r[5] for r in rows]
         _, self.group = np.unique(self.components, return_inverse=True)
         self.sizes = np.array([r[6] for r in rows])
-        self.least = np.array([r[7] for r in rows], np.int32)
+        self.words = np.array([len(r[7]) for r in rows])
+        # The parities of each and those folded once, filled up to the same length.
+        self.parity = np.zeros((2, len(rows), self.words.max()), np.uint64)
+        for i, r in enumerate(rows):
+            whole = np.array(r[7], np.int64).view(np.uint64)
+            self.parity[0, i, : len(whole)] = whole
+            half = len(whole) // 2
+            self.parity[1, i, :half] = whole[:half] ^ whole[half:]
         self.keys = [r[8] for r in rows]
         self.sets = [np.frombuffer(r[9], np.uint64) for r in rows if len(r) > 9]
 
@@ -295,11 +340,14 @@ class _Tile:
         return edges
 
     def _alike(self, i: int, percent: int) -> np.ndarray:
-        """Nodes of other components that are large enough and agree in enough minhashes."""
+        """Nodes of other components that can be linked by size and parities: no linked pair differs in more of either."""
         there = self.there[self.group[self.there] != self.group[i]]
         sizes = self.sizes[there]
         there = there[100 * np.minimum(sizes, self.sizes[i]) >= percent * np.maximum(sizes, self.sizes[i])]
-        return there[(self.least[there] == self.least[i]).sum(axis=1) >= _LEAST_AGREEING]
+        mine, yours = (self.words[there] < self.words[i]).astype(int), (self.words[there] > self.words[i]).astype(int)
+        differ = np.bitwise_count(self.parity[mine, i] ^ self.parity[yours, there]).sum(axis=1, dtype=np.int64)
+        far = np.maximum(self.words[there], self.words[i]) > 2 * np.minimum(self.words[there], self.words[i])
+        return there[far | ((100 + percent) * differ <= (100 - percent) * (self.sizes[there] + self.sizes[i]))]
 
     def _linked(self, i: int, j: int, percent: int) -> bool:
         a, b = self.sets[i], self.sets[j]
@@ -311,23 +359,35 @@ def _least_common(a: list[int], b: list[int]) -> int:
     return min(set(a).intersection(b))
 
 
-def _sets(docs: DataFrame, chosen: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``node, shingles`` for the chosen nodes, each worked out once from the text of a document with that set."""
-    keyed = texts(docs, id_col, text_col).withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
-    asked = chosen.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).select("k", "node", "set_a", "set_b")
-    rows = keyed.join(asked, "k").select("node", "text", "set_a", "set_b")
+def _among(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is asked for, and a few others: a bitmap of bounded size is broadcast, so that few rows are shuffled."""
+    at = F.pmod(F.xxhash64(key), F.lit(_FILTER_BITS))
+    maps = asked.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    place = F.bitmap_bit_position(at)
+    found = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "bucket")
+    byte = F.conv(F.hex(F.substring("bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(rows.columns)
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """``node, shingles`` for the nodes in ``wanted``, worked out from the text of a document with that set."""
+    asked = nodes.join(wanted.distinct(), "node").select("text_key", "node", "set_a")
+    asked = written(asked, "asked")
+    keyed = texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("doc_id", F.xxhash64("text"))).select("text_key", "text")
+    rows = _among(keyed, asked, "text_key").join(asked, "text_key").select("node", "text", "set_a")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # the same id and text may come again
         for batch in batches:
             nodes, sets = [], []
             for node, text, a in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if node in done:
+                    continue
                 found = shingle_set(text.as_py(), size)
-                # Rows that share an id but not the text do not answer for each other.
-                if node not in done and int(_signed(np.array([found.sum(dtype=np.uint64)]))[0]) == a:
+                if int(_signed(np.array([found.sum(dtype=np.uint64)]))[0]) == a:
                     done.add(node)
                     nodes.append(node)
                     sets.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return rows.mapInArrow(make, "node long, shingles binary")
+    return written(rows.mapInArrow(make, "node long, shingles binary"), "sets")
