@@ -68,10 +68,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def older_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as the first run found them, deleted ones included."""
+    return _known_then(spark, sf_dir).select("doc_id", "text").unionByName(_deleted(spark, sf_dir))
+
+
+def _known_then(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the first run found and that are still there, with their older texts."""
     text = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.concat("text", F.lit("#v0")))
-    known = table(spark, sf_dir, "documents").where("lang <> 'es'").select("doc_id", text.alias("text"))
-    deleted = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")
-    return known.unionByName(deleted)
+    return table(spark, sf_dir, "documents").where("lang <> 'es'").select("doc_id", "source", text.alias("text"))
+
+
+def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")
 
 
 def prior_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -939,12 +946,31 @@ def write_tree(rows: DataFrame, root: str) -> str:
     return root
 
 
+def older_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older documents with the source of each document of their key, NULL for deleted ones.
+
+    A key that occurs once has the source of its own row. Only rows whose keys occur again are joined, so texts need no shuffle.
+    """
+    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
+    deleted = _deleted(spark, sf_dir)
+    own = F.when(F.col("doc_id").isNotNull(), F.col("source")).alias("source")
+    older = _known_then(spark, sf_dir).select("doc_id", own, "text").unionByName(deleted, allowMissingColumns=True)
+    again = sources.select("doc_id").unionByName(deleted.select("doc_id")).groupBy("doc_id").count().where("count > 1")
+    # Written, so that Spark knows their size when it plans the joins.
+    path = scratch_dir(spark, "keys")
+    again.where("doc_id IS NOT NULL").select("doc_id").write.parquet(path)
+    again = spark.read.schema(again.select("doc_id").schema).parquet(path)
+    if again.isEmpty():
+        return older
+    joined = older.drop("source").join(again, DOC, "left_semi").join(sources, DOC, "left")
+    return older.join(again, DOC, "left_anti").unionByName(joined)
+
+
 def _two_file_runs(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """A file tree backed up twice: with the older documents, and with the present ones written over."""
     base = files.posix(scratch_dir(spark, "files"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    older = older_documents(spark, sf_dir).join(docs.select("doc_id", "source"), DOC, "left")
-    tree = write_tree(older, f"{base}/tree")
+    tree = write_tree(older_sources(spark, sf_dir), f"{base}/tree")
     file_flows.backup_files(spark, tree, f"{base}/versions", f"{base}/store", FIRST_RUN)
     write_tree(docs, tree)
     return base, file_flows.backup_files(spark, tree, f"{base}/versions", f"{base}/store", SECOND_RUN)
@@ -996,6 +1022,7 @@ def q_restore_latest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_restore_files_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, _ = _two_file_runs(spark, sf_dir)
+    files.remove_tree(spark, f"{base}/tree")
     target = f"{base}/restored"
     for run in (FIRST_RUN, SECOND_RUN):
         file_flows.restore_files(spark, f"{base}/versions", run, target)

@@ -16,6 +16,7 @@ import shutil
 import sys
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -41,6 +42,7 @@ FILES_PER_TASK = 64
 MOST_FILES = 4096
 MOST_BYTES = 4 * 1024**3
 CHUNK = 4 * 1024 * 1024
+REMOVED_AT_ONCE = 8
 
 
 def posix(path: str) -> str:
@@ -156,6 +158,14 @@ def remove_staging(staging: str) -> None:
     shutil.rmtree(staging, ignore_errors=True)
 
 
+def remove_tree(spark: SparkSession, root: str, tasks: int | None = None) -> None:
+    """Remove a file tree on the executors, its files first. What cannot be removed stays."""
+    root = posix(root)
+    listed = list_files(spark, root, tasks).select("path")
+    spread(listed, "path", tasks).mapInPandas(_remove_files, listed.schema).count()
+    shutil.rmtree(root, ignore_errors=True)
+
+
 def _digest(path: str | None) -> str | None:
     if path is None:
         return None
@@ -224,6 +234,20 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield _frame(rows)
 
 
+def _remove_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Some files at once, since a file system may wait for the disk to take back the blocks of each."""
+
+    def removed(paths: pd.Series) -> None:
+        for path in paths:
+            with contextlib.suppress(OSError):
+                os.unlink(real(path))
+
+    with ThreadPoolExecutor(REMOVED_AT_ONCE) as threads:
+        for batch in batches:
+            list(threads.map(removed, [batch["path"][k::REMOVED_AT_ONCE] for k in range(REMOVED_AT_ONCE)]))
+            yield batch
+
+
 # Bytes of a name that are not UTF-8, as Python gives them, show as the private-use characters from U+10FF80 on. A name that has
 # such a character of its own, or the one before them, shows with that one before it.
 _MARK = "\U0010ff7f"

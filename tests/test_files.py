@@ -16,6 +16,7 @@ from snapdelta.sources.files import (
     list_files,
     posix,
     remove_staging,
+    remove_tree,
     write_texts,
 )
 
@@ -175,3 +176,14 @@ def test_staging_goes_with_what_killed_tasks_left(tmp_path):
     (tmp_path / ".staging" / "half").write_bytes(b"x")
     files.remove_staging(f"{tmp_path}/.staging")
     assert not (tmp_path / ".staging").exists()
+
+
+def test_a_tree_is_removed_with_odd_names_and_links(spark, tmp_path):
+    root = grow(tmp_path / "tree", TREE)
+    grow(tmp_path, {"kept/file": b"1"})
+    with open(os.fsencode(str(root)) + b"/a/bad\xff", "wb") as f:
+        f.write(b"2")
+    (root / "a" / "folder").symlink_to(tmp_path / "kept")
+    (root / "dangling").symlink_to(tmp_path / "nowhere")
+    remove_tree(spark, str(root))
+    assert not root.exists() and contents(tmp_path) == {"kept/file": b"1"}
