@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import contextlib
 import datetime as dt
+import fcntl
 import hashlib
+import io
 import os
 import re
 import shutil
+import stat
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +45,7 @@ FILES_PER_TASK = 64
 MOST_FILES = 4096
 MOST_BYTES = 4 * 1024**3
 CHUNK = 4 * 1024 * 1024
+FIRST_CHUNK = 64 * 1024
 REMOVED_AT_ONCE = 8
 
 
@@ -126,14 +130,15 @@ _file_sha256 = _file_sha256.asNondeterministic()
 def copy_files(source: Column | str, target: Column | str, staging: str) -> Column:
     """Copy files on the executors: ``struct<sha256, error>`` with the hash of the bytes copied.
 
-    Both NULL where the source or the target path is NULL. A copy is first written to the ``staging``
+    Both NULL where the source or the target path is NULL. A copy is first written below the ``staging``
     folder, on the target's file system, and then renamed: a task that is run again replaces its own
     work, and no half file ever shows under a target path.
     """
 
     @F.pandas_udf("struct<sha256:string,error:string>")
     def copied(sources: pd.Series, targets: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_copy(s, t, staging) for s, t in zip(sources, targets)], columns=["sha256", "error"])
+        with _own_folder(staging) as own:
+            return pd.DataFrame([_copy(s, t, own) for s, t in zip(sources, targets)], columns=["sha256", "error"])
 
     return copied.asNondeterministic()(source, target)
 
@@ -142,13 +147,14 @@ def write_texts(rows: DataFrame, root: str, path: str, text: str, staging: str)
     """Write the text of each row to the file at its relative path below ``root``; lazy.
 
     Adds an ``error`` column, NULL where the file was written. Rows are written where they are, without
-    a shuffle.
+    a shuffle. A file that is there is written over in place.
     """
     root, staging = posix(root), posix(staging)
 
     @F.pandas_udf(T.StringType())
     def written(paths: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([_write(f"{root}/{p}", t, staging) for p, t in zip(paths, texts)], dtype="object")
+        with _own_folder(staging) as own:
+            return pd.Series([_write(f"{root}/{p}", t, own) for p, t in zip(paths, texts)], dtype="object")
 
     return rows.withColumn("error", written.asNondeterministic()(path, text))
 
@@ -170,8 +176,11 @@ def _digest(path: str | None) -> str | None:
     if path is None:
         return None
     try:
-        with open(real(path), "rb") as stream:
-            return hashlib.file_digest(stream, "sha256").hexdigest()
+        digest = hashlib.sha256()
+        with open(real(path), "rb", buffering=0) as stream:
+            for piece in _pieces(stream):
+                digest.update(piece)
+        return digest.hexdigest()
     except (OSError, TypeError, ValueError):
         return None
 
@@ -183,10 +192,10 @@ def _copy(source: str | None, target: str | None, staging: str) -> tuple[str | N
     digest = hashlib.sha256()
 
     def fill(partial: str) -> None:
-        with open(source, "rb") as reader, open(partial, "wb") as writer:
-            while chunk := reader.read(CHUNK):
-                digest.update(chunk)
-                writer.write(chunk)
+        with open(source, "rb", buffering=0) as reader, open(partial, "wb") as writer:
+            for piece in _pieces(reader):
+                digest.update(piece)
+                writer.write(piece)
         shutil.copystat(source, partial)
 
     problem = _put(target, staging, fill)
@@ -194,21 +203,61 @@ def _copy(source: str | None, target: str | None, staging: str) -> tuple[str | N
 
 
 def _write(target: str, text: str, staging: str) -> str | None:
+    content = text.encode()
+
     def fill(partial: str) -> None:
-        with open(partial, "w", encoding="utf-8", newline="") as writer:
-            writer.write(text)
+        with open(partial, "wb") as writer:
+            writer.write(content)
+
+    return None if _rewritten(target, content) else _put(target, staging, fill)
+
 
-    return _put(target, staging, fill)
+def _rewritten(target: str, content: bytes) -> bool:
+    """Write over a plain file that has no other name, if there is one: its blocks are kept, which is cheaper than to free and find them.
+
+    Under a lock, for other tasks may have rows of the same path.
+    """
+    try:
+        with open(os.open(target, os.O_WRONLY | os.O_NOFOLLOW | os.O_NONBLOCK | os.O_CLOEXEC), "wb") as writer:
+            info = os.fstat(writer.fileno())
+            if not stat.S_ISREG(info.st_mode) or info.st_nlink != 1:
+                return False
+            fcntl.flock(writer, fcntl.LOCK_EX)
+            writer.write(content)
+            writer.truncate()
+        return True
+    except (OSError, ValueError):
+        return False
+
+
+def _pieces(stream: io.RawIOBase) -> Iterator[bytes]:
+    """What a file holds: most files in one short piece, the rest of a longer one in large pieces."""
+    size = FIRST_CHUNK
+    while piece := stream.read(size):
+        yield piece
+        size = CHUNK
+
+
+@contextlib.contextmanager
+def _own_folder(staging: str) -> Iterator[str]:
+    """A name for a staging folder of a task's own, gone afterwards unless half files are in it.
+
+    In a folder that all tasks share, each would wait for the others to make and move its files.
+    """
+    own = os.path.join(staging, uuid.uuid4().hex)
+    try:
+        yield own
+    finally:
+        with contextlib.suppress(OSError):
+            os.rmdir(own)
 
 
 def _put(target: str, staging: str, fill: Callable[[str], None]) -> str | None:
     """Fill a file in the staging folder and move it to its place; the problem, if there is one."""
     partial = os.path.join(staging, uuid.uuid4().hex)
     try:
-        os.makedirs(staging, exist_ok=True)
-        fill(partial)
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        os.replace(partial, target)
+        _within(staging, lambda: fill(partial))
+        _within(os.path.dirname(target), lambda: _replace(partial, target))
         return None
     except (OSError, ValueError) as problem:
         with contextlib.suppress(OSError):
@@ -216,6 +265,27 @@ def _put(target: str, staging: str, fill: Callable[[str], None]) -> str | None:
         return str(problem)
 
 
+def _replace(partial: str, target: str) -> None:
+    """Move a file to its place. The one that was there is let go afterwards: to free its blocks within the move would hold up all others."""
+    held = None
+    with contextlib.suppress(OSError):
+        held = os.open(target, getattr(os, "O_PATH", os.O_RDONLY | os.O_NONBLOCK) | os.O_NOFOLLOW | os.O_CLOEXEC)
+    try:
+        os.replace(partial, target)
+    finally:
+        if held is not None:
+            os.close(held)
+
+
+def _within(folder: str, step: Callable[[], None]) -> None:
+    """Do a step that needs a folder; the folder is made only if the step fails without it."""
+    try:
+        step()
+    except (FileNotFoundError, NotADirectoryError):
+        os.makedirs(folder, exist_ok=True)
+        step()
+
+
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
     for batch in batches:
@@ -257,11 +327,15 @@ _SHOWN = {0xDC00 + b: 0x10FF00 + b for b in range(0x80, 0x100)}
 
 def shown(path: str) -> str:
     """A path as text that can be stored, whatever bytes it has."""
+    if path.isascii():
+        return path
     return _OWN.sub(lambda own: _MARK + own[0], path).translate(_SHOWN)
 
 
 def real(path: str) -> str:
     """The path that ``shown`` has made storable."""
+    if str.isascii(path):
+        return path
     return re.sub(f"{_MARK}(.)|([\U0010ff80-\U0010ffff])", lambda c: c[1] or chr(ord(c[2]) - 0x10FF00 + 0xDC00), path, flags=re.DOTALL)
 
 

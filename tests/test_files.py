@@ -187,3 +187,38 @@ def test_a_tree_is_removed_with_odd_names_and_links(spark, tmp_path):
     (root / "dangling").symlink_to(tmp_path / "nowhere")
     remove_tree(spark, str(root))
     assert not root.exists() and contents(tmp_path) == {"kept/file": b"1"}
+
+
+def written_over(spark, path, *texts):
+    frame = spark.createDataFrame([(path.name, t) for t in texts], "p string, t string").coalesce(1)
+    assert [r["error"] for r in write_texts(frame, str(path.parent), "p", "t", f"{path.parent}.staging").collect()] == [None] * len(texts)
+    return path.read_text()
+
+
+def test_texts_are_written_over_in_place(spark, tmp_path):
+    path = grow(tmp_path / "t", {"a": b"a longer text"}) / "a"
+    before = path.stat().st_ino
+    assert written_over(spark, path, "longer still than that", "short") == "short"
+    assert path.stat().st_ino == before
+
+
+def test_texts_are_not_written_through_links(spark, tmp_path):
+    root = grow(tmp_path / "t", {"other": b"1", "shared": b"2", "fifo/x": b"3"})
+    (root / "soft").symlink_to(root / "other")
+    os.link(root / "shared", root / "hard")
+    os.mkfifo(root / "pipe")
+    for name in ("soft", "hard", "pipe"):
+        assert written_over(spark, root / name, "new") == "new"
+    assert contents(root) == {"other": b"1", "shared": b"2", "fifo/x": b"3", "soft": b"new", "hard": b"new", "pipe": b"new"}
+    assert not (root / "soft").is_symlink()
+
+
+def test_each_task_has_a_staging_folder_of_its_own(tmp_path):
+    names = []
+    for _ in range(2):
+        with files._own_folder(str(tmp_path / ".staging")) as own:
+            names.append(own)
+            assert files._copy(str(grow(tmp_path, {"in": b"1"}) / "in"), str(tmp_path / "out"), own)[1] is None
+            assert os.path.isdir(own) and os.path.dirname(own) == str(tmp_path / ".staging")
+    assert names[0] != names[1] and os.listdir(tmp_path / ".staging") == []
+    assert contents(tmp_path) == {"in": b"1", "out": b"1"}
